@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from orrery.llm import chat
 from orrery.llm.common import table
 from orrery.llm.decontaminate import contamination, is_contaminated
+from orrery.llm.embeddings import near_vectors
 from orrery.llm.minhash import near_duplicates
+from orrery.llm.quality import quality
+from orrery.llm.toxicity import toxicity
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +59,39 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+_OP7_SQL = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL
+  UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM least LEFT JOIN degree USING (vec_id)
+"""
+
 _OP10_SQL = """
 WITH log AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -75,5 +111,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op10_chat": op10_chat}
-ORACLE_SQL: dict[str, str] = {"op10_chat": _OP10_SQL}
+QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op10_chat": op10_chat}
+ORACLE_SQL: dict[str, str] = {"op7_embeddings": _OP7_SQL, "op10_chat": _OP10_SQL}
