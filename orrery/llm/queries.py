@@ -10,6 +10,7 @@ from orrery.llm.common import table
 from orrery.llm.decontaminate import contamination, is_contaminated
 from orrery.llm.embeddings import near_vectors
 from orrery.llm.minhash import near_duplicates
+from orrery.llm.pii import KINDS, personal_data
 from orrery.llm.quality import quality
 from orrery.llm.toxicity import toxicity
 
@@ -32,6 +33,20 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    order = F.array(*[F.lit(k) for k in KINDS])
+
+    def digest(spans):
+        ranked = F.array_sort(F.transform(spans, lambda s: F.struct(F.array_position(order, s["kind"]).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        return F.array_join(F.transform(ranked, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 _MARKED = "</s>[INST] ok [/INST]"
 
 
@@ -111,5 +126,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op10_chat": op10_chat}
+QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_chat": op10_chat}
 ORACLE_SQL: dict[str, str] = {"op7_embeddings": _OP7_SQL, "op10_chat": _OP10_SQL}
