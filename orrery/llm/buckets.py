@@ -74,17 +74,25 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def compare(rows: DataFrame, bucket: str, row_id: str, linked: Callable, size: int = 512) -> DataFrame:
-    """linked(table) gives a function (left, right) -> mask; returns id, n (links found, to be summed) and root (a link to follow)."""
+    """Links inside buckets: id, n (links found, to be summed) and root (a link to follow).
+
+    linked(table) gives two functions (left, right) -> mask: the first sees pairs as they meet, a
+    bounded number at a time; the second (or None) sees all that the first let through.
+    """
 
     def run(batches):
         for table in whole_cells(batches):
-            ids, test, found = table.column(row_id).to_numpy(), linked(table), []
+            ids, (test, settle), found = table.column(row_id).to_numpy(), linked(table), []
             for left, right in meetings(table):
                 mask = (ids[left] != ids[right]) & test(left, right)
                 if mask.any():
-                    found.append((ids[left[mask]], ids[right[mask]]))
+                    found.append((left[mask], right[mask]))
             if found:
-                node, n, root = forest(*(np.concatenate(x) for x in zip(*found)))
+                left, right = (np.concatenate(x) for x in zip(*found))
+                if settle:
+                    mask = settle(left, right)
+                    left, right = left[mask], right[mask]
+                node, n, root = forest(ids[left], ids[right])
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(root)], ["id", "n", "root"])
 
     return cells(rows, bucket, row_id, size).mapInArrow(run, "id bigint, n bigint, root bigint")

@@ -110,7 +110,6 @@ def _linked(width: int, bands: int, cosine: float):
         values, sizes = _square(table.column("vector"))
         coded, code_sizes = _square(table.column("code"))
         start, code_start = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(code_sizes))
-        unit, turned, signs, code_bands = [None] * 4
         made = {}
         for dim in np.unique(sizes):
             at = np.flatnonzero(sizes == dim)
@@ -135,7 +134,7 @@ def _linked(width: int, bands: int, cosine: float):
                 mask[pick] = (code_bands[a] == code_bands[b]).argmax(axis=1) == band[left[pick]]
             return mask
 
-        return test
+        return test, None
 
     return prepare
 

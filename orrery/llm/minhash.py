@@ -9,11 +9,14 @@ documents need little more than one arrival for each shingle.  The share of equa
 estimates the probability Jaccard similarity, which equals Jaccard for equal weights.
 
 Candidates.  `rows` slots make a band; documents that agree in any of `bands` bands meet.
-At Jaccard 0.8 a pair is missed with probability (1 - 0.8**4)**24 = 3e-6.  A bucket is never
-expanded into all its pairs: each member is compared with four pivots (least and greatest
-key, least and greatest scrambled key), which is every pair of a bucket of three.  Where a
-bucket still holds several components after that, members of different components that no
-pivot has settled are compared with each other too, so no link between components is lost.
+At Jaccard 0.8 a pair is missed with probability (1 - 0.8**4)**24 = 3e-6.  A bucket is not
+expanded into its pairs: each member is compared with four pivots (least and greatest
+key, least and greatest scrambled key), which is every pair of a bucket of three.  A bucket
+whose members are then in one component is settled.  The members of the others meet
+once more, where one of their first nine slots agrees (a pair at 0.8 never meets with probability
+5e-7), in cells of bounded size; there pairs of different components are compared, and
+only what connects leaves the cell.  So no link between components is lost, and no task
+or shuffle holds the pairs of a group.
 
 Verification.  Pairs whose signatures agree too little are dropped (below 0.55; a pair at 0.8
 falls there with probability 1e-9), the rest are compared by the exact Jaccard similarity
@@ -32,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import cut
+from orrery.llm.buckets import compare
+from orrery.llm.common import cut, kept
 from orrery.llm.components import components
 from orrery.llm.textblocks import blocks, mix64
 
@@ -40,6 +44,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 LEAST_ESTIMATE = 0.55
+MEETING_SLOTS = 9
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(0xA0761D6478BD642F)
@@ -97,9 +102,10 @@ def _signatures(batches, bands: int, rows: int):
                 [
                     key,
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * bands, pa.int32()), pa.array(band.ravel().view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sig) + 1) * MEETING_SLOTS, pa.int32()), pa.array(sig[:, :MEETING_SLOTS].ravel().view(np.int64))),
                     pa.Array.from_buffers(pa.binary(), len(sig), [None, pa.py_buffer((np.arange(len(sig) + 1) * bands * rows).astype(np.int32)), pa.py_buffer(low.tobytes())]),
                 ],
-                ["key", "bands", "signature"],
+                ["key", "bands", "slots", "signature"],
             )
 
 
@@ -152,22 +158,62 @@ def _links(pairs: DataFrame, unique: DataFrame, texts: DataFrame, similarity: fl
         .select("a", "b", "sa", "sb")
         .mapInArrow(lambda x: _agreeing(x, LEAST_ESTIMATE), "a bigint, b bigint")
     )
-    likely = cut(likely)
-    wanted = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
-    found = cut(texts.dropDuplicates(["key"]).join(wanted, "key", "left_semi"))
     full = (
-        likely.join(found.withColumnsRenamed({"key": "a", "text": "ta"}), "a")
-        .join(found.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
+        likely.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a")
+        .join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
         .select("a", "b", "ta", "tb")
     )
     return cut(full.mapInArrow(lambda x: _verified(x, similarity), "a bigint, b bigint"))
 
 
+def _bridging(similarity: float):
+    """For cells: pairs of different components that meet first in this slot, agree enough, and are similar."""
+
+    def prepare(table: pa.Table):
+        label, slot = table.column("label").to_numpy(), table.column("slot").to_numpy()
+        slots = table.column("slots").combine_chunks().flatten().to_numpy().reshape(-1, MEETING_SLOTS)
+        signature = _slots(table.column("signature").combine_chunks())
+        texts = table.column("text").combine_chunks()
+        parts = [(row + block.lo, element) for block in blocks(texts) for row, element, _ in [shingle_counts(block)]]
+        row, element = (np.concatenate(x) for x in zip(*parts))
+        edge = np.searchsorted(row, np.arange(len(label) + 1))
+        size = np.diff(edge)
+        number = np.unique(element, return_inverse=True)[1]
+
+        def test(left, right):
+            mask = label[left] != label[right]
+            mask[mask] = np.minimum(size[left[mask]], size[right[mask]]) >= similarity * np.maximum(size[left[mask]], size[right[mask]]) - 1e-9
+            at = np.flatnonzero(mask)
+            first = (slots[left[at]] == slots[right[at]]).argmax(axis=1) == slot[left[at]]
+            at = at[first]
+            agree = (signature[left[at]] == signature[right[at]]).mean(axis=1) >= LEAST_ESTIMATE
+            mask[:] = False
+            mask[at[agree]] = True
+            return mask
+
+        def settle(left, right):
+            shared = np.zeros(len(left), dtype=np.int64)
+            order = np.argsort(left, kind="stable")
+            present = np.zeros(number.max(initial=0) + 1, dtype=np.int64)
+            for group in np.split(order, np.flatnonzero(np.diff(left[order])) + 1):
+                own = number[edge[left[group[0]]] : edge[left[group[0]] + 1]]
+                present[own] = 1
+                many = size[right[group]]
+                at = np.repeat(edge[right[group]] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+                shared[group] = np.add.reduceat(present[number[at]], np.append(0, np.cumsum(many)[:-1]))
+                present[own] = 0
+            return shared / (size[left] + size[right] - shared) >= similarity
+
+        return test, settle
+
+    return prepare
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id, kept (doc_id is its class's class_id)."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key"))
     texts = named.select("key", "text")
-    unique = cut(texts.mapInArrow(lambda x: _signatures(x, bands, rows), "key bigint, bands array<bigint>, signature binary").dropDuplicates(["key"]))
+    unique = cut(texts.mapInArrow(lambda x: _signatures(x, bands, rows), "key bigint, bands array<bigint>, slots array<bigint>, signature binary").dropDuplicates(["key"]))
     member = unique.select("key", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "key")
     scrambled = F.xxhash64("key", F.lit(17))
     pivots = (
@@ -175,19 +221,20 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         .agg(F.min("key").alias("p0"), F.max("key").alias("p1"), F.min_by("key", scrambled).alias("p2"), F.max_by("key", scrambled).alias("p3"))
         .where("p0 < p1")
     )
-    met = cut(member.join(pivots, "bucket"))
+    met = cut(member.join(pivots, "bucket"))  # what is alone in all its buckets goes no further
     compared = met.select("key", F.explode(F.array("p0", "p1", "p2", "p3")).alias("pivot")).where("key <> pivot")
     pairs = compared.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-    links = _links(pairs, unique, texts, similarity)
+    found = kept(texts.dropDuplicates(["key"]).join(met.select("key").distinct(), "key", "left_semi"), "texts")
+    links = _links(pairs, unique, found, similarity)
     labels = components(links)
 
-    placed = met.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_buckets = placed.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).where("l0 < l1 and n > 3").select("bucket")
-    rest = placed.where("key not in (p0, p1, p2, p3)").join(open_buckets, "bucket", "left_semi").select("bucket", "key", "label")
-    other = rest.withColumnsRenamed({"key": "key2", "label": "label2"})
-    unsettled = cut(rest.join(other, "bucket").where("label < label2").select(F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b")).distinct())
-    if not unsettled.isEmpty():
-        labels = components(links.union(_links(unsettled, unique, texts, similarity)))
+    placed = met.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    unsettled = placed.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).where("l0 < l1 and n > 3").select("bucket")
+    left = placed.join(unsettled, "bucket", "left_semi").select("key", "label").distinct()
+    left = left.join(unique.select("key", "slots", "signature"), "key").join(found, "key")
+    meeting = left.select("*", F.posexplode("slots").alias("slot", "value")).withColumn("meet", F.xxhash64("slot", "value")).drop("value")
+    bridges = compare(meeting, "meet", "key", _bridging(similarity)).select(F.col("id").alias("a"), F.col("root").alias("b"))
+    labels = components(links.union(cut(bridges)))
 
     nodes = named.groupBy("key").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))

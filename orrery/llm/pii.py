@@ -96,7 +96,7 @@ class Shapes:
         before[self.first] = 1
         if len(after):
             after[np.append(self.first[1:], True)] = 2
-        salt = lambda x, k: mix64(x + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+        salt = lambda x, k: mix64(x + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         features = np.stack([salt(short, 1), salt(before, 2), salt(after, 3), salt(short + size, 4), salt(head, 5), salt(mix64(short) + before, 6)], axis=1)
         self.ids = (features % np.uint64(BUCKETS)).astype(np.int32)
 

@@ -12,6 +12,7 @@ from orrery.llm.embeddings import near_vectors
 from orrery.llm.minhash import near_duplicates
 from orrery.llm.pii import KINDS, personal_data
 from orrery.llm.quality import quality
+from orrery.llm.tokens import VOCABULARY, token_table
 from orrery.llm.toxicity import toxicity
 
 
@@ -84,6 +85,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -126,5 +133,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_chat": op10_chat}
+QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op5_tokens": op5_tokens, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_chat": op10_chat}
 ORACLE_SQL: dict[str, str] = {"op7_embeddings": _OP7_SQL, "op10_chat": _OP10_SQL}
