@@ -9,7 +9,9 @@ from orrery.llm import chat
 from orrery.llm.common import table
 from orrery.llm.decontaminate import contamination, is_contaminated
 from orrery.llm.embeddings import near_vectors
+from orrery.llm.lines import line_classes
 from orrery.llm.minhash import near_duplicates
+from orrery.llm.mixing import rates
 from orrery.llm.pii import KINDS, personal_data
 from orrery.llm.quality import quality
 from orrery.llm.tokens import VOCABULARY, token_table
@@ -85,12 +87,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_table(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -133,5 +143,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op5_tokens": op5_tokens, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_chat": op10_chat}
+QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_tokens": op5_tokens, "op6_lines": op6_lines, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_chat": op10_chat}
 ORACLE_SQL: dict[str, str] = {"op7_embeddings": _OP7_SQL, "op10_chat": _OP10_SQL}
