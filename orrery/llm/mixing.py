@@ -9,16 +9,16 @@ posterior over the domains, which is rounded to a grid of `GRID` steps.
 
 Rates.  A document of n tokens and posterior p adds r n p to the expected domain totals.  Nonnegative
 rates r that bring the totals to their targets are found by accelerated projected gradient descent on
-the squared distance, from r = 1: a step of a document is max(0, r - rate * (p . error)), so documents with
+the squared distance, from r = 1: a step of a document is r - rate * (p . error), held between 0 and `MOST`, so documents with
 one posterior keep one rate.  The corpus enters the gradient through its tokens at each
 point of the posterior grid: one distributed sum, of at most (GRID + 1)**2 points however large the corpus,
 over which the steps then run; the rates go back to the documents by a join with that bounded table.
 
-Targets.  Shares of the domains, of `epochs` times the corpus' tokens.  `mixed` repeats documents: a rate of 1.3
+Targets.  Shares of `epochs` times the corpus' tokens; a domain without a target is left free.  `mixed` repeats documents: a rate of 1.3
 gives one copy, and a second one for the three in ten whose hash falls there.
 
-Defined results: null, empty and blank texts have no tokens and the prior as posterior; without
-labels of a domain that domain's prior is 0 and its posterior too; without any labels everything is `clean`;
+Defined results: null, empty and blank texts have no tokens and the prior as posterior; where no document has a
+label of a domain its posterior is 0; without any labels everything is `clean`;
 repeated documents are rows of their own with equal rates; no documents give no rows; other columns stay as they are.
 """
 
@@ -41,6 +41,8 @@ BUCKETS = 1 << 13
 ROWS_PER_DOMAIN = 4000
 GRID = 50
 ROUNDS = 300
+#: No document is repeated more often than this.
+MOST = 4.0
 TELLING = 20.0
 
 
@@ -66,7 +68,8 @@ class Classifier:
 
     def __init__(self, docs: DataFrame, labels: DataFrame):
         known = labels.where(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("__id"), domain().alias("domain"))
-        known = known.where("domain is not null").groupBy("__id").agg(F.max("domain").alias("domain"))
+        here = docs.select(F.col("doc_id").cast("long").alias("__id")).distinct()
+        known = cut(known.where("domain is not null").groupBy("__id").agg(F.max("domain").alias("domain")).join(here, "__id", "left_semi"))
         count = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}
         total = sum(count.values())
         self.prior = [math.log(count[d] / total) if count.get(d) else -math.inf for d in DOMAINS] if total else [0.0] + [-math.inf] * (len(DOMAINS) - 1)
@@ -148,20 +151,20 @@ def memberships(docs: DataFrame, labels: DataFrame, write) -> DataFrame:
     return told.withColumn("__p", model.posterior()).drop("__logits")
 
 
-def descend(points: list[tuple[float, list[float]]], goal: list[float], rounds: int = ROUNDS) -> list[float]:
+def descend(points: list[tuple[float, list[float]]], goal: list[float | None], rounds: int = ROUNDS) -> list[float]:
     """Rates of the points (tokens, posterior) whose expected domain totals come closest to goal, in shares of all tokens."""
     total = sum(n for n, _ in points)
     if not total:
         return [1.0] * len(points)
     share = [n / total for n, _ in points]
-    domains = range(len(goal))
+    domains = [k for k, wanted in enumerate(goal) if wanted is not None]
     # the step: one over a bound of the curvature, the largest domain's expected share
     step = 1.0 / max(1e-9, max(sum(w * p[k] for w, (_, p) in zip(share, points)) for k in domains))
     now, before = [1.0] * len(points), [1.0] * len(points)
     for i in range(rounds):
         ahead = [r + i / (i + 3) * (r - q) for r, q in zip(now, before)]
-        error = [sum(w * r * p[k] for w, r, (_, p) in zip(share, ahead, points)) - goal[k] for k in domains]
-        before, now = now, [max(0.0, r - step * sum(p[k] * error[k] for k in domains)) for r, (_, p) in zip(ahead, points)]
+        error = {k: sum(w * r * p[k] for w, r, (_, p) in zip(share, ahead, points)) - goal[k] for k in domains}
+        before, now = now, [min(MOST, max(0.0, r - step * sum(p[k] * error[k] for k in domains))) for r, (_, p) in zip(ahead, points)]
     return now
 
 
@@ -170,7 +173,7 @@ def with_rates(placed: DataFrame, targets: dict[str, float] = TARGETS, epochs: f
     cell = F.aggregate("__p", F.lit(0), lambda a, x: a * (GRID + 1) + F.round(x * GRID).cast("int"))
     placed = placed.withColumn("__cell", cell)
     points = placed.groupBy("__cell").agg(F.sum("__n").alias("n"), F.first("__p").alias("p")).collect()
-    found = descend([(float(r.n), list(r.p)) for r in points], [targets.get(d, 0.0) * epochs for d in DOMAINS])
+    found = descend([(float(r.n), list(r.p)) for r in points], [targets[d] * epochs if d in targets else None for d in DOMAINS])
     table = placed.sparkSession.createDataFrame([(r["__cell"], x) for r, x in zip(points, found)], "__cell int, __rate double")
     return placed.join(F.broadcast(table), "__cell").drop("__cell")
 
