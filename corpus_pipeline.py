@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from orrery.llm import decontaminate, minhash, mixing, tokens, toxicity
 from orrery.llm.common import scratch, table
 
-#: Shares of the domains after mixing; documents that still look toxic are to carry no tokens.
-MIX = {"clean": 0.9, "rough": 0.1, "toxic": 0.0}
+#: Shares of the domains after mixing; what little still looks toxic is left as it is.
+MIX = {"clean": 0.9, "rough": 0.1}
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
