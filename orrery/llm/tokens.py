@@ -47,12 +47,18 @@ REMEMBER = 700_000
 _NULL = -(1 << 63)
 _GOLD = 0x9E3779B97F4A7C15
 _SPACE = re.compile(r" (?=\S)(?<=\S )")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 def _fs(path: str):
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _uneven(text: str) -> bool:
+    """Whether some blank does not stand alone between visible characters; if none does not, each blank is a cut."""
+    return text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text) is not None
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, remembering the pieces it has seen."""
 
@@ -61,7 +67,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # ids of a piece after a blank, without that blank in the key
+        self.heads: dict[str, bytes] = {}  # ids of a text's first piece
         special = self.tokenizer.get_added_tokens_decoder()
         self.split = next((i for i, t in special.items() if t.content == "<|endoftext|>"), None)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -69,40 +76,37 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces in one text, with a special token between them."""
-        plain = [p for p in pieces if "<|" not in p]
-        for p in pieces:
-            if "<|" in p:
-                self.known[p] = self.ids(p)
-        if not plain:
-            return
+    def _learn(self, pieces: list[str], known: dict[str, bytes], before: str) -> None:
+        """Encode new pieces, each with the blank before it, in one text, with a special token between them."""
         if self.split is None:
-            self.known.update((p, self.ids(p)) for p in plain)
+            known.update((p, self.ids(before + p)) for p in pieces)
             return
+        known.update((p, self.ids(before + p)) for p in pieces if "<|" in p)
+        plain = [p for p in pieces if "<|" not in p]
         for lo in range(0, len(plain), 2000):
             part = plain[lo : lo + 2000]
-            flat = np.array(self.tokenizer.encode("<|endoftext|>".join(part), add_special_tokens=False).ids, dtype=self.width)
+            joined = before + f"<|endoftext|>{before}".join(part)
+            flat = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.width)
             cut = np.flatnonzero(flat == self.split)
             start, end = np.append(0, cut + 1) * flat.itemsize, np.append(cut, len(flat)) * flat.itemsize
             raw = flat.tobytes()
-            self.known.update((p, raw[a:z]) for p, a, z in zip(part, start.tolist(), end.tolist()))
+            known.update((p, raw[a:z]) for p, a, z in zip(part, start.tolist(), end.tolist()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with END appended."""
         end = np.array([END], dtype=self.width).tobytes()
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        cuts = []
-        fresh: dict[str, None] = {}
+        if len(self.known) + len(self.heads) > REMEMBER:
+            self.known, self.heads = {}, {}
+        cuts, fresh, heads = [], set(), set()
         for text in texts:
-            pieces = _SPACE.split(text)
-            pieces[1:] = [" " + p for p in pieces[1:]]
+            pieces = _SPACE.split(text) if _uneven(text) else text.split(" ")
             cuts.append(pieces)
-            fresh.update(dict.fromkeys(p for p in pieces if p not in self.known))
-        self._learn(list(fresh))
-        known = self.known
-        return [b"".join([known[p] for p in pieces] + [end]) for pieces in cuts]
+            heads.add(pieces[0])
+            fresh.update(pieces[1:])
+        self._learn(sorted(heads.difference(self.heads)), self.heads, "")
+        self._learn(sorted(fresh.difference(self.known)), self.known, " ")
+        known = self.known.__getitem__
+        return [self.heads[pieces[0]] + b"".join(map(known, pieces[1:])) + end for pieces in cuts]
 
 
 _encoders: dict[str, Encoder] = {}  # of this process: what one task has learnt serves the next
