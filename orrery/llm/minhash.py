@@ -15,7 +15,7 @@ key, least and greatest scrambled key), which is every pair of a bucket of three
 whose members are then in one component is settled.  The members of the others meet
 once more, where one of their first nine slots agrees (a pair at 0.8 never meets with probability
 5e-7), in cells of bounded size; there pairs of different components are compared, and
-only what connects leaves the cell.  So no link between components is lost, and no task
+only what connects leaves the cell (a spanning forest, linear in the members).  So no link between components is lost, and no task
 or shuffle holds the pairs of a group.
 
 Verification.  Pairs whose signatures agree too little are dropped (below 0.55; a pair at 0.8
