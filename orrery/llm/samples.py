@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of a fitting sample: labelled rows of each class, and bytes of text altogether.
 ROWS_PER_CLASS = 6000
-TEXT_BYTES = 48 << 20
+TEXT_BYTES = 20 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
