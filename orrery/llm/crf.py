@@ -14,6 +14,8 @@ LONGEST = 128
 def sequences(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths from a mask of first tokens; a run of over LONGEST tokens is cut."""
     start = np.flatnonzero(breaks)
+    if not len(start):
+        return start, start
     length = np.diff(np.append(start, len(breaks)))
     many = -(-length // LONGEST)
     inner = np.arange(many.sum()) - np.repeat(np.append(0, np.cumsum(many)[:-1]), many)

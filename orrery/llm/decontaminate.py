@@ -177,5 +177,5 @@ def is_contaminated() -> F.Column:
 
 def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, all columns as they are."""
-    bad = contamination(docs, benchmark).where(is_contaminated()).select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "__bad_id"), F.col("doc_id") == F.col("__bad_id"), "left_anti")
+    bad = contamination(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("__bad_id")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")

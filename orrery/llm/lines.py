@@ -210,8 +210,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
 
 def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs with the text reduced to blank lines and the first place of each class; the columns stay as they are."""
-    gone = line_classes(docs, edits, least).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
-    stay = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i.cast("long")))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))
-    return joined.withColumn("text", text).select(*docs.columns)
+    gone = line_classes(docs, edits, least).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
+    gone = gone.withColumnRenamed("doc_id", "gone_id")
+    joined = docs.select(F.struct(*docs.columns).alias("doc")).join(gone, F.col("doc.doc_id") == F.col("gone_id"), "left")
+    stay = F.filter(F.split("doc.text", "\n"), lambda x, i: ~F.array_contains("gone", i.cast("long")))
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(stay, "\n"))
+    return joined.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")

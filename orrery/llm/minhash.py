@@ -248,4 +248,4 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The documents that stay: the one of each class that names it, all columns as they are."""
     gone = near_duplicates(docs, similarity).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")

@@ -187,7 +187,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = EPOCHS) -> DataFrame:
     """docs, each as often as its rate says; the columns stay as they are."""
-    placed = memberships(docs, labels, lambda told: kept(told, "mixing"))
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    placed = memberships(packed, labels, lambda told: kept(told.drop("text"), "mixing"))
     chance = F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("__rate") + chance).cast("int")
-    return with_rates(placed, targets, epochs).withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return with_rates(placed, targets, epochs).withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("doc.*")

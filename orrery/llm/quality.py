@@ -105,7 +105,8 @@ class Machine:
         linear, total, square = self._sums(row, column, value, rows)
         return self.w0 + linear + 0.5 * ((total**2).sum(axis=1) - square), total
 
-    def fit(self, table: pa.Table, rounds: int = 12, size: int = 256, rate: float = 0.05, decay: float = 1e-5) -> Machine:
+    def fit(self, table: pa.Table, steps: int = 500, rate: float = 0.05, decay: float = 1e-5) -> Machine:
+        """Logistic loss by AdaGrad: at least 12 passes and `steps` steps, over batches of 16 to 256 documents."""
         y = table.column("y").to_numpy().astype(np.float64)
         self.share = float(y.mean()) if len(y) else 0.0
         if len(np.unique(y)) < 2:
@@ -126,7 +127,8 @@ class Machine:
         self.w0 = float(np.log(self.share / (1 - self.share)))
         gw, gv, g0 = np.full(n, 1e-8), np.full((n, RANK), 1e-8), 1e-8
         edge = np.searchsorted(row, np.arange(len(y) + 1))
-        for _ in range(rounds):
+        size = max(16, min(256, len(y) // 32))
+        for _ in range(max(12, -(-steps * size // len(y)))):
             for docs in np.array_split(random.permutation(len(y)), max(1, len(y) // size)):
                 docs = np.sort(docs)
                 many = edge[docs + 1] - edge[docs]

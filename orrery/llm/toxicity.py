@@ -80,6 +80,8 @@ class Tagger:
             keep = np.maximum.reduceat(toxic, seat) | (features[seat, 0] % np.uint64(8) == 0)
             keep = keep[number]
             parts.append(((features[keep] % np.uint64(BUCKETS)).astype(np.int32), toxic[keep].astype(np.int64), first[keep]))
+        if not any(len(p[0]) for p in parts):
+            return self
         ids, state, first = (np.concatenate(x) for x in zip(*parts))
         self.chain = Chain(BUCKETS, 2).fit(ids, state, *sequences(first))
         x = np.concatenate([self._evidence(block)[0] for block in blocks(table.column("text"), BLOCK)])
@@ -167,4 +169,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def acceptable(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that score under the threshold, all columns as they are."""
     bad = toxicity(docs, labels).where(F.col("score") >= threshold).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad_id"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")
