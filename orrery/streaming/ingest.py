@@ -56,3 +56,8 @@ def distinct_evidence(stream: DataFrame) -> DataFrame:
     """A stream of (content) reduced to the first of each content: evidence_id, byte_size."""
     named = stream.select(F.concat(F.lit("e_"), F.sha2("content", 256)).alias("evidence_id"), F.octet_length("content").alias("byte_size"))
     return named.dropDuplicates(["evidence_id"])
+
+
+def replaced(index: DataFrame, changed: DataFrame, owner: str) -> DataFrame:
+    """Index rows after a batch: those of touched owners are replaced, all others stay."""
+    return index.join(changed.select(owner).distinct(), owner, "left_anti").unionByName(changed)
