@@ -52,14 +52,25 @@ def shown(ownership: Column, wanted: str | None = None) -> Column:
     return ~ownership.eqNullSafe("rejected") if wanted is None else ownership.eqNullSafe(wanted)
 
 
-def transition_allowed(before: Column, after: Column) -> Column:
-    """Whether ownership may go from before (null at creation) to after."""
+def transition_allowed(before: Column, after: Column, evidenced: Column) -> Column:
+    """Whether ownership may go from before (null at creation) to after: only candidates are rejected, a
+    rejected record becomes no candidate again, and owned or dependency needs evidence in the same write."""
     return (
-        F.when(before.isNull(), after.isin("candidate", "owned", "dependency"))
-        .when(before == after, F.lit(True))
-        .when(before == "candidate", after.isin("owned", "dependency", "rejected"))
-        .when(before.isin("owned", "dependency"), after.isin("owned", "dependency", "candidate"))
-        .otherwise(after == "candidate")
+        F.when(before.eqNullSafe(after), F.lit(True))
+        .when(after == "rejected", before.eqNullSafe("candidate"))
+        .when(after == "candidate", ~before.eqNullSafe("rejected"))
+        .otherwise(evidenced)
+    )
+
+
+def authorization_reason(ownership: Column, before: Column, after: Column, allowlist_before: Column, allowlist_after: Column, evidenced: Column) -> Column:
+    """Why a root's authorization or allowlist marker may not change so; null where it may."""
+    changed, listed = ~after.eqNullSafe(before), ~allowlist_after.eqNullSafe(allowlist_before)
+    return (
+        F.when(changed & (ownership == "rejected"), "rejected")
+        .when(changed & (after != "unknown") & ~evidenced, "evidence required")
+        .when(listed & ~evidenced, "evidence required")
+        .when(allowlist_after & (after != "in_scope"), "allowlist needs in_scope")
     )
 
 

@@ -70,8 +70,8 @@ def v33(spark, sf_dir):
     "N5_ownership_transitions",
     """WITH t AS (SELECT o_orderkey, lag(s) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, s AS after
       FROM (SELECT o_orderkey, o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'owned' WHEN 1 THEN 'candidate' WHEN 2 THEN 'dependency' ELSE 'rejected' END AS s FROM orders))
-    SELECT o_orderkey, CASE WHEN before IS NULL THEN after IN ('candidate', 'owned', 'dependency') WHEN before = after THEN true
-      WHEN before = 'candidate' THEN after IN ('owned', 'dependency', 'rejected') WHEN before IN ('owned', 'dependency') THEN after IN ('owned', 'dependency', 'candidate') ELSE after = 'candidate' END AS allowed FROM t""",
+    SELECT o_orderkey, CASE WHEN before IS NOT DISTINCT FROM after THEN true WHEN after = 'rejected' THEN before IS NOT DISTINCT FROM 'candidate'
+      WHEN after = 'candidate' THEN before IS DISTINCT FROM 'rejected' ELSE o_orderkey % 2 = 0 END AS allowed FROM t""",
 )
 def n5(spark, sf_dir):
     from pyspark.sql import Window
@@ -79,7 +79,18 @@ def n5(spark, sf_dir):
     s = F.element_at(F.array(*[F.lit(x) for x in ("owned", "candidate", "dependency", "rejected")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", s.alias("after"))
     rows = rows.withColumn("before", F.lag("after").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    return rows.select("o_orderkey", state.transition_allowed(F.col("before"), F.col("after")).alias("allowed"))
+    return rows.select("o_orderkey", state.transition_allowed(F.col("before"), F.col("after"), F.col("o_orderkey") % 2 == 0).alias("allowed"))
+
+
+@query(
+    "N6_authorization_rules",
+    """SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'rejected' WHEN c_custkey % 3 = 0 THEN 'evidence required' WHEN c_custkey % 5 = 0 THEN 'allowlist needs in_scope' END AS reason FROM customer""",
+)
+def n6(spark, sf_dir):
+    k = F.col("c_custkey")
+    ownership = F.when(k % 4 == 3, "rejected").otherwise("owned")
+    reason = state.authorization_reason(ownership, F.lit("unknown"), F.lit("out_of_scope"), k % 5 == 0, k % 5 == 0, k % 3 != 0)
+    return table(spark, sf_dir, "customer").select("c_custkey", reason.alias("reason"))
 
 
 def _scope(spark, sf_dir) -> DataFrame:

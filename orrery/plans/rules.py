@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orrery.functions import grammar, jsonwalk, transforms
+from orrery.functions import grammar, hosts, jsonwalk, transforms
 from orrery.operators import checks, mapping, merge
 from orrery.plans.book import query, table
 from orrery.sources import storage
@@ -292,3 +292,39 @@ def a1_fold(spark, sf_dir):
         return rows.iloc[:0][["record", "path", "value"]] if not state else type(pdf)({"record": [rows.record.iloc[0]] * len(state), "path": list(state), "value": list(state.values())})
 
     return _writes(spark, sf_dir).groupBy("record").applyInPandas(run, "record string, path string, value string")
+
+
+@query(
+    "V23_cloud_hosts",
+    """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'aws_elb' WHEN 1 THEN 'azure_app_service' WHEN 2 THEN 'gcp_app_engine' END AS service,
+    CASE WHEN c_custkey % 4 = 0 THEN 'eu-west-1' END AS region, c_custkey % 4 IN (0, 2) AS canonical FROM customer""",
+)
+def v23(spark, sf_dir):
+    k = _text("c_custkey")
+    host = _pick("c_custkey", "lb-x{}.eu-west-1.elb.amazonaws.com", "app{}.scm.azurewebsites.net", "project-x{}.appspot.com", "www{}.example.com")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.replace(host, F.lit("{}"), k).alias("host"))
+    found = hosts.classify(rows.select("host").distinct())
+    return rows.join(found, "host").select("c_custkey", "service", "region", F.coalesce("canonical", F.lit(False)).alias("canonical"))
+
+
+@query("V21_service_names", "SELECT e.event_id, e.event_type IN ('view', 'click') AS known, e.event_type = 'view' AS secure_required FROM events e")
+def v21(spark, sf_dir):
+    names = spark.createDataFrame([("view", True), ("click", False)], "event_type string, secure_required boolean")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type").join(names, "event_type", "left")
+    return rows.select("event_id", F.col("secure_required").isNotNull().alias("known"), F.coalesce("secure_required", F.lit(False)).alias("secure_required"))
+
+
+@query(
+    "F6_query_compile",
+    r"SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\pL\pN]+')))[1:32] AS words FROM benchmark",
+)
+def f6(spark, sf_dir):
+    from orrery.operators import search
+
+    return table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.array_sort(F.array_distinct(search.tokens(F.col("text")))), 1, 32).alias("words"))
+
+
+@query("F10_F11_match_references", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) SELECT doc_id, line_no, strpos(line, 'the') AS place FROM l WHERE contains(line, 'the')")
+def f10(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    return lines.where(F.col("line").contains("the")).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.instr("line", "the").cast("long").alias("place"))
