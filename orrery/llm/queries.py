@@ -28,7 +28,6 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
-        "spans",
     )
 
 
@@ -143,5 +142,29 @@ SELECT conv_id, count(*) AS n_turns,
 FROM shown GROUP BY conv_id
 """
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP1_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE k / (x.n + y.n - k) >= 0.8),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT a AS doc_id, min(b) AS class_id, min(b) = a AS kept FROM reach GROUP BY a
+"""
+
+_OP2_SQL = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, unnest(list_transform(range(1, greatest(2, len(w) - 11)), lambda i: array_to_string(w[i:i + 12], ' '))) AS s FROM b WHERE len(w) > 0),
+dw AS (SELECT doc_id, n, unnest(range(1, greatest(1, len(w) - n + 2))) AS pos, w FROM d, (SELECT DISTINCT n FROM iw)),
+hit AS (SELECT doc_id, pos, iw.n, item_id FROM dw JOIN iw ON dw.n = iw.n AND array_to_string(w[pos:pos + dw.n - 1], ' ') = iw.s),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
 QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_tokens": op5_tokens, "op6_lines": op6_lines, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_chat": op10_chat}
-ORACLE_SQL: dict[str, str] = {"op7_embeddings": _OP7_SQL, "op10_chat": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": _OP1_SQL, "op2_decontaminate": _OP2_SQL, "op7_embeddings": _OP7_SQL, "op10_chat": _OP10_SQL}
