@@ -99,9 +99,10 @@ class Chain:
         for _ in range(rounds):
             chance, pair, _ = self.marginals(self.scores(ids), start, length)
             off = wanted - chance
-            slope = np.empty_like(self.emission)
-            for s in range(states):
-                slope[:, s] = np.bincount(ids.ravel(), weights=np.repeat(off[:, s], ids.shape[1]), minlength=len(slope))
+            slope = np.zeros_like(self.emission)
+            for k in range(ids.shape[1]):
+                for s in range(states):
+                    slope[:, s] += np.bincount(ids[:, k], weights=off[:, s], minlength=len(slope))
             slopes = [slope / n - decay * self.emission, (seen - pair) / n, off[first].sum(axis=0) / n]
             for w, s, g in zip((self.emission, self.transition, self.opening), sums, slopes):
                 s += g * g

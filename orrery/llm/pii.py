@@ -29,7 +29,7 @@ from orrery.llm.textblocks import Hashes, blocks, mix64
 KINDS = ("email", "ip", "card", "phone")
 BUCKETS = 1 << 16
 SAMPLE, SAMPLE_BYTES = 4000, 24 << 20
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]*@[A-Za-z0-9._%+@-]*")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Bounds of a fitting sample: labelled rows of each class, and bytes of text altogether.
 ROWS_PER_CLASS = 6000
-TEXT_BYTES = 20 << 20
+TEXT_BYTES = 10 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -40,5 +40,6 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int = ROWS_P
             break
         chosen.append((row.doc_id, row.y))
     ids = docs.sparkSession.createDataFrame(sorted(set(chosen)), "doc_id bigint, y int")
-    table = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").toArrow()
-    return table.sort_by("doc_id").select(["text", "y"])
+    table = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").toArrow().sort_by("doc_id").select(["text", "y"])
+    pa.default_memory_pool().release_unused()
+    return table

@@ -29,7 +29,10 @@ from orrery.llm.textblocks import Hashes, blocks, mix64
 BUCKETS = 1 << 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
 LEAST_RATIO = 20.0
-BLOCK = 2 << 20
+#: One in so many sequences without marked words takes part in the fit.
+SHARE = 8
+FIT_BLOCK = 1 << 18
+BLOCK = 1 << 20
 
 _BREAK = np.zeros(256, dtype=bool)
 _BREAK[[10, 13, 33, 46, 63]] = True
@@ -67,7 +70,7 @@ class Tagger:
             return self
         marks = self._marks(table, y)
         parts = []
-        for block in blocks(table.column("text"), BLOCK):
+        for block in blocks(table.column("text"), FIT_BLOCK):
             words = block.words()
             if not len(words):
                 continue
@@ -77,34 +80,33 @@ class Tagger:
             first = _breaks(words)
             number = np.cumsum(first) - 1
             seat = np.flatnonzero(first)
-            keep = np.maximum.reduceat(toxic, seat) | (features[seat, 0] % np.uint64(8) == 0)
+            keep = np.maximum.reduceat(toxic, seat) | (features[seat, 0] % np.uint64(SHARE) == 0)
             keep = keep[number]
             parts.append(((features[keep] % np.uint64(BUCKETS)).astype(np.int32), toxic[keep].astype(np.int64), first[keep]))
         if not any(len(p[0]) for p in parts):
             return self
         ids, state, first = (np.concatenate(x) for x in zip(*parts))
         self.chain = Chain(BUCKETS, 2).fit(ids, state, *sequences(first))
-        x = np.concatenate([self._evidence(block)[0] for block in blocks(table.column("text"), BLOCK)])
+        x = np.concatenate([self._evidence(block)[0] for block in blocks(table.column("text"), FIT_BLOCK)])
         self.blend = _logistic(x, y)
         return self
 
     def _marks(self, table: pa.Table, y: np.ndarray) -> np.ndarray:
         """Feature hashes that tell toxic documents, by the likelihood ratio of their document counts."""
-        seen: dict[int, list] = {0: [], 1: []}
-        for block in blocks(table.column("text"), BLOCK):
+        seen = {kind: (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for kind in (0, 1)}
+        for block in blocks(table.column("text"), FIT_BLOCK):
             words = block.words()
             features = _features(words)[:, :5]
             for kind in (0, 1):
                 at = y[block.lo : block.hi][words.row] == kind
-                row = np.repeat(words.row[at], features.shape[1]).astype(np.uint64)
+                row = np.repeat(words.row[at], features.shape[1])
                 flat = features[at].ravel()
                 order = np.lexsort((flat, row))
                 flat, row = flat[order], row[order]
                 new = np.ones(len(flat), dtype=bool)
                 new[1:] = (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])
-                seen[kind].append(flat[new])
-        toxic, a = np.unique(np.concatenate(seen[1]), return_counts=True)
-        clean, b0 = np.unique(np.concatenate(seen[0]), return_counts=True)
+                seen[kind] = _added(*seen[kind], flat[new])
+        (clean, b0), (toxic, a) = seen[0], seen[1]
         slot = np.minimum(np.searchsorted(clean, toxic), max(0, len(clean) - 1))
         b = np.where(clean[slot] == toxic, b0[slot], 0) if len(clean) else np.zeros_like(a)
         n1, n0 = (y == 1).sum(), (y == 0).sum()
@@ -133,6 +135,17 @@ class Tagger:
         return 1 / (1 + np.exp(-(x @ self.blend[1:] + self.blend[0]))), words, chance
 
 
+def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts, with the occurrences of more."""
+    keys, counts = np.concatenate([keys, more]), np.concatenate([counts, np.ones(len(more), np.int64)])
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[order], first)
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights (constant first) by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
