@@ -31,12 +31,38 @@ def _host(url: Column) -> Column:
     return F.regexp_extract(url, r"\A[a-z]+://([^/:?#]+)", 1)
 
 
+def _segment(url: Column, k: int) -> Column:
+    """The k-th path segment of an absolute URL, null where there is none."""
+    path = F.regexp_extract(url, r"\A(?i:[a-z]+)://[^/]+/([^?#]*)", 1)
+    return F.nullif(F.split_part(path, F.lit("/"), F.lit(k)), F.lit(""))
+
+
+def _named(pairs: dict[str, str]) -> Callable[[Column], Column]:
+    """A closed table; an unlisted spelling becomes null."""
+
+    def look(v: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for name, value in pairs.items():
+            out = out.when(v == name, value)
+        return out
+
+    return look
+
+
+# Closed tables of spellings.
+TRUFFLEHOG_KINDS = {"AWS": "api_key", "AWSSessionKey": "session_token", "PrivateKey": "private_key", "Twilio": "api_key"}
+GITLEAKS_KINDS = {"aws-access-token": "api_key", "generic-api-key": "api_key", "private-key": "private_key"}
+RIR_SERVERS = {"whois.arin.net": "arin", "whois.ripe.net": "ripe", "whois.apnic.net": "apnic", "whois.lacnic.net": "lacnic", "whois.afrinic.net": "afrinic"}
+REGISTRATION_ROLES = {"registrant": "registrant", "administrative": "admin", "technical": "tech", "billing": "billing"}
+KEY_ALGORITHMS = ("ssh-rsa", "ssh-dss", "ssh-ed25519", "ecdsa-sha2-nistp256", "ecdsa-sha2-nistp384", "ecdsa-sha2-nistp521", "sk-ssh-ed25519@openssh.com", "sk-ecdsa-sha2-nistp256@openssh.com")
+PUBLIC_PARTS = {"AWS": r"(?:AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16}", "AWSSessionKey": r"(?:AKIA|ABIA|ACCA|ASIA)[A-Z0-9]{16}", "Twilio": r"AC[0-9a-f]{32}"}
+
 for _name, _function in {
     "lower": F.lower,
     "upper": F.upper,
     "strip_trailing_dot": lambda v: F.regexp_replace(v, r"\.+\z", ""),
     "hex_prefix16": lambda v: F.substring(v, 1, 16),
-    "detector_token": lambda v: F.regexp_replace(F.lower(v), r"[^a-z0-9._+-]+", "-"),
+    "detector_token": lambda v: F.regexp_replace(F.regexp_replace(F.lower(v), r"[^a-z0-9._+]+", "-"), r"\A[-.]+|[-.]+\z", ""),
     "wappalyzer_name_slug": lambda v: F.regexp_replace(F.regexp_replace(F.lower(F.split_part(v, F.lit(":"), F.lit(1))), r"[^a-z0-9._+-]+", "-"), r"\A-+|-+\z", ""),
     "wappalyzer_version": lambda v: F.nullif(F.when(v.contains(":"), F.substring_index(v, ":", -1)), F.lit("")),
     "media_type_essence": lambda v: F.lower(F.trim(F.split_part(v, F.lit(";"), F.lit(1)))),
@@ -47,8 +73,8 @@ for _name, _function in {
     "url_without_query": lambda v: F.split_part(v, F.lit("?"), F.lit(1)),
     "url_host": _host,
     "url_with_path": lambda v: F.when(v.rlike(r"\A[a-z]+://[^/]+\z"), F.concat(v, F.lit("/"))).otherwise(v),
-    "repo_url_owner": lambda v: F.lower(F.nullif(F.regexp_extract(v, r"\Ahttps?://[^/]+/(.+)/[^/]+\z", 1), F.lit(""))),
-    "repo_url_name": lambda v: F.lower(F.regexp_replace(F.substring_index(v, "/", -1), r"\.git\z", "")),
+    "repo_url_owner": lambda v: F.lower(_segment(v, 1)),
+    "repo_url_name": lambda v: F.lower(F.regexp_replace(_segment(v, 2), r"\.git\z", "")),
     "int_value": lambda v: v.try_cast("bigint"),
     "float_value": lambda v: v.try_cast("double"),
     "asn_number": lambda v: F.regexp_replace(v, r"\A[Aa][Ss]", "").try_cast("bigint"),
@@ -66,9 +92,9 @@ for _name, _function in {
     ),
     "cpe_product_level": lambda v: F.concat(F.substring_index(v, ":", 5), F.lit(":*:*:*:*:*:*:*:*")),
     "sorted_set": lambda v: F.array_sort(F.array_distinct(v)),
-    "scheme_service": lambda v: F.when(v.isin("http", "https"), v),
+    "scheme_service": lambda v: F.when(v.isin("http", "https"), "http"),
     "scheme_secure": lambda v: F.when(v == "https", F.lit(True)).when(v == "http", F.lit(False)),
-    "whois_dnssec_bool": lambda v: F.when(F.lower(v).startswith("signed"), F.lit(True)).when(F.lower(v) == "unsigned", F.lit(False)),
+    "whois_dnssec_bool": lambda v: F.when(v == "signedDelegation", F.lit(True)).when(v == "unsigned", F.lit(False)),
     "whois_phone_e164": lambda v: F.when(F.regexp_replace(v, r"[^0-9]", "").rlike(r"\A[1-9][0-9]{1,14}\z"), F.concat(F.lit("+"), F.regexp_replace(v, r"[^0-9]", ""))),
     "public_suffix_of": lambda v: F.nullif(F.regexp_extract(v, r"\A[^.]+\.(.+)\z", 1), F.lit("")),
     "rr_mx_preference": lambda v: F.nullif(F.regexp_extract(v, r"\A([0-9]+) ", 1), F.lit("")).try_cast("int"),
@@ -83,8 +109,29 @@ for _name, _function in {
     "pypi_name_to_purl": lambda v: F.concat(F.lit("pkg:pypi/"), F.regexp_replace(F.lower(v), r"[-_.]+", "-")),
     "openid_tenant_id": lambda v: F.nullif(F.regexp_extract(v, r"([0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})", 1), F.lit("")),
     "arn_account": lambda v: F.nullif(F.split_part(v, F.lit(":"), F.lit(5)), F.lit("")),
+    "whois_status_to_epp": lambda v: F.split_part(F.trim(v), F.lit(" "), F.lit(1)),
+    "dast_location": _named({k: k for k in ("query", "body", "header", "cookie", "path")}),
+    "cdncheck_protection_kind": _named({"cdn": "cdn", "waf": "waf"}),
+    "nmap_tunnel_secure": lambda v: F.when(v == "ssl", F.lit(True)),
+    "ssh_host_key_algorithm": lambda v: F.when(v.isin(*KEY_ALGORITHMS), v),
+    "nmap_ssh_hostkey_sha256": lambda v: F.when(F.size(F.regexp_extract_all(v, F.lit(r"(SHA256:[A-Za-z0-9+/]+)"), F.lit(1))) == 1, F.get(F.regexp_extract_all(v, F.lit(r"(SHA256:[A-Za-z0-9+/]+)"), F.lit(1)), F.lit(0))),
+    "rir_from_whois_server": lambda v: _named(RIR_SERVERS)(F.lower(F.regexp_replace(v, r"\.+\z", ""))),
+    "rdap_registration_role": _named(REGISTRATION_ROLES),
+    "rdap_abuse_role": lambda v: F.when(v == "abuse", v),
+    "trufflehog_secret_kind": _named(TRUFFLEHOG_KINDS),
+    "gitleaks_secret_kind": _named(GITLEAKS_KINDS),
+    "go_time_string_utc": lambda v: TRANSFORMS["rfc3339_utc"](F.regexp_replace(v, r"\A(\S+) (\S+?)(\.[0-9]{1,6})?[0-9]* ([+-][0-9]{2})([0-9]{2}).*\z", "$1T$2$3$4:$5")),
+    "bbot_rule": lambda v: F.concat(F.lit("bbot:"), v),
+    "bbot_nuclei_template": lambda v: F.concat(F.lit("nuclei:"), F.nullif(F.regexp_extract(v, r"template: \[([^\]]+)\]", 1), F.lit(""))),
+    "bbot_nuclei_template_id": lambda v: F.nullif(F.regexp_extract(v, r"template: \[([^\]]+)\]", 1), F.lit("")),
+    "bbot_nuclei_matcher": lambda v: F.regexp_extract(v, r"name: \[([^\]]*)\]", 1),
+    "bbot_without_extracted_data": lambda v: F.regexp_replace(v, r"(?s) Extracted Data: \[.*\]\z", ""),
+    "bbot_trufflehog_detector": lambda v: F.concat(F.lit("trufflehog:"), F.lower(F.trim(F.regexp_replace(v, r"\ATruffleHog - ", "")))),
+    "bbot_dns_name": lambda v: F.regexp_replace(F.lower(F.regexp_replace(v, r"\.+\z", "")), r"\A_wildcard\.", ""),
+    "leakcheck_breach_token": lambda v: F.concat(F.lit("leakcheck:"), F.regexp_replace(F.regexp_replace(F.lower(v), r"[^a-z0-9._/-]+", "-"), r"\A-+|-+\z", "")),
+    "pypi_email_address": lambda v: F.nullif(F.lower(F.regexp_extract(v, r"\A[^,]*?([^\s<>,]+@[^\s<>,]+)>?\s*\z", 1)), F.lit("")),
     "nuclei_rule": lambda v: F.concat(F.lit("nuclei:"), v),
-    "rdap_status_to_epp": lambda v: F.when(v == "active", "ok").otherwise(F.concat(F.lower(F.substring(v, 1, 1)), F.substring(F.replace(F.initcap(v), F.lit(" "), F.lit("")), 2, 100))),
+    "rdap_status_to_epp": lambda v: F.when(v == "active", "ok").when(v == "associated", "linked").otherwise(F.concat(F.split_part(v, F.lit(" "), F.lit(1)), F.replace(F.initcap(F.substring(v, F.length(F.split_part(v, F.lit(" "), F.lit(1))) + 1, F.length(v))), F.lit(" "), F.lit("")))),
 }.items():
     TRANSFORMS[_name] = _function
 
@@ -97,3 +144,48 @@ CONDITIONS.update(
         "host_is_name": lambda v: ~grammar.is_ipv4(v),
     }
 )
+
+
+def nuclei_matcher(matcher: Column, extractor: Column) -> Column:
+    """The matcher's name, else the extractor's, else empty."""
+    return F.coalesce(F.nullif(matcher, F.lit("")), F.nullif(extractor, F.lit("")), F.lit(""))
+
+
+def sni_matcher(matcher: Column, host: Column) -> Column:
+    """<host>:<matcher> on a named host, the bare matcher on an address."""
+    name = F.lower(F.regexp_replace(host, r"\.+\z", ""))
+    return F.when(grammar.is_ipv4(name) | name.contains(":"), F.coalesce(matcher, F.lit(""))).otherwise(F.concat(name, F.lit(":"), F.coalesce(matcher, F.lit(""))))
+
+
+def trufflehog_secret_part(detector: Column, raw: Column, raw_v2: Column) -> Column:
+    """The secret half of a credential, never a public key id."""
+    return F.when(detector.isin("AWS", "AWSSessionKey"), F.split_part(raw_v2, F.lit(":"), F.lit(2))).when(detector == "Twilio", F.substring(raw_v2, F.length(raw) + 1, F.length(raw_v2))).otherwise(raw)
+
+
+def trufflehog_public_part(detector: Column, raw: Column) -> Column:
+    """The public half of a two-part credential, null where it is not spelled as one."""
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, pattern in PUBLIC_PARTS.items():
+        out = out.when((detector == name) & grammar.whole(raw, pattern), raw)
+    return out
+
+
+def located(file: Column, line: Column) -> Column:
+    """<file>:<line>, as secret scanners' results are located."""
+    return F.concat_ws(":", file, line.cast("string"))
+
+
+def wildcard_answer(name: Column, tags: Column) -> Column:
+    """Of a real name: true where tagged wildcard, false where wildcard-possible, else null."""
+    return F.when(F.lower(name).startswith("_wildcard."), F.lit(None).cast("boolean")).when(F.array_contains(tags, "wildcard"), F.lit(True)).when(F.array_contains(tags, "wildcard-possible"), F.lit(False))
+
+
+def status_tag(tags: Column) -> Column:
+    """The HTTP status in a status-<code> tag."""
+    return F.get(F.filter(tags, lambda t: t.rlike(r"\Astatus-[1-5][0-9]{2}\z")), F.lit(0)).substr(8, 3).cast("int")
+
+
+def preferred_cvss(value: Column, metrics: Column) -> Column:
+    """value where the preferred metric carries it: metrics is an array of (type, score, vector), newest family first; the first Primary, else the first."""
+    chosen = F.coalesce(F.get(F.filter(metrics, lambda m: m["type"] == "Primary"), F.lit(0)), F.get(metrics, F.lit(0)))
+    return F.when((value == F.round(chosen["score"], 1).cast("string")) | (value == chosen["vector"]), value)

@@ -245,7 +245,7 @@ def a15(spark, sf_dir):
     return reports.sizes({"customer": (table(spark, sf_dir, "customer"), ["c_name"]), "part": (table(spark, sf_dir, "part"), ["p_name"])})
 
 
-@query("T1_T4_string_transforms", "SELECT p_partkey, lower(p_name) AS lower, upper(p_name) AS upper, regexp_replace(lower(p_name), '[^a-z0-9._+-]+', '-', 'g') AS detector_token, substr(sha256(p_name), 1, 16) AS digest16, sha256(p_name) AS sha256_hex FROM part")
+@query("T1_T4_string_transforms", "SELECT p_partkey, lower(p_name) AS lower, upper(p_name) AS upper, trim(regexp_replace(lower(p_name), '[^a-z0-9._+]+', '-', 'g'), '-.') AS detector_token, substr(sha256(p_name), 1, 16) AS digest16, sha256(p_name) AS sha256_hex FROM part")
 def t1(spark, sf_dir):
     names = ("lower", "upper", "detector_token", "digest16", "sha256_hex")
     return table(spark, sf_dir, "part").select("p_partkey", *[transforms.apply_chain(F.col("p_name"), [n]).alias(n) for n in names])

@@ -69,7 +69,7 @@ def v19(spark, sf_dir):
     "T2_url_transforms",
     r"""SELECT page_id, split_part(url, '?', 1) AS url_without_query, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS url_host,
         CASE WHEN regexp_full_match(url, '[a-z]+://[^/]+') THEN url || '/' ELSE url END AS url_with_path,
-        lower(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '\.git$', '')) AS repo_url_name FROM pages""",
+        nullif(lower(regexp_replace(split_part(regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1), '/', 2), '\.git$', '')), '') AS repo_url_name FROM pages""",
 )
 def t2(spark, sf_dir):
     names = ("url_without_query", "url_host", "url_with_path", "repo_url_name")

@@ -328,3 +328,59 @@ def f6(spark, sf_dir):
 def f10(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     return lines.where(F.col("line").contains("the")).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.instr("line", "the").cast("long").alias("place"))
+
+
+@query(
+    "T7_T9_closed_tables",
+    """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'api_key' WHEN 1 THEN 'private_key' END AS kind, CASE WHEN s_suppkey % 2 = 0 THEN 'arin' END AS rir, CASE s_suppkey % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'tech' END AS role,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'secret' || s_suppkey ELSE 'AKIA' END AS secret, 'src/app.py:' || s_suppkey AS location, CASE WHEN s_suppkey % 2 = 0 THEN 'a.example:m' ELSE 'm' END AS matcher FROM supplier""",
+)
+def t7(spark, sf_dir):
+    k = _text("s_suppkey")
+    detector = _pick("s_suppkey", "AWS", "PrivateKey", "Other")
+    go = lambda v, n: transforms.apply_chain(v, [n])
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        go(detector, "trufflehog_secret_kind").alias("kind"),
+        go(_pick("s_suppkey", "whois.ARIN.net.", "whois.example"), "rir_from_whois_server").alias("rir"),
+        go(_pick("s_suppkey", "administrative", "technical", "sponsor"), "rdap_registration_role").alias("role"),
+        transforms.trufflehog_secret_part(detector, F.lit("AKIA"), F.concat(F.lit("AKIA:secret"), k)).alias("secret"),
+        transforms.located(F.lit("src/app.py"), F.col("s_suppkey")).alias("location"),
+        transforms.sni_matcher(F.lit("m"), _pick("s_suppkey", "A.example.", "192.0.2.1")).alias("matcher"),
+    )
+
+
+@query(
+    "T8_T13_lifted_values",
+    """SELECT p_partkey, 'nuclei:t-' || p_partkey AS template, 'trufflehog:aws' AS detector, 'leakcheck:big-breach-' || p_partkey AS breach, 'user' || p_partkey || '@example.com' AS email,
+    '2024-01-02T01:04:05.5Z' AS go_time, CASE WHEN p_partkey % 2 = 0 THEN 'SHA256:abc' END AS fingerprint, 400 + p_partkey % 50 AS status, CASE WHEN p_partkey % 2 = 0 THEN '9.8' END AS score FROM part""",
+)
+def t8(spark, sf_dir):
+    k = _text("p_partkey")
+    go = lambda v, n: transforms.apply_chain(v, [n])
+    metrics = F.array(F.struct(F.lit("Secondary").alias("type"), F.lit(7.1).alias("score"), F.lit("v1").alias("vector")), F.struct(F.lit("Primary").alias("type"), F.lit(9.8).alias("score"), F.lit("v2").alias("vector")))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        go(F.concat(F.lit("template: [t-"), k, F.lit("] name: [x]")), "bbot_nuclei_template").alias("template"),
+        go(F.lit("TruffleHog - AWS"), "bbot_trufflehog_detector").alias("detector"),
+        go(F.concat(F.lit("Big Breach! "), k), "leakcheck_breach_token").alias("breach"),
+        go(F.concat(F.lit("Name <User"), k, F.lit("@Example.com>")), "pypi_email_address").alias("email"),
+        go(F.lit("2024-01-02 03:04:05.500000000 +0200 CEST m=+1"), "go_time_string_utc").alias("go_time"),
+        go(_pick("p_partkey", "2048 SHA256:abc x", "SHA256:a SHA256:b"), "nmap_ssh_hostkey_sha256").alias("fingerprint"),
+        transforms.status_tag(F.array(F.lit("in-scope"), F.concat(F.lit("status-"), (F.col("p_partkey") % 50 + 400).cast("string")))).cast("long").alias("status"),
+        transforms.preferred_cvss(_pick("p_partkey", "9.8", "7.1"), metrics).alias("score"),
+    )
+
+
+@query(
+    "V17_J12_ipv6_and_networks",
+    """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 6 ELSE 0 END AS version, 6 AS network, c_custkey % 3 = 0 AS inside, true AS subnet, c_custkey % 2 = 0 AS idna FROM customer""",
+)
+def v17b(spark, sf_dir):
+    from orrery.functions import addresses
+
+    tail = F.lower(F.hex(F.col("c_custkey") + 1))
+    ip = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("2001:db8::"), tail)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("2001:DB8::"), tail)).otherwise(F.concat(F.lit("2001:db8:0::"), tail))
+    net = F.lit("2001:db8::/32")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip"), net.alias("net"), F.lit("2001:db8:1::/48").alias("inner"), _pick("c_custkey", "xn--mnchen-3ya", "xn--a").alias("label"))
+    return rows.select("c_custkey", addresses.ip_version("ip").alias("version"), addresses.cidr_version("net").alias("network"), addresses.contains_ip("net", "ip").alias("inside"), addresses.proper_subnet("net", "inner").alias("subnet"), addresses.idna_round_trip("label").alias("idna"))
