@@ -6,6 +6,7 @@ import ipaddress
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _address(text: str | None):
@@ -30,31 +31,31 @@ def _network(text: str | None):
     return found if found.with_prefixlen == text else None
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def ip_version(values: pd.Series) -> pd.Series:
     """4 or 6 of a canonical address, 0 of anything else."""
     return pd.Series([a.version if (a := _address(v)) else 0 for v in values], dtype="int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def cidr_version(values: pd.Series) -> pd.Series:
     """4 or 6 of a canonical network, 0 of anything else."""
     return pd.Series([n.version if (n := _network(v)) else 0 for v in values], dtype="int32")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def contains_ip(networks: pd.Series, addresses: pd.Series) -> pd.Series:
     pairs = [(_network(n), _address(a)) for n, a in zip(networks, addresses)]
     return pd.Series([n is not None and a is not None and n.version == a.version and a in n for n, a in pairs])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def proper_subnet(outer: pd.Series, inner: pd.Series) -> pd.Series:
     pairs = [(_network(o), _network(i)) for o, i in zip(outer, inner)]
     return pd.Series([o is not None and i is not None and o.version == i.version and o != i and i.subnet_of(o) for o, i in pairs])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def idna_round_trip(labels: pd.Series) -> pd.Series:
     """Whether an xn-- label decodes and encodes to itself; other labels pass."""
 
