@@ -3,7 +3,7 @@
 Labels mark documents, the field needs marked words.  A word's features are its hash and the
 hashes of its first three to six and last three and four bytes.  A feature that occurs in labelled toxic documents
 far more often than in the others (a likelihood-ratio test) marks the words of toxic documents
-that carry it; all other words are clean.  On these labelled tokens the field is fitted.
+that carry it; all other words are clean.  Copies of a document count once.  On these labelled tokens the field is fitted.
 Forward-backward gives each word of a text its probability; a document's score is a
 logistic function of its highest word probability and of the expected number of toxic words, fitted
 on the labelled documents; offsets list the words above one half.
@@ -63,9 +63,14 @@ class Tagger:
     def __init__(self):
         self.chain, self.blend, self.share = None, None, 0.0
 
-    def fit(self, table: pa.Table) -> Tagger:
+    def fit(self, table: pa.Table, share: float | None = None) -> Tagger:
+        """table: text, y (0 or 1); share: that of class 1 among all documents, where the table has another."""
+        y = table.column("y").to_numpy()
+        self.share = share if share is not None else float(y.mean()) if len(y) else 0.0
+        if len(np.unique(y)) < 2:
+            return self
+        table = table.filter(pa.array(_unlike(table)))
         y = table.column("y").to_numpy()
-        self.share = float(y.mean()) if len(y) else 0.0
         if len(np.unique(y)) < 2:
             return self
         marks = self._marks(table, y)
@@ -88,7 +93,8 @@ class Tagger:
         ids, state, first = (np.concatenate(x) for x in zip(*parts))
         self.chain = Chain(BUCKETS, 2).fit(ids, state, *sequences(first))
         x = np.concatenate([self._evidence(block)[0] for block in blocks(table.column("text"), FIT_BLOCK)])
-        self.blend = _logistic(x, y)
+        weight = np.where(y == 1, self.share / y.mean(), (1 - self.share) / (1 - y.mean()))
+        self.blend = _logistic(x, y, weight)
         return self
 
     def _marks(self, table: pa.Table, y: np.ndarray) -> np.ndarray:
@@ -146,14 +152,30 @@ def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.n
     return keys[first], np.add.reduceat(counts[order], first)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _unlike(table: pa.Table, slots: int = 3) -> np.ndarray:
+    """Rows that share none of a few min-hashes of word shingles with a row before them: copies do not vote again and again."""
+    seen: set[tuple[int, int]] = set()
+    keep = []
+    for block in blocks(table.column("text"), FIT_BLOCK):
+        words = block.words()
+        grams, row = words.grams(words.hashes(), 5)
+        edge = np.searchsorted(row, np.arange(block.rows))
+        least = [np.minimum.reduceat(mix64(grams + np.uint64(k + 1)), np.minimum(edge, max(0, len(grams) - 1))) if len(grams) else np.zeros(block.rows, np.uint64) for k in range(slots)]
+        for r in range(block.rows):
+            own = {(k, int(least[k][r])) for k in range(slots)} if words.count[r] else set()
+            keep.append(bool(words.count[r]) and not own & seen)
+            seen |= own
+    return np.array(keep, dtype=bool)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Weights (constant first) by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
     return w
 
 
@@ -173,7 +195,9 @@ def _score(batches, model):
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, offsets (code points of toxic words, end exclusive)."""
-    model = docs.sparkSession.sparkContext.broadcast(Tagger().fit(labelled(docs, labels, "toxic")))
+    table = labelled(docs, labels, "toxic")
+    share = labels.where(F.col("doc_id").isNotNull() & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    model = docs.sparkSession.sparkContext.broadcast(Tagger().fit(table, share))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = texts.mapInArrow(lambda b: _score(b, model), "doc_id bigint, score double, offsets array<struct<start:bigint,end:bigint>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "offsets")
