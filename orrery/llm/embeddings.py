@@ -69,7 +69,7 @@ def _bands(bits: np.ndarray, width: int, bands: int) -> np.ndarray:
     return bits[:, : width * bands].reshape(len(bits), bands, width) @ powers
 
 
-def _encode(batches, width: int, bands: int):
+def _encode(batches, width: int, bands: int, single: bool):
     for batch in batches:
         ids, label, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
         size = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
@@ -92,15 +92,15 @@ def _encode(batches, width: int, bands: int):
             key = mix64(key + mix64(label[at].astype(np.int64).view(np.uint64) * np.uint64(4096) + np.uint64(dim))[:, None])
             listed = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), t))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at]), listed(own, pa.float64()), pa.array(np.packbits(signs, axis=1).tolist(), pa.list_(pa.uint8())).cast(pa.list_(pa.int16())), pa.array(factor), listed(key.view(np.int64), pa.int64())],
+                [pa.array(ids[at]), listed(own.astype(np.float32), pa.float32()) if single else listed(own, pa.float64()), pa.array([c.tobytes() for c in np.packbits(signs, axis=1)], pa.binary()), pa.array(factor), listed(key.view(np.int64), pa.int64())],
                 ["vec_id", "vector", "code", "factor", "buckets"],
             )
 
 
-def _square(column: pa.ChunkedArray) -> list[np.ndarray]:
-    """The lists of one column as matrices, one for each length, with the rows of each."""
+def _square(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column in double precision, and the length of each list."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    return lists.flatten().to_numpy().astype(np.float64), np.diff(lists.offsets.to_numpy())
 
 
 def _linked(width: int, bands: int, cosine: float):
@@ -108,13 +108,13 @@ def _linked(width: int, bands: int, cosine: float):
         band = table.column("band").to_numpy()
         factor = table.column("factor").to_numpy()
         values, sizes = _square(table.column("vector"))
-        coded, code_sizes = _square(table.column("code"))
-        start, code_start = np.append(0, np.cumsum(sizes)), np.append(0, np.cumsum(code_sizes))
+        codes = table.column("code").to_pylist()
+        start = np.append(0, np.cumsum(sizes))
         made = {}
         for dim in np.unique(sizes):
             at = np.flatnonzero(sizes == dim)
             unit = _unit(values[start[at][:, None] + np.arange(dim)])
-            bits = np.unpackbits(coded[code_start[at][:, None] + np.arange(code_sizes[at[0]])].astype(np.uint8), axis=1)
+            bits = np.unpackbits(np.frombuffer(b"".join(codes[k] for k in at), np.uint8).reshape(len(at), -1), axis=1)
             slot = np.zeros(len(sizes), dtype=np.int64)
             slot[at] = np.arange(len(at))
             made[int(dim)] = slot, unit, unit @ rotation(int(dim), width * bands)[:, :dim], bits[:, :dim].astype(np.float64) * 2 - 1, _bands(bits.astype(np.int64), width, bands)
@@ -141,12 +141,14 @@ def _linked(width: int, bands: int, cosine: float):
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS, block: int = 512) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind = "float" if single else "double"  # single precision travels as it is; all arithmetic is double
+    named = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     one = named.where("vec_id is not null").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
     labelled = one.where("label is not null and embedding is not null")
     most = labelled.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     width, bands = plan(most, cosine, miss)
-    coded = cut(labelled.select("vec_id", "label", "embedding").mapInArrow(lambda x: _encode(x, width, bands), "vec_id bigint, vector array<double>, code array<smallint>, factor double, buckets array<bigint>"))
+    coded = cut(labelled.select("vec_id", "label", "embedding").mapInArrow(lambda x: _encode(x, width, bands, single), f"vec_id bigint, vector array<{kind}>, code binary, factor double, buckets array<bigint>"))
     rows = coded.select("vec_id", "vector", "code", "factor", F.posexplode("buckets").alias("band", "bucket"))
     found = cut(compare(rows, "bucket", "vec_id", _linked(width, bands, cosine), block))
     links = found.groupBy("id").agg(F.sum("n").alias("n_links"))
