@@ -1,12 +1,15 @@
 """Near-duplicate documents by ProbMinHash signatures, banding and exact verification.
 
-Signatures.  A document is the set of its five-word shingles, each weighted 1 + ln(times).
+Signatures.  A document is the set of its distinct five-word shingles, all of weight 1: links are
+decided by the Jaccard similarity of these sets, and only equal weights make the signatures estimate it
+(a line repeated twenty times would otherwise weigh as much as four).
 A shingle of weight w sends Poisson arrivals of rate w; the points come from a hash of the
 shingle, so equal shingles send equal points in every document.  Each arrival falls into
 one of `components` slots, and a slot keeps the shingle that arrived first.  A shingle stops
 as soon as its next arrival is later than the latest slot of its document, so long
 documents need little more than one arrival for each shingle.  The share of equal slots
-estimates the probability Jaccard similarity, which equals Jaccard for equal weights.
+estimates the probability Jaccard similarity, which equals Jaccard for equal weights.  prob_min_hash()
+itself takes any weights.
 
 Candidates.  `rows` slots make a band; documents that agree in any of `bands` bands meet.
 At Jaccard 0.8 a pair is missed with probability (1 - 0.8**4)**24 = 3e-6.  A bucket is not
@@ -50,16 +53,15 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SLOT = np.uint64(0xA0761D6478BD642F)
 
 
-def shingle_counts(block, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles of each row: (row, hash, times), sorted by row."""
+def distinct_shingles(block, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each row: (row, hash), sorted by row."""
     words = block.words()
     grams, row = words.grams(words.hashes(), n)
     order = np.lexsort((grams, row))
     grams, row = grams[order], row[order]
     new = np.ones(len(grams), dtype=bool)
     new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(new)
-    return row[at], grams[at], np.diff(np.append(at, len(grams)))
+    return row[new], grams[new]
 
 
 def prob_min_hash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, components: int) -> np.ndarray:
@@ -89,8 +91,8 @@ def prob_min_hash(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows
 def _signatures(batches, bands: int, rows: int):
     for batch in batches:
         for block in blocks(batch.column(1)):
-            row, element, times = shingle_counts(block)
-            sig = prob_min_hash(row, element, 1 + np.log(times), block.rows, bands * rows)
+            row, element = distinct_shingles(block)
+            sig = prob_min_hash(row, element, np.ones(len(element)), block.rows, bands * rows)
             has = np.bincount(row, minlength=block.rows) > 0
             key = batch.column(0).slice(block.lo, block.rows).filter(pa.array(has))
             sig = sig[has]
@@ -128,7 +130,7 @@ def jaccard(left: pa.Array, right: pa.Array, n: int = SHINGLE) -> np.ndarray:
     for texts in (left, right):
         parts = []
         for block in blocks(texts):
-            row, element, _ = shingle_counts(block, n)
+            row, element = distinct_shingles(block, n)
             parts.append((row + block.lo, element))
         sets.append([np.concatenate(x) for x in zip(*parts)])
     (ra, ea), (rb, eb) = sets
@@ -174,7 +176,7 @@ def _bridging(similarity: float):
         slots = table.column("slots").combine_chunks().flatten().to_numpy().reshape(-1, MEETING_SLOTS)
         signature = _slots(table.column("signature").combine_chunks())
         texts = table.column("text").combine_chunks()
-        parts = [(row + block.lo, element) for block in blocks(texts) for row, element, _ in [shingle_counts(block)]]
+        parts = [(row + block.lo, element) for block in blocks(texts) for row, element in [distinct_shingles(block)]]
         row, element = (np.concatenate(x) for x in zip(*parts))
         edge = np.searchsorted(row, np.arange(len(label) + 1))
         size = np.diff(edge)

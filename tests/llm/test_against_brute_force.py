@@ -40,6 +40,21 @@ def test_near_duplicates_are_components_of_similar_pairs(spark, families):
     assert got == wanted and len(set(wanted.values())) > 60
 
 
+def test_repeated_own_lines_hide_no_pair(spark):
+    rng, rows = random.Random(8), []
+    for _ in range(60):
+        base = " ".join(f"w{rng.randrange(100000)}" for _ in range(140))
+        for _ in range(2):
+            own = " ".join(f"w{rng.randrange(100000)}" for _ in range(10))
+            rows.append("\n".join([own] * 20 + [base]))
+    rows = list(enumerate(rows))
+    sets = {i: shingles(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    assert len(pairs) == 60
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == union_find(pairs, sets)
+
+
 def test_prob_min_hash_estimates_similarity():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 62, 300).astype(np.uint64)
