@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.crf import Chain, sequences
+from orrery.llm.samples import fitting
 from orrery.llm.textblocks import Hashes, blocks, mix64
 
 KINDS = ("email", "ip", "card", "phone")
@@ -176,16 +177,10 @@ _SPANS = "array<struct<kind:string,start:bigint,end:bigint>>"
 
 
 def labelled_by_patterns(docs: DataFrame, rows: int = SAMPLE, text_bytes: int = SAMPLE_BYTES) -> pa.Table:
-    """A labelled table: text and base spans of at most `rows` documents and text_bytes of text."""
+    """A labelled table: text and base spans of at most `rows` documents and text_bytes of text; a text that does not fit is skipped."""
     texts = docs.where(F.col("text").rlike("[0-9@]")).select("text", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
     sizes = texts.select("h", "n").distinct().orderBy("h").limit(rows).collect()
-    chosen, total = [], 0
-    for row in sizes:
-        total += row.n
-        if total > text_bytes:
-            break
-        chosen.append((row.h,))
-    ids = docs.sparkSession.createDataFrame(chosen, "h bigint")
+    ids = docs.sparkSession.createDataFrame([(r.h,) for r in fitting(sizes, text_bytes)], "h bigint")
     table = texts.join(F.broadcast(ids), "h").select("h", "text").dropDuplicates(["h"]).toArrow().sort_by("h")
     spans = [[{"kind": KINDS[k], "start": a, "end": z} for k, a, z in base_spans(t)] for t in table.column("text").to_pylist()]
     return pa.table({"text": table.column("text"), "spans": pa.array(spans, pa.list_(_SPAN))})

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.samples import held_out, labelled
+from orrery.llm.samples import class_share, held_out, labelled
 from orrery.llm.textblocks import blocks, mix64
 
 BUCKETS = 1 << 17
@@ -105,8 +105,11 @@ class Machine:
         linear, total, square = self._sums(row, column, value, rows)
         return self.w0 + linear + 0.5 * ((total**2).sum(axis=1) - square), total
 
-    def fit(self, table: pa.Table, steps: int = 500, rate: float = 0.05, decay: float = 1e-5) -> Machine:
-        """Logistic loss by AdaGrad: at least 12 passes and `steps` steps, over batches of 16 to 256 documents."""
+    def fit(self, table: pa.Table, share: float | None = None, steps: int = 500, rate: float = 0.05, decay: float = 1e-5) -> Machine:
+        """Logistic loss by AdaGrad: at least 12 passes and `steps` steps, over batches of 16 to 256 documents.
+
+        share: that of class 1 among all documents, where the table has another; the constant follows it.
+        """
         y = table.column("y").to_numpy().astype(np.float64)
         self.share = float(y.mean()) if len(y) else 0.0
         if len(np.unique(y)) < 2:
@@ -147,6 +150,9 @@ class Machine:
                     self.v[own, k] -= rate * slope / np.sqrt(gv[own, k])
                 g0 += off.sum() ** 2
                 self.w0 -= rate * off.sum() / np.sqrt(g0)
+        if share is not None and 0 < share < 1:
+            self.w0 += float(np.log(share / (1 - share)) - np.log(self.share / (1 - self.share)))
+            self.share = share
         return self
 
     def _joined(self, row, column, value, stats):
@@ -173,7 +179,7 @@ def _score(batches, model):
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score."""
-    model = docs.sparkSession.sparkContext.broadcast(Machine().fit(labelled(docs, labels, "quality")))
+    model = docs.sparkSession.sparkContext.broadcast(Machine().fit(labelled(docs, labels, "quality"), class_share(labels, "quality")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = texts.mapInArrow(lambda b: _score(b, model), "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.crf import Chain, sequences
-from orrery.llm.samples import held_out, labelled
+from orrery.llm.samples import class_share, held_out, labelled
 from orrery.llm.textblocks import Hashes, blocks, mix64
 
 BUCKETS = 1 << 18
@@ -196,7 +196,7 @@ def _score(batches, model):
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, offsets (code points of toxic words, end exclusive)."""
     table = labelled(docs, labels, "toxic")
-    share = labels.where(F.col("doc_id").isNotNull() & ~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    share = class_share(labels, "toxic")
     model = docs.sparkSession.sparkContext.broadcast(Tagger().fit(table, share))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = texts.mapInArrow(lambda b: _score(b, model), "doc_id bigint, score double, offsets array<struct<start:bigint,end:bigint>>")

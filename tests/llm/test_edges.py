@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, decontaminate, embeddings, lines, minhash, mixing, pii, quality, tokens, toxicity
+from orrery.llm import chat, decontaminate, embeddings, lines, minhash, mixing, pii, quality, samples, tokens, toxicity
 from tests.llm.helpers import DOCS, EXTRA, ODD, docs, words
 
 LABELS = "doc_id bigint, quality int, toxic int"
@@ -55,6 +55,24 @@ def test_scores(score, odd, none, labels):
     assert {r.score for r in score(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def test_sample_of_a_rare_class(spark):
+    rows = [(i, f"word{i} " * 25) for i in range(20000)]
+    marks = spark.createDataFrame([(i, 1, int(i % 1000 == 0)) for i, _ in rows], LABELS)
+    y = samples.labelled(docs(spark, rows), marks, "toxic", text_bytes=100000).column("y").to_pylist()
+    assert sum(y) == marks.where("toxic = 1").where(~samples.held_out()).count() and len(y) > 300
+
+
+def test_sample_skips_an_oversized_text(spark):
+    rows, order = [(i, "a b c 1") for i in range(50)], F.xxhash64("doc_id", F.lit(5))
+    first = spark.range(50).withColumnRenamed("id", "doc_id").where(~samples.held_out()).orderBy(order).first().doc_id
+    marks = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], LABELS)
+    usual = samples.labelled(docs(spark, rows), marks, "toxic", text_bytes=5000).num_rows
+    rows[first] = (first, "a b c 1 " * 1000)
+    assert samples.labelled(docs(spark, rows), marks, "toxic", text_bytes=5000).num_rows == usual - 1 > 30
+    several = docs(spark, [(i, f"call {i} " * (1000 if i % 5 == 0 else 1)) for i in range(50)])
+    assert pii.labelled_by_patterns(several, text_bytes=3000).num_rows == 40
+
+
 def test_mixing(odd, none, labels):
     rows = mixing.rates(odd, labels).collect()
     assert len(rows) == len(ODD) and all(r.rate >= 0 for r in rows)
