@@ -1,9 +1,9 @@
 """Chat formatting from an event log, with DataFrame functions only.
 
 A log has one row per event: conversation, message, sequence number, kind, role, text.
-Kinds: `message` (a whole message), `delta` (text appended to the message), `edit` (the text
+Kinds: `message` (a whole message, replaces what was said; a null kind counts as this), `delta` (text appended to the message), `edit` (the text
 replaces what the message says), `regenerate` (what the message says is dropped; deltas
-that follow start it anew).  Each message is folded by grouped aggregates: what counts is
+that follow start it anew); other kinds say nothing.  Each message is folded by grouped aggregates: what counts is
 the last replacing event and the deltas after it.  The messages of a conversation are
 then sorted by their first sequence number and rendered into one string.
 
@@ -13,7 +13,8 @@ Template: `<|turn|>role<|text|>text<|end|>` for each message.  Roles and texts a
 `loss` lists the spans (code points, start from 0, length) of assistant texts.
 
 Defined results: null text and null role are empty; events without a sequence number come
-first; ties in the sequence are ordered by message, kind, role and text; a null conversation is one
+first; of events of one message with equal sequence numbers the deltas come last, then kind, role and text decide;
+messages with equal sequence numbers are ordered by role and text; a null message is one message of its conversation; a null conversation is one
 conversation; a message that only regenerates is an empty message with its role; an empty
 log gives no rows; other columns are ignored.
 """
@@ -36,33 +37,32 @@ def unescape(text: Column) -> Column:
 
 
 def events_of_turns(conversations: DataFrame) -> DataFrame:
-    """Rows by turn as a log of whole messages; each row is a message of its own."""
-    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.xxhash64(role, text).alias("message_id"),
-        F.col("turn").cast("long").alias("seq"),
-        F.lit("message").alias("kind"),
-        role.alias("role"),
-        text.alias("text"),
-    )
+    """Rows by turn as a log: each row is a message of its own, repeated rows too, with a start that names the role and a delta with the text."""
+    text, role = F.coalesce("text", F.lit("")).alias("text"), F.coalesce("role", F.lit("")).alias("role")
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), role, text)
+    turns = turns.groupBy("conv_id", "seq", "role", "text").agg(F.count(F.lit(1)).alias("times"))
+    turns = turns.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    start = F.struct(F.lit("message").alias("kind"), F.col("role"), F.lit("").alias("text"))
+    delta = F.struct(F.lit("delta").alias("kind"), F.lit("").alias("role"), F.col("text"))
+    message = F.xxhash64("seq", F.col("seq").isNull(), "role", "text", "copy").alias("message_id")
+    return turns.select("conv_id", message, "seq", F.explode(F.array(start, delta)).alias("event")).select("conv_id", "message_id", "seq", "event.*")
 
 
 def fold(events: DataFrame) -> DataFrame:
     """Messages in their final form: conv_id, message_id, seq (of the first event), role, text.
 
-    Whole messages need no fold; the streamed ones are grouped by message, so what one
-    group holds is bounded by one message.
+    All events are grouped by message, so what one group holds is bounded by one message.
     """
-    clean = events.select("conv_id", "message_id", "seq", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = clean.where("kind = 'message'").select("conv_id", "message_id", "seq", "role", "text")
-    parts = F.sort_array(F.collect_list(F.struct("seq", "kind", "role", "text")))
-    streamed = clean.where("kind <> 'message'").groupBy("conv_id", "message_id").agg(parts.alias("parts"))
-    folded = F.expr(
-        "aggregate(parts, '', (said, e) -> CASE e.kind WHEN 'delta' THEN concat(said, e.text) WHEN 'edit' THEN e.text WHEN 'regenerate' THEN '' ELSE said END)"
-    )
-    role = F.expr("coalesce(element_at(filter(parts, e -> e.role <> ''), 1).role, '')")
-    return whole.unionByName(streamed.select("conv_id", "message_id", F.col("parts")[0]["seq"].alias("seq"), role.alias("role"), folded.alias("text")))
+    clean = events.select("conv_id", "message_id", "seq", F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = F.sort_array(F.collect_list(F.struct("seq", (F.col("kind") == "delta").alias("adds"), "kind", "role", "text")))
+    grouped = clean.groupBy("conv_id", "message_id").agg(parts.alias("parts"))
+    # the place of the last replacing event (0: none); it and the deltas after it are what the message says
+    replaces = F.transform("parts", lambda e, i: F.when(e["kind"].isin(*REPLACING), i + 1).otherwise(0))
+    grouped = grouped.withColumn("last", F.array_max(replaces))
+    said = F.filter(F.slice("parts", F.greatest("last", F.lit(1)), F.size("parts")), lambda e: e["kind"].isin("delta", "message", "edit"))
+    folded = F.array_join(F.transform(said, lambda e: e["text"]), "")
+    role = F.expr("coalesce(try_element_at(filter(parts, e -> e.role <> ''), 1).role, '')")
+    return grouped.select("conv_id", "message_id", F.col("parts")[0]["seq"].alias("seq"), role.alias("role"), folded.alias("text"))
 
 
 def formatted(events: DataFrame) -> DataFrame:

@@ -266,6 +266,22 @@ def test_events_fold_into_messages(spark):
     assert [(t.role, t.text) for t in row.turns] == [("user", "hi"), ("assistant", "right"), ("user", "new")] and row.loss_texts == ["right"]
 
 
+def test_events_of_one_message_fold_into_one(spark):
+    log = spark.createDataFrame(
+        [(1, 1, 0, "message", "user", "hi"), (1, 1, 1, "edit", "user", "hello"), (1, 2, 2, "message", "assistant", "first"), (1, 2, 3, "regenerate", None, None), (1, 2, 4, "delta", "assistant", "second"), (1, 3, 5, None, "user", "no kind"), (1, 3, 6, "delta", "user", " more"), (1, 4, 7, "message", "user", "a"), (1, 4, 8, "message", "user", "b"), (1, 4, 9, "odd", "user", "c")],
+        "conv_id bigint, message_id bigint, seq bigint, kind string, role string, text string",
+    )
+    row = chat.read_back(chat.formatted(log)).first()
+    assert [(t.role, t.text) for t in row.turns] == [("user", "hello"), ("assistant", "second"), ("user", "no kind more"), ("user", "b")]
+
+
+def test_rows_by_turn_go_through_the_fold(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "user", "b"), (2, 0, "user", "a")]
+    log = chat.events_of_turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"message", "delta"}
+    assert sorted((r.conv_id, r.seq, r.text) for r in chat.fold(log).collect() if r.seq is not None) == [(1, 0, "a"), (1, 0, "a"), (2, 0, "a")]
+
+
 def test_pipeline_keeps_what_its_stages_keep(spark, sf):
     import corpus_pipeline
 
