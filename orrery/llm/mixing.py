@@ -5,14 +5,15 @@ Domains come from the labelled table: `clean` (quality 1, not toxic), `rough` (q
 letters, the last two) learns from a bounded sample of labelled rows how often documents of each domain hold each
 feature; features whose counts tell nothing (a chi-square under `TELLING`) weigh nothing.  A softmax regression on
 the evidence and the length, fitted on the sample's other half, turns it into the document's
-posterior over the domains, which is rounded to a grid of `GRID` steps.
+posterior over the domains.
 
 Rates.  A document of n tokens and posterior p adds r n p to the expected domain totals.  Nonnegative
 rates r that bring the totals to their targets are found by accelerated projected gradient descent on
-the squared distance, from r = 1: a step of a document is r - rate * (p . error), held between 0 and `MOST`, so documents with
-one posterior keep one rate.  The corpus enters the gradient through its tokens at each
-point of the posterior grid: one distributed sum, of at most (GRID + 1)**2 points however large the corpus,
-over which the steps then run; the rates go back to the documents by a join with that bounded table.
+the squared distance, from r = 1: a step of a document is r - rate * (p . error), held at 0 or above.  Documents
+whose posteriors fall into one cell of a grid of `GRID` steps share a rate.  The corpus enters the gradient through
+its tokens and its exact domain totals (the sums of n p) in each cell: one distributed sum, of a bounded number of cells however
+large the corpus, over which the steps then run until the projected gradient is below `RESIDUAL`; the rates go back to the
+documents by a join with that bounded table.  Rates have no upper bound; `reached` gives the totals beside their targets.
 
 Targets.  Shares of `epochs` times the corpus' tokens; a domain without a target is left free.  `mixed` repeats documents: a rate of 1.3
 gives one copy, and a second one for the three in ten whose hash falls there.
@@ -40,9 +41,9 @@ BUCKETS = 1 << 13
 #: Labelled rows of each domain that the classifier learns from.
 ROWS_PER_DOMAIN = 4000
 GRID = 50
-ROUNDS = 300
-#: No document is repeated more often than this.
-MOST = 4.0
+#: The steps end when the projected gradient is this small beside a domain's share, or after so many rounds.
+RESIDUAL = 1e-7
+ROUNDS = 200000
 TELLING = 20.0
 
 
@@ -112,7 +113,7 @@ class Classifier:
         return F.aggregate(_buckets(), start, add, scale)
 
     def posterior(self) -> Column:
-        """array<double> over DOMAINS, on the grid, from __logits and __n."""
+        """array<double> over DOMAINS, from __logits and __n."""
         inputs = self._inputs(F.col("__n").cast("double"), [F.get("__logits", F.lit(k)) for k in range(len(self.ratios))], F.log, F.sqrt)
         odds = []
         for prior, weights in zip(self.prior, self.weights):
@@ -123,7 +124,7 @@ class Classifier:
         total = odds[0]
         for o in odds[1:]:
             total = total + o
-        return F.array(*[F.round(o / total * GRID) / GRID for o in odds])
+        return F.array(*[o / total for o in odds])
 
 
 def _softmax(inputs: list[list[float]], domain: list[int], weight: list[float], rounds: int = 400) -> list[list[float]]:
@@ -156,24 +157,35 @@ def descend(points: list[tuple[float, list[float]]], goal: list[float | None], r
     total = sum(n for n, _ in points)
     if not total:
         return [1.0] * len(points)
-    share = [n / total for n, _ in points]
+    share = np.array([n / total for n, _ in points])
     domains = [k for k, wanted in enumerate(goal) if wanted is not None]
     # the step: one over a bound of the curvature, the largest domain's expected share
-    step = 1.0 / max(1e-9, max(sum(w * p[k] for w, (_, p) in zip(share, points)) for k in domains))
-    now, before = [1.0] * len(points), [1.0] * len(points)
-    for i in range(rounds):
-        ahead = [r + i / (i + 3) * (r - q) for r, q in zip(now, before)]
-        error = {k: sum(w * r * p[k] for w, r, (_, p) in zip(share, ahead, points)) - goal[k] for k in domains}
-        before, now = now, [min(MOST, max(0.0, r - step * sum(p[k] * error[k] for k in domains))) for r, (_, p) in zip(ahead, points)]
-    return now
+    member = np.array([[p[k] for k in domains] for _, p in points])
+    wanted = np.array([goal[k] for k in domains])
+    step = 1.0 / max(1e-9, (share @ member).max())
+    now = before = np.ones(len(points))
+    age = 0
+    for _ in range(rounds):
+        ahead = now + age / (age + 3) * (now - before)
+        slope = member @ ((share * ahead) @ member - wanted)
+        new = np.maximum(0.0, ahead - step * slope)
+        # what still moves where it may, weighted as in the objective
+        here = member @ ((share * new) @ member - wanted)
+        left = np.where(new > 0, here, np.minimum(here, 0.0))
+        age = 0 if (share * slope) @ (new - now) > 0 else age + 1  # momentum that leads uphill is dropped
+        before, now = now, new
+        if np.sqrt(share @ left**2) <= RESIDUAL * np.sqrt(max(1e-12, (share @ member).min())):
+            break
+    return now.tolist()
 
 
 def with_rates(placed: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = EPOCHS) -> DataFrame:
     """placed (with __n and __p) and the column __rate."""
     cell = F.aggregate("__p", F.lit(0), lambda a, x: a * (GRID + 1) + F.round(x * GRID).cast("int"))
     placed = placed.withColumn("__cell", cell)
-    points = placed.groupBy("__cell").agg(F.sum("__n").alias("n"), F.first("__p").alias("p")).collect()
-    found = descend([(float(r.n), list(r.p)) for r in points], [targets[d] * epochs if d in targets else None for d in DOMAINS])
+    mass = [F.sum(F.col("__n") * F.get("__p", F.lit(k))).alias(f"m{k}") for k in range(len(DOMAINS))]
+    points = placed.groupBy("__cell").agg(F.sum("__n").alias("n"), *mass).orderBy("__cell").collect()
+    found = descend([(float(r.n), [r[f"m{k}"] / r.n if r.n else 0.0 for k in range(len(DOMAINS))]) for r in points], [targets[d] * epochs if d in targets else None for d in DOMAINS])
     table = placed.sparkSession.createDataFrame([(r["__cell"], x) for r, x in zip(points, found)], "__cell int, __rate double")
     return placed.join(F.broadcast(table), "__cell").drop("__cell")
 
@@ -185,6 +197,13 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     return with_rates(placed, targets, epochs).select("doc_id", F.col("__n").alias("n_tokens"), *[F.get(F.col("__p"), F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], F.round("__rate", 6).alias("rate"))
 
 
+def reached(rated: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = EPOCHS) -> dict[str, tuple[float | None, float]]:
+    """Of the rows of rates(): for each domain its target (None: free) and its expected total, in shares of all tokens."""
+    sums = [F.sum(F.col("rate") * F.col("n_tokens") * F.col(f"p_{d}")).alias(d) for d in DOMAINS]
+    row = rated.agg(F.sum("n_tokens").alias("__all"), *sums).first()
+    return {d: (targets[d] * epochs if d in targets else None, (row[d] or 0.0) / max(1, row["__all"] or 0)) for d in DOMAINS}
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = EPOCHS) -> DataFrame:
     """docs, each as often as its rate says; the columns stay as they are."""
     packed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")

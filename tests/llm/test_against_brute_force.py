@@ -130,6 +130,23 @@ def test_rates_meet_targets():
     assert np.allclose(reached, goal, atol=1e-3) and min(rates) >= 0
 
 
+def test_rates_of_a_rare_domain_meet_their_target():
+    points = [(900.0, [0.98, 0.02, 0.0]), (95.0, [0.05, 0.95, 0.0]), (5.0, [0.0, 0.0, 1.0])]
+    goal = [t * mixing.EPOCHS for t in mixing.TARGETS.values()]
+    rates = mixing.descend(points, goal)
+    reached = [sum(n / 1000 * r * p[k] for r, (n, p) in zip(rates, points)) for k in range(3)]
+    assert np.allclose(reached, goal, atol=1e-3) and min(rates) >= 0 and rates[2] > 11
+
+
+def test_mass_below_a_grid_step_counts(spark):
+    rows = [(i, 100, [0.85 - t, 0.15, t]) for i, t in enumerate([0.0005, 0.0095] * 25)] + [(50, 100, [0.3, 0.0, 0.7])]
+    targets = {"rough": 0.10, "toxic": 0.05}
+    placed = spark.createDataFrame(rows, "doc_id bigint, __n bigint, __p array<double>")
+    rated = mixing.with_rates(placed, targets).select("doc_id", F.col("__n").alias("n_tokens"), *[F.col("__p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)], F.col("__rate").alias("rate"))
+    wanted, got = mixing.reached(rated, targets)["toxic"]
+    assert abs(wanted - got) < 1e-3
+
+
 def test_shards_round_trip(spark, sf):
     import public_tokenizers
     from tokenizers import Tokenizer
