@@ -139,6 +139,11 @@ def _probe(batches, windows):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, spans (hit word ranges, end exclusive), item_ids (sorted numerically)."""
+    return _contamination(docs, benchmark, size, chunk_bytes).drop("text_key")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """contamination() with text_key, a hash of the text that was judged."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_key"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -156,7 +161,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, chu
         index = docs.sparkSession.sparkContext.broadcast(windows.anchored(counts))
         found.append(texts.mapInArrow(lambda b, w=index: _probe(b, w.value), schema))
     if chunks == 1:
-        return found[0].drop("text_key")
+        return found[0]
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
@@ -167,7 +172,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, chu
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
     )
     covered = "aggregate(spans, named_struct('n', 0L, 'edge', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.last - greatest(s.first, a.edge)), 'edge', greatest(a.edge, s.last)), a -> a.n)"
-    return merged.withColumn("n_hit", F.expr(covered)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc_id", "n_words", "n_hit", "spans", "item_ids")
+    return merged.withColumn("n_hit", F.expr(covered)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc_id", "text_key", "n_words", "n_hit", "spans", "item_ids")
 
 
 def is_contaminated() -> F.Column:
@@ -176,6 +181,9 @@ def is_contaminated() -> F.Column:
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns as they are."""
-    bad = contamination(docs, benchmark).where(is_contaminated()).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")
+    """The rows of docs that are not contaminated, all columns as they are.
+
+    A row goes by its own text, whatever its doc_id: null, shared or repeated.
+    """
+    bad = _contamination(docs, benchmark).where(is_contaminated()).select(F.col("text_key").alias("__bad_text")).distinct()
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["__bad_text"], "left_anti")

@@ -213,6 +213,21 @@ def _bridging(similarity: float):
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, class_id, kept (doc_id is its class's class_id)."""
+    named, labels = _labelled(docs, similarity, bands, rows)
+    nodes = named.groupBy("key").agg(F.min("doc_id").alias("least"))
+    nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    classes = nodes.groupBy("label").agg(F.min("least").alias("class_id"))
+    by_key = nodes.join(classes, "label").select("key", "class_id")
+    out = named.select("doc_id", "key", _worded().alias("worded")).join(by_key, "key")
+    return out.select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def _worded() -> F.Column:
+    return F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+
+
+def _labelled(docs: DataFrame, similarity: float, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text, key of the text), and the component (node, label) of each key that is linked."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key"))
     texts = named.select("key", "text")
     unique = cut(texts.mapInArrow(lambda x: _signatures(x, bands, rows), "key bigint, bands array<bigint>, slots array<bigint>, signature binary").dropDuplicates(["key"]))
@@ -236,18 +251,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     left = left.join(unique.select("key", "slots", "signature"), "key").join(found, "key")
     meeting = left.select("*", F.posexplode("slots").alias("slot", "value")).withColumn("meet", F.xxhash64("slot", "value")).drop("value")
     bridges = compare(meeting, "meet", "key", _bridging(similarity)).select(F.col("id").alias("a"), F.col("root").alias("b"))
-    labels = components(links.union(cut(bridges)))
-
-    nodes = named.groupBy("key").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    classes = nodes.groupBy("label").agg(F.min("least").alias("class_id"))
-    by_key = nodes.join(classes, "label").select("key", "class_id")
-    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-    out = named.select("doc_id", "key", worded.alias("worded")).join(by_key, "key")
-    return out.select("doc_id", F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return named, components(links.union(cut(bridges)))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that stay: the one of each class that names it, all columns as they are."""
-    gone = near_duplicates(docs, similarity).where("not kept").select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    """One row of each class, all columns as they are: that of the least doc_id, a null doc_id last.
+
+    A row goes by its own text, whatever else has its doc_id; of rows with equal id one stays, by a hash of text
+    and row.  Of null, empty and wordless texts one row of each doc_id and text stays (null is an id here).
+    """
+    labels = _labelled(docs, similarity)[1].select(F.col("node").alias("key"), "label")
+    whole = [c for c, kind in docs.dtypes if "map<" not in kind]
+    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), F.xxhash64(*whole).alias("row"), _worded().alias("worded")).join(labels, "key", "left")
+    # wordless texts are classes by id
+    told = told.withColumn("label", F.coalesce("label", "key")).withColumn("own", F.when(~F.col("worded"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    least = told.groupBy("label", "own").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row")).alias("one"))
+    stay = least.select(F.col("one.key").alias("__key"), F.col("one.row").alias("__row"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64("text").alias("__key"), F.xxhash64(*whole).alias("__row"))
+    return keyed.join(stay, ["__key", "__row"], "left_semi").dropDuplicates(["__key", "__row"]).select("doc.*")

@@ -193,17 +193,30 @@ def _score(batches, model):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.rows), pa.array(score), pa.ListArray.from_arrays(cuts, spans)], ["doc_id", "score", "offsets"])
 
 
+def _acceptable(batches, model, text: int, threshold: float):
+    for batch in batches:
+        for block in blocks(batch.column(text), BLOCK):
+            yield batch.slice(block.lo, block.rows).filter(pa.array(model.value.score(block)[0] < threshold))
+
+
+def _fitted(docs: DataFrame, labels: DataFrame):
+    """The tagger, broadcast."""
+    table = labelled(docs, labels, "toxic")
+    return docs.sparkSession.sparkContext.broadcast(Tagger().fit(table, class_share(labels, "toxic")))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, offsets (code points of toxic words, end exclusive)."""
-    table = labelled(docs, labels, "toxic")
-    share = class_share(labels, "toxic")
-    model = docs.sparkSession.sparkContext.broadcast(Tagger().fit(table, share))
+    model = _fitted(docs, labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = texts.mapInArrow(lambda b: _score(b, model), "doc_id bigint, score double, offsets array<struct<start:bigint,end:bigint>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "offsets")
 
 
 def acceptable(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that score under the threshold, all columns as they are."""
-    bad = toxicity(docs, labels).where(F.col("score") >= threshold).select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")
+    """The rows that score under the threshold, all columns as they are.
+
+    Each row is judged by its own text, whatever its doc_id: null, shared or repeated.
+    """
+    model, text = _fitted(docs, labels), docs.columns.index("text")
+    return docs.mapInArrow(lambda b: _acceptable(b, model, text, threshold), docs.schema)

@@ -1,5 +1,7 @@
 """Nulls, empties, ties, repeated rows, long texts, clashing columns and empty tables, for every operator."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,31 @@ def test_sample_skips_an_oversized_text(spark):
     assert pii.labelled_by_patterns(several, text_bytes=3000).num_rows == 40
 
 
+T, NEAR, U = " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(201)), "quite another text of some words"
+
+
+def test_one_of_each_by_row(spark):
+    texts = lambda rows: sorted(r.text for r in minhash.one_of_each(docs(spark, rows)).collect())
+    assert texts([(1, T), (2, NEAR), (2, U)]) == sorted([T, U])
+    assert texts([(1, T), (1, T), (None, U), (None, U), (None, NEAR)]) == sorted([T, U])
+
+
+def test_contaminated_rows_go_by_row(spark):
+    bench = spark.createDataFrame([(1, T)], "item_id bigint, text string")
+    rows = decontaminate.clean_of(docs(spark, [(None, T), (1, T), (1, U), (2, U), (2, U), (3, None)]), bench).collect()
+    assert sorted((r.doc_id, r.text or "") for r in rows) == [(1, U), (2, U), (2, U), (3, "")]
+
+
+def test_toxic_rows_go_by_row(spark, monkeypatch):
+    class Fixed:
+        def score(self, block):
+            return (block.words().count > 100) * 1.0, None, None
+
+    monkeypatch.setattr(toxicity, "_fitted", lambda docs, labels: SimpleNamespace(value=Fixed()))
+    rows = toxicity.acceptable(docs(spark, [(None, T), (1, T), (1, U), (2, U), (2, U)]), None).collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == [(1, U), (2, U), (2, U)]
+
+
 def test_mixing(odd, none, labels):
     rows = mixing.rates(odd, labels).collect()
     assert len(rows) == len(ODD) and all(r.rate >= 0 for r in rows)
