@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session names none (tests, one machine), a new temporary folder is set.
+    Where the session names none, a new temporary folder is set on one machine (tests); a cluster must name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.textblocks import blocks
+from orrery.llm.textblocks import blocks, lean, mix64
 
 WINDOW = 13
 CHUNK_BYTES = 8 << 20
@@ -30,8 +30,12 @@ CHUNK_BYTES = 8 << 20
 _SPAN = "array<struct<first:bigint,last:bigint>>"
 
 
+#: Candidate places that are verified at a time.
+CANDIDATES = 1 << 18
+
+
 class Windows:
-    """The distinct windows of one benchmark chunk, and the items of each."""
+    """The distinct windows of one benchmark chunk, and the items that hold each."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], size: int):
         texts = pa.array([t for _, t in items], pa.large_string())
@@ -54,9 +58,23 @@ class Windows:
         self.sequence = np.concatenate(sequence) if sequence else np.zeros(0, np.uint64)
         self.start, self.length, rows = join(start), join(length), join(owner)
         listed = np.array([-1 if i is None else int(np.searchsorted(self.items, i)) for i, _ in items], dtype=np.int64)
-        self.item = listed[rows] if len(rows) else rows
+        key = np.zeros(len(self.start), dtype=np.uint64)
+        for k in range(int(self.length.max(initial=0))):
+            here = self.sequence[np.minimum(self.start + k, len(self.sequence) - 1)]
+            key = np.where(k < self.length, mix64(key + here + np.uint64(k + 1)), key)
+        _, one, number = np.unique(key, return_index=True, return_inverse=True)
+        self.start, self.length = self.start[one], self.length[one]
+        m = len(self.items) + 1
+        code = np.unique(number.ravel() * m + listed[rows] + 1) if len(rows) else np.zeros(0, np.int64)
+        pairs = np.stack([code // m, code % m - 1], axis=1)
+        self._hold(pairs[pairs[:, 1] >= 0])
         self.vocabulary = np.unique(self.sequence)
 
+    def _hold(self, pairs: np.ndarray) -> None:
+        """pairs (window, item), sorted: item[edge[w] : edge[w + 1]] are the items of window w."""
+        self.item = pairs[:, 1]
+        self.edge = np.searchsorted(pairs[:, 0], np.arange(len(self.start) + 1))
+
     def anchored(self, counts: np.ndarray) -> Windows:
         """Choose each window's rarest word (then the lower hash, then the earlier place) and index the windows by it."""
         rank = np.empty(len(self.vocabulary), dtype=np.int64)
@@ -68,7 +86,10 @@ class Windows:
             place = np.where(here < best, k, place)
             best = np.minimum(here, best)
         order = np.argsort(best, kind="stable")
-        self.start, self.length, self.item, self.place = self.start[order], self.length[order], self.item[order], place[order]
+        many = np.diff(self.edge)[order]
+        held = self.item[_runs(self.edge[order], many)]
+        self.start, self.length, self.place = self.start[order], self.length[order], place[order]
+        self._hold(np.stack([np.repeat(np.arange(len(order)), many), held], axis=1))
         used, first = np.unique(best[order], return_index=True)
         by_rank = np.argsort(rank)
         words = self.vocabulary[by_rank[used]]
@@ -85,8 +106,15 @@ class Windows:
         at = np.flatnonzero(self.anchors[slot] == hashes)
         slot = slot[at]
         many = (self.last - self.first)[slot]
-        window = np.repeat(self.first[slot] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
-        position = np.repeat(at, many)
+        total, found, lo = np.cumsum(many), [], 0
+        while lo < len(at):  # a bounded number of candidates at a time
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CANDIDATES, side="right")))
+            part = slice(lo, hi)
+            found.append(self._verified(hashes, row, first, np.repeat(at[part], many[part]), _runs(self.first[slot[part]], many[part])))
+            lo = hi
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _verified(self, hashes: np.ndarray, row: np.ndarray, first: np.ndarray, position: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = position - self.place[window]
         fits = (begin >= first[row[position]]) & (begin + self.length[window] <= first[row[position] + 1])
         begin, window = begin[fits], window[fits]
@@ -97,6 +125,11 @@ class Windows:
         return begin, window
 
 
+def _runs(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (many[0] numbers), then those of first[1], and so on."""
+    return np.repeat(first - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+
+
 def _count(batches, vocabulary):
     total = np.zeros(len(vocabulary), dtype=np.int64)
     for batch in batches:
@@ -124,8 +157,11 @@ def _probe(batches, windows):
             closes = np.flatnonzero(covered[:-1] & (~covered[1:] | edge))
             owner = words.row[opens] if len(opens) else opens
             hit = np.bincount(owner, weights=closes - opens, minlength=block.rows).astype(np.int64)
-            item = windows.item[window]
-            pairs = np.unique(words.row[begin][item >= 0] * len(windows.items) + item[item >= 0]) if len(begin) else begin
+            seen = np.unique(words.row[begin] * max(1, len(windows.start)) + window) if len(begin) else begin
+            window = seen % max(1, len(windows.start))
+            many = np.diff(windows.edge)[window]
+            item = windows.item[_runs(windows.edge[window], many)]
+            pairs = np.unique(np.repeat(seen // max(1, len(windows.start)), many) * len(windows.items) + item) if len(item) else item
             listed = pairs // max(1, len(windows.items))
             cuts = lambda rows: pa.array(np.searchsorted(rows, np.arange(block.rows + 1)), pa.int32())
             spans = pa.StructArray.from_arrays([pa.array(opens - words.first[owner]), pa.array(closes - words.first[owner])], ["first", "last"])
@@ -156,10 +192,10 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, ch
         counts = np.zeros(len(windows.vocabulary), dtype=np.int64)
         if len(counts):
             vocabulary = windows.vocabulary
-            for word, n in texts.select("text").mapInArrow(lambda b, v=vocabulary: _count(b, v), "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect():
+            for word, n in texts.select("text").mapInArrow(lean(lambda b, v=vocabulary: _count(b, v)), "word bigint, n bigint").groupBy("word").agg(F.sum("n")).collect():
                 counts[word] = n
         index = docs.sparkSession.sparkContext.broadcast(windows.anchored(counts))
-        found.append(texts.mapInArrow(lambda b, w=index: _probe(b, w.value), schema))
+        found.append(texts.mapInArrow(lean(lambda b, w=index: _probe(b, w.value)), schema))
     if chunks == 1:
         return found[0]
     rows = found[0]

@@ -8,10 +8,12 @@ right of them.  Keys that only one line uses are dropped.  Lines that share a ke
 there by banded bit-parallel edit distance, all pairs of a cell at once; only what connects leaves the cell.
 
 The texts of lines that met are fetched by a second pass over the documents, which a bitmap of fixed size
-(2 MB, from the ids of these lines) spares from shipping most others.
+(2 MB, from the ids of these lines) spares from shipping most others; beyond some 1e8 lines that met it spares none,
+and each line's text is shuffled once.  A line's id is a 64-bit hash of its bytes: among n different lines
+n * n / 4e19 are taken for copies of another.
 
-Defined results: a line is what stands between line breaks; blank lines are never repeated; lines of fewer than
-`least` characters are compared exactly only; exact copies of a line are one line with many places;
+Defined results: a line is what stands between line breaks; blank lines are never repeated; two lines are near if both have `least` characters and
+`edits` edits lead from one to the other, shorter lines (of which two edits change much) only if they are equal; exact copies of a line are one line with many places;
 the first place of a class, by doc_id and line number, is kept; null doc_ids come first; null and empty texts have one blank line;
 repeated documents are repeated places; other columns are ignored.
 """
@@ -22,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from orrery.llm.buckets import compare
 from orrery.llm.common import cut, kept
 from orrery.llm.components import components
-from orrery.llm.textblocks import Hashes, blocks, mix64
+from orrery.llm.textblocks import Hashes, blocks, lean, mix64
 
 EDITS = 2
 LEAST = 20
@@ -44,8 +47,8 @@ class Lines:
     def __init__(self, block):
         words = block.words(lower=False, table=_LINE)
         self.data, self.start, self.end, self.row = block.data, words.start, words.end, words.row
-        self.hashes = Hashes(block.data)
-        self.id = self.hashes.of(self.start, self.end).view(np.int64)
+        view = memoryview(block.data)
+        self.id = np.array([xxh3_64_intdigest(view[a:z]) for a, z in zip(self.start.tolist(), self.end.tolist())], dtype=np.uint64).view(np.int64)
         breaks = np.append(0, np.cumsum(block.data == 10))
         self.number = breaks[self.start] - breaks[block.offset[self.row]]
         blank = np.append(0, np.cumsum(_BLANK[block.data]))
@@ -64,11 +67,12 @@ def segment_keys(batches, edits: int, least: int):
     """(key, line_id, indexed): what each line is indexed under and what it probes for."""
     for batch in batches:
         for block in blocks(batch.column(0)):
-            lines = Lines(block)
+            lines, hashes = Lines(block), Hashes(block.data)
             char = np.flatnonzero((block.data & 0xC0) != 0x80)
             edge = np.append(char, len(block.data))
             first, size = np.searchsorted(char, lines.start), np.searchsorted(char, lines.end) - np.searchsorted(char, lines.start)
-            at = np.flatnonzero(lines.solid & (size >= least))
+            at = np.unique(lines.id, return_index=True)[1]  # copies in one block are one line
+            at = at[lines.solid[at] & (size[at] >= least)]
             first, size, ids = first[at], size[at], lines.id[at]
             out = []
             for shorter in range(edits + 1):
@@ -82,7 +86,7 @@ def segment_keys(batches, edits: int, least: int):
                         fits = (length >= least) & (begin >= 0) & (begin + width <= size)
                         low = edge[np.minimum(first + np.maximum(begin, 0), len(edge) - 1)]
                         high = edge[np.minimum(first + np.maximum(begin, 0) + width, len(edge) - 1)]
-                        key = mix64(lines.hashes.of(low[fits], np.maximum(low, high)[fits]) + (length[fits] * 64 + i).astype(np.uint64))
+                        key = mix64(hashes.of(low[fits], np.maximum(low, high)[fits]) + (length[fits] * 64 + i).astype(np.uint64))
                         out.append((key.view(np.int64), ids[fits], np.full(int(fits.sum()), shorter == 0 and move == 0)))
             if out and len(at):
                 key, line, indexed = (np.concatenate(x) for x in zip(*out))
@@ -99,25 +103,14 @@ def _texts(batches, bitmap: np.ndarray):
                 yield pa.RecordBatch.from_arrays([pa.array(lines.id[at]), pa.array([block.data[a:z].tobytes() for a, z in zip(lines.start[at], lines.end[at])], pa.binary())], ["line_id", "line"])
 
 
-def _bits(batches):
-    found = np.zeros(BITMAP >> 3, dtype=np.uint8)
-    for batch in batches:
-        bit = (batch.column(0).to_numpy().view(np.uint64) % np.uint64(BITMAP)).astype(np.int64)
-        np.bitwise_or.at(found, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-    page = found.reshape(-1, 1024)
-    used = np.flatnonzero(page.any(axis=1))
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([page[k].tobytes() for k in used], pa.binary())], ["page", "bits"])
-
-
 def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the ids, of BITMAP bits whatever their number."""
-    pages = ids.mapInArrow(_bits, "page bigint, bits binary")
-    merged = pages.groupBy("page").agg(F.collect_set("bits").alias("bits"))
-    found = np.zeros((BITMAP >> 13, 1024), dtype=np.uint8)
-    for row in merged.toLocalIterator():
-        for bits in row.bits:
-            found[row.page] |= np.frombuffer(bytes(bits), np.uint8)
-    return found.ravel()
+    """A bitmap of the column line_id, of BITMAP bits whatever the number of ids: bits are joined by grouped ORs, word by word."""
+    word = F.shiftright("line_id", 6).bitwiseAND((BITMAP >> 6) - 1).alias("word")
+    words = ids.select(word, F.expr("shiftleft(1L, cast(line_id & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toArrow()
+    out = np.zeros(BITMAP >> 6, dtype=np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def within(left: list[np.ndarray], right: list[np.ndarray], edits: int) -> np.ndarray:
@@ -186,17 +179,18 @@ def _close(edits: int):
 def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """One row per line that is not blank: doc_id, line_no (from 0), class_doc_id and class_line_no (first place of its class), n_places, n_lines (different lines of the class), kept."""
     texts = docs.select("text")
-    keyed = texts.mapInArrow(lambda b: segment_keys(b, edits, least), "key bigint, line_id bigint, indexed boolean")
-    shared = keyed.groupBy("key").agg(F.min("line_id").alias("a"), F.max("line_id").alias("z")).where("a < z").select("key")
-    met = cut(keyed.join(shared, "key").groupBy("key", "line_id").agg(F.max("indexed").alias("indexed")))
+    # one exchange serves the search for keys of several lines and the rows under these keys
+    keyed = texts.mapInArrow(lean(lambda b: segment_keys(b, edits, least)), "key bigint, line_id bigint, indexed boolean").repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("line_id").alias("a"), F.max("line_id").alias("z"), F.max("indexed").alias("any")).where("a < z and any").select("key")
+    met = cut(keyed.join(shared.hint("shuffle_hash"), "key").groupBy("key", "line_id").agg(F.max("indexed").alias("indexed")))
     ids = met.select("line_id").distinct()
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
-    lines = texts.mapInArrow(lambda b: _texts(b, bitmap.value), "line_id bigint, line binary").dropDuplicates(["line_id"])
+    lines = texts.mapInArrow(lean(lambda b: _texts(b, bitmap.value)), "line_id bigint, line binary").dropDuplicates(["line_id"])
     found = kept(lines.join(ids, "line_id", "left_semi"), "lines")
     near = cut(compare(met.join(found, "line_id"), "key", "line_id", _close(edits), 256))
     labels = components(near.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "line_id")
 
-    places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_places, "doc_id bigint, line_no bigint, line_id bigint")
+    places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_places), "doc_id bigint, line_no bigint, line_id bigint")
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "line_no")).alias("first")
     by_line = places.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), first)
     named = by_line.join(labels, "line_id", "left").withColumn("label", F.coalesce("label", "line_id"))

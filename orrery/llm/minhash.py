@@ -17,13 +17,17 @@ expanded into its pairs: each member is compared with four pivots (least and gre
 key, least and greatest scrambled key), which is every pair of a bucket of three.  A bucket
 whose members are then in one component is settled.  The members of the others meet
 once more, where one of their first nine slots agrees (a pair at 0.8 never meets with probability
-5e-7), in cells of bounded size; there pairs of different components are compared, and
+5e-7), in cells of bounded rows and bytes; there pairs of different components are compared by their sets of shingles, and
 only what connects leaves the cell (a spanning forest, linear in the members).  So no link between components is lost, and no task
-or shuffle holds the pairs of a group.
+or shuffle holds the pairs of a group.  In a group that stays in many components the cells compare all pairs: that work, and
+the copies of rows that the cells take, grow with the square of the group.
 
 Verification.  Pairs whose signatures agree too little are dropped (below 0.55; a pair at 0.8
 falls there with probability 1e-9), the rest are compared by the exact Jaccard similarity
-of their shingle sets, read from whole texts.
+of their sets of 64-bit shingle hashes, read from whole texts.
+
+Identity.  Texts with one 64-bit hash count as one; among n different texts that happens n * n / 4e19 times (once in
+6e9 texts).
 
 Defined results: exact copies of a text are one node and share a class; null, empty and
 wordless texts are each a class of their own; a text of one to four words has one shingle;
@@ -35,15 +39,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.buckets import compare
 from orrery.llm.common import cut, kept
 from orrery.llm.components import components
-from orrery.llm.textblocks import blocks, mix64
+from orrery.llm.textblocks import blocks, lean, mix64
 
 SHINGLE = 5
+#: Text bytes of the pairs that are verified at a time.
+PAIR_BYTES = 4 << 20
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 4
 LEAST_ESTIMATE = 0.55
@@ -144,11 +151,27 @@ def jaccard(left: pa.Array, right: pa.Array, n: int = SHINGLE) -> np.ndarray:
 
 def _verified(batches, least: float):
     for batch in batches:
+        size = np.cumsum(_bytes(batch.column(2)) + _bytes(batch.column(3)))
         lo = 0
-        while lo < batch.num_rows:  # a bounded number of texts at a time
-            part = batch.slice(lo, 256)
+        while lo < batch.num_rows:  # a bounded number of bytes at a time
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PAIR_BYTES, side="right")))
+            part = batch.slice(lo, hi - lo)
             yield part.select([0, 1]).filter(pa.array(jaccard(part.column(2), part.column(3)) >= least))
-            lo += 256
+            lo = hi
+
+
+def _bytes(texts: pa.Array) -> np.ndarray:
+    return pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy().astype(np.int64)
+
+
+def _sets(batches):
+    """(key, set): the distinct shingles of a text, 8 bytes each."""
+    for batch in batches:
+        for block in blocks(batch.column(1)):
+            row, element = distinct_shingles(block)
+            edge = np.searchsorted(row, np.arange(block.rows + 1)).astype(np.int64) * 8
+            held = pa.Array.from_buffers(pa.large_binary(), block.rows, [None, pa.py_buffer(edge), pa.py_buffer(element)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.lo, block.rows), held.cast(pa.binary())], ["key", "set"])
 
 
 def _links(pairs: DataFrame, unique: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -158,14 +181,14 @@ def _links(pairs: DataFrame, unique: DataFrame, texts: DataFrame, similarity: fl
         pairs.join(sig.withColumnsRenamed({"key": "a", "signature": "sa"}), "a")
         .join(sig.withColumnsRenamed({"key": "b", "signature": "sb"}), "b")
         .select("a", "b", "sa", "sb")
-        .mapInArrow(lambda x: _agreeing(x, LEAST_ESTIMATE), "a bigint, b bigint")
+        .mapInArrow(lean(lambda x: _agreeing(x, LEAST_ESTIMATE)), "a bigint, b bigint")
     )
     full = (
         likely.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a")
         .join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b")
         .select("a", "b", "ta", "tb")
     )
-    return cut(full.mapInArrow(lambda x: _verified(x, similarity), "a bigint, b bigint"))
+    return cut(full.mapInArrow(lean(lambda x: _verified(x, similarity)), "a bigint, b bigint"))
 
 
 def _bridging(similarity: float):
@@ -175,12 +198,12 @@ def _bridging(similarity: float):
         label, slot = table.column("label").to_numpy(), table.column("slot").to_numpy()
         slots = table.column("slots").combine_chunks().flatten().to_numpy().reshape(-1, MEETING_SLOTS)
         signature = _slots(table.column("signature").combine_chunks())
-        texts = table.column("text").combine_chunks()
-        parts = [(row + block.lo, element) for block in blocks(texts) for row, element in [distinct_shingles(block)]]
-        row, element = (np.concatenate(x) for x in zip(*parts))
-        edge = np.searchsorted(row, np.arange(len(label) + 1))
+        held = table.column("set").combine_chunks()
+        edge = np.frombuffer(held.buffers()[1], dtype=np.int32)[held.offset : held.offset + len(held) + 1] // 8
+        number = np.frombuffer(held.buffers()[2] or b"", dtype=np.uint64)[edge[0] : edge[-1]]
+        edge = edge.astype(np.int64) - edge[0]
         size = np.diff(edge)
-        number = np.unique(element, return_inverse=True)[1]
+        number = np.unique(number, return_inverse=True)[1].astype(np.int32)
 
         def test(left, right):
             mask = label[left] != label[right]
@@ -196,7 +219,7 @@ def _bridging(similarity: float):
         def settle(left, right):
             shared = np.zeros(len(left), dtype=np.int64)
             order = np.argsort(left, kind="stable")
-            present = np.zeros(number.max(initial=0) + 1, dtype=np.int64)
+            present = np.zeros(number.max(initial=0) + 1, dtype=np.int32)
             for group in np.split(order, np.flatnonzero(np.diff(left[order])) + 1):
                 own = number[edge[left[group[0]]] : edge[left[group[0]] + 1]]
                 present[own] = 1
@@ -230,7 +253,7 @@ def _labelled(docs: DataFrame, similarity: float, bands: int = BANDS, rows: int
     """Rows (doc_id, text, key of the text), and the component (node, label) of each key that is linked."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("key"))
     texts = named.select("key", "text")
-    unique = cut(texts.mapInArrow(lambda x: _signatures(x, bands, rows), "key bigint, bands array<bigint>, slots array<bigint>, signature binary").dropDuplicates(["key"]))
+    unique = cut(texts.mapInArrow(lean(lambda x: _signatures(x, bands, rows)), "key bigint, bands array<bigint>, slots array<bigint>, signature binary").dropDuplicates(["key"]))
     member = unique.select("key", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "key")
     scrambled = F.xxhash64("key", F.lit(17))
     pivots = (
@@ -248,9 +271,10 @@ def _labelled(docs: DataFrame, similarity: float, bands: int = BANDS, rows: int
     placed = met.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     unsettled = placed.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).where("l0 < l1 and n > 3").select("bucket")
     left = placed.join(unsettled, "bucket", "left_semi").select("key", "label").distinct()
-    left = left.join(unique.select("key", "slots", "signature"), "key").join(found, "key")
+    sets = found.mapInArrow(lean(_sets), "key bigint, set binary")
+    left = left.join(unique.select("key", "slots", "signature"), "key").join(sets, "key")
     meeting = left.select("*", F.posexplode("slots").alias("slot", "value")).withColumn("meet", F.xxhash64("slot", "value")).drop("value")
-    bridges = compare(meeting, "meet", "key", _bridging(similarity)).select(F.col("id").alias("a"), F.col("root").alias("b"))
+    bridges = compare(meeting, "meet", "key", _bridging(similarity), weight=F.octet_length("set")).select(F.col("id").alias("a"), F.col("root").alias("b"))
     return named, components(links.union(cut(bridges)))
 
 

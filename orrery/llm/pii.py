@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.crf import Chain, sequences
 from orrery.llm.samples import fitting
-from orrery.llm.textblocks import Hashes, blocks, mix64
+from orrery.llm.textblocks import Hashes, blocks, lean, mix64
 
 KINDS = ("email", "ip", "card", "phone")
 BUCKETS = 1 << 16
@@ -191,4 +191,4 @@ def personal_data(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
     table = labelled.select("text", "spans").toArrow() if labelled is not None else labelled_by_patterns(docs)
     model = docs.sparkSession.sparkContext.broadcast(fit(table))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(lambda b: _find(b, model), f"doc_id bigint, base {_SPANS}, added {_SPANS}")
+    return texts.mapInArrow(lean(lambda b: _find(b, model)), f"doc_id bigint, base {_SPANS}, added {_SPANS}")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.samples import class_share, held_out, labelled
-from orrery.llm.textblocks import blocks, mix64
+from orrery.llm.textblocks import blocks, lean, mix64
 
 BUCKETS = 1 << 17
 RANK = 8
@@ -181,5 +181,5 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score."""
     model = docs.sparkSession.sparkContext.broadcast(Machine().fit(labelled(docs, labels, "quality"), class_share(labels, "quality")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = texts.mapInArrow(lambda b: _score(b, model), "doc_id bigint, score double")
+    scored = texts.mapInArrow(lean(lambda b: _score(b, model)), "doc_id bigint, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score")

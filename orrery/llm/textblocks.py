@@ -8,6 +8,8 @@ split, so a document longer than the bound forms a block of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,9 +17,12 @@ import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 
-_ONE = np.uint64(1)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
+#: Two primes under 2**31 and a base of each: products of two residues fit into 64 bits.
+_PRIMES = (2147483647, 2147483629)
+_BASES = (1664525, 69069069)
+#: So many terms of one byte times one residue add up without overflow.
+_RUN = 1 << 23
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -26,18 +31,21 @@ LOWER[65:91] += 32
 WORD = np.zeros(256, dtype=bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 
-_powers = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+_powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i in 0..n."""
+def _power_tables(n: int) -> list[np.ndarray]:
+    """For each prime BASE**i and BASE**-i modulo the prime, for i in 0..n."""
     global _powers
-    if len(_powers[0]) <= n:
-        n = max(n, BLOCK_BYTES + 1)
-        up = np.full(n + 1, np.uint64(_BASE), dtype=np.uint64)
-        down = np.full(n + 1, np.uint64(pow(_BASE, -1, 1 << 64)), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
+    if not _powers or len(_powers[0]) <= n:
+        n, made = max(n, BLOCK_BYTES + 1), []
+        for prime, base in zip(_PRIMES, _BASES):
+            for factor in (base, pow(base, -1, prime)):
+                table = np.ones(1, dtype=np.uint64)
+                while len(table) <= n:  # doubling
+                    table = np.concatenate([table, table * np.uint64(pow(factor, len(table), prime)) % np.uint64(prime)])
+                made.append(table[: n + 1])
+        _powers = made
     return _powers
 
 
@@ -51,16 +59,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Hashes:
-    """Substring hashes of one byte buffer."""
+    """Substring hashes of one byte buffer: two polynomials, each modulo a prime, in one 64-bit value.
+
+    Two different substrings of n bytes agree with a chance of about (n / 2**31)**2, whatever they hold.
+    """
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _power_tables(len(data))
-        self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + _ONE) * up[: len(data)], out=self.sums[1:])
+        tables = _power_tables(len(data))
+        self.down = tables[1::2]
+        self.sums = [self._running(data, up, np.uint64(prime)) for up, prime in zip(tables[::2], _PRIMES)]
+
+    @staticmethod
+    def _running(data: np.ndarray, up: np.ndarray, prime: np.uint64) -> np.ndarray:
+        out = np.zeros(len(data) + 1, dtype=np.uint64)
+        for lo in range(0, len(data), _RUN):
+            part = slice(lo + 1, min(lo + _RUN, len(data)) + 1)
+            np.cumsum((data[lo : lo + _RUN].astype(np.uint64) + np.uint64(1)) * up[lo : min(lo + _RUN, len(data))], out=out[part])
+            if lo:
+                out[part] = (out[part] + out[lo]) % prime
+            if lo + _RUN < len(data):
+                out[part] %= prime
+        return out
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of data[start:end], equal for equal bytes wherever they stand."""
-        return mix64((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * _MUL)
+        found = []
+        for sums, down, prime in zip(self.sums, self.down, map(np.uint64, _PRIMES)):
+            found.append((sums[end] + prime - sums[start]) % prime * down[start] % prime)
+        return mix64((found[0] | found[1] << np.uint64(32)) + (end - start).astype(np.uint64) * _MUL)
 
 
 class Block:
@@ -119,6 +145,20 @@ class Words:
         return roll[keep], self.row[keep]
 
 
+def lean(run):
+    """run over batches, giving what the task's arrays held back to the machine at its end; idle workers stay small."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return trimmed
+
+
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of a string column; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -12,8 +12,9 @@ the keys without gaps.  A slot stores a 32-bit fingerprint, the shard, the docum
 in it and how many documents share the key.  A lookup is one bucket, a few bit tests, a fingerprint
 comparison and two offsets: constant time, whatever the size of the corpus.
 
-Encoding.  Pieces of text between single spaces never share a token, so each distinct piece is
-encoded once and remembered (a bounded memory for each task); the ids are those of the whole text.
+Encoding.  No token reaches over a blank that stands alone between two visible characters, so a text is
+cut before such blanks; each distinct piece of a block is encoded once and remembered (a bounded memory for
+each worker), and the ids of all pieces are put together by array operations.  The ids are those of the whole text.
 
 Defined results: a null text is an empty one (only the end id); documents that share a doc_id
 stand next to each other, ordered by text, and a lookup finds all of them; null doc_ids come first and are one key;
@@ -23,7 +24,6 @@ an empty table makes no shard; other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import cut, scratch
-from orrery.llm.textblocks import mix64
+from orrery.llm.textblocks import blocks, lean, mix64
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
@@ -46,17 +46,42 @@ REMEMBER = 700_000
 
 _NULL = -(1 << 63)
 _GOLD = 0x9E3779B97F4A7C15
-_SPACE = re.compile(r" (?=\S)(?<=\S )")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Text bytes that are encoded at a time.
+ENCODE_BYTES = 4 << 20
+#: Text bytes of a shard, where the session's shuffle partitions would make larger ones.
+SHARD_BYTES = 256 << 20
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[9:14] = _BLANK[28:33] = True
 
 
 def _fs(path: str):
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def _uneven(text: str) -> bool:
-    """Whether some blank does not stand alone between visible characters; if none does not, each blank is a cut."""
-    return text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text) is not None
+def _blank_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a blank character beyond ASCII starts at these bytes; what ends before the data is none."""
+    byte = lambda k: data[np.minimum(at + k, len(data) - 1)]
+    a, b, c = byte(0), byte(1), byte(2)
+    narrow = (c >= 0x80) & (c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)
+    wide = (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE2) & (b == 0x80) & narrow | (a == 0xE2) & (b == 0x81) & (c == 0x9F) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | wide
+
+
+def cuts(block) -> np.ndarray:
+    """Bytes of the blanks that stand alone between two visible characters of one text."""
+    data = block.data
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[block.offset] = True
+    at = np.flatnonzero(data == 32)
+    at = at[~edge[at] & ~edge[at + 1]]
+    at = at[~_BLANK[data[at - 1]] & ~_BLANK[data[at + 1]]]
+    odd = data[at + 1] >= 0x80
+    odd[odd] = _blank_at(data, at[odd] + 1)
+    before = data[at - 1] >= 0x80
+    near = at[before]
+    before[before] = _blank_at(data, np.maximum(near - 2, 0)) | _blank_at(data, np.maximum(near - 3, 0))
+    return at[~odd & ~before]
 
 
 class Encoder:
@@ -67,8 +92,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[str, bytes] = {}  # ids of a piece after a blank, without that blank in the key
-        self.heads: dict[str, bytes] = {}  # ids of a text's first piece
+        self.known: dict[str, bytes] = {}
         special = self.tokenizer.get_added_tokens_decoder()
         self.split = next((i for i, t in special.items() if t.content == "<|endoftext|>"), None)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
@@ -76,37 +100,39 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
-    def _learn(self, pieces: list[str], known: dict[str, bytes], before: str) -> None:
-        """Encode new pieces, each with the blank before it, in one text, with a special token between them."""
-        if self.split is None:
-            known.update((p, self.ids(before + p)) for p in pieces)
-            return
-        known.update((p, self.ids(before + p)) for p in pieces if "<|" in p)
-        plain = [p for p in pieces if "<|" not in p]
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces, many in one text, with a special token between them."""
+        alone = pieces if self.split is None else [p for p in pieces if "<|" in p]
+        self.known.update((p, self.ids(p)) for p in alone)
+        plain = [] if self.split is None else [p for p in pieces if "<|" not in p]
         for lo in range(0, len(plain), 2000):
             part = plain[lo : lo + 2000]
-            joined = before + f"<|endoftext|>{before}".join(part)
-            flat = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.width)
+            flat = np.array(self.tokenizer.encode_batch_fast(["<|endoftext|>".join(part)], add_special_tokens=False)[0].ids, dtype=self.width)
             cut = np.flatnonzero(flat == self.split)
             start, end = np.append(0, cut + 1) * flat.itemsize, np.append(cut, len(flat)) * flat.itemsize
             raw = flat.tobytes()
-            known.update((p, raw[a:z]) for p, a, z in zip(part, start.tolist(), end.tolist()))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with END appended."""
-        end = np.array([END], dtype=self.width).tobytes()
-        if len(self.known) + len(self.heads) > REMEMBER:
-            self.known, self.heads = {}, {}
-        cuts, fresh, heads = [], set(), set()
-        for text in texts:
-            pieces = _SPACE.split(text) if _uneven(text) else text.split(" ")
-            cuts.append(pieces)
-            heads.add(pieces[0])
-            fresh.update(pieces[1:])
-        self._learn(sorted(heads.difference(self.heads)), self.heads, "")
-        self._learn(sorted(fresh.difference(self.known)), self.known, " ")
-        known = self.known.__getitem__
-        return [self.heads[pieces[0]] + b"".join(map(known, pieces[1:])) + end for pieces in cuts]
+            self.known.update((p, raw[a:z]) for p, a, z in zip(part, start.tolist(), end.tolist()))
+
+    def encode(self, block) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the block's texts one after the other, END after each, and how many each has."""
+        if len(self.known) > REMEMBER:
+            self.known = {}
+        at = cuts(block)
+        first = np.arange(block.rows) + np.searchsorted(at, block.offset[:-1])  # each text's first piece
+        start = np.sort(np.concatenate([block.offset[:-1], at]))
+        offset = np.append(start, block.offset[-1]).astype(np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offset), pa.py_buffer(block.data)).dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        self._learn([w for w in words if w not in self.known])
+        held = [self.known[w] for w in words] + [np.array([END], dtype=self.width).tobytes()]
+        many = np.array(list(map(len, held)), dtype=np.int64) // np.dtype(self.width).itemsize
+        begin = np.cumsum(many) - many
+        number = np.insert(pieces.indices.to_numpy().astype(np.int64), np.append(first[1:], len(start)), len(words))
+        length = many[number]
+        place = np.repeat(begin[number] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        total = np.append(0, np.cumsum(length))
+        ends = np.append(first[1:], len(start)) + np.arange(1, block.rows + 1)
+        return np.frombuffer(b"".join(held), dtype=self.width)[place], np.diff(np.append(0, total[ends]))
 
 
 _encoders: dict[str, Encoder] = {}  # of this process: what one task has learnt serves the next
@@ -114,27 +140,25 @@ _encoders: dict[str, Encoder] = {}  # of this process: what one task has learnt
 
 def _write(batches, folder: str, file: str):
     encoder = _encoders.get(file) or _encoders.setdefault(file, Encoder(file))
-    ids, lengths, total = [], [], 0
+    ids, lengths = [], []
     number = None
     filesystem, path = _fs(folder)
     name = f"shard-{uuid.uuid4().hex}"
     out = None
     for batch in batches:
-        for lo in range(0, batch.num_rows, 64):
-            part = batch.slice(lo, 64)
+        for block in blocks(batch.column(1), ENCODE_BYTES):
             if out is None:
-                number = part.column(2)[0].as_py()
+                number = batch.column(2)[0].as_py()
                 filesystem.create_dir(path, recursive=True)
                 out = filesystem.open_output_stream(f"{path}/{name}.ids")
-            encoded = encoder.encode(part.column(1).to_pylist())
-            ids.append(part.column(0).fill_null(_NULL).to_numpy())
-            lengths.append(np.array([len(e) for e in encoded], dtype=np.int64))
-            out.write(b"".join(encoded))
-            total += sum(map(len, encoded))
+            encoded, many = encoder.encode(block)
+            ids.append(batch.column(0).slice(block.lo, block.rows).fill_null(_NULL).to_numpy())
+            lengths.append(many)
+            out.write(encoded.tobytes())
     if out is None:
         return
     width = np.dtype(encoder.width).itemsize
-    lengths = np.concatenate(lengths) // width
+    lengths = np.concatenate(lengths)
     offsets = np.append(0, np.cumsum(lengths))
     out.write(offsets.astype("<u8").tobytes())
     out.write(FOOTER.pack(MAGIC, 1, width, len(lengths), int(offsets[-1])))
@@ -153,10 +177,13 @@ def write_shards(docs: DataFrame, folder: str, file: str, partitions: int | None
     """Write the shards; returns the manifest: one row per key (key, part, place, many, file, documents, ids)."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions
+    if n is None:
+        held = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARD_BYTES))
     placed = texts.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     numbered = placed.withColumn("part", F.spark_partition_id().cast("long"))
-    return cut(numbered.mapInArrow(lambda b: _write(b, folder, file), "key bigint, part bigint, place bigint, many bigint, file string, documents bigint, ids bigint"))
+    return cut(numbered.mapInArrow(lean(lambda b: _write(b, folder, file)), "key bigint, part bigint, place bigint, many bigint, file string, documents bigint, ids bigint"))
 
 
 class Index:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.crf import Chain, sequences
 from orrery.llm.samples import class_share, held_out, labelled
-from orrery.llm.textblocks import Hashes, blocks, mix64
+from orrery.llm.textblocks import Hashes, blocks, lean, mix64
 
 BUCKETS = 1 << 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
@@ -209,7 +209,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, offsets (code points of toxic words, end exclusive)."""
     model = _fitted(docs, labels)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = texts.mapInArrow(lambda b: _score(b, model), "doc_id bigint, score double, offsets array<struct<start:bigint,end:bigint>>")
+    scored = texts.mapInArrow(lean(lambda b: _score(b, model)), "doc_id bigint, score double, offsets array<struct<start:bigint,end:bigint>>")
     return scored.select("doc_id", held_out().alias("held_out"), "score", "offsets")
 
 
@@ -219,4 +219,4 @@ def acceptable(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     Each row is judged by its own text, whatever its doc_id: null, shared or repeated.
     """
     model, text = _fitted(docs, labels), docs.columns.index("text")
-    return docs.mapInArrow(lambda b: _acceptable(b, model, text, threshold), docs.schema)
+    return docs.mapInArrow(lean(lambda b: _acceptable(b, model, text, threshold)), docs.schema)

@@ -5,12 +5,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.llm import buckets, chat, components, crf, lines, minhash, mixing, queries, tokens
 from orrery.llm.common import table
 from orrery.llm.decontaminate import contamination
+from orrery.llm.textblocks import Hashes, blocks
 from tests.llm.helpers import docs, shingles, union_find, words
 
 
@@ -63,6 +65,37 @@ def test_prob_min_hash_estimates_similarity():
     assert abs((sig[0] == sig[1]).mean() - 200 / 400) < 0.05
 
 
+def morse(n, x="a", y="b"):
+    """A string that differs from its own complement everywhere, and whose polynomial modulo a power of two does not."""
+    return x if not n else morse(n - 1, x, y) + morse(n - 1, y, x)
+
+
+def test_substring_hashes():
+    text = f"{morse(11)} {morse(11, 'b', 'a')} {morse(11)}".encode()
+    at = np.array([0, 2049, 4098])
+    first, second, third = Hashes(np.frombuffer(text, np.uint8)).of(at, at + 2048)
+    assert first == third != second
+    data = np.random.default_rng(1).integers(0, 256, (1 << 23) + 5000, dtype=np.uint8)
+    data[-2000:] = data[:2000]
+    n = len(data)
+    whole = Hashes(data)
+    one = whole.of(np.array([0, n - 2000, 10, (1 << 23) - 7]), np.array([2000, n, 20, (1 << 23) + 9]))
+    assert one[0] == one[1] and one[2] == Hashes(data[10:20]).of(np.array([0]), np.array([10]))[0]
+    assert one[3] == Hashes(data[(1 << 23) - 7 : (1 << 23) + 9]).of(np.array([0]), np.array([16]))[0]
+
+
+def test_lines_that_only_look_alike(spark):
+    rows = [(1, morse(10)), (2, morse(10, "b", "a")), (3, morse(10))]
+    got = {r.doc_id: (r.n_places, r.kept) for r in lines.line_classes(docs(spark, rows)).collect()}
+    assert got == {1: (2, True), 2: (1, True), 3: (2, False)}
+
+
+def test_repeated_words_stay_cheap(spark):
+    bench = spark.createDataFrame([(1, "same " * 4000), (2, "same " * 20), (3, "a b " * 500)], "item_id bigint, text string")
+    rows = contamination(docs(spark, [(1, "same " * 20000), (2, "a b " * 9000), (3, "same " * 12)]), bench).collect()
+    assert sorted((r.doc_id, r.n_hit, r.item_ids) for r in rows) == [(1, 20000, [1, 2]), (2, 18000, [3]), (3, 0, [])]
+
+
 def test_decontamination_against_all_windows(spark, sf):
     d, b = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     windows = {}
@@ -167,8 +200,17 @@ def test_pieces_encode_as_whole_texts():
 
     file = public_tokenizers.path(tokens.VOCABULARY)
     plain, encoder = Tokenizer.from_file(file), tokens.Encoder(file)
-    for text in ("a  b", " a b ", "a \n b c", "a b <|endoftext|> c<|endoftext|>", "a b c", "a\x1c b \x1cc", "don't we'll  x 's", "", " ", "é 你好 1 23 a", "a <| b"):
-        assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == [*plain.encode(text, add_special_tokens=False).ids, tokens.END], text
+    rng = random.Random(12)
+    odd = ["a", "Bc", " ", "  ", "\n", "\u00a0", "\u3000", "\u2009", "\u2028", "\u1680", "\u0085", "“q”", "カナ", "你好", "é", "'s", "1", "<|", "\x1c", "<|endoftext|>"]
+    texts = ["a  b", " a b ", "a \n b c", "a b <|endoftext|> c<|endoftext|>", "a b c", "a\x1c b \x1cc", "don't we'll  x 's", "", " ", "é 你好 1 23 a", "a <| b", "", ""]
+    texts += [" ".join(rng.choice(odd) for _ in range(rng.randrange(12))) for _ in range(400)]
+    wanted = [[*plain.encode(text, add_special_tokens=False).ids, tokens.END] for text in texts]
+    for limit in (1 << 20, 40):
+        got = []
+        for block in blocks(pa.array(texts), limit):
+            ids, many = encoder.encode(block)
+            got += np.split(ids, np.cumsum(many)[:-1])
+        assert [x.tolist() for x in got] == wanted
 
 
 def test_index_is_minimal_and_perfect():
