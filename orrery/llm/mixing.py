@@ -7,13 +7,13 @@ feature; features whose counts tell nothing (a chi-square under `TELLING`) weigh
 the evidence and the length, fitted on the sample's other half, turns it into the document's
 posterior over the domains.
 
-Rates.  A document of n tokens and posterior p adds r n p to the expected domain totals.  Nonnegative
-rates r that bring the totals to their targets are found by accelerated projected gradient descent on
-the squared distance, from r = 1: a step of a document is r - rate * (p . error), held at 0 or above.  Documents
-whose posteriors fall into one cell of a grid of `GRID` steps share a rate.  The corpus enters the gradient through
-its tokens and its exact domain totals (the sums of n p) in each cell: one distributed sum, of a bounded number of cells however
-large the corpus, over which the steps then run until the projected gradient is below `RESIDUAL`; the rates go back to the
-documents by a join with that bounded table.  Rates have no upper bound; `reached` gives the totals beside their targets.
+Rates.  A document of n tokens and posterior p adds r n p to the expected domain totals.  Nonnegative rates bring the
+totals to their targets, as little away from 1 as that allows: least squares of the missed totals, with the distance of the rates
+from 1 (weighted by tokens) at a vanishing weight `PULL`.  The gradient steps of every document sum up to one step for each domain, held in `steps`,
+and projection onto the nonnegative gives each document its own rate max(0, 1 + p . steps).  Every round is one
+distributed sum over all documents: the totals that the rates reach, and their slopes; from it the driver, which sees only these few numbers, takes the next
+step for each domain (the gradient scaled by the slopes, shortened while it brings no gain).  The rounds end
+when the gradient is below `RESIDUAL`.  Rates have no upper bound; `reached` gives the totals beside their targets.
 
 Targets.  Shares of `epochs` times the corpus' tokens; a domain without a target is left free.  `mixed` repeats documents: a rate of 1.3
 gives one copy, and a second one for the three in ten whose hash falls there.
@@ -40,10 +40,11 @@ EPOCHS = 1.15
 BUCKETS = 1 << 13
 #: Labelled rows of each domain that the classifier learns from.
 ROWS_PER_DOMAIN = 4000
-GRID = 50
-#: The steps end when the projected gradient is this small beside a domain's share, or after so many rounds.
+#: The rounds end when the gradient is this small, in shares of all tokens, or after so many rounds.
 RESIDUAL = 1e-7
-ROUNDS = 200000
+ROUNDS = 60
+#: The weight of the rates' distance from 1 beside the missed totals.
+PULL = 1e-6
 TELLING = 20.0
 
 
@@ -152,42 +153,58 @@ def memberships(docs: DataFrame, labels: DataFrame, write) -> DataFrame:
     return told.withColumn("__p", model.posterior()).drop("__logits")
 
 
-def descend(points: list[tuple[float, list[float]]], goal: list[float | None], rounds: int = ROUNDS) -> list[float]:
-    """Rates of the points (tokens, posterior) whose expected domain totals come closest to goal, in shares of all tokens."""
-    total = sum(n for n, _ in points)
-    if not total:
-        return [1.0] * len(points)
-    share = np.array([n / total for n, _ in points])
+def _rate(steps: list[float]) -> Column:
+    """The rate of a document with posterior __p."""
+    moved = F.lit(1.0)
+    for k, step in enumerate(steps):
+        moved = moved + F.lit(step) * F.get("__p", F.lit(k))
+    return F.greatest(F.lit(0.0), moved)
+
+
+def fitted_steps(placed: DataFrame, goal: list[float | None], rounds: int = ROUNDS) -> list[float]:
+    """The step of each domain for rows with __n and __p, so that the expected totals come closest to goal (shares of all tokens)."""
     domains = [k for k, wanted in enumerate(goal) if wanted is not None]
-    # the step: one over a bound of the curvature, the largest domain's expected share
-    member = np.array([[p[k] for k in domains] for _, p in points])
     wanted = np.array([goal[k] for k in domains])
-    step = 1.0 / max(1e-9, (share @ member).max())
-    now = before = np.ones(len(points))
-    age = 0
+
+    def totals(steps):
+        """Shares of the domains at these steps, and their slopes: one sum over all documents."""
+        rate, n = _rate(list(steps)), F.col("__n").cast("double")
+        part = [F.get("__p", F.lit(k)) for k in domains]
+        held = [F.sum(n * rate * p) for p in part] + [F.sum(F.when(rate > 0, n * p * q)) for p in part for q in part]
+        row = placed.agg(F.sum(n), *held).first()
+        whole = row[0] or 0.0
+        if not whole:
+            return None
+        sums = np.array([x or 0.0 for x in row[1:]]) / whole
+        return sums[: len(domains)], sums[len(domains) :].reshape(len(domains), -1)
+
+    steps = np.zeros(len(goal))
+    now = totals(steps)
+    if now is None or not domains:
+        return steps.tolist()
+    gap = lambda reached, steps: wanted - reached - PULL * steps[domains]
+    share, tries = 1.0, 0
+    move = None
     for _ in range(rounds):
-        ahead = now + age / (age + 3) * (now - before)
-        slope = member @ ((share * ahead) @ member - wanted)
-        new = np.maximum(0.0, ahead - step * slope)
-        # what still moves where it may, weighted as in the objective
-        here = member @ ((share * new) @ member - wanted)
-        left = np.where(new > 0, here, np.minimum(here, 0.0))
-        age = 0 if (share * slope) @ (new - now) > 0 else age + 1  # momentum that leads uphill is dropped
-        before, now = now, new
-        if np.sqrt(share @ left**2) <= RESIDUAL * np.sqrt(max(1e-12, (share @ member).min())):
+        left = gap(now[0], steps)
+        if np.abs(left).max() <= RESIDUAL:
             break
-    return now.tolist()
+        if move is None:
+            move = np.linalg.solve(now[1] + PULL * np.eye(len(domains)), left)
+        ahead = steps.copy()
+        ahead[domains] += share * move
+        then = totals(ahead)
+        if tries < 6 and np.abs(gap(then[0], ahead)).sum() > (1 - 0.1 * share) * np.abs(left).sum():
+            share, tries = share / 2, tries + 1  # no gain: a shorter step
+            continue
+        steps, now, move, share, tries = ahead, then, None, 1.0, 0
+    return steps.tolist()
 
 
 def with_rates(placed: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = EPOCHS) -> DataFrame:
     """placed (with __n and __p) and the column __rate."""
-    cell = F.aggregate("__p", F.lit(0), lambda a, x: a * (GRID + 1) + F.round(x * GRID).cast("int"))
-    placed = placed.withColumn("__cell", cell)
-    mass = [F.sum(F.col("__n") * F.get("__p", F.lit(k))).alias(f"m{k}") for k in range(len(DOMAINS))]
-    points = placed.groupBy("__cell").agg(F.sum("__n").alias("n"), *mass).orderBy("__cell").collect()
-    found = descend([(float(r.n), [r[f"m{k}"] / r.n if r.n else 0.0 for k in range(len(DOMAINS))]) for r in points], [targets[d] * epochs if d in targets else None for d in DOMAINS])
-    table = placed.sparkSession.createDataFrame([(r["__cell"], x) for r, x in zip(points, found)], "__cell int, __rate double")
-    return placed.join(F.broadcast(table), "__cell").drop("__cell")
+    steps = fitted_steps(placed.select("__n", "__p"), [targets[d] * epochs if d in targets else None for d in DOMAINS])
+    return placed.withColumn("__rate", _rate(steps))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = EPOCHS) -> DataFrame:

@@ -155,20 +155,42 @@ def test_marginals_and_path_against_enumeration():
     assert tuple(chain.decode(scores, *one)) == paths[int(mass.argmax())]
 
 
-def test_rates_meet_targets():
-    points = [(100.0, [0.9, 0.1, 0.0]), (50.0, [0.2, 0.8, 0.0]), (30.0, [0.0, 0.1, 0.9])]
-    goal = [0.7, 0.2, 0.1]
-    rates = mixing.descend(points, goal, rounds=3000)
-    reached = [sum(n / 180 * r * p[k] for r, (n, p) in zip(rates, points)) for k in range(3)]
-    assert np.allclose(reached, goal, atol=1e-3) and min(rates) >= 0
-
-
-def test_rates_of_a_rare_domain_meet_their_target():
-    points = [(900.0, [0.98, 0.02, 0.0]), (95.0, [0.05, 0.95, 0.0]), (5.0, [0.0, 0.0, 1.0])]
-    goal = [t * mixing.EPOCHS for t in mixing.TARGETS.values()]
-    rates = mixing.descend(points, goal)
-    reached = [sum(n / 1000 * r * p[k] for r, (n, p) in zip(rates, points)) for k in range(3)]
-    assert np.allclose(reached, goal, atol=1e-3) and min(rates) >= 0 and rates[2] > 11
+def plain_rates(n, p, goal, rounds=400000):
+    """Nonnegative rates of least squares by projected gradient, document by document, started from 1."""
+    share, r = n / n.sum(), np.ones(len(n))
+    step = 1 / (share @ p).max()
+    for _ in range(rounds):
+        new = np.maximum(0, r - step * (p @ ((share * r) @ p - goal)))
+        if np.abs(new - r).max() < 1e-12:
+            break
+        r = new
+    return r
+
+
+@pytest.mark.parametrize("goal", [[0.7, 0.2, 0.1], [0.9775, 0.115, 0.0575], [0.2, 0.9, 0.0], [1.0, 0.05, 0.001]])
+def test_rates_against_projected_gradient(spark, goal):
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet([2.0, 0.6, 0.2], 300)
+    n = rng.integers(1, 400, 300).astype(float)
+    placed = spark.createDataFrame([(int(i), int(m), q.tolist()) for i, (m, q) in enumerate(zip(n, p))], "doc_id bigint, __n bigint, __p array<double>")
+    rated = mixing.with_rates(placed, dict(zip(mixing.DOMAINS, goal)), 1.0).orderBy("doc_id").collect()
+    r = np.array([x["__rate"] for x in rated])
+    goal, share = np.array(goal), n / n.sum()
+    best = plain_rates(n, p, goal)
+    missed = lambda r: np.square((share * r) @ p - goal).sum()
+    whole = lambda r: missed(r) + mixing.PULL * (share @ (r - 1) ** 2)
+    assert r.min() >= 0 and whole(r) <= whole(best) + 1e-9
+    if missed(best) < 1e-12:
+        assert np.allclose((share * r) @ p, goal, atol=1e-4)
+        assert share @ (r - 1) ** 2 <= share @ (best - 1) ** 2 + 1e-6  # no other rates are as near to 1
+
+
+def test_rates_of_a_rare_domain_meet_their_target(spark):
+    rows = [(1, 900, [0.98, 0.02, 0.0]), (2, 95, [0.05, 0.95, 0.0]), (3, 5, [0.0, 0.0, 1.0]), (4, 0, [1.0, 0.0, 0.0])]
+    placed = spark.createDataFrame(rows, "doc_id bigint, __n bigint, __p array<double>")
+    rates = [r["__rate"] for r in mixing.with_rates(placed).orderBy("doc_id").collect()]
+    reached = [sum(n / 1000 * r * p[k] for r, (_, n, p) in zip(rates, rows)) for k in range(3)]
+    assert np.allclose(reached, [t * mixing.EPOCHS for t in mixing.TARGETS.values()], atol=1e-4) and min(rates) >= 0 and rates[2] > 11
 
 
 def test_mass_below_a_grid_step_counts(spark):
