@@ -12,7 +12,7 @@ from orrery.llm.embeddings import near_vectors
 from orrery.llm.lines import line_classes
 from orrery.llm.minhash import near_duplicates
 from orrery.llm.mixing import rates
-from orrery.llm.pii import KINDS, personal_data
+from orrery.llm.pii import BASE, KINDS, personal_data
 from orrery.llm.quality import quality
 from orrery.llm.tokens import VOCABULARY, token_table
 from orrery.llm.toxicity import toxicity
@@ -46,7 +46,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, KINDS), F.sha2(digest(F.col("base")), 256).alias("base_sha256"), digest(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+    return found.select(
+        "doc_id",
+        *map(count, BASE),
+        F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
+        digest(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
+    )
 
 
 _MARKED = "</s>[INST] ok [/INST]"

@@ -12,9 +12,12 @@ the keys without gaps.  A slot stores a 32-bit fingerprint, the shard, the docum
 in it and how many documents share the key.  A lookup is one bucket, a few bit tests, a fingerprint
 comparison and two offsets: constant time, whatever the size of the corpus.
 
-Encoding.  No token reaches over a blank that stands alone between two visible characters, so a text is
-cut before such blanks; each distinct piece of a block is encoded once and remembered (a bounded memory for
-each worker), and the ids of all pieces are put together by array operations.  The ids are those of the whole text.
+Encoding.  A byte-level vocabulary splits texts by a pattern and no token reaches over a split.  Some splits
+are certain from the neighbouring characters: before a blank that stands alone between visible characters,
+before a line break after and after one before a visible character, and before a full stop or the like after an ASCII letter or
+digit.  Texts are cut there; each distinct piece of a block is encoded once and remembered (a bounded memory for
+each worker), and the ids of all pieces are put together by array operations.  The ids are those of the whole text; a
+vocabulary with another pattern has its texts encoded whole.
 
 Defined results: a null text is an empty one (only the end id); documents that share a doc_id
 stand next to each other, ordered by text, and a lookup finds all of them; null doc_ids come first and are one key;
@@ -23,6 +26,7 @@ an empty table makes no shard; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -42,7 +46,8 @@ END = 2
 MAGIC = b"IDSHARD1"
 FOOTER = struct.Struct("<8sIIQQ")
 BUCKET_KEYS = 1 << 15
-REMEMBER = 700_000
+#: Pieces that a worker remembers: so many new ones, and as many from before.
+REMEMBER = 500_000
 
 _NULL = -(1 << 63)
 _GOLD = 0x9E3779B97F4A7C15
@@ -53,6 +58,10 @@ SHARD_BYTES = 256 << 20
 
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[9:14] = _BLANK[28:33] = True
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[list(b",.;:!?")] = True
 
 
 def _fs(path: str):
@@ -68,20 +77,41 @@ def _blank_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | wide
 
 
+def _visible_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each byte is visible; there is one, in the same text."""
+    seen = ~_BLANK[data[at - 1]]
+    wide = np.flatnonzero(data[at - 1] >= 0x80)
+    near = at[wide]
+    seen[wide] = ~(_blank_at(data, np.maximum(near - 2, 0)) | _blank_at(data, np.maximum(near - 3, 0)))
+    return seen
+
+
+def _visible_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a visible character starts at each byte."""
+    seen = ~_BLANK[data[at]]
+    wide = np.flatnonzero(data[at] >= 0x80)
+    seen[wide] = ~_blank_at(data, at[wide])
+    return seen
+
+
 def cuts(block) -> np.ndarray:
-    """Bytes of the blanks that stand alone between two visible characters of one text."""
+    """Bytes where a split is certain, inside texts."""
     data = block.data
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[block.offset] = True
-    at = np.flatnonzero(data == 32)
-    at = at[~edge[at] & ~edge[at + 1]]
-    at = at[~_BLANK[data[at - 1]] & ~_BLANK[data[at + 1]]]
-    odd = data[at + 1] >= 0x80
-    odd[odd] = _blank_at(data, at[odd] + 1)
-    before = data[at - 1] >= 0x80
-    near = at[before]
-    before[before] = _blank_at(data, np.maximum(near - 2, 0)) | _blank_at(data, np.maximum(near - 3, 0))
-    return at[~odd & ~before]
+    inner = lambda at: at[~edge[at]]
+    blank = inner(np.flatnonzero(data == 32))
+    blank = blank[~edge[blank + 1]]
+    blank = blank[_visible_before(data, blank) & _visible_at(data, blank + 1)]
+    line = np.flatnonzero(data == 10)
+    before, after = inner(line), inner(line + 1)
+    stop = inner(np.flatnonzero(_STOP[data]))
+    stop = stop[_ALNUM[data[stop - 1]]]
+    found = [blank, before[_visible_before(data, before)], after[_visible_at(data, after)], stop]
+    mark = np.zeros(len(data) + 1, dtype=bool)
+    for at in found:
+        mark[at] = True
+    return np.flatnonzero(mark)
 
 
 class Encoder:
@@ -93,8 +123,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         special = self.tokenizer.get_added_tokens_decoder()
         self.split = next((i for i, t in special.items() if t.content == "<|endoftext|>"), None)
+        shape = json.loads(self.tokenizer.to_str())
+        how = shape.get("pre_tokenizer") or {}
+        #: Whether the vocabulary splits by the byte-level pattern, as it is
+        self.cut = shape.get("normalizer") is None and how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space")
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def ids(self, text: str) -> bytes:
@@ -116,22 +151,30 @@ class Encoder:
     def encode(self, block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's texts one after the other, END after each, and how many each has."""
         if len(self.known) > REMEMBER:
-            self.known = {}
-        at = cuts(block)
+            self.known, self.before = {}, self.known
+        at = cuts(block) if self.cut else np.zeros(0, dtype=np.int64)
         first = np.arange(block.rows) + np.searchsorted(at, block.offset[:-1])  # each text's first piece
         start = np.sort(np.concatenate([block.offset[:-1], at]))
         offset = np.append(start, block.offset[-1]).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offset), pa.py_buffer(block.data)).dictionary_encode()
         words = pieces.dictionary.to_pylist()
-        self._learn([w for w in words if w not in self.known])
-        held = [self.known[w] for w in words] + [np.array([END], dtype=self.width).tobytes()]
-        many = np.array(list(map(len, held)), dtype=np.int64) // np.dtype(self.width).itemsize
-        begin = np.cumsum(many) - many
-        number = np.insert(pieces.indices.to_numpy().astype(np.int64), np.append(first[1:], len(start)), len(words))
+        fresh = [w for w in words if w not in self.known]
+        self.known.update((w, self.before[w]) for w in fresh if w in self.before)
+        self._learn([w for w in fresh if w not in self.before])
+        held = list(map(self.known.__getitem__, words))
+        held.append(np.array([END], dtype=self.width).tobytes())
+        many = np.array(list(map(len, held)), dtype=np.int32) // np.dtype(self.width).itemsize
+        begin = np.cumsum(many, dtype=np.int32) - many
+        # the pieces of each text, and the last of `held` after them
+        ends = np.append(first[1:], len(start)) + np.arange(block.rows)
+        number = np.full(len(start) + block.rows, len(words), dtype=np.int32)
+        own = np.ones(len(number), dtype=bool)
+        own[ends] = False
+        number[own] = pieces.indices.to_numpy()
         length = many[number]
-        place = np.repeat(begin[number] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        total = np.append(0, np.cumsum(length))
-        ends = np.append(first[1:], len(start)) + np.arange(1, block.rows + 1)
+        total = np.cumsum(length, dtype=np.int64)
+        place = np.repeat((begin[number] - (total - length)), length)
+        place += np.arange(len(place))
         return np.frombuffer(b"".join(held), dtype=self.width)[place], np.diff(np.append(0, total[ends]))
 
 

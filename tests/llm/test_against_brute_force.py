@@ -388,3 +388,51 @@ def test_mixing_rows_repeat_by_rate(spark, sf):
     rate = mixing.rates(d, table(spark, sf, "labels")).select("doc_id", "rate")
     worst = rate.join(out, "doc_id", "left").select(F.max(F.abs(F.coalesce("count", F.lit(0)) - F.col("rate")))).first()[0]
     assert worst <= 1
+
+
+def test_machine_sums_all_pairs():
+    from orrery.llm.quality import BUCKETS, STATISTICS, Machine, features
+
+    rng = np.random.default_rng(21)
+    machine = Machine()
+    n = BUCKETS + len(STATISTICS)
+    machine.w0, machine.w, machine.v = 0.3, rng.normal(size=n), rng.normal(size=(n, 8))
+    machine.center, machine.spread = rng.random(len(STATISTICS)), 0.5 + rng.random(len(STATISTICS))
+    texts = ["one two two three", "", "a b c d e f. One two!\nthree | four", "x " * 50]
+    (block,) = blocks(pa.array(texts))
+    row, column, value = machine._joined(*features(block))
+    got = machine.score(block)
+    for k in range(len(texts)):
+        c, x = column[row == k], value[row == k]
+        z = machine.w0 + machine.w[c] @ x + sum(machine.v[c[i]] @ machine.v[c[j]] * x[i] * x[j] for i in range(len(c)) for j in range(i))
+        assert np.isclose(got[k], 1 / (1 + np.exp(-z)))
+
+
+def test_document_score_by_enumeration():
+    import itertools
+
+    from orrery.llm.toxicity import Tagger, _breaks, _features
+
+    rng = np.random.default_rng(22)
+    tagger = Tagger()
+    tagger.chain = crf.Chain(1 << 18, 2)
+    tagger.chain.emission, tagger.chain.transition, tagger.chain.opening = rng.normal(size=(1 << 18, 2)) / 2, rng.normal(size=(2, 2)), rng.normal(size=2)
+    tagger.blend = np.array([-0.4, 0.7, 1.3])
+    (block,) = blocks(pa.array(["a bad word here. And more\nof it", "fine", ""]))
+    words = block.words()
+    local = tagger.chain.scores((_features(words) % np.uint64(1 << 18)).astype(np.int32))
+    start = np.append(np.flatnonzero(_breaks(words)), len(words))
+    chance = np.zeros(len(words))
+    for a, z in zip(start[:-1], start[1:]):
+        mass = np.zeros((z - a, 2))
+        for path in itertools.product(range(2), repeat=z - a):
+            weight = np.exp(tagger.chain.opening[path[0]] + sum(local[a + t, s] for t, s in enumerate(path)) + sum(tagger.chain.transition[s, r] for s, r in zip(path, path[1:])))
+            for t, s in enumerate(path):
+                mass[t, s] += weight
+        chance[a:z] = mass[:, 1] / mass.sum(axis=1)
+    got = tagger.score(block)[0]
+    for row in range(3):
+        own = chance[words.row == row]
+        top = min(max([1e-6, *own]), 1 - 1e-6)
+        z = tagger.blend @ [1, np.log(top / (1 - top)), np.log1p(own[own >= 0.1].sum())]
+        assert np.isclose(got[row], 1 / (1 + np.exp(-z)))

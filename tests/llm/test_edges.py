@@ -1,5 +1,7 @@
 """Nulls, empties, ties, repeated rows, long texts, clashing columns and empty tables, for every operator."""
 
+import random
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -71,8 +73,6 @@ def test_sample_skips_an_oversized_text(spark):
     usual = samples.labelled(docs(spark, rows), marks, "toxic", text_bytes=5000).num_rows
     rows[first] = (first, "a b c 1 " * 1000)
     assert samples.labelled(docs(spark, rows), marks, "toxic", text_bytes=5000).num_rows == usual - 1 > 30
-    several = docs(spark, [(i, f"call {i} " * (1000 if i % 5 == 0 else 1)) for i in range(50)])
-    assert pii.labelled_by_patterns(several, text_bytes=3000).num_rows == 40
 
 
 T, NEAR, U = " ".join(f"w{i}" for i in range(200)), " ".join(f"w{i}" for i in range(201)), "quite another text of some words"
@@ -100,6 +100,24 @@ def test_toxic_rows_go_by_row(spark, monkeypatch):
     assert sorted((r.doc_id, r.text) for r in rows) == [(1, U), (2, U), (2, U)]
 
 
+@pytest.mark.parametrize("number", range(5))
+def test_stages_on_odd_rows(spark, odd, none, labels, number, tmp_path):
+    import corpus_pipeline
+
+    (labels.limit(0) if number == 0 else labels).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, T), (2, None), (None, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    stage = corpus_pipeline.STAGES[number][1]
+    more = docs(spark, [(None, T), (None, U), (4, U), (4, "one two three"), (None, None)], extra=True)
+    out = stage(spark, odd.unionByName(more), str(tmp_path))
+    rows = out.collect()
+    if number < 4:
+        assert out.columns == odd.columns and {r.doc_id for r in rows} <= {None, *(i for i, _ in ODD)}
+        assert len(rows) == {0: 15, 1: 12, 2: 14}.get(number, len(rows))
+    else:
+        assert sorted(out.columns) == ["doc_id", "ids_crc32", "n_tokens", "start"] and len(rows) == 15
+    assert stage(spark, none, str(tmp_path)).count() == 0
+
+
 def test_mixing(odd, none, labels):
     rows = mixing.rates(odd, labels).collect()
     assert len(rows) == len(ODD) and all(r.rate >= 0 for r in rows)
@@ -144,6 +162,31 @@ def test_personal_data(odd, none):
     assert pii.personal_data(none).count() == 0
 
 
+def test_personal_data_beyond_the_patterns(spark):
+    rng = random.Random(4)
+    plain = ["alpha beta gamma", "some words here", "und noch etwas mehr", "Version 2.4 of 1999"]
+    rows, planted = [], []
+    for i in range(200):
+        kind, said = pii._spellings(rng)
+        text = f"{rng.choice(plain)} {said} {rng.choice(plain)}"
+        rows.append((i, text))
+        planted.append((i, text.index(said), text.index(said) + len(said)))
+    rows += [(1000 + i, f"{a} {b}") for i, (a, b) in enumerate(zip(plain * 5, plain[::-1] * 5))]
+    got = {r.doc_id: [(s.start, s.end) for s in r.base + r.added] for r in pii.personal_data(docs(spark, rows)).collect()}
+    caught = sum(any(a < z and s < e for s, e in got[i]) for i, a, z in planted)
+    assert caught >= 0.9 * len(planted)
+    assert [(i, got[i]) for i in got if i >= 1000 and got[i]] == []
+
+
+def test_long_runs_take_linear_time():
+    began = time.process_time()
+    for text in ("1" * 1000000, "a" * 1000000, "a" * 500000 + "@" + "b" * 500000, "Ab1+/" * 200000, "1.1.1" * 200000, "+1 " * 300000, "a@" * 400000):
+        pii.base_spans(text)
+    assert time.process_time() - began < 15
+    assert pii.base_spans("a@b.c_d@e.f x@y") == [(0, 0, 5), (0, 5, 11)]
+    assert pii.base_spans("1.2.3.4.5.6.7.8 x1.2.3.4") == [(1, 0, 7), (1, 8, 15), (1, 17, 24)]
+
+
 def test_chat(spark):
     log = chat.events_of_turns(spark.createDataFrame([(1, 0, None, None), (1, 1, "assistant", "<&[\n|end|>"), (None, 0, "user", "x"), (1, 1, "assistant", "<&[\n|end|>")], "conv_id bigint, turn bigint, role string, text string"))
     back = {r.conv_id: r for r in chat.read_back(chat.formatted(log)).collect()}
