@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 LONGEST = 128
+FIT_TOKENS = 1 << 16
 
 
 def sequences(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,16 +95,24 @@ class Chain:
         at = np.flatnonzero(~first)
         np.add.at(seen, (state[at - 1], state[at]), 1)
         sums = [np.full_like(w, 1e-8) for w in (self.emission, self.transition, self.opening)]
-        wanted = np.eye(states)[state]
         n = max(1, len(start))
+        # a bounded number of tokens at a time
+        size = np.cumsum(length)
+        edge = np.unique(np.append(0, np.searchsorted(size, np.arange(FIT_TOKENS, int(size[-1]) + FIT_TOKENS, FIT_TOKENS), side="right"))) if len(size) else np.zeros(1, np.int64)
+        edge = np.append(edge[edge < len(start)], len(start))
         for _ in range(rounds):
-            chance, pair, _ = self.marginals(self.scores(ids), start, length)
-            off = wanted - chance
-            slope = np.zeros_like(self.emission)
-            for k in range(ids.shape[1]):
-                for s in range(states):
-                    slope[:, s] += np.bincount(ids[:, k], weights=off[:, s], minlength=len(slope))
-            slopes = [slope / n - decay * self.emission, (seen - pair) / n, off[first].sum(axis=0) / n]
+            slope, pairs, opening = np.zeros_like(self.emission), np.zeros_like(self.transition), np.zeros_like(self.opening)
+            for a, z in zip(edge[:-1], edge[1:]):
+                lo, hi = int(start[a]), int(start[z - 1] + length[z - 1])
+                own = ids[lo:hi]
+                chance, pair, _ = self.marginals(self.scores(own), start[a:z] - lo, length[a:z])
+                off = np.eye(states)[state[lo:hi]] - chance
+                for k in range(ids.shape[1]):
+                    for s in range(states):
+                        slope[:, s] += np.bincount(own[:, k], weights=off[:, s], minlength=len(slope))
+                pairs += pair
+                opening += off[first[lo:hi]].sum(axis=0)
+            slopes = [slope / n - decay * self.emission, (seen - pairs) / n, opening / n]
             for w, s, g in zip((self.emission, self.transition, self.opening), sums, slopes):
                 s += g * g
                 w += rate * g / np.sqrt(s)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.crf import Chain, sequences
-from orrery.llm.textblocks import Hashes, blocks, lean, mix64
+from orrery.llm.textblocks import Hashes, blocks, lean, mix64, trim
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Of the kinds, those that patterns find.
@@ -145,6 +145,7 @@ def fit(table: pa.Table) -> Chain | None:
     if not any(p[1].any() for p in parts):
         return None
     ids, state, first = (np.concatenate(x) for x in zip(*parts))
+    trim()
     return Chain(BUCKETS, len(KINDS) + 1).fit(ids, state, *sequences(first), rounds=40)
 
 

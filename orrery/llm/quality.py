@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.samples import class_share, held_out, labelled
-from orrery.llm.textblocks import blocks, lean, mix64
+from orrery.llm.textblocks import blocks, lean, mix64, trim
 
 BUCKETS = 1 << 17
 RANK = 8
@@ -124,6 +124,7 @@ class Machine:
         stats = np.concatenate(stats)
         self.center, self.spread = stats.mean(axis=0), stats.std(axis=0) + 1e-3
         row, column, value = self._joined(row, column, value, stats)
+        trim()
         random = np.random.default_rng(3)
         n = BUCKETS + len(STATISTICS)
         self.w, self.v = np.zeros(n), random.normal(0, 0.02, (n, RANK))
@@ -150,6 +151,7 @@ class Machine:
                     self.v[own, k] -= rate * slope / np.sqrt(gv[own, k])
                 g0 += off.sum() ** 2
                 self.w0 -= rate * off.sum() / np.sqrt(g0)
+        trim()
         if share is not None and 0 < share < 1:
             self.w0 += float(np.log(share / (1 - share)) - np.log(self.share / (1 - self.share)))
             self.share = share

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.textblocks import trim
+
 #: Bounds of a fitting sample: labelled rows of each class, and bytes of text altogether, half for each class.
 ROWS_PER_CLASS = 6000
 TEXT_BYTES = 10 << 20
@@ -57,5 +59,5 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int = ROWS_P
         chosen += [(r.doc_id, r.y) for r in taken]
     ids = docs.sparkSession.createDataFrame(sorted(chosen), "doc_id bigint, y int")
     table = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").toArrow().sort_by("doc_id").select(["text", "y"])
-    pa.default_memory_pool().release_unused()
+    trim()
     return table

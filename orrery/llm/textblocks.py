@@ -35,16 +35,16 @@ _powers: list[np.ndarray] = []
 
 
 def _power_tables(n: int) -> list[np.ndarray]:
-    """For each prime BASE**i and BASE**-i modulo the prime, for i in 0..n."""
+    """For each prime BASE**i and BASE**-i modulo the prime, for i in 0..n; they fit into 32 bits."""
     global _powers
     if not _powers or len(_powers[0]) <= n:
-        n, made = max(n, BLOCK_BYTES + 1), []
+        n, made = max(n + (n >> 2), 1 << 16), []
         for prime, base in zip(_PRIMES, _BASES):
             for factor in (base, pow(base, -1, prime)):
                 table = np.ones(1, dtype=np.uint64)
                 while len(table) <= n:  # doubling
                     table = np.concatenate([table, table * np.uint64(pow(factor, len(table), prime)) % np.uint64(prime)])
-                made.append(table[: n + 1])
+                made.append(table[: n + 1].astype(np.uint32))
         _powers = made
     return _powers
 
@@ -145,16 +145,21 @@ class Words:
         return roll[keep], self.row[keep]
 
 
+def trim() -> None:
+    """Give memory that arrays held back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lean(run):
-    """run over batches, giving what the task's arrays held back to the machine at its end; idle workers stay small."""
+    """run over batches, with a trim at the task's end; idle workers stay small."""
 
     def trimmed(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return trimmed
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm.crf import Chain, sequences
 from orrery.llm.samples import class_share, held_out, labelled
-from orrery.llm.textblocks import Hashes, blocks, lean, mix64
+from orrery.llm.textblocks import Hashes, blocks, lean, mix64, trim
 
 BUCKETS = 1 << 18
 PREFIXES, SUFFIXES = (3, 4, 5, 6), (3, 4)
@@ -74,6 +74,7 @@ class Tagger:
         if len(np.unique(y)) < 2:
             return self
         marks = self._marks(table, y)
+        trim()
         parts = []
         for block in blocks(table.column("text"), FIT_BLOCK):
             words = block.words()
@@ -91,10 +92,13 @@ class Tagger:
         if not any(len(p[0]) for p in parts):
             return self
         ids, state, first = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        trim()
         self.chain = Chain(BUCKETS, 2).fit(ids, state, *sequences(first))
         x = np.concatenate([self._evidence(block)[0] for block in blocks(table.column("text"), FIT_BLOCK)])
         weight = np.where(y == 1, self.share / y.mean(), (1 - self.share) / (1 - y.mean()))
         self.blend = _logistic(x, y, weight)
+        trim()
         return self
 
     def _marks(self, table: pa.Table, y: np.ndarray) -> np.ndarray:
