@@ -51,6 +51,12 @@ PATTERNS = {
     "bucket_name": r"(?!.*\.\.)(?!(?:[0-9]{1,3}\.){3}[0-9]{1,3}\z)[a-z0-9][a-z0-9._-]{1,220}[a-z0-9]",
     "git_ref_name": r"(?!(?:@|HEAD)\z)(?![-/.])(?!.*(?:\.\.|@\{|//|/\.))(?!.*\.lock(?:/|\z))[\x21-\x7E&&[^~^:?*\[\\]]{1,255}(?<![./])",
 }
+CPE_PART = r"(?:[*\-]|\?*\*?(?:[a-z0-9._\-~]|\\[!-~])+\*?\?*)"
+EPP_STATUSES = (
+    "addPeriod", "autoRenewPeriod", "clientDeleteProhibited", "clientHold", "clientRenewProhibited", "clientTransferProhibited", "clientUpdateProhibited",
+    "inactive", "ok", "pendingCreate", "pendingDelete", "pendingRenew", "pendingRestore", "pendingTransfer", "pendingUpdate", "redemptionPeriod", "renewPeriod",
+    "serverDeleteProhibited", "serverHold", "serverRenewProhibited", "serverTransferProhibited", "serverUpdateProhibited", "transferPeriod",
+)
 INTEGERS = {
     "asn": (0, 4294967295),
     "http_status": (100, 599),
@@ -167,9 +173,69 @@ def is_sorted_set(values: Column) -> Column:
     return F.array_sort(F.array_distinct(values)) == values
 
 
+def is_dns_name(value: Column) -> Column:
+    """Two labels or more, of which all but the last two may hold underscores; whether a public suffix or a name under one is for dns.classify."""
+    return is_hostname(value) & value.contains(".") & ~value.rlike(r"(?:\A|\.)[_-]+(?:\.|\z)")
+
+
+def is_public_suffix(value: Column) -> Column:
+    return (F.length(value) <= 251) & whole(value, rf"{LABEL}(?:\.{LABEL})*")
+
+
+def _address(value: Column) -> Column:
+    from orrery.functions.addresses import ip_version
+
+    return is_ipv4(value) | (value.contains(":") & (ip_version(F.when(value.contains(":"), value)) == 6))
+
+
+def _network(value: Column) -> Column:
+    from orrery.functions.addresses import cidr_version
+
+    return cidr_version(value) > 0
+
+
+def _purl(value: Column) -> Column:
+    from orrery.operators.checks import package_purl
+
+    return package_purl(value).isNull()
+
+
+def _set_of(values: Column, member, some: bool) -> Column:
+    """A sorted array without repeats of sound strings; some: not empty."""
+    ok = is_sorted_set(values) & F.forall(values, lambda v: F.coalesce(member(v), F.lit(False)))
+    return ok & (F.size(values) > 0) if some else ok
+
+
+def _parameters(values: Column) -> Column:
+    name, content = r"[A-Za-z0-9][A-Za-z0-9-]*", r"[\x21-\x3A\x3C-\x7E]*"
+    return F.forall(values, lambda p: F.coalesce(whole(p["name"], name) & whole(p["value"], content), F.lit(False)))
+
+
+def is_score(value: Column) -> Column:
+    """0 to 10 with one decimal at most."""
+    return value.between(0, 10) & (F.round(value, 1) == value)
+
+
 STRUCTURED = {
     "http_url": is_http_url,
+    "ip": _address,
     "ipv4": is_ipv4,
+    "cidr": _network,
+    "dns_name": is_dns_name,
+    "dns_or_explicit_empty": lambda v: (v == "") | is_dns_name(v),
+    "public_suffix": is_public_suffix,
+    "package_purl": _purl,
+    # which names are services is an input table (validation.unknown_services)
+    "service_name": lambda v: whole(v, r"[a-z0-9](?:[a-z0-9_.+-]{0,61}[a-z0-9])?"),
+    "cpe23": lambda v: (F.length(v) <= 512) & whole(v, r"cpe:2\.3:[aho*\-]" + f":{CPE_PART}" * 10),
+    "boolean": lambda v: v.cast("boolean").isNotNull(),
+    "cvss_score": is_score,
+    "probability": lambda v: v.between(0, 1),
+    "epp_status_list": lambda v: _set_of(v, lambda x: x.isin(*EPP_STATUSES), True),
+    "tag_list": lambda v: _set_of(v, lambda x: whole(x, SLUG), True),
+    "mx_pattern_list": lambda v: _set_of(v, lambda x: is_dns_name(F.regexp_replace(x, r"\A\*\.", "")), False),
+    "alpn_tokens": lambda v: F.forall(v, lambda x: F.coalesce(whole(x, r"[A-Za-z0-9./_-]{1,255}"), F.lit(False))),
+    "caa_parameters": _parameters,
     "calendar_date": is_date,
     "partial_date": is_partial_date,
     "utc_timestamp": is_utc_timestamp,
@@ -181,7 +247,7 @@ STRUCTURED = {
 
 
 def valid(rule: str | tuple, value: Column) -> Column:
-    """Whether a value obeys a rule: a name, or the tuple of accepted strings."""
+    """Whether a value, a column of the rule's own type, obeys a rule: a name, or the tuple of accepted strings."""
     if isinstance(rule, tuple):
         return value.isin(*rule)
     if rule in PATTERNS:

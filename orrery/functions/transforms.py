@@ -28,7 +28,9 @@ def apply_chain(value: Column, chain: list[str]) -> Column:
 
 
 def _host(url: Column) -> Column:
-    return F.regexp_extract(url, r"\A[a-z]+://([^/:?#]+)", 1)
+    """The host of an absolute URL in lower case, without port or brackets; null for any other text."""
+    found = F.regexp_extract(url, r"\A(?i:[a-z]+)://(\[[^\]]+\]|[^/:?#]+)", 1)
+    return F.nullif(F.lower(F.regexp_replace(found, r"[\[\]]", "")), F.lit(""))
 
 
 def _segment(url: Column, k: int) -> Column:

@@ -34,8 +34,13 @@ def provenance(items: DataFrame) -> DataFrame:
     return items.groupBy("evidence_id", "source").agg(F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"))
 
 
+#: Media types outside text/ that hold text (fixed values).
+TEXT_MEDIA = ("application/json", "application/xml", "application/javascript", "application/x-ndjson", "application/json-seq", "application/yaml", "application/x-yaml", "application/toml", "message/http")
+
+
 def is_text(media: Column) -> Column:
-    return media.startswith("text/") | media.endswith("+json") | media.endswith("+xml") | media.isin("application/json", "application/xml", "application/x-ndjson", "application/javascript", "application/yaml")
+    """Whether a declared media type is text: text/*, a listed type, or application/* built on JSON or XML."""
+    return media.startswith("text/") | media.isin(*TEXT_MEDIA) | media.rlike(r"\Aapplication/.*\+(?:json|xml)\z")
 
 
 def coverage(evidence: DataFrame) -> DataFrame:
@@ -66,28 +71,41 @@ def tokens(text: str) -> list[str]:
     return _TOKEN.findall(plain.lower())
 
 
+def _whole(data: bytes, at: int) -> int:
+    """The last place up to `at` where a character starts."""
+    while 0 < at < len(data) and (data[at] & 0xC0) == 0x80:
+        at -= 1
+    return at
+
+
 def chunked(text: str, size: int = CHUNK, overlap: int = OVERLAP):
-    """(number, byte start, byte end, owner start, first line, text): cut between tokens, each chunk repeating up to `overlap` bytes of the last."""
+    """(number, byte start, byte end, owner start, first line, text): cut between characters and, where a token ends in the second half, between tokens; each chunk repeats up to `overlap` bytes of the last."""
     data = text.encode()
-    start, number, owned = 0, 0, 0
+    start, number, owned, line, counted = 0, 0, 0, 1, 0
     while start < len(data) or not number:
-        end = min(len(data), start + size)
+        end = _whole(data, min(len(data), start + size))
+        end = end if end > start else min(len(data), start + 4)  # a size under one character
+        body = data[start:end].decode(errors="ignore") if end - start < 4 else data[start:end].decode()
         if end < len(data):
-            while end > start and (data[end] & 0xC0) == 0x80:
-                end -= 1
-            cut = end
-            while cut > start + size // 2 and chr(data[cut - 1]).isalnum():
-                cut -= 1
-            end = cut if cut > start + size // 2 else end
-        body = data[start:end].decode()
-        line = data[:start].count(b"\n") + 1
+            kept = len(body)
+            while kept and body[kept - 1].isalnum():
+                kept -= 1
+            cut = start + len(body[:kept].encode())
+            if cut > start + size // 2:
+                end, body = cut, body[:kept]
+        line, counted = line + data.count(b"\n", counted, start), start
         yield number, start, end, owned, line, body
         if end >= len(data):
             return
         owned = end
-        nxt = max(start + 1, end - overlap)
-        while nxt < end and ((data[nxt] & 0xC0) == 0x80 or chr(data[nxt - 1]).isalnum()):
+        nxt = max(_whole(data, max(start + 1, end - overlap)), start + 1)
+        while nxt < end and (data[nxt] & 0xC0) == 0x80:
             nxt += 1
+        before = data[_whole(data, nxt - 1) : nxt].decode()
+        if nxt < end and before.isalnum():  # inside a token: on to its end
+            rest = data[nxt:end].decode()
+            inside = next((k for k, c in enumerate(rest) if not c.isalnum()), len(rest))
+            nxt += len(rest[:inside].encode())
         start, number = nxt, number + 1
 
 

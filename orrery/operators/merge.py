@@ -4,7 +4,8 @@ A write is fresh when it was observed no earlier than every reporting write befo
 writes overwrite, stale ones only add what is missing.  For each leaf path the result is: the last
 fresh value; where the last fresh event removed the path, the first stale value after that; without a
 fresh event, the first stale value.  All of it is grouped aggregation over (record, path),
-so no record's history is ever gathered in one row.  Removals in stale writes do nothing.
+so no record's history is ever gathered in one row; with_fresh sorts the arrivals of a record in one task, as a window
+does (it spills).  Removals in stale writes do nothing.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 
 
 def with_fresh(writes: DataFrame) -> DataFrame:
-    """writes (record, seq, observed) with the column fresh."""
-    before = F.max("observed").over(Window.partitionBy("record").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    """writes (record, seq, observed, and reporting where some writes report nothing) with the column fresh."""
+    told = F.when(F.col("reporting"), F.col("observed")) if "reporting" in writes.columns else F.col("observed")
+    before = F.max(told).over(Window.partitionBy("record").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
     return writes.withColumn("fresh", F.coalesce(F.col("observed") >= before, F.lit(True)))
 
 

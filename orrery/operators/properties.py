@@ -8,10 +8,33 @@ from pyspark.sql import functions as F
 BUDGET, LONGEST_PATH, LONGEST_VALUE = 512, 1024, 1024
 
 
+def _steps(pointer: str) -> list[str]:
+    return [s.replace("~1", "/").replace("~0", "~") for s in pointer.split("/")[1:]]
+
+
+def _name(step: str) -> str:
+    """An object key as a variant path step."""
+    quote = '"' if "'" in step else "'"
+    if quote in step:
+        raise ValueError(f"a key with both kinds of quotes has no variant path: {step}")
+    return f"[{quote}{step}{quote}]"
+
+
 def variant_path(pointer: str) -> str:
-    """A JSON Pointer as a variant path; numeric steps address object keys only where written as a name."""
-    steps = [s.replace("~1", "/").replace("~0", "~") for s in pointer.split("/")[1:]]
-    return "$" + "".join(f"[{s}]" if s.isdecimal() else f"['{s}']" for s in steps)
+    """A JSON Pointer as a variant path; numeric steps are array indexes (value_at finds keys of digits too)."""
+    return "$" + "".join(f"[{s}]" if s.isdecimal() else _name(s) for s in _steps(pointer))
+
+
+def value_at(document: Column, pointer: str) -> Column:
+    """The variant at a JSON Pointer: a canonical decimal step is an index of an array and a key of an object."""
+    found, names = document, ""
+    for step in _steps(pointer):
+        if step.isdecimal() and step == str(int(step)):
+            own = F.try_variant_get(found, f"${names}", "variant") if names else found
+            found, names = F.coalesce(F.try_variant_get(own, f"$[{step}]", "variant"), F.try_variant_get(own, f"$['{step}']", "variant")), ""
+        else:
+            names += _name(step)
+    return F.try_variant_get(found, f"${names}", "variant") if names or found is document else found
 
 
 def category(value: Column) -> Column:
@@ -34,7 +57,7 @@ def predicate(document: Column, op: str, pointer: str, value=None) -> Column:
     Types must agree; `ne` is false where the path is missing; ranges compare numbers with numbers
     and strings with strings.
     """
-    found = F.try_variant_get(document, variant_path(pointer), "variant")
+    found = value_at(document, pointer)
     if op == "exists":
         return found.isNotNull() if value in (None, True) else found.isNull()
     if op == "in":
@@ -44,13 +67,24 @@ def predicate(document: Column, op: str, pointer: str, value=None) -> Column:
         return out
     wanted = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
     same = F.coalesce(category(found) == wanted, F.lit(False))
-    read = {"number": "decimal(38,9)", "string": "string", "boolean": "boolean"}.get(wanted)
+    read = lambda kind: F.try_variant_get(found, "$", kind)
+
+    def compared(test):
+        """The test on values of one type: integers as such, other numbers in double precision."""
+        if wanted != "number":
+            return test(read(wanted), F.lit(value))
+        real = test(read("double"), F.lit(float(value)))
+        if isinstance(value, float) or abs(value) >= 1 << 63:
+            return real
+        return F.when(F.schema_of_variant(found) == "BIGINT", test(read("bigint"), F.lit(value).cast("bigint"))).otherwise(real)
+
     if op in ("eq", "ne"):
-        equal = same if wanted == "null" else same & F.coalesce(F.try_variant_get(document, variant_path(pointer), read) == F.lit(value).cast(read), F.lit(False))
+        equal = same if wanted == "null" else same & F.coalesce(compared(lambda x, y: x == y), F.lit(False))
         return equal if op == "eq" else found.isNotNull() & ~equal
-    left = F.try_variant_get(document, variant_path(pointer), read)
-    right = F.lit(value).cast(read)
-    return same & F.coalesce({"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[op], F.lit(False))
+    if wanted in ("null", "boolean"):
+        return F.lit(False)
+    tests = {"gt": lambda x, y: x > y, "gte": lambda x, y: x >= y, "lt": lambda x, y: x < y, "lte": lambda x, y: x <= y}
+    return same & F.coalesce(compared(tests[op]), F.lit(False))
 
 
 def tree(document: Column, node: dict) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,23 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET = 512
 
 
+def _bare() -> tuple[str, str]:
+    """Letters with marks and the letters that remain without them; then the marks themselves, which go."""
+    marked, plain = [], []
+    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
+        rest = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if len(rest) == 1 and rest != chr(code):
+            marked.append(chr(code))
+            plain.append(rest)
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(plain)
+
+
+_MARKED, _PLAIN = _bare()
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    """Lower-case runs of letters, digits and private characters, without diacritics."""
+    return F.regexp_extract_all(F.translate(F.lower(text), _MARKED, _PLAIN), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
 def postings(units: DataFrame) -> DataFrame:

@@ -6,21 +6,58 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import grammar
+from orrery.operators import checks
 from orrery.operators.catalog import NODES, RELATIONS
 
 
+#: Checks of whole records, after their properties: type -> reasons from its property columns.
+RECORD_CHECKS = {
+    "advisory": lambda p: checks.cve_scores(p("value"), p("cvss_score"), p("cvss_vector"), p("epss_score"), p("epss_percentile")),
+    "asn": lambda p: checks.assigned(p("value"), "value"),
+    "cloud_account": lambda p: checks.account_spelling(p("provider"), p("account_id")),
+    "http_fingerprint": lambda p: checks.fingerprint_kind(p("kind"), p("value")),
+    "identity_tenant": lambda p: checks.tenant_spelling(p("provider"), p("tenant_id")),
+    "ip_address": lambda p: checks.address_version(p("value"), p("version")),
+    "ip_cidr": lambda p: checks.network_version(p("value"), p("version")),
+    "port": lambda p: checks.assigned(p("number"), "number"),
+    "registrar": lambda p: checks.assigned(p("iana_id"), "iana_id"),
+    "repository": lambda p: checks.owner_spelling(p("platform"), p("owner")),
+    "storage_bucket": lambda p: checks.bucket_spelling(p("provider"), p("name")),
+    "technology": lambda p: checks.product_level(p("cpe")),
+    "tls_fingerprint": lambda p: checks.fingerprint_length(p("kind"), p("value")),
+    "txt_record": lambda p: checks.txt_diversion(p("value")),
+    "whois_registration": lambda p: checks.registry_object(p("registry_domain_id")),
+}
+
+
 def node_reason(kind: str, properties: dict[str, Column]) -> Column:
-    """Of one node type: the first required property that is missing or wrong, then the first optional one that is wrong."""
+    """Of one node type: the first required property that is missing or wrong, then the first optional one that is wrong, then the check of the whole record.
+
+    Checks that need a table (kinds of names, service names, cloud host names, plaintext keys) are joins of their own: dns.classify, unknown_services, hosts.classify, jsonwalk.
+    """
     definition, reasons = NODES[kind], []
+    named = lambda rule: rule if isinstance(rule, str) else "not listed"
     for name, rule in definition.required.items():
-        value = properties.get(name, F.lit(None))
-        reasons.append(F.when(value.isNull(), f"{name}: required").when(~grammar.valid(rule, value), f"{name}: {rule if isinstance(rule, str) else 'not listed'}"))
+        value = properties.get(name)
+        if value is None:
+            reasons.append(F.lit(f"{name}: required"))
+            continue
+        reasons.append(F.when(value.isNull(), f"{name}: required").when(~grammar.valid(rule, value), f"{name}: {named(rule)}"))
     for name, rule in definition.optional.items():
         if name in properties:
-            reasons.append(F.when(~grammar.valid(rule, properties[name]), f"{name}: {rule if isinstance(rule, str) else 'not listed'}"))
+            reasons.append(F.when(~grammar.valid(rule, properties[name]), f"{name}: {named(rule)}"))
+    if kind in RECORD_CHECKS:
+        reasons.append(RECORD_CHECKS[kind](lambda name: properties.get(name, F.lit(None).cast("string"))))
     return F.coalesce(*reasons, F.lit(None).cast("string"))
 
 
+def unknown_services(services: DataFrame, names: DataFrame) -> DataFrame:
+    """services (name, secure) with the column reason, by the table names (name, secure_required): unknown, or without the flag that it needs."""
+    known = names.select("name", F.coalesce("secure_required", F.lit(False)).alias("__secure")).groupBy("name").agg(F.max("__secure").alias("__secure"))
+    joined = services.join(known, "name", "left")
+    return joined.withColumn("reason", F.when(F.col("__secure").isNull(), "name: unknown service").when(F.col("__secure") & F.col("secure").isNull(), "secure: required")).drop("__secure")
+
+
 def relation_ends(spark) -> DataFrame:
     """The catalog's accepted ends: type, source_type, target_type, self_edge."""
     rows = [(name, s, t, r.self_edge) for name, r in RELATIONS.items() for s in r.sources for t in r.targets]

@@ -70,24 +70,24 @@ def f3(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evidence.encoding_of(marked, declared).alias("encoding"))
 
 
-@query("F2_text_candidates", "SELECT doc_id, doc_id % 4 <> 3 AS is_text FROM documents")
+@query("F2_text_candidates", "SELECT doc_id, doc_id % 8 IN (0, 1, 4, 5, 6) AS is_text FROM documents")
 def f2(spark, sf_dir):
-    media = F.element_at(F.array(*[F.lit(m) for m in ("text/html", "application/json", "image/svg+xml", "image/png")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    media = F.element_at(F.array(*[F.lit(m) for m in ("text/html", "application/json", "image/svg+xml", "image/png", "message/http", "application/problem+json", "application/toml", "application/jsonx")]), (F.col("doc_id") % 8 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", evidence.is_text(media).alias("is_text"))
 
 
 @query("F4_iter_chunks")
 def f4(spark, sf_dir):
-    found = evidence.chunks(table(spark, sf_dir, "documents"), "doc_id", "text", 4096, 256)
+    found = evidence.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("owner", "number", "byte_start", "byte_end", "owner_start", "line", F.sha2("text", 256).alias("sha256"))
 
 
-@query("F5_tokens", r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\pL\pN]+')) AS n FROM documents")
+@query("F5_tokens", r"SELECT doc_id, len(regexp_extract_all(strip_accents(lower(text)), '[\pL\pN\p{Co}]+')) AS n FROM documents")
 def f5(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(search.tokens(F.col("text"))).cast("long").alias("n"))
 
 
-_TOK = r"tok AS (SELECT doc_id AS unit, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents)"
+_TOK = r"tok AS (SELECT doc_id AS unit, regexp_extract_all(strip_accents(lower(text)), '[\pL\pN\p{Co}]+') AS w FROM documents)"
 
 
 @query("F5_postings", rf"WITH {_TOK}, x AS (SELECT unit, len(w) AS length, unnest(w) AS token FROM tok) SELECT token, unit, count(*) AS tf, any_value(length) AS length FROM x GROUP BY token, unit")

@@ -21,7 +21,7 @@ w AS (
   FROM events
 ),
 fr AS (
-  SELECT *, coalesce(observed >= max(observed) OVER (PARTITION BY record ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM w
+  SELECT *, coalesce(observed >= max(observed) FILTER (WHERE reporting) OVER (PARTITION BY record ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM w
 )
 """
 
@@ -49,20 +49,20 @@ def w2(spark, sf_dir):
     return merge.with_fresh(_writes(spark, sf_dir)).select("event_id", "record", "fresh")
 
 
-@query(
-    "A1_observation_merge",
-    f"""WITH {_W},
-    e AS (SELECT record, path, max(seq) FILTER (WHERE fresh) AS last FROM fr GROUP BY ALL),
-    m AS (
-      SELECT fr.record, fr.path, any_value(last) AS last,
-        max(seq) FILTER (WHERE fresh AND NOT removed) AS fresh_set, arg_max(value, seq) FILTER (WHERE fresh AND NOT removed) AS fresh_value,
-        min(seq) FILTER (WHERE NOT fresh AND NOT removed AND seq > coalesce(last, -1)) AS stale_set,
-        arg_min(value, seq) FILTER (WHERE NOT fresh AND NOT removed AND seq > coalesce(last, -1)) AS stale_value
-      FROM fr JOIN e ON fr.record = e.record AND fr.path = e.path GROUP BY ALL
-    )
-    SELECT record, path, CASE WHEN coalesce(last = fresh_set, false) THEN fresh_value ELSE stale_value END AS value
-    FROM m WHERE coalesce(last = fresh_set, false) OR stale_set IS NOT NULL""",
+_A1 = f"""WITH {_W},
+e AS (SELECT record, path, max(seq) FILTER (WHERE fresh) AS last FROM fr GROUP BY ALL),
+m AS (
+  SELECT fr.record, fr.path, any_value(last) AS last,
+    max(seq) FILTER (WHERE fresh AND NOT removed) AS fresh_set, arg_max(value, seq) FILTER (WHERE fresh AND NOT removed) AS fresh_value,
+    min(seq) FILTER (WHERE NOT fresh AND NOT removed AND seq > coalesce(last, -1)) AS stale_set,
+    arg_min(value, seq) FILTER (WHERE NOT fresh AND NOT removed AND seq > coalesce(last, -1)) AS stale_value
+  FROM fr JOIN e ON fr.record = e.record AND fr.path = e.path GROUP BY ALL
 )
+SELECT record, path, CASE WHEN coalesce(last = fresh_set, false) THEN fresh_value ELSE stale_value END AS value
+FROM m WHERE coalesce(last = fresh_set, false) OR stale_set IS NOT NULL"""
+
+
+@query("A1_observation_merge", _A1)
 def a1(spark, sf_dir):
     return merge.merge_leaves(merge.with_fresh(_writes(spark, sf_dir)))
 
@@ -294,6 +294,16 @@ def r1(spark, sf_dir):
     return ingest.ingest_spans(rows, storage.fresh(spark, "spans"), 1705276800000000)
 
 
+@query("R2_stream_merge", _A1)
+def r2(spark, sf_dir):
+    """The writes in four files by arrival, each a micro-batch of the stream."""
+    writes, source = _writes(spark, sf_dir).drop("event_id"), storage.fresh(spark, "arrivals")
+    for k in range(4):
+        writes.where((F.col("seq") >= k * 250001) & (F.col("seq") < (k + 1) * 250001)).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return ingest.ingest_merge(stream, storage.fresh(spark, "merged"))
+
+
 @query("T3_number_transforms", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS int_value, round(CAST(value AS DOUBLE), 1) AS one_decimal, 'AS' || user_id AS asn, user_id AS asn_number FROM events")
 def t3(spark, sf_dir):
     go = transforms.apply_chain

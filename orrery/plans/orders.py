@@ -111,7 +111,7 @@ def n8(spark, sf_dir):
     return left.agg(F.count(F.lit(1)).alias("nodes")).join(rels.agg(F.count(F.lit(1)).alias("relations")))
 
 
-@query("N9_delete_admission", f"WITH {_N}, a AS (SELECT 'c' || (c_custkey * 2) AS node_id FROM customer) SELECT a.node_id, CASE WHEN n.node_id IS NULL THEN 'missing' WHEN a.node_id LIKE '%0' THEN 'pending' WHEN a.node_id IN (SELECT parent_id FROM nodes) THEN 'has relations' END AS reason FROM a LEFT JOIN nodes n ON a.node_id = n.node_id")
+@query("N9_delete_admission", f"WITH {_N}, a AS (SELECT 'c' || (c_custkey * 2) AS node_id FROM customer) SELECT a.node_id, CASE WHEN n.node_id IS NULL THEN 'missing' WHEN a.node_id LIKE '%0' THEN 'pending' WHEN p.parent_id IS NOT NULL THEN 'has relations' END AS reason FROM a LEFT JOIN nodes n ON a.node_id = n.node_id LEFT JOIN (SELECT DISTINCT parent_id FROM nodes) p ON a.node_id = p.parent_id")
 def n9(spark, sf_dir):
     nodes = _nodes(spark, sf_dir).select("node_id", F.when(F.col("node_id").endswith("0"), "deleting").otherwise("ready").alias("lifecycle"))
     asked = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), (F.col("c_custkey") * 2).cast("string")).alias("node_id"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import grammar, hosts, jsonwalk, transforms
 from orrery.operators import checks, mapping, merge
 from orrery.plans.book import query, table
+from orrery.plans.events import _A1
 from orrery.sources import storage
 from orrery.streaming import ingest
 
@@ -280,14 +281,14 @@ def r5(spark, sf_dir):
     return ingest.replaced(index, changed, "owner")
 
 
-@query("A1_fold_fallback")
+@query("A1_fold_fallback", _A1)
 def a1_fold(spark, sf_dir):
-    """The sequential fold, for records whose paths turn from objects into scalars; a record's writes are one group."""
+    """The sequential fold of each record, one write after another: what A1_observation_merge must equal; a record's writes are one group."""
     from orrery.plans.events import _writes
 
     def run(pdf):
         rows = pdf.sort_values("seq")
-        history = [(int(r.observed), True, None if r.removed else {r.path: r.value}, [r.path] if r.removed else []) for r in rows.itertuples()]
+        history = [(int(r.observed), bool(r.reporting), None if r.removed else {r.path: r.value}, [r.path] if r.removed else []) for r in rows.itertuples()]
         state = merge.fold(history)
         return rows.iloc[:0][["record", "path", "value"]] if not state else type(pdf)({"record": [rows.record.iloc[0]] * len(state), "path": list(state), "value": list(state.values())})
 
@@ -309,14 +310,17 @@ def v23(spark, sf_dir):
 
 @query("V21_service_names", "SELECT e.event_id, e.event_type IN ('view', 'click') AS known, e.event_type = 'view' AS secure_required FROM events e")
 def v21(spark, sf_dir):
-    names = spark.createDataFrame([("view", True), ("click", False)], "event_type string, secure_required boolean")
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type").join(names, "event_type", "left")
-    return rows.select("event_id", F.col("secure_required").isNotNull().alias("known"), F.coalesce("secure_required", F.lit(False)).alias("secure_required"))
+    from orrery.operators import validation
+
+    names = spark.createDataFrame([("view", True), ("click", False)], "name string, secure_required boolean")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"), F.lit(None).cast("boolean").alias("secure"))
+    told = validation.unknown_services(rows, names)
+    return told.select("event_id", (~F.col("reason").eqNullSafe("name: unknown service")).alias("known"), F.col("reason").eqNullSafe("secure: required").alias("secure_required"))
 
 
 @query(
     "F6_query_compile",
-    r"SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\pL\pN]+')))[1:32] AS words FROM benchmark",
+    r"SELECT item_id, list_sort(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\pL\pN\p{Co}]+')))[1:32] AS words FROM benchmark",
 )
 def f6(spark, sf_dir):
     from orrery.operators import search

@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the whole cluster shares (spark.checkpoint.dir); a temporary one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tables-")
+    """A new path in the folder that the whole cluster shares (spark.checkpoint.dir); on one machine without that setting a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-tables-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,8 +1,9 @@
 """Continuous ingestion: observations merged by record, evidence by content.
 
 Nothing is ever too late for a merge (an old observation fills gaps and lowers first_seen), so there is no
-watermark; state is one row per record and path in a table that each micro-batch rewrites by version.
-Batches are applied by epoch number, so a replayed one does nothing.
+watermark; state is one row per record, or per record and path, in a table that each micro-batch rewrites by version (the work of a
+batch grows with the state; where batches are small beside it, make them larger).
+Batches are applied by epoch number, which a sink finds in its folder: a replayed one does nothing, and a restarted run goes on.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.operators import merge
+
 
 def span_state(batch: DataFrame, state: DataFrame) -> DataFrame:
     """State (record, first_seen, last_seen, n) after one more batch of (record, observed)."""
@@ -23,30 +26,95 @@ def accepted(batch: DataFrame, now_us: int, skew_s: int = 300) -> tuple[DataFram
     return batch.where(~late), batch.where(late)
 
 
+class Versions:
+    """Versions of a table under one folder, one for each epoch; the last complete one is found in the folder, so a new run goes on from there."""
+
+    def __init__(self, folder: str, schema: str):
+        self.folder, self.schema = folder, schema
+
+    def last(self, spark: SparkSession) -> int:
+        """The newest epoch with a _SUCCESS file, -1 without any."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return -1
+        done = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("v")]
+        mark = spark._jvm.org.apache.hadoop.fs.Path
+        return max([int(p.getName()[1:]) for p in done if fs.exists(mark(p, "_SUCCESS"))], default=-1)
+
+    def read(self, spark: SparkSession, epoch: int | None = None) -> DataFrame:
+        at = self.last(spark) if epoch is None else epoch
+        return spark.read.parquet(f"{self.folder}/v{at}") if at >= 0 else spark.createDataFrame([], self.schema)
+
+    def write(self, rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/v{epoch}")
+
+
 class SpanSink:
-    """A foreachBatch sink: versions of the state table under one folder, one for each epoch."""
+    """A foreachBatch sink of (record, observed): spans as a versioned table; observations from the future go to the folder `refused`, by epoch."""
 
     def __init__(self, folder: str, now_us: int):
-        self.folder, self.now_us, self.epoch = folder, now_us, -1
+        self.folder, self.now_us = folder, now_us
+        self.spans = Versions(f"{folder}/spans", "record string, first_seen bigint, last_seen bigint, n bigint")
+
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        last = self.spans.last(spark)
+        if epoch <= last:
+            return  # a replayed epoch
+        good, late = accepted(batch, self.now_us)
+        late.write.mode("overwrite").parquet(f"{self.folder}/refused/epoch={epoch}")
+        self.spans.write(span_state(good, self.spans.read(spark, last)), epoch)
+
+    def state(self, spark: SparkSession) -> DataFrame:
+        return self.spans.read(spark)
+
+
+class MergeSink:
+    """A foreachBatch sink of writes (record, path, seq, observed, reporting, removed, value): merged leaves as a versioned table.
+
+    Batches must come in the order of arrival (seq); what an earlier batch left is one fresh write before all of the next, at the record's last reported time.
+    """
+
+    _STATE = "record string, path string, value string, last_seen bigint"
+
+    def __init__(self, folder: str):
+        self.leaves = Versions(f"{folder}/leaves", self._STATE)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        if epoch <= self.epoch:
-            return
-        good, _ = accepted(batch, self.now_us)
-        if self.epoch >= 0:
-            state = batch.sparkSession.read.parquet(f"{self.folder}/v{self.epoch}")
-        else:
-            state = batch.sparkSession.createDataFrame([], "record string, first_seen bigint, last_seen bigint, n bigint")
-        span_state(good, state).write.mode("overwrite").parquet(f"{self.folder}/v{epoch}")
-        self.epoch = epoch
+        spark = batch.sparkSession
+        last = self.leaves.last(spark)
+        if epoch > last:
+            self.leaves.write(self.merged(batch, self.leaves.read(spark, last)), epoch)
+
+    @staticmethod
+    def merged(batch: DataFrame, state: DataFrame) -> DataFrame:
+        new = batch.select("record", "path", "seq", "observed", "reporting", "removed", "value")
+        # a record without leaves left keeps a row without path for its time
+        seen = state.groupBy("record").agg(F.max("last_seen").alias("observed"))
+        start = seen.select("record", F.lit(None).cast("string").alias("path"), F.lit(-1).cast("long").alias("seq"), "observed", F.lit(True).alias("reporting"), F.lit(True).alias("removed"), F.lit(None).cast("string").alias("value"))
+        timed = merge.with_fresh(start.unionByName(new)).where("path is not null").select("record", "path", "seq", "fresh", "removed", "value")
+        held = state.where("path is not null").select("record", "path", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("fresh"), F.lit(False).alias("removed"), "value")
+        leaves = merge.merge_leaves(timed.unionByName(held))
+        times = start.unionByName(new).where("reporting").groupBy("record").agg(F.max("observed").alias("last_seen"))
+        marks = times.select("record", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("value"), "last_seen")
+        return leaves.join(times, "record", "left").select("record", "path", "value", "last_seen").unionByName(marks)
 
     def state(self, spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/v{self.epoch}")
+        return self.leaves.read(spark).where("path is not null").select("record", "path", "value")
 
 
 def ingest_spans(stream: DataFrame, folder: str, now_us: int) -> DataFrame:
     """Run a stream of (record, observed) to its present end and return the state."""
-    sink = SpanSink(folder, now_us)
+    return _ingest(stream, SpanSink(folder, now_us), folder)
+
+
+def ingest_merge(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of writes, in the order of arrival, to its present end and return the merged leaves (record, path, value)."""
+    return _ingest(stream, MergeSink(folder), folder)
+
+
+def _ingest(stream: DataFrame, sink, folder: str) -> DataFrame:
     query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return sink.state(stream.sparkSession)

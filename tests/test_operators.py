@@ -55,13 +55,13 @@ def test_merge_equals_the_fold(spark):
     rng, writes = random.Random(11), []
     for record in range(120):
         for seq in range(rng.randrange(1, 9)):
-            writes.append((record, seq, rng.randrange(6), f"p{rng.randrange(3)}", rng.random() < 0.3, str(rng.randrange(100)), True))
+            writes.append((record, seq, rng.randrange(6), f"p{rng.randrange(3)}", rng.random() < 0.3, str(rng.randrange(100)), rng.random() < 0.8))
     df = spark.createDataFrame(writes, "record int, seq int, observed int, path string, removed boolean, value string, reporting boolean")
     got = {(r.record, r.path): r.value for r in merge.merge_leaves(merge.with_fresh(df)).collect()}
     want = {}
     for record in range(120):
         own = sorted(w for w in writes if w[0] == record)
-        for path, value in merge.fold([(w[2], True, None if w[4] else {w[3]: w[5]}, [w[3]] if w[4] else []) for w in own]).items():
+        for path, value in merge.fold([(w[2], w[6], None if w[4] else {w[3]: w[5]}, [w[3]] if w[4] else []) for w in own]).items():
             want[record, path] = value
     assert got == want
 
@@ -189,3 +189,138 @@ def test_epochs_apply_once(spark, tmp_path):
     sink(first, 0)
     sink(spark.createDataFrame([("a", 1)], "record string, observed bigint"), 1)
     assert sorted(map(tuple, sink.state(spark).collect())) == [("a", 1, 9, 3), ("b", 3, 3, 1)]
+
+
+def test_every_type_validates(spark):
+    from orrery.functions import grammar
+    from orrery.operators import catalog, validation
+
+    lists = {"epp_status_list", "tag_list", "mx_pattern_list", "alpn_tokens"}
+    numbers = {*grammar.INTEGERS, *grammar.LISTED, "cvss_score", "probability"}
+
+    def column(rule):
+        kind = "array<string>" if rule in lists else "double" if rule in ("cvss_score", "probability") else "bigint" if rule in numbers else "boolean" if rule == "boolean" else "string"
+        return F.lit(None).cast(kind)
+
+    row = spark.range(1)
+    for kind, t in catalog.NODES.items():
+        rules = {**t.required, **t.optional}
+        got = row.select(validation.node_reason(kind, {name: column(rule) for name, rule in rules.items()})).first()[0]
+        assert got == (f"{next(iter(t.required))}: required" if t.required else None), kind
+    for t in catalog.RELATIONS.values():
+        row.select(*[grammar.valid(rule, column(rule)).alias(f"c{i}") for i, rule in enumerate(t.required.values())]).collect()
+
+
+def test_formats(spark):
+    from orrery.functions import grammar
+
+    cases = {
+        "dns_name": (("example.com", "my_service.example.com", "xn--bcher-kva.example"), ("example", "example.com.", "192.0.2.1", "a..b", "Example.com", "_.example.com", "")),
+        "ip": (("192.0.2.1", "2001:db8::1"), ("192.0.2.256", "2001:DB8::1", "::ffff:192.0.2.1", "fe80::1%1")),
+        "cidr": (("192.0.2.0/24", "2001:db8::/32"), ("192.0.2.1/24", "192.0.2.0", "2001:db8::1/32")),
+        "cpe23": (("cpe:2.3:a:f5:nginx:1.25:*:*:*:*:*:*:*",), ("cpe:2.3:a:f5:nginx", "cpe:/a:f5:nginx", "cpe:2.3:x:f5:nginx:1:*:*:*:*:*:*:*")),
+        "package_purl": (
+            ("pkg:npm/JSONStream", "pkg:npm/%40scope/name", "pkg:golang/github.com/a/b", "pkg:cargo/serde_json", "pkg:nuget/newtonsoft.json", "pkg:oci/app?repository_url=ghcr.io/acme/app"),
+            ("pkg:cargo/Serde", "pkg:cargo/serde-json", "pkg:nuget/Newtonsoft.Json", "pkg:golang/single", "pkg:oci/app?repository_url=index.docker.io/acme/app", "pkg:docker/app", "pkg:pypi/" + "a" * 600),
+        ),
+        "service_name": (("http", "http-proxy"), ("HTTP", "")),
+        "public_suffix": (("com", "co.uk"), ("COM", "a..b")),
+        "dns_or_explicit_empty": (("", "example.com"), ("example",)),
+    }
+    for rule, (good, bad) in cases.items():
+        df = spark.createDataFrame([(v,) for v in (*good, *bad)], "v string")
+        got = {r.v: r.ok for r in df.select("v", grammar.valid(rule, F.col("v")).alias("ok")).collect()}
+        assert got == {**dict.fromkeys(good, True), **dict.fromkeys(bad, False)}, rule
+    lists = {
+        "tag_list": ((["a"], ["a", "b"]), ([], ["b", "a"], ["a", "a"], ["A"])),
+        "mx_pattern_list": (([], ["*.example.com", "mx.example.com"]), (["mx"], ["b.example.com", "a.example.com"])),
+        "epp_status_list": ((["clientHold", "ok"],), ([], ["ok", "clientHold"], ["OK"])),
+        "alpn_tokens": (([], ["h2", "http/1.1"]), (["h 2"], [""])),
+    }
+    for rule, (good, bad) in lists.items():
+        for value, want in [*((v, True) for v in good), *((v, False) for v in bad)]:
+            assert spark.createDataFrame([(value,)], "v array<string>").select(grammar.valid(rule, F.col("v"))).first()[0] is want, (rule, value)
+    for rule, value, want in (("cvss_score", 9.8, True), ("cvss_score", 9.81, False), ("cvss_score", 10.1, False), ("probability", 0.5, True), ("probability", 1.5, False)):
+        assert spark.range(1).select(grammar.valid(rule, F.lit(value))).first()[0] is want
+
+
+def test_predicates_by_type(spark):
+    from orrery.operators import properties
+
+    def holds(document, op, path, value=None):
+        return spark.createDataFrame([(document,)], "d string").select(properties.predicate(F.parse_json("d"), op, path, value)).first()[0]
+
+    deep = '{"a": {"0": 5, "01": 6}, "b": [7, {"c": 8}], "n": 1e-10, "big": 1e30, "s": "443", "i": 9007199254740993, "z": null, "t": true, "it\'s": 1}'
+    for op, path, value, want in (
+        ("eq", "/a/0", 5, True), ("eq", "/a/01", 6, True), ("eq", "/b/0", 7, True), ("eq", "/b/1/c", 8, True), ("eq", "/b/01", 7, False), ("eq", "/n", 0, False), ("gt", "/n", 0, True),
+        ("gt", "/big", 1, True), ("eq", "/s", 443, False), ("eq", "/s", "443", True), ("ne", "/s", 443, True), ("eq", "/i", 9007199254740993, True), ("eq", "/i", 9007199254740992, False),
+        ("eq", "/z", None, True), ("ne", "/gone", 1, False), ("exists", "/z", True, True), ("exists", "/gone", False, True), ("eq", "/t", True, True), ("eq", "/t", 1, False), ("gt", "/s", 1, False),
+        ("lt", "/s", "5", True), ("eq", "/it's", 1, True), ("in", "/b/0", [1, 7], True), ("eq", "/a", 5, False), ("gt", "/t", False, False), ("eq", "/n", 1e-10, True),
+    ):
+        assert holds(deep, op, path, value) is want, (op, path, value)
+
+
+def test_chunks_of_wide_letters():
+    from orrery.operators.evidence import chunked
+
+    rng = random.Random(5)
+    texts = ["", "a", "仲" * 5000, "é" * 9000, "😀" * 3000, "".join(rng.choice("ab é仲😀\n.") for _ in range(20000)), "word " * 4000, "x" * 10000]
+    for text in texts:
+        data = text.encode()
+        for size, overlap in ((4096, 256), (64, 8), (65536, 2048)):
+            parts = list(chunked(text, size, overlap))
+            assert parts[0][1] == 0 and parts[-1][2] == len(data)
+            owned = b"".join(data[p[3] : p[2]] for p in parts)
+            assert owned == data
+            for (_, start, end, owner, line, body), following in zip(parts, [*parts[1:], None]):
+                assert data[start:end].decode() == body and line == data[:start].count(b"\n") + 1 and start <= owner <= end and end - start <= size
+                if following:
+                    assert following[3] == end and end - overlap - 4 <= following[1] <= end
+
+
+def test_tokens_lose_their_marks(spark):
+    from orrery.operators import search
+
+    df = spark.createDataFrame([("Éléphant naïve e\u0301a Straße Ωμέγα Ελλάς 你好 a1_b2",)], "t string")
+    assert df.select(search.tokens(F.col("t"))).first()[0] == ["elephant", "naive", "ea", "straße", "ωμεγα", "ελλας", "你好", "a1", "b2"]
+
+
+def test_secret_keys_in_order():
+    from orrery.functions.jsonwalk import secret_key
+
+    assert secret_key({"b": {"KEY": 1}, "a": [{"x": 1}, {"Value": 2}]}) == "/a/1/Value"
+    assert secret_key({"keys": 1, "tokens": [1]}) is None
+
+
+def test_url_hosts(spark):
+    from orrery.functions import transforms
+
+    cases = {"HTTPS://Example.COM:8443/x": "example.com", "http://[2001:DB8::1]/": "2001:db8::1", "no url": None}
+    df = spark.createDataFrame([(u,) for u in cases], "u string")
+    assert {r.u: r.h for r in df.select("u", transforms.apply_chain(F.col("u"), ["url_host"]).alias("h")).collect()} == cases
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    from orrery.streaming import ingest
+
+    first = spark.createDataFrame([("a", 5), ("b", 7), ("c", 10**12)], "record string, observed bigint")
+    second = spark.createDataFrame([("a", 3), ("d", 9)], "record string, observed bigint")
+    ingest.SpanSink(str(tmp_path), 1000)(first, 0)
+    sink = ingest.SpanSink(str(tmp_path), 1000)  # as after a restart
+    sink(second, 1)
+    sink(second, 1)
+    assert sorted(map(tuple, sink.state(spark).collect())) == [("a", 3, 5, 2), ("b", 7, 7, 1), ("d", 9, 9, 1)]
+    assert [r.record for r in spark.read.parquet(f"{tmp_path}/refused").collect()] == ["c"]
+
+    rng, writes = random.Random(13), []
+    for seq in range(300):
+        writes.append((f"r{rng.randrange(20)}", f"p{rng.randrange(3)}", seq, rng.randrange(40), rng.random() < 0.8, rng.random() < 0.3, str(seq)))
+    for k in range(3):
+        batch = spark.createDataFrame(writes[k * 100 : (k + 1) * 100], "record string, path string, seq bigint, observed bigint, reporting boolean, removed boolean, value string")
+        ingest.MergeSink(str(tmp_path))(batch, k)
+    got = {(r.record, r.path): r.value for r in ingest.MergeSink(str(tmp_path)).state(spark).collect()}
+    want = {}
+    for record in {w[0] for w in writes}:
+        history = [(w[3], w[4], None if w[5] else {w[1]: w[6]}, [w[1]] if w[5] else []) for w in writes if w[0] == record]
+        want.update({(record, path): value for path, value in merge.fold(history).items()})
+    assert got == want
