@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,22 +15,32 @@ from orrery.functions.transforms import apply_chain
 
 def field_path(column: str = "path"):
     """A leaf's pointer as a rule path: object steps joined by dots, array steps as []."""
-    return F.regexp_replace(F.regexp_replace(F.substring(column, 2, 100000), r"/[0-9]+(?=/|\z)", "[]"), "/", ".")
+    bare = F.substring(F.col(column), F.lit(2), F.length(column))
+    return F.regexp_replace(F.regexp_replace(bare, r"/[0-9]+(?=/|\z)", "[]"), "/", ".")
 
 
-def match(leaves: DataFrame, rules: DataFrame) -> DataFrame:
+def match(leaves: DataFrame, rules: DataFrame, records: DataFrame | None = None) -> DataFrame:
     """leaves (owner, path, field, ...) with all rules (pattern, sink, ...) of the highest specificity.
 
-    A pattern has as many steps as the field; `*` matches one step.  Specificity is the number of
-    steps that are no `*`.
+    A pattern has as many steps as the field; `*` matches one step; a closing `{name=value,...}` asks for fields of the
+    record (records: owner, fields as map<string,string>).  Specificity is the number of steps that are no `*`, then the
+    number of qualifiers.
     """
     steps = lambda c: F.split(c, r"\.")
-    ranked = rules.withColumn("__steps", steps(F.col("pattern"))).withColumn("__n", F.size("__steps")).withColumn("__rank", F.size(F.filter("__steps", lambda s: s != "*")))
+    bare = F.regexp_replace("pattern", r"\{[^}]*\}\z", "")
+    asked = F.nullif(F.regexp_extract("pattern", r"\{([^}]*)\}\z", 1), F.lit(""))
+    ranked = rules.withColumn("__asked", F.str_to_map(asked, F.lit(","), F.lit("="))).withColumn("__steps", steps(bare)).withColumn("__n", F.size("__steps"))
+    ranked = ranked.withColumn("__rank", F.struct(F.size(F.filter("__steps", lambda s: s != "*")).alias("named"), F.coalesce(F.size("__asked"), F.lit(0)).alias("asked")))
     fields = leaves.select("field").distinct().withColumn("__own", steps(F.col("field"))).withColumn("__n", F.size("__own"))
     fits = F.forall(F.zip_with("__steps", "__own", lambda p, s: (p == "*") | (p == s)), lambda ok: ok)
     found = fields.join(ranked, "__n").where(fits)  # distinct fields and rules: both belong to formats, not to data
-    best = found.withColumn("__best", F.max("__rank").over(Window.partitionBy("field"))).where("__rank = __best").drop("__steps", "__own", "__n", "__rank", "__best")
-    return leaves.join(best, "field")
+    if records is None:
+        best = found.where("__asked is null").withColumn("__best", F.max("__rank").over(Window.partitionBy("field"))).where("__rank = __best")
+        return leaves.join(best.drop("__steps", "__own", "__n", "__rank", "__best", "__asked"), "field")
+    told = leaves.join(found, "field").join(records.select("owner", F.col("fields").alias("__fields")), "owner", "left")
+    holds = F.col("__asked").isNull() | F.forall(F.map_entries("__asked"), lambda e: F.coalesce(F.try_element_at(F.col("__fields"), e["key"]) == e["value"], F.lit(False)))
+    best = told.where(holds).withColumn("__best", F.max("__rank").over(Window.partitionBy("owner", "path"))).where("__rank = __best")
+    return best.drop("__steps", "__own", "__n", "__rank", "__best", "__asked", "__fields")
 
 
 def mapped(matched: DataFrame, chains: dict[str, list[str]]) -> DataFrame:
@@ -66,22 +77,29 @@ def policy_breaches(rules: DataFrame, allowed: list[str]) -> DataFrame:
 
 
 def redacted(rows: DataFrame, row_id: str, document: str, fields: list[str]) -> DataFrame:
-    """owner, document (canonical JSON with [REDACTED] at the fields), secrets (the strings taken out)."""
-    wanted = {"/" + f.replace(".", "/") for f in fields}
+    """owner, document (canonical JSON with [REDACTED] at the fields), secrets (the strings taken out).
+
+    Fields are rule paths: steps joined by dots, `*` for one step, `[]` after an array; of an array of scalars each item goes.
+    """
+    wanted = [f.removesuffix("[]").split(".") for f in fields]
+
+    def taken(pointer: str) -> bool:
+        own = re.sub(r"/[0-9]+(?=/|$)", "[]", pointer[1:]).removesuffix("[]").split("/")
+        return any(len(own) == len(w) and all(p in ("*", s) for p, s in zip(w, own)) for w in wanted)
 
     def run(batches):
         for batch in batches:
             out, secrets = [], []
             for text in batch.column(1).to_pylist():
                 value = json.loads(text) if text is not None else None
-                out.append(None if text is None else jsonwalk.canonical(jsonwalk.redact(value, wanted)))
-                found = [jsonwalk.resolve(value, p) for p in sorted(wanted)]
-                secrets.append([str(v) for ok, v in found if ok and v not in (None, "")])
+                found = {at: v for at, v, _, _ in jsonwalk.leaves(value) if at and taken(at)}
+                out.append(None if text is None else jsonwalk.canonical(jsonwalk.redact(value, set(found))))
+                secrets.append([str(v) for v in found.values() if v not in (None, "", [], {})])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(secrets, pa.list_(pa.string()))], ["owner", "document", "secrets"])
 
     return rows.selectExpr(f"cast({row_id} as bigint) as owner", f"{document} as document").mapInArrow(run, "owner bigint, document string, secrets array<string>")
 
 
 def leaks(redactions: DataFrame) -> DataFrame:
-    """Secrets that still stand in their own document; nothing is expected."""
-    return redactions.select("owner", "document", F.explode("secrets").alias("secret")).where(F.length("secret") >= 4).where(F.col("document").contains(F.col("secret"))).select("owner", "secret")
+    """Secrets, short ones too, that still stand in their own document; nothing is expected."""
+    return redactions.select("owner", "document", F.explode("secrets").alias("secret")).where(F.col("document").contains(F.col("secret"))).select("owner", "secret")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +33,52 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), _MARKED, _PLAIN), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
+#: Bounds of a text query (fixed values): bytes and tokens.
+QUERY_BYTES, QUERY_TOKENS = 2048, 32
+_WORD = re.compile(r"[^\W_]+")
+
+
+def compiled(query: Column, mode: str = "words") -> Column:
+    """tokens (in order; of `words` each once) and reason: why a query is refused, null where it is not."""
+    words = tokens(query) if mode == "literal" else F.array_distinct(tokens(query))
+    reason = F.when(F.octet_length(query) > QUERY_BYTES, "too long").when(F.size(words) == 0, "no tokens").when(F.size(words) > QUERY_TOKENS, "too many tokens")
+    return F.struct(F.when(reason.isNull(), words).alias("tokens"), reason.alias("reason"))
+
+
+def places(text: str, phrase: str):
+    """Code points (start, end) of every hit of a phrase, overlapping ones too, whose first and last token are whole tokens of the text."""
+    own = list(_WORD.finditer(phrase))
+    at = text.find(phrase) if own else -1
+    while at >= 0:
+        first, last = at + own[0].start(), at + own[-1].end()
+        if not (first and _WORD.match(text[first - 1])) and not (last < len(text) and _WORD.match(text[last])):
+            yield at, at + len(phrase)
+        at = text.find(phrase, at + 1)
+
+
+def references(chunks: DataFrame, phrase: str) -> DataFrame:
+    """chunks (owner, byte_start, owner_start, line, text) -> owner, byte_start, byte_end, line_start, line_end of each hit, once.
+
+    Ranges are those of the whole source; a hit that ends in what a chunk repeats of the one before belongs to that one.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for owner, base, owned, line, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                done, size, lines = 0, base, line
+                for start, end in places(text or "", phrase):
+                    size, lines, done = size + len(text[done:start].encode()), lines + text.count("\n", done, start), start
+                    last = size + len(text[start:end].encode())
+                    if last > owned:
+                        out.append((owner, size, last, lines, lines + text.count("\n", start, end)))
+            columns = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["owner", "byte_start", "byte_end", "line_start", "line_end"])
+
+    picked = chunks.select("owner", "byte_start", "owner_start", "line", "text")
+    return picked.mapInArrow(run, "owner bigint, byte_start bigint, byte_end bigint, line_start bigint, line_end bigint").distinct()
+
+
 def postings(units: DataFrame) -> DataFrame:
     """units (unit, text) -> token, unit, tf, length (tokens of the unit)."""
     words = units.select("unit", tokens(F.col("text")).alias("words"))
@@ -72,8 +120,6 @@ def _times(word: str) -> Column:
 
 def literal(units: DataFrame, phrase: str) -> DataFrame:
     """Units that hold the phrase exactly, not inside a longer token at either end; with the first place (code points)."""
-    import re
-
     inner = re.sub(r"([^A-Za-z0-9 ])", r"\\\1", phrase)
     pattern = (r"(?<![\p{L}\p{N}])" if phrase[:1].isalnum() else "") + inner + (r"(?![\p{L}\p{N}])" if phrase[-1:].isalnum() else "")
     hits = units.where(F.col("text").contains(phrase) & F.col("text").rlike(pattern))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.sources.storage import fresh
+
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
     """edges (ord, source_id, target_id) as (ord, owner, far)."""
@@ -13,14 +15,26 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": out, "in": into, "both": out.unionByName(into)}[direction]
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both") -> DataFrame:
-    """node_id and level of all nodes within depth steps of the seeds (node_id): one join and one anti-join for each level."""
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "both", types: tuple[str, ...] = (), ready: DataFrame | None = None) -> DataFrame:
+    """node_id and level of all nodes within depth steps of the seeds (node_id): one join and one anti-join for each level.
+
+    types: the relation types (column type of edges) to follow, all without any; ready: the nodes (node_id) that may be
+    entered.  Each level but the last is written down, so the plan does not grow with the depth.
+    """
+    if types:
+        edges = edges.where(F.col("type").isin(*types))
     ways = directed(edges, direction).select("owner", "far")
+    if ready is not None:
+        ways = ways.join(ready.select(F.col("node_id").alias("far")).distinct(), "far", "left_semi")
     seen = seeds.select("node_id").distinct().withColumn("level", F.lit(0))
     frontier = seen
     for level in range(1, depth + 1):
         new = frontier.select(F.col("node_id").alias("owner")).join(ways, "owner").select(F.col("far").alias("node_id")).distinct()
         frontier = new.join(seen, "node_id", "left_anti").withColumn("level", F.lit(level))
+        if level < depth:
+            path = fresh(edges.sparkSession, "level")
+            frontier.write.parquet(path)
+            frontier = edges.sparkSession.read.parquet(path)
         seen = seen.unionByName(frontier)
     return seen
 

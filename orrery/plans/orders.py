@@ -66,20 +66,36 @@ def v33(spark, sf_dir):
     return state.effective(_nodes(spark, sf_dir)).where(state.shown(F.col("ownership"))).select("node_id")
 
 
+_NEXT = """CASE WHEN state IS NOT DISTINCT FROM s THEN true WHEN s = 'rejected' THEN state IS NOT DISTINCT FROM 'candidate'
+  WHEN s = 'candidate' THEN state IS DISTINCT FROM 'rejected' ELSE o_orderkey % 2 = 0 END"""
+
+
 @query(
     "N5_ownership_transitions",
-    """WITH t AS (SELECT o_orderkey, lag(s) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, s AS after
-      FROM (SELECT o_orderkey, o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 'owned' WHEN 1 THEN 'candidate' WHEN 2 THEN 'dependency' ELSE 'rejected' END AS s FROM orders))
-    SELECT o_orderkey, CASE WHEN before IS NOT DISTINCT FROM after THEN true WHEN after = 'rejected' THEN before IS NOT DISTINCT FROM 'candidate'
-      WHEN after = 'candidate' THEN before IS DISTINCT FROM 'rejected' ELSE o_orderkey % 2 = 0 END AS allowed FROM t""",
+    f"""WITH RECURSIVE t AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i,
+      CASE o_orderkey % 4 WHEN 0 THEN 'owned' WHEN 1 THEN 'candidate' WHEN 2 THEN 'dependency' ELSE 'rejected' END AS s FROM orders),
+    g AS (
+      SELECT *, NULL::VARCHAR AS before, {_NEXT} AS allowed FROM (SELECT *, NULL::VARCHAR AS state FROM t WHERE i = 1)
+      UNION ALL
+      SELECT o_orderkey, o_custkey, i, s, state, state AS before, {_NEXT} AS allowed
+      FROM (SELECT t.*, CASE WHEN g.allowed THEN g.s ELSE g.before END AS state FROM g JOIN t ON t.o_custkey = g.o_custkey AND t.i = g.i + 1)
+    ) SELECT o_orderkey, before, allowed FROM g""",
 )
 def n5(spark, sf_dir):
-    from pyspark.sql import Window
-
     s = F.element_at(F.array(*[F.lit(x) for x in ("owned", "candidate", "dependency", "rejected")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", s.alias("after"))
-    rows = rows.withColumn("before", F.lag("after").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
-    return rows.select("o_orderkey", state.transition_allowed(F.col("before"), F.col("after"), F.col("o_orderkey") % 2 == 0).alias("allowed"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("record"), F.col("o_orderkey").alias("seq"), s.alias("after"), (F.col("o_orderkey") % 2 == 0).alias("evidenced"))
+    return state.accepted_transitions(rows).select(F.col("seq").alias("o_orderkey"), "before", "allowed")
+
+
+@query("N7_rejection_projection", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'value' ELSE 'method,url' END AS kept, 'unknown' AS \"authorization\", false AS allowlist_scoped FROM supplier")
+def n7(spark, sf_dir):
+    k = F.col("s_suppkey")
+    held = F.when(k % 2 == 0, F.create_map(F.lit("value"), F.col("s_name"), F.lit("wildcard"), F.lit("true"), F.lit("note"), F.lit("x"))).otherwise(
+        F.create_map(F.lit("url"), F.col("s_name"), F.lit("method"), F.lit("GET"), F.lit("status"), F.lit("200"))
+    )
+    nodes = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k % 2 == 0, "domain").otherwise("endpoint").alias("type"), held.alias("properties"), F.lit("in_scope").alias("authorization"), F.lit(True).alias("allowlist_scoped"))
+    left = state.rejected_projection(nodes)
+    return left.select("s_suppkey", F.array_join(F.array_sort(F.map_keys("properties")), ",").alias("kept"), "authorization", "allowlist_scoped")
 
 
 @query(

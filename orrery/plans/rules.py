@@ -320,18 +320,29 @@ def v21(spark, sf_dir):
 
 @query(
     "F6_query_compile",
-    r"SELECT item_id, list_sort(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\pL\pN\p{Co}]+')))[1:32] AS words FROM benchmark",
+    r"""WITH t AS (SELECT item_id, text, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\pL\pN\p{Co}]+')) AS w FROM benchmark),
+    q AS (SELECT *, CASE WHEN strlen(text) > 2048 THEN 'too long' WHEN len(w) = 0 THEN 'no tokens' WHEN len(w) > 32 THEN 'too many tokens' END AS reason FROM t)
+    SELECT item_id, CASE WHEN reason IS NULL THEN array_to_string(list_sort(w), ' ') END AS words, reason FROM q""",
 )
 def f6(spark, sf_dir):
     from orrery.operators import search
 
-    return table(spark, sf_dir, "benchmark").select("item_id", F.slice(F.array_sort(F.array_distinct(search.tokens(F.col("text")))), 1, 32).alias("words"))
+    told = table(spark, sf_dir, "benchmark").select("item_id", search.compiled(F.col("text")).alias("q"))
+    return told.select("item_id", F.array_join(F.array_sort("q.tokens"), " ").alias("words"), "q.reason")
 
 
-@query("F10_F11_match_references", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents) SELECT doc_id, line_no, strpos(line, 'the') AS place FROM l WHERE contains(line, 'the')")
+@query(
+    "F10_F11_match_references",
+    r"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^\pL\pN]*[\pL\pN]+') AS l FROM documents),
+    t AS (SELECT doc_id, unnest(l) AS seg, generate_subscripts(l, 1) AS i FROM s),
+    p AS (SELECT doc_id, seg, sum(strlen(seg)) OVER w AS e, 1 + sum(length(seg) - length(replace(seg, chr(10), ''))) OVER w AS line FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id AS owner, (e - 3)::BIGINT AS byte_start, e::BIGINT AS byte_end, line::BIGINT AS line_start, line::BIGINT AS line_end FROM p WHERE regexp_extract(seg, '[\pL\pN]+$') = 'the'""",
+)
 def f10(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.where(F.col("line").contains("the")).select("doc_id", (F.col("at") + 1).cast("long").alias("line_no"), F.instr("line", "the").cast("long").alias("place"))
+    from orrery.operators import evidence, search
+
+    return search.references(evidence.chunks(table(spark, sf_dir, "documents"), "doc_id", "text"), "the")
+
 
 
 @query(

@@ -324,3 +324,55 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
         history = [(w[3], w[4], None if w[5] else {w[1]: w[6]}, [w[1]] if w[5] else []) for w in writes if w[0] == record]
         want.update({(record, path): value for path, value in merge.fold(history).items()})
     assert got == want
+
+
+def test_rules_with_qualifiers(spark):
+    from orrery.operators import mapping
+
+    leaves = spark.createDataFrame([(1, "/a/b", "a.b"), (2, "/a/b", "a.b"), (1, "/c", "c")], "owner bigint, path string, field string")
+    rules = spark.createDataFrame([("a.b", "plain"), ("a.b{type=x}", "typed"), ("a.b{type=x,module=m}", "both"), ("*.b", "wild"), ("c{type=z}", "none")], "pattern string, sink string")
+    records = spark.createDataFrame([(1, {"type": "x", "module": "m"}), (2, {"type": "y"})], "owner bigint, fields map<string,string>")
+    got = sorted((r.owner, r.sink) for r in mapping.match(leaves, rules, records).collect())
+    assert got == [(1, "both"), (2, "plain")]
+
+
+def test_redaction_in_arrays(spark):
+    from orrery.operators import mapping
+
+    df = spark.createDataFrame([(1, '{"a": [{"k": "s1"}, {"k": "s2", "n": 1}], "t": ["x1", "x2"], "o": {"p": {"q": "z9"}}}')], "id bigint, d string")
+    row = mapping.redacted(df, "id", "d", ["a[].k", "t", "o.*.q"]).first()
+    assert row.document == '{"a":[{"k":"[REDACTED]"},{"k":"[REDACTED]","n":1}],"o":{"p":{"q":"[REDACTED]"}},"t":["[REDACTED]","[REDACTED]"]}'
+    assert sorted(row.secrets) == ["s1", "s2", "x1", "x2", "z9"]
+
+
+def test_references_across_chunks(spark):
+    from orrery.operators import evidence, search
+
+    rng = random.Random(6)
+    texts = [(i, "".join(rng.choice(["ab ", "ab", " a", "é ", "ab ab ", "\n", "b-ab "]) for _ in range(400))) for i in range(6)] + [(9, "aa aa aa"), (10, None)]
+    df = spark.createDataFrame(texts, "id bigint, t string")
+    for phrase in ("ab", "ab ab", "é", "aa aa"):
+        want = set()
+        for i, t in texts:
+            for a, z in search.places(t or "", phrase):
+                want.add((i, len(t[:a].encode()), len(t[:z].encode()), t[:a].count("\n") + 1, t[:z].count("\n") + 1))
+        got = [tuple(r) for r in search.references(evidence.chunks(df, "id", "t", 256, 32), phrase).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert list(search.places("aa aa aa", "aa aa")) == [(0, 5), (3, 8)]
+
+
+def test_transitions_follow_accepted_states(spark):
+    rng, rows = random.Random(3), []
+    for record in range(15):
+        for seq in range(rng.randrange(1, 40)):
+            rows.append((record, seq, rng.choice(["owned", "candidate", "dependency", "rejected"]), rng.random() < 0.5))
+    df = spark.createDataFrame(rows, "record bigint, seq bigint, after string, evidenced boolean")
+    now, want = {}, {}
+    for record, seq, after, evidenced in rows:
+        before = now.get(record)
+        ok = before == after or {"rejected": before == "candidate", "candidate": before != "rejected"}.get(after, evidenced)
+        want[record, seq] = (before, ok)
+        if ok:
+            now[record] = after
+    for block in (4, 1024):
+        assert {(r.record, r.seq): (r.before, r.allowed) for r in state.accepted_transitions(df, block).collect()} == want
