@@ -47,12 +47,12 @@ MAGIC = b"IDSHARD1"
 FOOTER = struct.Struct("<8sIIQQ")
 BUCKET_KEYS = 1 << 15
 #: Pieces that a worker remembers: so many new ones, and as many from before.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 _NULL = -(1 << 63)
 _GOLD = 0x9E3779B97F4A7C15
 #: Text bytes that are encoded at a time.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: Text bytes of a shard, where the session's shuffle partitions would make larger ones.
 SHARD_BYTES = 256 << 20
 
