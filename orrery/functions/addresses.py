@@ -68,3 +68,18 @@ def idna_round_trip(labels: pd.Series) -> pd.Series:
             return False
 
     return pd.Series([sound(v) for v in labels])
+
+
+@F.pandas_udf(T.StringType())
+def spanned_network(first: pd.Series, last: pd.Series) -> pd.Series:
+    """The network from its first to its last address; null where these are no addresses, or no one prefix spans them."""
+
+    def span(low, high):
+        try:
+            parts = ipaddress.summarize_address_range(ipaddress.ip_address(low), ipaddress.ip_address(high))
+            one = next(parts)
+            return str(one) if next(parts, None) is None else None
+        except (ValueError, TypeError):
+            return None
+
+    return pd.Series([span(a, b) for a, b in zip(first, last)], dtype="object")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Label shapes, and for each host shape its service, labels and whether it is canonical.
-_AWS_REGION = r"(?<region>[a-z]{2,4}(?:-gov|-iso[a-z]?)?-[a-z]+-[0-9]{1,2})"
+_AWS_REGION = r"([a-z]{2,4}(?:-gov|-iso[a-z]?)?-[a-z]+-[0-9]{1,2})"
 _BEANSTALK = r"[a-z0-9][a-z0-9-]{2,61}[a-z0-9]"
 _ELB = r"(?=[a-z0-9-]{3,63}\.)[a-z0-9][a-z0-9-]*-[a-z0-9]+"
 _AZURE = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 _HASHED = r"[a-z0-9](?:[a-z0-9-]{0,44})-[a-z0-9]{16}"
-_AZURE_REGION = r"(?<region>[a-z]+[0-9]*)"
+_AZURE_REGION = r"([a-z]+[0-9]*)"
 _PROJECT = r"(?![^.]*-dot-)[a-z][a-z0-9-]{4,28}[a-z0-9]"
 _SITE = r"[a-z0-9](?:[a-z0-9-]{0,28}[a-z0-9])?"
 SHAPES = (
@@ -44,21 +46,20 @@ SHAPES = (
     ("gcp_firebase_hosting", rf"{_SITE}\.web\.app", True),
     ("gcp_firebase_hosting", rf"{_SITE}\.firebaseapp\.com", False),
     ("gcp_firebase_rtdb", rf"{_AZURE}\.firebaseio\.com", True),
-    ("gcp_firebase_rtdb", rf"{_AZURE}\.(?<region>[a-z]+-[a-z]+[0-9]+)\.firebasedatabase\.app", True),
+    ("gcp_firebase_rtdb", rf"{_AZURE}\.([a-z]+-[a-z]+[0-9]+)\.firebasedatabase\.app", True),
 )
 
 
-def shapes(spark: SparkSession) -> DataFrame:
-    """The shapes as a table: service, pattern, region_group (0 where none), canonical."""
-    rows = [(s, rf"\A{p.replace('(?<region>', '(')}\z", int("(?<region>" in p), c) for s, p, c in SHAPES]
-    return spark.createDataFrame(rows, "service string, pattern string, region_group int, canonical boolean")
+def match(host: Column) -> Column:
+    """The one shape that fits a host in lower case: struct of service, region and canonical; null where none does."""
+    found: list[Column] = []
+    for service, pattern, canonical in SHAPES:
+        whole = rf"\A{pattern}\z"
+        region = F.regexp_extract(host, whole, 1) if re.compile(pattern).groups else F.lit(None).cast("string")
+        found.append(F.when(host.rlike(whole), F.struct(F.lit(service).alias("service"), region.alias("region"), F.lit(canonical).alias("canonical"))))
+    return F.coalesce(*found)
 
 
 def classify(hosts: DataFrame) -> DataFrame:
     """hosts (host) -> host, service, region, canonical; at most one shape fits a host."""
-    found: list[Column] = []
-    for service, pattern, canonical in SHAPES:
-        java = rf"\A{pattern.replace('(?<region>', '(')}\z"
-        region = F.regexp_extract("host", java, 1) if "(?<region>" in pattern else F.lit(None).cast("string")
-        found.append(F.when(F.col("host").rlike(java), F.struct(F.lit(service).alias("service"), region.alias("region"), F.lit(canonical).alias("canonical"))))
-    return hosts.select("host", F.coalesce(*found).alias("m")).select("host", "m.service", "m.region", "m.canonical")
+    return hosts.select("host", match(F.col("host")).alias("m")).select("host", "m.service", "m.region", "m.canonical")

@@ -201,7 +201,7 @@ def m3(spark, sf_dir):
     return mapping.expected(values.where("sink <> 'event.score'"))
 
 
-@query("M5_conditions", "SELECT event_id, event_type = 'http' AS http, event_type <> 'ssl' AS not_ssl FROM events")
+@query("M5_conditions", "SELECT event_id, event_type IN ('http', 'headless') AS http, event_type <> 'ssl' AS not_ssl FROM events")
 def m5(spark, sf_dir):
     c = transforms.CONDITIONS
     return table(spark, sf_dir, "events").select("event_id", c["nuclei_http_result"](F.col("event_type")).alias("http"), c["nuclei_not_ssl_result"](F.col("event_type")).alias("not_ssl"))

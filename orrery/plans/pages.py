@@ -231,3 +231,21 @@ def w9(spark, sf_dir):
     asked = inventory.endpoints(pages).select(F.col("page_id").alias("place"), F.when(F.col("page_id") % 3 == 0, "missing").otherwise(F.col("key")).alias("key"))
     known = inventory.nodes(pages, _rules(spark)).groupBy("key").agg(F.first("type").alias("type"))
     return asked.join(known, "key", "left").select("place", "key", F.col("type").isNull().alias("missing"))
+
+
+@query(
+    "T12_T14_name_gates",
+    f"""WITH {_EP} SELECT name, CASE WHEN kind = 'domain' THEN name END AS if_domain, CASE WHEN kind = 'subdomain' THEN name END AS if_subdomain,
+    CASE WHEN kind = 'domain' THEN substr(name, instr(name, '.') + 1) END AS suffix, coalesce(kind = 'domain', false) AS host_is_domain, coalesce(kind = 'subdomain', false) AS host_is_subdomain FROM kind""",
+)
+def t12(spark, sf_dir):
+    found = inventory.endpoints(table(spark, sf_dir, "pages")).select(F.concat(F.upper("host"), F.lit(".")).alias("written")).distinct()
+    kinds = dns.with_kinds(found, F.col("written"), _rules(spark))
+    name, kind = F.col("written"), F.col("kind")
+    return kinds.select(
+        dns.spelled(name).alias("name"),
+        transforms.of_kind(name, kind, "domain").alias("if_domain"),
+        transforms.of_kind(name, kind, "subdomain").alias("if_subdomain"),
+        transforms.public_suffix_of(name, kind).alias("suffix"),
+        *[transforms.CONDITIONS[n](kind).alias(n) for n in ("host_is_domain", "host_is_subdomain")],
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from orrery.functions import grammar, hosts, jsonwalk, transforms
+from orrery.functions import addresses, grammar, hosts, jsonwalk, registration, transforms
 from orrery.operators import checks, mapping, merge
 from orrery.plans.book import query, table
 from orrery.plans.events import _A1
@@ -59,7 +59,7 @@ def v16(spark, sf_dir):
 def v17(spark, sf_dir):
     n = (F.col("c_custkey") % 300).cast("string")
     ip = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("203.0.113."), n)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("203.0.113.0"), n)).otherwise(F.concat(F.lit("203.0."), n))
-    return table(spark, sf_dir, "customer").select("c_custkey", grammar.valid("ipv4", ip).alias("valid"), F.coalesce(transforms.apply_chain(ip, ["ip_version"]), F.lit(0)).alias("version"))
+    return table(spark, sf_dir, "customer").select("c_custkey", grammar.valid("ipv4", ip).alias("valid"), F.when(grammar.valid("ipv4", ip), transforms.apply_chain(ip, ["ip_version"])).otherwise(0).alias("version"))
 
 
 @query(
@@ -240,8 +240,8 @@ def t6(spark, sf_dir):
         go(uri, "cpe22_uri_to_cpe23").alias("cpe"),
         go(uri, "cpe22_uri_to_cpe23", "cpe_product_level").alias("product"),
         go(F.concat(F.lit("My_."), k), "pypi_name_to_purl").alias("purl"),
-        go(F.concat((F.col("p_partkey") % 100).cast("string"), F.lit(" mail.example.")), "rr_mx_preference").alias("mx"),
-        go(F.concat(F.lit('0 issue "ca'), k, F.lit('.example; a=b"')), "rr_caa_issuer").alias("issuer"),
+        go(F.concat(F.lit("example. 300 IN MX "), (F.col("p_partkey") % 100).cast("string"), F.lit(" mail.example.")), "rr_mx_preference").alias("mx"),
+        go(F.concat(F.lit('example. 300 IN CAA 0 issue "CA'), k, F.lit('.example; a=b"')), "rr_caa_issuer").alias("issuer"),
         go(F.concat(F.lit("+1.415"), (F.col("p_partkey") + 1000000).cast("string")), "whois_phone_e164").alias("phone"),
         go(F.concat(F.lit("rule-"), k), "nuclei_rule").alias("rule"),
         go(F.concat(F.lit("arn:aws:iam::"), F.lpad(k, 12, "0"), F.lit(":root")), "arn_account").alias("account"),
@@ -399,3 +399,111 @@ def v17b(spark, sf_dir):
     net = F.lit("2001:db8::/32")
     rows = table(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip"), net.alias("net"), F.lit("2001:db8:1::/48").alias("inner"), _pick("c_custkey", "xn--mnchen-3ya", "xn--a").alias("label"))
     return rows.select("c_custkey", addresses.ip_version("ip").alias("version"), addresses.cidr_version("net").alias("network"), addresses.contains_ip("net", "ip").alias("inside"), addresses.proper_subnet("net", "inner").alias("subnet"), addresses.idna_round_trip("label").alias("idna"))
+
+
+@query(
+    "T10_registration_contacts",
+    """WITH a AS (SELECT c_custkey AS owner, c_name, '+1' || lpad(c_custkey::VARCHAR, 4, '0') || '555' AS phone, c_custkey % 2 = 0 AS org FROM customer)
+    SELECT owner, 0 AS position, NULL AS rdap_registrar_name, CASE WHEN org THEN c_name END AS rdap_holder_name, CASE WHEN org THEN 'H' || owner END AS rdap_holder_handle,
+    'c' || owner || '@example.com' AS rdap_registration_contact_email, NULL AS rdap_abuse_email, NULL AS rdap_abuse_phone FROM a
+    UNION ALL SELECT owner, 1, 'Registrar ' || owner, NULL, NULL, NULL, NULL, NULL FROM a
+    UNION ALL SELECT owner, 2, NULL, NULL, NULL, NULL, 'abuse@example.com', phone FROM a""",
+)
+def t10(spark, sf_dir):
+    card = '["vcard",[["version",{},"text","4.0"],["kind",{},"text","%s"],["fn",{},"text","%s"],["email",{},"text","%s"],["tel",{},"uri","%s"]]]'
+    layout = '{"entities":[{"handle":"H%s","roles":["registrant"],"vcardArray":' + card + '},{"handle":"R","roles":["registrar"],"vcardArray":' + card + ',"entities":[{"roles":["abuse"],"vcardArray":' + card + "}]}]}"
+    k = _text("c_custkey")
+    kind = F.when(F.col("c_custkey") % 2 == 0, "org").otherwise("individual")
+    parts = [k, kind, F.col("c_name"), F.concat(F.lit("c"), k, F.lit("@example.com")), F.lit("")]
+    parts += [F.lit("org"), F.concat(F.lit("Registrar "), k), F.lit(""), F.lit("555")]
+    parts += [F.lit("group"), F.lit("Desk"), F.lit("abuse@example.com"), F.concat(F.lit("tel:+1 ("), F.lpad(k, 4, "0"), F.lit(") 555;ext=1"))]
+    return registration.contacts(table(spark, sf_dir, "customer").select("c_custkey", F.format_string(layout, *parts).alias("answer")), "c_custkey", "answer")
+
+
+@query(
+    "T3_T5_T14_registration_records",
+    """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS registered, NULL AS expires, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS autnum,
+    CASE o_orderkey % 3 WHEN 0 THEN '10.' || (o_orderkey % 256) || '.0.0/16' WHEN 1 THEN '10.0.' || (o_orderkey % 256) || '.7/32' END AS network,
+    o_orderkey % 3 = 0 AS accepted, o_orderkey % 3 <> 2 AS whois FROM orders""",
+)
+def t3b(spark, sf_dir):
+    r, n = F.col("o_orderkey") % 3, (F.col("o_orderkey") % 256).cast("string")
+    date = F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'")
+    handle = F.when(r == 2, "no id").otherwise(F.concat(_text("o_orderkey"), F.lit("_DOMAIN-EX")))
+    layout = '{"handle":"%s","ldhName":"example.com","redacted":[{"prePath":"%s"}],"events":[{"eventAction":"registration","eventDate":"%s"},{"eventAction":"transfer","eventDate":"%s"}]}'
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        date.alias("date"),
+        handle.alias("handle"),
+        F.format_string(layout, handle, F.when(r == 1, "$.handle").otherwise("$.entities"), date, date).alias("answer"),
+        F.col("o_custkey").alias("first"),
+        F.when(r == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1).alias("last"),
+        F.when(r == 0, F.concat(F.lit("10."), n, F.lit(".0.0"))).when(r == 1, F.concat(F.lit("10.0."), n, F.lit(".7"))).otherwise("10.0.0.1").alias("low"),
+        F.when(r == 0, F.concat(F.lit("10."), n, F.lit(".255.255"))).when(r == 1, F.concat(F.lit("10.0."), n, F.lit(".7"))).otherwise("10.0.0.4").alias("high"),
+    )
+    return rows.select(
+        "o_orderkey",
+        registration.event_date("rdap_event_registration", F.col("date"), F.col("answer")).alias("registered"),
+        registration.event_date("rdap_event_expiration", F.col("date"), F.col("answer")).alias("expires"),
+        transforms.single_autnum(F.col("first"), F.col("last")).alias("autnum"),
+        addresses.spanned_network("low", "high").alias("network"),
+        registration.rdap_registration_accepted(F.col("answer"), F.lit("domain")).alias("accepted"),
+        registration.whois_registration_accepted(F.col("handle"), F.lit("example.com"), F.lit("domain")).alias("whois"),
+    )
+
+
+@query(
+    "T11_caa_records",
+    """WITH a AS (SELECT s_suppkey, s_suppkey % 4 AS r FROM supplier)
+    SELECT s_suppkey, CASE WHEN r = 0 THEN s_suppkey % 256 END AS flags, CASE WHEN r = 1 THEN s_suppkey % 256 END AS wild_flags, CASE WHEN r < 2 THEN 'ca' || s_suppkey || '.example' END AS issuer,
+    CASE WHEN r = 0 THEN 'validationmethods=dns-01|account=' || s_suppkey END AS parameters, CASE WHEN r = 1 THEN '' END AS wild_parameters,
+    CASE WHEN r = 2 THEN 'sec' || s_suppkey || '@example.com' END AS email, CASE WHEN r = 3 THEN 'https://Example.com/r' || s_suppkey END AS url FROM a""",
+)
+def t11b(spark, sf_dir):
+    k, flags = _text("s_suppkey"), (F.col("s_suppkey") % 256).cast("string")
+    told = _pick("s_suppkey", 'issue "CA{}.example; ValidationMethods=dns-01; account = {}"', 'issuewild "ca{}.example"', 'iodef "mailto:Sec{}@Example.com"', 'iodef "https://Example.com/r{}"')
+    record = F.concat(F.lit("example. 300 IN CAA "), flags, F.lit(" "), F.replace(told, F.lit("{}"), k))
+    go = lambda n: transforms.apply_chain(F.col("record"), [n])
+    flat = lambda v: F.array_join(F.transform(v, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "|")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", record.alias("record")).select(
+        "s_suppkey",
+        go("rr_caa_issue_flags").alias("flags"),
+        go("rr_caa_issuewild_flags").alias("wild_flags"),
+        go("rr_caa_issuer").alias("issuer"),
+        flat(go("rr_caa_issue_parameters")).alias("parameters"),
+        flat(go("rr_caa_issuewild_parameters")).alias("wild_parameters"),
+        go("rr_caa_iodef_email").alias("email"),
+        go("rr_caa_iodef_url").alias("url"),
+    )
+
+
+@query(
+    "T9_T13_advisory_scores",
+    """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '9.8' END AS nvd, CASE WHEN p_partkey % 3 < 2 THEN 'V3-' || p_partkey END AS nvd_vector, CASE WHEN p_partkey % 3 = 1 THEN '9.8' END AS github,
+    CASE WHEN p_partkey % 2 = 0 THEN 'secret' || p_partkey ELSE 'raw' || p_partkey END AS secret, 'src/a.py:' || p_partkey AS git, 'src/a.py:' || (p_partkey + 1) AS leak,
+    CASE WHEN p_partkey % 2 = 0 THEN true END AS zone, CASE WHEN p_partkey % 3 = 1 THEN 'lb-' || p_partkey || '.eu-west-1.elb.amazonaws.com' END AS cloud, CASE WHEN p_partkey % 3 = 1 THEN 'eu-west-1' END AS region FROM part""",
+)
+def t9b(spark, sf_dir):
+    k, r = _text("p_partkey"), F.col("p_partkey") % 3
+    # an older metric that the answer's own publisher calls primary goes before a newer one that another calls secondary
+    answer = F.format_string(
+        '{"vulnerabilities":[{"cve":{"metrics":{"cvssMetricV40":[{"type":"Secondary","cvssData":{"baseScore":5.0,"vectorString":"V4"}}],"cvssMetricV31":[{"type":"%s","cvssData":{"baseScore":%s,"vectorString":"V3-%s"}}]}}}%s]}',
+        F.lit("Primary"), F.when(r == 0, "9.8").otherwise("7.5"), k, F.when(r == 2, ',{"cve":{}}').otherwise(""),
+    )
+    advisory = F.format_string('{"cvss_severities":{"cvss_v4":{"score":%s,"vector_string":%s},"cvss_v3":{"score":9.8,"vector_string":"W3"}}}', F.when(r == 1, "0.0").otherwise("3.0"), F.when(r == 1, "null").otherwise('"W4"'))
+    even = F.col("p_partkey") % 2 == 0
+    told = F.format_string("Verified secret. Detector Type: [%s] Raw result: [%s] RawV2 result: [%s] Other: [x]", F.when(even, "AWS").otherwise("Other"), F.when(even, F.lit("AKIA")).otherwise(F.concat(F.lit("raw"), k)), F.concat(F.lit("AKIA:secret"), k))
+    file, host = F.lit("src/a.py"), F.when(r == 1, F.format_string("LB-%s.eu-west-1.elb.amazonaws.com.", k)).otherwise(F.format_string("www%s.example.com", k))
+    go = lambda v, n: transforms.apply_chain(v, [n])
+    return table(spark, sf_dir, "part").select(
+        "p_partkey",
+        transforms.nvd_preferred_cvss(F.lit("9.8"), answer).alias("nvd"),
+        transforms.nvd_preferred_cvss(F.concat(F.lit("V3-"), k), answer).alias("nvd_vector"),
+        transforms.github_preferred_cvss(F.lit("9.8"), advisory).alias("github"),
+        go(told, "bbot_trufflehog_secret_part").alias("secret"),
+        transforms.trufflehog_git_location(file, F.format_string('{"SourceMetadata":{"Data":{"Git":{"line":%s}}}}', k)).alias("git"),
+        transforms.gitleaks_location(file, F.format_string('{"StartLine":%s}', (F.col("p_partkey") + 1).cast("string"))).alias("leak"),
+        transforms.wildcard_zone(F.lit("_wildcard.example.com"), F.when(even, F.array(F.lit("wildcard"))).otherwise(F.array(F.lit("x")))).alias("zone"),
+        go(host, "if_cloud_hostname").alias("cloud"),
+        go(host, "cloud_region").alias("region"),
+    )
