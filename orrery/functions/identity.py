@@ -20,6 +20,14 @@ def key(**properties: Column) -> Column:
     return F.sha2(canonical(**properties), 256) if properties else F.lit("")
 
 
+def key_of(members: str, parent: str) -> Column:
+    """The key of a record whose identity is a map of names to JSON values, and of its parent's id where it has one."""
+    whole = F.when(F.col(parent).isNull(), F.col(members)).otherwise(F.map_concat(F.col(members), F.create_map(F.lit("parent"), F.concat(F.lit('"'), F.col(parent), F.lit('"')))))
+    pairs = F.transform(F.array_sort(F.map_keys(whole)), lambda name: F.concat(F.lit('"'), name, F.lit('":'), F.element_at(whole, name)))
+    text = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
+    return F.when(text == "{}", "").otherwise(F.sha2(text, 256))
+
+
 def node_id(kind: Column, key: Column) -> Column:
     return F.sha2(F.concat(kind, F.lit(":"), key), 256)
 

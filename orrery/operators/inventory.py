@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import dns, grammar, identity
@@ -22,30 +22,39 @@ def seen_span(records: DataFrame) -> DataFrame:
     return records.groupBy("node_id", "key").agg(F.min("seen").alias("first_seen"), F.max("seen").alias("last_seen"), F.count(F.lit(1)).alias("n"))
 
 
+def _names() -> Column:
+    """The distinct names in a query."""
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce("query", F.lit("")), "&"), lambda pair: F.split_part(pair, F.lit("="), F.lit(1))), lambda name: name != ""))
+
+
+def _parameter_key() -> Column:
+    return identity.key(name=F.col("name"), location=F.lit("query"), parent=F.col("parent"))
+
+
 def parameters(found: DataFrame) -> DataFrame:
     """Query parameters, scoped to their endpoint: parent, name, key, node_id; one row per record."""
-    names = found.where("query <> ''").select(F.col("node_id").alias("parent"), F.explode(F.split("query", "&")).alias("pair"))
-    named = names.select("parent", F.split_part("pair", F.lit("="), F.lit(1)).alias("name")).where("name <> ''").distinct()
-    key = identity.key(name=F.col("name"), location=F.lit("query"), parent=F.col("parent"))
-    return named.withColumn("key", key).withColumn("node_id", identity.node_id(F.lit("parameter"), F.col("key")))
+    named = found.where("query <> ''").select(F.col("node_id").alias("parent"), F.explode(_names()).alias("name")).distinct()
+    return named.withColumn("key", _parameter_key()).withColumn("node_id", identity.node_id(F.lit("parameter"), F.col("key")))
 
 
 def host_names(found: DataFrame, rules: DataFrame) -> DataFrame:
     """Domains and subdomains of the hosts, with the registrable domain of each subdomain as a record of its own."""
     kinds = dns.classify(found.select(F.col("host").alias("name")), rules).where("kind is not null")
-    rows = kinds.select("name", "kind").union(kinds.where("kind = 'subdomain'").select("registrable", F.lit("domain"))).distinct()
+    above = F.when(F.col("kind") == "subdomain", F.struct(F.col("registrable").alias("name"), F.lit("domain").alias("kind")))
+    rows = kinds.select(F.explode(F.array_compact(F.array(F.struct("name", "kind"), above))).alias("r")).select("r.name", "r.kind").distinct()
     return rows.withColumn("key", identity.key(value=F.col("name"))).withColumn("node_id", identity.node_id(F.col("kind"), F.col("key")))
 
 
 def nodes(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """node_id, type, key of everything that the pages name."""
+    """node_id, type, key of everything that the pages name; pages are read once for endpoints and parameters, once for names."""
     found = endpoints(pages)
-    return (
-        found.select("node_id", F.lit("endpoint").alias("type"), "key")
-        .union(parameters(found).select("node_id", F.lit("parameter"), "key"))
-        .union(host_names(found, rules).select("node_id", "kind", "key"))
-        .distinct()
-    )
+    # of each endpoint: itself (no name), and its parameters
+    each = found.select(F.col("node_id").alias("parent"), F.col("key").alias("own"), F.explode(F.concat(F.array(F.lit(None).cast("string")), _names())).alias("name"))
+    is_own = F.col("name").isNull()
+    keyed = each.withColumn("key", F.when(is_own, F.col("own")).otherwise(_parameter_key()))
+    node = F.when(is_own, F.col("parent")).otherwise(identity.node_id(F.lit("parameter"), F.col("key")))
+    located = keyed.select(node.alias("node_id"), F.when(is_own, "endpoint").otherwise("parameter").alias("type"), "key").distinct()
+    return located.union(host_names(found, rules).select("node_id", "kind", "key"))
 
 
 def relations(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -59,5 +68,25 @@ def relations(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return both.withColumn("rel_id", identity.relation_id(F.col("source_id"), F.col("type"), F.col("target_id"), F.col("key")))
 
 
+def scoped(records: DataFrame, rounds: int = 3) -> DataFrame:
+    """records (ref, type, parent, members) -> ref, type, parent_id, key, node_id, parents before what they hold.
+
+    members maps identity properties to JSON values; parent is the ref of the record that scopes this one (null: none).
+    A record whose chain of parents is longer than `rounds`, or leads to no record, is left out.  Each round is a join on
+    the parent, so no chain is followed row by row.
+    """
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("key", identity.key_of("members", "parent_id")).select("ref", "type", "parent_id", "key", identity.node_id(F.col("type"), F.col("key")).alias("node_id"))
+
+    level = named(records.where("parent is null").withColumn("parent_id", F.lit(None).cast("string")))
+    placed = level
+    for _ in range(rounds - 1):
+        above = level.select(F.col("ref").alias("parent"), F.col("node_id").alias("parent_id"))
+        level = named(records.join(above, "parent"))
+        placed = placed.union(level)
+    return placed
+
+
 def counts(records: DataFrame) -> DataFrame:
     return records.groupBy("type").agg(F.count(F.lit(1)).alias("n"))

@@ -4,8 +4,8 @@ A write is fresh when it was observed no earlier than every reporting write befo
 writes overwrite, stale ones only add what is missing.  For each leaf path the result is: the last
 fresh value; where the last fresh event removed the path, the first stale value after that; without a
 fresh event, the first stale value.  All of it is grouped aggregation over (record, path),
-so no record's history is ever gathered in one row; with_fresh sorts the arrivals of a record in one task, as a window
-does (it spills).  Removals in stale writes do nothing.
+so no record's history is ever gathered in one row; with_fresh sorts arrivals in blocks of a record's sequence, so a
+record with a third of all writes is many tasks.  Removals in stale writes do nothing.
 """
 
 from __future__ import annotations
@@ -13,12 +13,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Sequence numbers of a block.
+BLOCK = 1 << 20
 
-def with_fresh(writes: DataFrame) -> DataFrame:
-    """writes (record, seq, observed, and reporting where some writes report nothing) with the column fresh."""
+
+def with_fresh(writes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """writes (record, seq, observed, and reporting where some writes report nothing) with the column fresh.
+
+    The latest time before a write is the greater of that of earlier blocks of its record's sequence (one row a block)
+    and that inside its block.  A write without a record or seq has no place in the order and is left out.
+    """
     told = F.when(F.col("reporting"), F.col("observed")) if "reporting" in writes.columns else F.col("observed")
-    before = F.max(told).over(Window.partitionBy("record").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    return writes.withColumn("fresh", F.coalesce(F.col("observed") >= before, F.lit(True)))
+    marked = writes.withColumn("__block", F.floor(F.col("seq") / block)).withColumn("__told", told)
+    ends = marked.groupBy("record", "__block").agg(F.max("__told").alias("__end"))
+    ends = ends.select("record", "__block", F.max("__end").over(Window.partitionBy("record").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
+    within = F.max("__told").over(Window.partitionBy("record", "__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    latest = F.greatest("__earlier", "__within")  # of what is not null
+    joined = marked.withColumn("__within", within).join(ends, ["record", "__block"])
+    return joined.withColumn("fresh", F.coalesce(F.col("observed") >= latest, F.lit(True))).select(*writes.columns, "fresh")
 
 
 def merge_leaves(leaves: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import transforms
-from orrery.operators import reports, state, traverse, validation
+from orrery.operators import inventory, reports, state, traverse, validation
 from orrery.plans.book import query, table
 
 _N = """
@@ -308,3 +308,22 @@ def s2(spark, sf_dir):
 def j12(spark, sf_dir):
     ip = F.concat(F.lit("198.51.100."), (F.col("c_custkey") % 250).cast("string"))
     return table(spark, sf_dir, "customer").select("c_custkey", reports.ipv4_inside(ip, F.lit("198.51.100.0/26")).alias("inside"))
+
+
+@query(
+    "I3_scoped_chain",
+    """WITH a AS (SELECT 'c' || c_custkey AS ref, 'host' AS type, NULL AS parent, NULL AS parent_id, sha256('{"name":"' || c_name || '","zone":' || c_nationkey || '}') AS key FROM customer),
+    an AS (SELECT *, sha256('host:' || key) AS node_id FROM a),
+    b AS (SELECT 'o' || o_orderkey AS ref, 'port' AS type, an.ref AS parent, an.node_id AS parent_id, sha256('{"number":' || o_orderkey || ',"parent":"' || an.node_id || '"}') AS key FROM orders JOIN an ON an.ref = 'c' || o_custkey),
+    bn AS (SELECT *, sha256('port:' || key) AS node_id FROM b),
+    c AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS ref, 'service' AS type, bn.ref AS parent, bn.node_id AS parent_id, sha256('{"line":' || l_linenumber || ',"parent":"' || bn.node_id || '"}') AS key FROM lineitem JOIN bn ON bn.ref = 'o' || l_orderkey)
+    SELECT ref, type, parent_id, key, node_id FROM an UNION ALL SELECT ref, type, parent_id, key, node_id FROM bn UNION ALL SELECT ref, type, parent_id, key, sha256('service:' || key) FROM c""",
+)
+def i3(spark, sf_dir):
+    """Customers as hosts, their orders as ports, and lines as services."""
+    text = lambda name: F.col(name).cast("string")
+    quoted = lambda name: F.concat(F.lit('"'), F.col(name), F.lit('"'))
+    hosts = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), text("c_custkey")).alias("ref"), F.lit("host").alias("type"), F.lit(None).cast("string").alias("parent"), F.create_map(F.lit("name"), quoted("c_name"), F.lit("zone"), text("c_nationkey")).alias("members"))
+    ports = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), text("o_orderkey")), F.lit("port"), F.concat(F.lit("c"), text("o_custkey")), F.create_map(F.lit("number"), text("o_orderkey")))
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("l"), text("l_orderkey"), F.lit("-"), text("l_linenumber")), F.lit("service"), F.concat(F.lit("o"), text("l_orderkey")), F.create_map(F.lit("line"), text("l_linenumber")))
+    return inventory.scoped(hosts.union(ports).union(lines))

@@ -1,5 +1,6 @@
 """Operators against sequential or plain versions, and golden cases."""
 
+import json
 import random
 
 import pytest
@@ -58,6 +59,8 @@ def test_merge_equals_the_fold(spark):
             writes.append((record, seq, rng.randrange(6), f"p{rng.randrange(3)}", rng.random() < 0.3, str(rng.randrange(100)), rng.random() < 0.8))
     df = spark.createDataFrame(writes, "record int, seq int, observed int, path string, removed boolean, value string, reporting boolean")
     got = {(r.record, r.path): r.value for r in merge.merge_leaves(merge.with_fresh(df)).collect()}
+    # blocks of two sequence numbers lead to the same
+    assert {(r.record, r.path): r.value for r in merge.merge_leaves(merge.with_fresh(df, block=2)).collect()} == got
     want = {}
     for record in range(120):
         own = sorted(w for w in writes if w[0] == record)
@@ -144,7 +147,7 @@ def test_chunks_cover_the_text(size):
 
 
 def test_transforms_keep_null(spark):
-    row = spark.createDataFrame([(None,)], "v string").select(*[transforms.apply_chain(F.col("v"), [n]).cast("string").alias(n) for n in transforms.TRANSFORMS if n != "sorted_set"]).first()
+    row = spark.createDataFrame([(None,)], "v string").select(*[transforms.apply_chain(F.col("v"), [n]).cast("string").alias(n) for n in transforms.TRANSFORMS if n not in ("sorted_set", "mta_sts_mx_lines")]).first()
     assert not [k for k, v in row.asDict().items() if v is not None and k not in ("colon_hex_serial_to_lower_hex", "san_coverage")]
 
 
@@ -376,3 +379,89 @@ def test_transitions_follow_accepted_states(spark):
             now[record] = after
     for block in (4, 1024):
         assert {(r.record, r.seq): (r.before, r.allowed) for r in state.accepted_transitions(df, block).collect()} == want
+
+
+def test_registration_entities_at_any_depth(spark):
+    from orrery.functions import registration
+
+    card = lambda *lines: ["vcard", [[n, {}, "text", v] for n, v in lines]]
+    person, desk = card(("kind", "individual"), ("fn", ""), ("fn", "Ann"), ("email", "ann@example.com")), card(("fn", "Desk"), ("tel", "tel:555"), ("tel", "tel:+1.415-555;ext=1"), ("email", ""))
+    holder = card(("kind", "org"), ("fn", "Org"))
+    answer = {
+        "entities": [
+            {"handle": "P", "roles": ["technical"], "vcardArray": person, "entities": [{"roles": ["abuse"], "vcardArray": desk, "entities": [{"handle": "Q", "roles": ["registrar"], "vcardArray": person}]}]},
+            {"handle": "O", "roles": ["registrant"], "vcardArray": holder},
+            {"roles": ["sponsor"], "vcardArray": "broken"},
+            "no entity",
+        ]
+    }
+    rows = registration.contacts(spark.createDataFrame([(1, json.dumps(answer)), (2, None), (3, "[1]"), (4, "{")], "id int, answer string"), "id", "answer").collect()
+    told = {r.position: r for r in rows}
+    assert {r.owner for r in rows} == {1} and len(rows) == 5
+    # the technical contact's card is also the registrar's, so both roles hold for either entity
+    assert [(told[k].rdap_registrar_name, told[k].rdap_registration_contact_email) for k in (0, 4)] == [("Ann", "ann@example.com")] * 2
+    assert (told[1].rdap_holder_name, told[1].rdap_holder_handle, told[1].rdap_registration_contact_email) == ("Org", "O", None)
+    assert (told[3].rdap_abuse_phone, told[3].rdap_abuse_email, told[3].rdap_holder_name) == ("+1415555", None, None)
+    assert set(told[2][2:]) == {None}
+
+
+def test_networks_that_ranges_span(spark):
+    from orrery.functions import addresses
+
+    cases = [("192.0.2.0", "192.0.2.255", "192.0.2.0/24"), ("192.0.2.1", "192.0.2.2", None), ("192.0.2.9", "192.0.2.1", None), ("2001:db8::", "2001:db8:ffff:ffff:ffff:ffff:ffff:ffff", "2001:db8::/32"), ("192.0.2.0", "2001:db8::", None), (None, "192.0.2.1", None), ("x", "y", None), ("0.0.0.0", "255.255.255.255", "0.0.0.0/0")]
+    rows = spark.createDataFrame(cases, "a string, b string, want string").select("want", addresses.spanned_network("a", "b").alias("got")).collect()
+    assert all(r.got == r.want for r in rows), rows
+
+
+def test_kinds_of_names_and_gates(spark):
+    cases = {"Example.COM.": "domain", "a.example.com": "subdomain", "com": None, "192.0.2.1": None, "2001:db8::1": None, "": None, None: None, "x y.com": None, "a.example.co.uk": "subdomain", "example.co.uk": "domain"}
+    rows = dns.with_kinds(spark.createDataFrame([(n,) for n in cases] + [("com",)], "n string"), F.col("n"), dns.sample_rules(spark))
+    got = rows.select("n", "kind", transforms.public_suffix_of(F.col("n"), F.col("kind")).alias("suffix")).collect()
+    assert len(got) == len(cases) + 1 and {r.n: r.kind for r in got} == cases
+    assert {r.n: r.suffix for r in got if r.suffix} == {"Example.COM.": "com", "example.co.uk": "co.uk"}
+
+
+def test_records_in_presentation_form(spark):
+    cases = {
+        "example. 300 IN MX 10 mail.example.": {"rr_mx_preference": "10"},
+        "example. 300 IN A 192.0.2.1": {},
+        'example. 300 IN CAA 128 issue ";"': {"rr_caa_issue_flags": "128", "rr_caa_issue_parameters": "[]"},
+        'example. 300 IN CAA 0 ISSUEWILD "CA.example; A = b=c; ;d"': {"rr_caa_issuewild_flags": "0", "rr_caa_issuer": "ca.example", "rr_caa_issuewild_parameters": '[{"name":"a","value":"b=c"},{"name":"d","value":""}]'},
+        'example. 300 IN CAA 0 iodef "MAILTO:A@Example.com"': {"rr_caa_iodef_email": "a@example.com"},
+        'example. 300 IN CAA 0 iodef "HTTPS://Example.com/R"': {"rr_caa_iodef_url": "HTTPS://Example.com/R"},
+        '0 issue "ca.example"': {},
+    }
+    names = ["rr_mx_preference", "rr_caa_issue_flags", "rr_caa_issuewild_flags", "rr_caa_issuer", "rr_caa_iodef_email", "rr_caa_iodef_url"]
+    listed = ["rr_caa_issue_parameters", "rr_caa_issuewild_parameters"]
+    go = lambda n: transforms.apply_chain(F.col("v"), [n])
+    rows = spark.createDataFrame([(v,) for v in cases], "v string").select("v", *[go(n).cast("string").alias(n) for n in names], *[F.to_json(go(n)).alias(n) for n in listed]).collect()
+    for r in rows:
+        assert {n: r[n] for n in names + listed if r[n] is not None} == cases[r.v]
+
+
+def test_inputs_of_both_address_versions(spark):
+    rows = spark.createDataFrame([("192.0.2.1",), ("2001:db8::1",), ("example.com",), (None,)], "v string")
+    got = [tuple(r) for r in rows.select(*[transforms.apply_chain(F.col("v"), [n]).alias(n) for n in ("if_ip_input", "if_name_input", "ip_version")]).collect()]
+    assert got == [("192.0.2.1", None, 4), ("2001:db8::1", None, 6), (None, "example.com", 4), (None, None, None)]
+
+
+def test_scoped_identities_parents_first(spark):
+    import hashlib
+
+    from orrery.operators import inventory
+
+    rows = [
+        ("a", "ip_address", None, {"version": "4", "value": '"192.0.2.1"'}),
+        ("p", "port", "a", {"transport": '"tcp"', "number": "443"}),
+        ("s", "service", "p", {"name": '"http"'}),
+        ("x", "technology", "s", {"name": '"deeper"'}),
+        ("o", "port", "nowhere", {"number": "1"}),
+        ("e", "marker", None, {}),
+    ]
+    got = {r.ref: r for r in inventory.scoped(spark.createDataFrame(rows, "ref string, type string, parent string, members map<string,string>")).collect()}
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    address = sha("ip_address:" + sha('{"value":"192.0.2.1","version":4}'))
+    port = sha("port:" + sha('{"number":443,"parent":"%s","transport":"tcp"}' % address))
+    service = sha("service:" + sha('{"name":"http","parent":"%s"}' % port))
+    assert {k: r.node_id for k, r in got.items()} == {"a": address, "p": port, "s": service, "e": sha("marker:")}
+    assert got["s"].parent_id == port and got["e"].key == ""
