@@ -93,25 +93,27 @@ def with_all(found: DataFrame, words: list[str]) -> DataFrame:
 
 
 def bm25(units: DataFrame, words: list[str]) -> DataFrame:
-    """unit, score (negative, less is better) of units that hold every word.
+    """unit, score (negative, less is better) of units that hold every word; a unit may have several rows of text.
 
-    Only the query's tokens leave the scan; corpus size, mean length and document frequencies are
-    sums over all units.
+    A unit's score is the sum of its best row's score for each word.  Only the query's tokens leave the scan; the number of
+    rows, their mean length and the document frequencies are sums over all rows.
     """
     wanted = sorted(set(words))
+    if not wanted:
+        raise ValueError("no words")
     own = units.select("unit", tokens(F.col("text")).alias("words"))
     counts = own.select("unit", F.size("words").alias("length"), *[_times(t).alias(f"tf{k}") for k, t in enumerate(wanted)])
     total = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]).first()
-    score = F.lit(0.0)
+    scores, any_of = [], F.lit(False)
     for k in range(len(wanted)):
-        df = total[f"df{k}"]
+        df, tf = total[f"df{k}"], F.col(f"tf{k}")
         idf = max(LEAST_IDF, math.log((total.n - df + 0.5) / (df + 0.5))) if df else 0.0
-        tf = F.col(f"tf{k}")
-        score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (total["mean"] or 1.0)))
-    every = F.lit(True)
-    for k in range(len(wanted)):
-        every = every & (F.col(f"tf{k}") > 0)
-    return counts.where(every).select("unit", score.alias("score"))
+        value = -idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / (total["mean"] or 1.0)))
+        scores.append(F.min(F.when(tf > 0, value)).alias(f"s{k}"))
+        any_of = any_of | (tf > 0)
+    best = counts.where(any_of).groupBy("unit").agg(*scores)
+    whole = sum((F.col(f"s{k}") for k in range(len(wanted))), F.lit(0.0))
+    return best.select("unit", whole.alias("score")).where("score is not null")
 
 
 def _times(word: str) -> Column:

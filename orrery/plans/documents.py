@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.operators import evidence, search
+from orrery.operators import evidence, reindex, search
 from orrery.plans.book import query, table
 from orrery.sources import readers
 
@@ -199,3 +199,20 @@ def s3(spark, sf_dir):
     line = F.concat(F.col("role"), F.lit(": "), F.regexp_replace("text", "\n", " "))
     texts = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     return readers.key_values(texts, "conv_id", "body")
+
+
+@query(
+    "F13_F3_reindexed_evidence",
+    r"""SELECT doc_id AS owner, CASE WHEN doc_id % 5 < 3 THEN 2 ELSE 1 END AS generation,
+    CASE WHEN doc_id % 5 = 0 THEN 'not_applicable' WHEN doc_id % 5 = 1 AND strlen(text) <> length(text) THEN 'index_failed' ELSE 'indexed' END AS index_state,
+    CASE WHEN doc_id % 5 = 0 OR doc_id % 5 = 1 AND strlen(text) <> length(text) THEN 0 ELSE strlen(text) END AS held FROM documents""",
+)
+def f13(spark, sf_dir):
+    """Of every five documents one becomes an image, one is declared ASCII, one is named without a change."""
+    docs = table(spark, sf_dir, "documents")
+    items = docs.select(F.col("doc_id").cast("long").alias("owner"), F.encode("text", "UTF-8").alias("content"), F.lit("text/plain").alias("media"), F.lit(None).cast("string").alias("encoding"), F.lit(1).alias("generation"))
+    r = F.col("doc_id") % 5
+    named = docs.where(r < 3).select(F.col("doc_id").cast("long").alias("owner"), F.when(r == 0, "image/png").alias("media"), F.when(r == 1, "ascii").alias("encoding"))
+    states, units = reindex.rebuilt(reindex.overridden(items, named))
+    held = reindex.current(units, states).groupBy("owner").agg(F.sum(F.col("byte_end") - F.greatest("owner_start", "byte_start")).alias("held"))
+    return states.join(held, "owner", "left").select("owner", "generation", "index_state", F.coalesce("held", F.lit(0)).alias("held"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orrery.functions import addresses, grammar, hosts, jsonwalk, registration, transforms
-from orrery.operators import checks, mapping, merge
+from orrery.operators import checks, mapping, merge, patches
 from orrery.plans.book import query, table
 from orrery.plans.events import _A1
 from orrery.sources import storage
@@ -171,43 +171,28 @@ def j8(spark, sf_dir):
     return kinds.join(rejected, "registrable", "left_semi").select(F.col("name").alias("host"))
 
 
-@query("V1_X4_document_limits", "SELECT event_id AS owner, 2 AS depth, strlen(props) <= 65536 AS fits, '/token' AS secret FROM events")
+@query("V1_X4_document_limits", "SELECT event_id AS owner, 1 AS depth, '/token' AS secret, CASE WHEN event_id % 3 = 0 THEN 'integer out of range' END AS reason FROM events")
 def v1(spark, sf_dir):
-    import json
-
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            values = [json.loads(t) for t in batch.column(1).to_pylist()]
-            depth = [max(d for _, _, _, d in jsonwalk.leaves(v, depth=1)) for v in values]
-            fits = [len(jsonwalk.canonical(v).encode()) <= 65536 for v in values]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(depth, pa.int32()), pa.array(fits), pa.array([jsonwalk.secret_key(v) for v in values], pa.string())], ["owner", "depth", "fits", "secret"])
-
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.substring_index("props", "}", 1), F.lit(', "token": "x"}')).alias("document"))
-    return rows.mapInArrow(run, "owner bigint, depth int, fits boolean, secret string")
+    number = F.when(F.col("event_id") % 3 == 0, "9223372036854775808").otherwise("-9223372036854775808")
+    document = F.concat(F.substring_index("props", "}", 1), F.lit(', "token": "x", "n": '), number, F.lit("}"))
+    return patches.limits(table(spark, sf_dir, "events").select("event_id", document.alias("document")), "event_id", "document").select("owner", "depth", "secret", "reason")
 
 
 @query(
     "A2_X3_property_patch",
-    "SELECT event_id AS owner, CAST(json_extract(props, '$.k') AS INT) AS k, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN 'old' ELSE 'new' END AS tag FROM events",
+    """SELECT event_id AS owner, CASE WHEN event_id % 4 <> 3 THEN CAST(json_extract(props, '$.k') AS INT) END AS k, CASE WHEN event_id % 4 <> 3 THEN event_type END AS kind,
+    CASE event_id % 4 WHEN 3 THEN NULL WHEN 1 THEN 'new' ELSE 'old' END AS tag, CASE WHEN event_id % 4 IN (0, 2) THEN 'x' END AS gone, CASE WHEN event_id % 4 = 3 THEN 'remove and set conflict' END AS reason FROM events""",
 )
 def a2(spark, sf_dir):
-    import json
-
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            out = [jsonwalk.canonical(jsonwalk.merge(json.loads(a), json.loads(b), missing_only=old)) for a, b, old in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["owner", "document"])
-
-    current = F.concat(F.substring_index("props", "}", 1), F.lit(', "tag": "old"}'))
-    patch = F.to_json(F.struct(F.col("event_type").alias("kind"), F.lit("new").alias("tag")))
-    rows = table(spark, sf_dir, "events").select("event_id", current.alias("a"), patch.alias("b"), (F.col("event_id") % 2 == 0).alias("old"))
-    merged = rows.mapInArrow(run, "owner bigint, document string")
+    """Every second change only adds what is missing; the others remove a property, every fourth one that it also sets."""
+    r = F.col("event_id") % 4
+    current = F.concat(F.substring_index("props", "}", 1), F.lit(', "tag": "old", "a/b": {"gone": "x"}}'))
+    change = F.to_json(F.struct(F.col("event_type").alias("kind"), F.lit("new").alias("tag")))
+    removals = F.when(r == 3, F.array(F.lit("/tag"))).otherwise(F.array(F.lit("/a~1b/gone"), F.lit("/absent/x")))
+    rows = table(spark, sf_dir, "events").select("event_id", current.alias("current"), change.alias("change"), removals.alias("removals"), (r % 2 == 0).alias("stale"))
+    merged = patches.patched(rows, "event_id", "current", "change", "removals", "stale")
     get = lambda p: F.get_json_object("document", p)
-    return merged.select("owner", get("$.k").cast("int").alias("k"), get("$.kind").alias("kind"), get("$.tag").alias("tag"))
+    return merged.select("owner", get("$.k").cast("int").alias("k"), get("$.kind").alias("kind"), get("$.tag").alias("tag"), get("$['a/b'].gone").alias("gone"), "reason")
 
 
 @query("M4_each", "SELECT o_orderkey AS owner, list(DISTINCT lower(l_returnflag) ORDER BY lower(l_returnflag)) AS values FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")

@@ -465,3 +465,80 @@ def test_scoped_identities_parents_first(spark):
     service = sha("service:" + sha('{"name":"http","parent":"%s"}' % port))
     assert {k: r.node_id for k, r in got.items()} == {"a": address, "p": port, "s": service, "e": sha("marker:")}
     assert got["s"].parent_id == port and got["e"].key == ""
+
+
+def test_property_patches():
+    from orrery.operators.patches import patch
+
+    now = {"a": {"b": 1, "c": {"d": 2}}, "l": [1, {"x": 1}], "s": 3, "t/~": 4}
+    cases = [
+        ({"a": {"b": 5}}, [], {**now, "a": {"b": 5, "c": {"d": 2}}}),
+        ({"a": {}}, [], now),
+        ({"l": [2]}, ["/a/c", "/t~1~0"], {"a": {"b": 1}, "l": [2], "s": 3}),
+        ({"s": {"new": 1}}, ["/gone/far"], {**now, "s": {"new": 1}}),
+        ({"a": {"b": 5}}, ["/a"], "remove and set conflict"),
+        ({"a": {}}, ["/a"], "remove and set conflict"),
+        ({"a": {"b": 5}}, ["/a/c/d"], {**now, "a": {"b": 5, "c": {}}}),
+        ({"s": 1}, ["/s/x"], "remove and set conflict"),
+        ({"n": {"m": {}}}, ["/n/m"], "remove and set conflict"),
+        ({"n": {"m": {}}}, ["/n/m/k"], {**now, "n": {"m": {}}}),
+        ({}, ["/l/0"], "array element removal"),
+        ({}, ["/l/1/x"], "array element removal"),
+        ({}, ["a"], "invalid pointer"),
+        ({}, ["/a~2"], "invalid pointer"),
+        ({"x": 1 << 63}, [], "integer out of range"),
+        ({"x": float("nan")}, [], "number not finite"),
+        ({"x": "y" * 65536}, [], "too large"),
+    ]
+    for change, removals, want in cases:
+        got, reason = patch(now, change, removals)
+        assert (reason or got) == want, (change, removals)
+    deep = {}
+    for _ in range(17):
+        deep = {"k": deep}
+    assert patch({}, deep, []) == (None, "too deep") and patch({}, deep["k"], [])[1] is None
+
+
+def test_patched_rows_and_limits(spark):
+    from orrery.operators import patches
+
+    rows = spark.createDataFrame([(1, None, '{"a":1}', None, False), (2, '{"a":1}', None, ["/a"], False), (3, "{", "{}", [], True), (4, '{"a":1}', '{"a":2,"b":3}', ["/a"], True), (5, '{"a":1,"b":2}', "{}", ["/a", None], False)], "id int, c string, p string, r array<string>, s boolean")
+    got = {r.owner: (r.document, r.reason) for r in patches.patched(rows, "id", "c", "p", "r", "s").collect()}
+    assert got == {1: ('{"a":1}', None), 2: (None, "no object"), 3: (None, "no JSON"), 4: ('{"a":1,"b":3}', None), 5: ('{"b":2}', None)}
+    told = {r.owner: (r.depth, r.bytes, r.secret, r.reason) for r in patches.limits(rows, "id", "p").collect()}
+    assert told[2] == (None, None, None, "no object") and told[1] == (1, 7, None, None)
+
+
+def test_bm25_takes_the_best_row_of_each_word(spark):
+    import math
+
+    from orrery.operators import search
+
+    texts = [(1, "red fox"), (1, "red red hen and more words"), (2, "red only"), (3, "fox and red and fox"), (4, "nothing here"), (5, None)]
+    got = {r.unit: r.score for r in search.bm25(spark.createDataFrame(texts, "unit int, text string"), ["red", "fox"]).collect()}
+    split = [(u, (t or "").split()) for u, t in texts]
+    mean = sum(len(w) for _, w in split if w) / sum(1 for _, w in split if w)
+    want = {}
+    for word in ("red", "fox"):
+        df = sum(word in w for _, w in split)
+        idf = max(1e-6, math.log((len(split) - df + 0.5) / (df + 0.5)))
+        for unit, w in split:
+            tf = w.count(word)
+            if tf:
+                score = -idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+                want.setdefault(unit, {})[word] = min(score, want.get(unit, {}).get(word, 0))
+    want = {u: sum(s.values()) for u, s in want.items() if len(s) == 2}
+    assert got == pytest.approx(want)
+
+
+def test_reindexing_marks_what_does_not_decode(spark):
+    from orrery.operators import reindex
+
+    items = [(1, b"plain", "text/plain", None, 1), (2, b"\xff\xfea\x00", "text/html", None, 1), (3, b"\xc3", "text/plain", None, 4), (4, b"x", "image/png", None, 1), (5, "é".encode(), "text/plain", "latin-1", 1), (6, None, "text/plain", None, 1), (7, b"x", "text/plain", "no-such", 1), (8, b"\xff\xfe\x00\x00", "text/plain", None, 1), (9, b"x", None, None, 1)]
+    frame = spark.createDataFrame(items, "owner long, content binary, media string, encoding string, generation int")
+    named = spark.createDataFrame([(4, "text/plain", None), (1, None, "utf-16-le")], "owner long, media string, encoding string")
+    states, units = reindex.rebuilt(reindex.overridden(frame, named))
+    got = {r.owner: (r.generation, r.index_state, r.incomplete) for r in states.collect()}
+    assert got == {1: (2, "index_failed", True), 2: (1, "indexed", False), 3: (4, "index_failed", True), 4: (2, "indexed", False), 5: (1, "indexed", False), 6: (1, "index_failed", True), 7: (1, "index_failed", True), 8: (1, "index_failed", True), 9: (1, "not_applicable", False)}
+    assert {r.owner: r.text for r in reindex.current(units, states).collect()} == {2: "a", 4: "x", 5: "Ã©"}
+    assert reindex.rebuilt(frame.limit(0))[0].count() == 0
