@@ -130,8 +130,11 @@ def literal(units: DataFrame, phrase: str) -> DataFrame:
 
 def snippet(text: Column, place: Column, size: int = SNIPPET) -> Column:
     """At most `size` bytes of the text from the place, whole characters only."""
-    from_place = F.substring(text, place, F.lit(size))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(0)), from_place, lambda a, _: F.when(F.octet_length(a) <= size, a).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(a, "UTF-8"), 1, size), "UTF-8"), "�+$", "")))
+    start = F.substring(text, place, F.lit(size))
+    data = F.encode(start, "UTF-8")
+    # a character has at most four bytes, so one of these ends does not split any
+    whole = [F.try_validate_utf8(F.substring(data, 1, size - k).cast("string")) for k in range(min(4, size))]
+    return F.when(F.octet_length(start) <= size, start).otherwise(F.coalesce(*whole))
 
 
 def best_unit(scores: DataFrame) -> DataFrame:
@@ -150,3 +153,13 @@ def page(rows: DataFrame, column: str, after, limit: int) -> DataFrame:
     got = rows.where(F.col(column) > F.lit(after)).orderBy(column).limit(limit + 1)
     place = F.row_number().over(Window.orderBy(column))  # limit + 1 rows
     return got.withColumn("place", place).withColumn("has_more", F.max("place").over(Window.partitionBy()) > limit).where(F.col("place") <= limit).drop("place")
+
+
+def pages(rows: DataFrame, owner: str, by: list[str], limit: int) -> DataFrame:
+    """The first `limit` rows of each owner in the order of `by` (unique inside an owner), and whether it has more.
+
+    Tasks keep limit + 1 rows of an owner before the shuffle, so an owner with most of all rows is no burden.
+    """
+    place = F.row_number().over(Window.partitionBy(owner).orderBy(*by))
+    first = rows.withColumn("place", place).where(F.col("place") <= limit + 1)
+    return first.withColumn("has_more", F.max("place").over(Window.partitionBy(owner)) > limit).where(F.col("place") <= limit).drop("place")

@@ -248,12 +248,19 @@ def w4(spark, sf_dir):
     return search.page(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 1000, 50)
 
 
-@query("W5_association_page", "SELECT l_suppkey AS link, 'node' AS kind, (SELECT count(DISTINCT l_suppkey) FROM lineitem WHERE l_partkey = 1) > 5 AS has_more FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey = 1) ORDER BY 1 LIMIT 5")
+@query(
+    "W5_association_page",
+    """WITH l AS (SELECT l_partkey AS owner, l_suppkey AS link, 'node' AS kind FROM lineitem UNION SELECT l_partkey, l_orderkey, 'relation' FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY link, kind) AS place, count(*) OVER (PARTITION BY owner) > 5 AS has_more FROM l WHERE link > 2)
+    SELECT owner, link, kind, has_more FROM r WHERE place <= 5""",
+)
 def w5(spark, sf_dir):
+    """The suppliers and orders of every part as its links."""
     from orrery.operators import search
 
-    links = table(spark, sf_dir, "lineitem").where("l_partkey = 1").select(F.col("l_suppkey").alias("link"), F.lit("node").alias("kind")).distinct()
-    return search.page(links, "link", -1, 5)
+    lines = table(spark, sf_dir, "lineitem")
+    links = lines.select(F.col("l_partkey").alias("owner"), F.col("l_suppkey").alias("link"), F.lit("node").alias("kind")).union(lines.select("l_partkey", "l_orderkey", F.lit("relation"))).distinct()
+    return search.pages(links.where("link > 2"), "owner", ["link", "kind"], 5)
 
 
 @query("A15_size_report", "SELECT 'customer' AS name, count(*) AS n, sum(strlen(c_name)) AS text_bytes FROM customer UNION ALL SELECT 'part', count(*), sum(strlen(p_name)) FROM part")
@@ -298,9 +305,9 @@ def v9(spark, sf_dir):
     return lists.select("l_orderkey", is_sorted_set(F.transform("x", lambda p: p["l_partkey"])).alias("sorted_set"))
 
 
-@query("S2_read_xml", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation")
+@query("S2_read_xml", "SELECT c_custkey AS id, c_name AS name, c_nationkey AS region FROM customer")
 def s2(spark, sf_dir):
-    nodes = table(spark, sf_dir, "nation").select(F.concat(F.lit("<host id=\""), F.col("n_nationkey").cast("string"), F.lit("\"><name>"), F.col("n_name"), F.lit("</name><region>"), F.col("n_regionkey").cast("string"), F.lit("</region></host>")).alias("x"))
+    nodes = table(spark, sf_dir, "customer").select(F.concat(F.lit("<host id=\""), F.col("c_custkey").cast("string"), F.lit("\"><name>"), F.col("c_name"), F.lit("</name><region>"), F.col("c_nationkey").cast("string"), F.lit("</region></host>")).alias("x"))
     return nodes.select(F.from_xml("x", "_id int, name string, region int").alias("h")).select(F.col("h._id").alias("id"), "h.name", "h.region")
 
 

@@ -127,11 +127,11 @@ def v25(spark, sf_dir):
 
 @query(
     "V4_V10_caa_parameters",
-    "SELECT n_nationkey, lower(n_name) AS name, n_name AS value FROM nation",
+    "SELECT s_suppkey, lower(s_name) AS name, s_name AS value FROM supplier",
 )
 def v4(spark, sf_dir):
-    pairs = F.array(F.struct(F.col("n_name").alias("name"), F.col("n_name").alias("value")))
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.inline(checks.caa_parameters(pairs)))
+    pairs = F.array(F.struct(F.col("s_name").alias("name"), F.col("s_name").alias("value")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.inline(checks.caa_parameters(pairs)))
 
 
 @query(
@@ -203,10 +203,10 @@ def m4(spark, sf_dir):
     return joined.select(F.col("o_orderkey").alias("owner"), transforms.apply_chain(F.col("v"), ["sorted_set"]).alias("values"))
 
 
-@query("M11_redaction_policy", "SELECT n_name AS pattern, 'finding.title' AS sink FROM nation WHERE n_nationkey % 4 = 1")
+@query("M11_redaction_policy", "SELECT c_name AS pattern, 'finding.title' AS sink FROM customer WHERE c_custkey % 4 = 1")
 def m11(spark, sf_dir):
-    sink = _pick("n_nationkey", "non_storable", "finding.title", "secret.value_sha256", "finding.title")
-    rules = table(spark, sf_dir, "nation").select(F.col("n_name").alias("pattern"), sink.alias("sink"), (F.col("n_nationkey") % 4 != 3).alias("redact"))
+    sink = _pick("c_custkey", "non_storable", "finding.title", "secret.value_sha256", "finding.title")
+    rules = table(spark, sf_dir, "customer").select(F.col("c_name").alias("pattern"), sink.alias("sink"), (F.col("c_custkey") % 4 != 3).alias("redact"))
     return mapping.policy_breaches(rules, ["secret.value_sha256"])
 
 

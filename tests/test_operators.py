@@ -542,3 +542,11 @@ def test_reindexing_marks_what_does_not_decode(spark):
     assert got == {1: (2, "index_failed", True), 2: (1, "indexed", False), 3: (4, "index_failed", True), 4: (2, "indexed", False), 5: (1, "indexed", False), 6: (1, "index_failed", True), 7: (1, "index_failed", True), 8: (1, "index_failed", True), 9: (1, "not_applicable", False)}
     assert {r.owner: r.text for r in reindex.current(units, states).collect()} == {2: "a", 4: "x", 5: "Ã©"}
     assert reindex.rebuilt(frame.limit(0))[0].count() == 0
+
+
+def test_snippets_hold_whole_characters(spark):
+    from orrery.operators import search
+
+    rows = spark.createDataFrame([("x the 仲仲仲",), ("the é",), ("the",), ("thé the " + "😀" * 9,), (None,)], "t string")
+    got = [r[0] for r in rows.select(search.snippet(F.col("t"), F.instr("t", "the"), 8)).collect()]
+    assert got == ["the 仲", "the é", "the", "the 😀", None]
