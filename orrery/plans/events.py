@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import jsonwalk, transforms
-from orrery.operators import mapping, merge, properties, validation
+from orrery.operators import checks, mapping, merge, properties, validation
 from orrery.plans.book import query, table
 from orrery.sources import readers, storage
 from orrery.streaming import ingest
@@ -252,7 +252,24 @@ def s5(spark, sf_dir):
     batches = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 10).alias("batch_id")).agg(in_order.alias("events"))
     item = lambda e: F.struct(e["event_type"].alias("type"), F.struct(e["id"].alias("id")).alias("properties"), e["event_id"].alias("observed_at"))
     requests = batches.select("batch_id", F.to_json(F.struct(F.transform("events", item).alias("nodes"))).alias("request"))
-    return readers.request_items(requests).select("batch_id", "kind", "item_index", "type", "observed_at")
+    return readers.request_items(requests).select("batch_id", "kind", "item_index", "type", F.col("observed_at").cast("bigint").alias("observed_at"))
+
+
+@query(
+    "S5_V26_write_requests",
+    """SELECT event_id AS batch_id, 'node' AS kind, 0 AS item_index, event_type AS type, user_id AS number, CASE event_id % 4 WHEN 1 THEN 'properties: reserved name' WHEN 2 THEN 'label: too long' WHEN 3 THEN 'ownership: null' END AS reason FROM events
+    UNION ALL SELECT event_id, 'relation', 0, 'has', NULL, CASE event_id % 4 WHEN 1 THEN 'creation needs both endpoints' WHEN 2 THEN 'source_ref: one of id and node_index' WHEN 3 THEN 'evidence_add: no evidence id' END FROM events""",
+)
+def s5b(spark, sf_dir):
+    r = F.col("event_id") % 4
+    node = F.format_string('{"type":"%s","properties":{"%s":%s}%s}', F.col("event_type"), F.when(r == 1, "last_seen").otherwise("n"), F.col("user_id").cast("string"), F.when(r == 2, F.concat(F.lit(',"label":"'), F.repeat(F.lit("é"), F.lit(257)), F.lit('"'))).when(r == 3, ',"ownership":null').otherwise(""))
+    source = F.when(r == 1, "null").when(r == 2, '{"id":"a","node_index":0}').otherwise('{"node_index":0}')
+    added = F.when(r == 3, "e_1").otherwise(F.concat(F.lit("e_"), F.sha2("event_type", 256)))
+    relation = F.format_string('{"type":"has","properties":{},"source_ref":%s,"target_ref":{"id":"b"},"evidence_add":["%s"]}', source, added)
+    requests = table(spark, sf_dir, "events").select(F.col("event_id").alias("batch_id"), F.format_string('{"nodes":[%s],"relations":[%s]}', node, relation).alias("request"))
+    items = readers.request_items(requests)
+    number = F.coalesce(F.get_json_object("properties", "$.n"), F.get_json_object("properties", "$.last_seen")).cast("bigint")
+    return items.select("batch_id", "kind", "item_index", "type", number.alias("number"), checks.write_reason().alias("reason"))
 
 
 @query(

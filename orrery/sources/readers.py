@@ -37,15 +37,23 @@ def evidence_bytes(text: Column | None = None, base64: Column | None = None) ->
     return F.encode(text, "UTF-8") if text is not None else F.try_to_binary(base64, F.lit("base64"))
 
 
-REQUEST = "nodes array<struct<type:string,properties:map<string,string>,observed_at:bigint>>, relations array<struct<type:string,source:int,target:int>>"
+#: Fields of a write (fixed names); those of one kind follow.
+WRITE = "id string, type string, properties string, source string, observed_at string, remove_properties array<string>, evidence_add array<string>, evidence_remove array<string>"
+NODE = "label string, ownership string, authorization string, allowlist_scoped boolean"
+RELATION = "source_ref struct<id string, node_index int>, target_ref struct<id string, node_index int>"
 
 
 def request_items(requests: DataFrame) -> DataFrame:
-    """requests (batch_id, request: JSON) -> one row per item: batch_id, kind, item_index, type, properties, observed_at, source, target."""
-    parsed = requests.select("batch_id", F.from_json("request", REQUEST).alias("r"))
-    nodes = parsed.select("batch_id", F.posexplode("r.nodes").alias("item_index", "i")).select("batch_id", F.lit("node").alias("kind"), "item_index", "i.type", "i.properties", "i.observed_at", F.lit(None).cast("int").alias("source"), F.lit(None).cast("int").alias("target"))
-    relations = parsed.select("batch_id", F.posexplode("r.relations").alias("item_index", "i")).select("batch_id", F.lit("relation").alias("kind"), "item_index", "i.type", F.lit(None).cast("map<string,string>").alias("properties"), F.lit(None).cast("bigint").alias("observed_at"), "i.source", "i.target")
-    return nodes.unionByName(relations)
+    """requests (batch_id, request: JSON) -> one row per item: batch_id, kind, item_index, named, and the fields of writes.
+
+    named lists the fields that the item names, also with null; properties stay JSON, so values keep their types; of the
+    fields of the other kind all are null.  A request that is no JSON, or names no items, has no rows.
+    """
+    parsed = requests.select("batch_id", F.from_json("request", "nodes array<string>, relations array<string>").alias("r"))
+    of = lambda kind, name: parsed.select("batch_id", F.lit(kind).alias("kind"), F.posexplode(f"r.{name}").alias("item_index", "item"))
+    items = of("node", "nodes").unionByName(of("relation", "relations"))
+    read = items.withColumn("named", F.array_sort(F.json_object_keys("item"))).withColumn("i", F.from_json("item", ", ".join((WRITE, NODE, RELATION))))
+    return read.select("batch_id", "kind", "item_index", "named", "i.*")
 
 
 def write_table(rows: DataFrame, path: str, by: str = "type") -> None:

@@ -550,3 +550,37 @@ def test_snippets_hold_whole_characters(spark):
     rows = spark.createDataFrame([("x the 仲仲仲",), ("the é",), ("the",), ("thé the " + "😀" * 9,), (None,)], "t string")
     got = [r[0] for r in rows.select(search.snippet(F.col("t"), F.instr("t", "the"), 8)).collect()]
     assert got == ["the 仲", "the é", "the", "the 😀", None]
+
+
+def test_write_requests_and_their_refusals(spark):
+    from orrery.sources import readers
+
+    e = "e_" + "a" * 64
+    nodes = [
+        ({"type": "t", "properties": {"n": 1, "big": 12345678901234567890, "s": "1"}}, None),
+        ({"type": "t"}, "creation needs type and properties"),
+        ({"id": "x"}, None),
+        ({"id": "x", "observed_at": None}, "observed_at: null"),
+        ({"id": "x", "properties": {"ownership": "owned"}}, "properties: reserved name"),
+        ({"id": "x", "properties": [1]}, "properties: no object"),
+        ({"id": "x", "source_ref": {"id": "a"}}, "unknown field"),
+        ({"id": "x", "evidence_add": [e], "evidence_remove": [e]}, "evidence: added and removed"),
+        ({"id": "x", "evidence_add": [e, e]}, "evidence: repeated"),
+        ({"id": "x", "evidence_add": ["e_1"]}, "evidence_add: no evidence id"),
+        ({"id": "x", "source": "é" * 129}, "source: too long"),
+        ("text", "no object"),
+    ]
+    relations = [
+        ({"type": "r", "properties": {}, "source_ref": {"node_index": 0}, "target_ref": {"id": "a"}}, None),
+        ({"type": "r", "properties": {}, "source_ref": {"node_index": 0}}, "creation needs both endpoints"),
+        ({"id": "x", "source_ref": {}}, "source_ref: one of id and node_index"),
+        ({"id": "x", "label": "l"}, "unknown field"),
+    ]
+    request = json.dumps({"nodes": [n for n, _ in nodes], "relations": [r for r, _ in relations]})
+    items = readers.request_items(spark.createDataFrame([(1, request), (2, "{"), (3, None), (4, "{}")], "batch_id int, request string"))
+    rows = items.select("*", checks.write_reason().alias("reason")).collect()
+    got = {(r.kind, r.item_index): r.reason for r in rows}
+    want = {("node", k): reason for k, (_, reason) in enumerate(nodes)} | {("relation", k): reason for k, (_, reason) in enumerate(relations)}
+    assert got == want
+    first = next(r for r in rows if (r.kind, r.item_index) == ("node", 0))
+    assert json.loads(first.properties) == nodes[0][0]["properties"] and first.named == ["properties", "type"]
