@@ -139,8 +139,52 @@ def snippet(text: Column, place: Column, size: int = SNIPPET) -> Column:
 
 def best_unit(scores: DataFrame) -> DataFrame:
     """scores (owner, unit, score, is_evidence) -> the best unit of each owner: least score, own record first, then unit."""
-    place = F.row_number().over(Window.partitionBy("owner").orderBy("score", "is_evidence", "unit"))
-    return scores.withColumn("place", place).where("place = 1").drop("place")
+    best = F.min_by(F.struct(*scores.columns), F.struct("score", "is_evidence", "unit"))
+    return scores.groupBy("owner").agg(best.alias("b")).select("b.*")
+
+
+# What a search can ask of a record besides its properties and text.
+EQUAL = ("type", "key", "source", "source_id", "target_id", "media_type", "index_state", "ownership", "authorization", "allowlist_scoped")
+RANGES = ("first_seen", "last_seen", "byte_size", "created_at")
+
+
+def filtered(records: DataFrame, asked: dict, sources: DataFrame | None = None) -> DataFrame:
+    """Records that have each asked value (a field of EQUAL) and lie in each range (<field>_min, <field>_max of RANGES, both included).
+
+    A field without a value is not asked for; a null never fits.  With sources (id, source) a record (id) fits a source where
+    any of its rows there does: evidence may come from several.
+    """
+    told = {name: value for name, value in asked.items() if value is not None}
+    if unknown := set(told) - set(EQUAL) - {f"{f}_{end}" for f in RANGES for end in ("min", "max")}:
+        raise ValueError(f"no filters: {sorted(unknown)}")
+    out = records
+    for name, value in told.items():
+        if name == "source" and sources is not None:
+            out = out.join(sources.where(F.col("source") == F.lit(value)).select("id"), "id", "left_semi")
+        elif name in EQUAL:
+            out = out.where(F.col(name) == F.lit(value))
+        elif name.endswith("_min"):
+            out = out.where(F.col(name.removesuffix("_min")) >= F.lit(value))
+        else:
+            out = out.where(F.col(name.removesuffix("_max")) <= F.lit(value))
+    return out
+
+
+def combined(records: DataFrame, owners: DataFrame | None = None, units: DataFrame | None = None, words: list[str] | None = None, links: DataFrame | None = None) -> DataFrame:
+    """records (id) that are among owners (id), where given, and whose text holds all words: id, unit, score, is_evidence of the best unit.
+
+    units (unit, text) are those of records, where unit is the record's id, and of evidence that links (owner, unit) ties to records.
+    Without words each record comes once, without a unit and a score.
+    """
+    shown = records.select("id") if owners is None else records.select("id").join(owners.select("id"), "id", "left_semi")
+    if not words:
+        return shown.select("id", F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("boolean").alias("is_evidence"))
+    scores = bm25(units, words)
+    own = scores.select(F.col("unit").alias("owner"), "unit", "score", F.lit(False).alias("is_evidence"))
+    if links is not None:
+        own = own.unionByName(scores.join(links.select("owner", "unit").distinct(), "unit").select("owner", "unit", "score", F.lit(True).alias("is_evidence")))
+    kept = own.join(shown.withColumnRenamed("id", "owner"), "owner", "left_semi")
+    return best_unit(kept).withColumnRenamed("owner", "id")
 
 
 def top(scores: DataFrame, k: int, by: str = "unit") -> DataFrame:

@@ -157,9 +157,29 @@ def w7(spark, sf_dir):
     return search.best_unit(scores)
 
 
-@query("V32_builtin_filters", "SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars BETWEEN 100 AND 1000 AND source IN ('src0', 'src1') AND doc_id >= 10")
+@query("V32_builtin_filters", "SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars BETWEEN 100 AND 1000 AND source = 'src1' AND doc_id >= 10")
 def v32(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("lang = 'en' and n_chars between 100 and 1000 and source in ('src0', 'src1') and doc_id >= 10").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), F.col("n_chars").alias("byte_size"), F.col("doc_id").alias("created_at"), "source")
+    asked = {"type": "en", "byte_size_min": 100, "byte_size_max": 1000, "created_at_min": 10, "created_at_max": None, "source": "src1"}
+    return search.filtered(docs.drop("source"), asked, docs.select("id", "source")).select(F.col("id").alias("doc_id"))
+
+
+@query(
+    "F12_W7_combined_search",
+    rf"""WITH {_TOK}, c AS (SELECT unit, len(w) AS l, len(list_filter(w, lambda t: t = 'the')) AS a FROM tok), s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (WHERE a > 0) AS d FROM c),
+    b AS (SELECT unit, -greatest(1e-6, ln((n - d + 0.5) / (d + 0.5))) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) AS score FROM c, s WHERE a > 0),
+    o AS (SELECT unit AS owner, unit, score, false AS is_evidence FROM b UNION ALL SELECT unit // 10 * 10, unit, score, true FROM b WHERE unit % 10 <> 0),
+    f AS (SELECT o.*, row_number() OVER (PARTITION BY owner ORDER BY score, is_evidence, unit) AS place FROM o JOIN documents d ON d.doc_id = owner WHERE owner % 10 = 0 AND n_chars >= 200)
+    SELECT owner AS id, unit, round(score, 9) AS score, is_evidence FROM f WHERE place = 1""",
+)
+def f12b(spark, sf_dir):
+    """Every tenth document as a record with a text of its own; the nine that follow are its evidence."""
+    docs = table(spark, sf_dir, "documents")
+    units = _units(spark, sf_dir)
+    records = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("byte_size"))
+    links = docs.where("doc_id % 10 <> 0").select(F.expr("doc_id div 10 * 10").alias("owner"), F.col("doc_id").alias("unit"))
+    found = search.combined(search.filtered(records, {"byte_size_min": 200}), None, units, ["the"], links)
+    return found.withColumn("score", F.round("score", 9))
 
 
 @query("V29_id_grammars", "SELECT doc_id, true AS evidence, length(source) = 64 AS hash FROM documents")

@@ -584,3 +584,21 @@ def test_write_requests_and_their_refusals(spark):
     assert got == want
     first = next(r for r in rows if (r.kind, r.item_index) == ("node", 0))
     assert json.loads(first.properties) == nodes[0][0]["properties"] and first.named == ["properties", "type"]
+
+
+def test_filters_and_combined_search(spark):
+    from orrery.operators import search
+
+    records = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "b", 7), (4, None, 9)], "id int, type string, byte_size int")
+    ids = lambda df: sorted(r[0] for r in df.select("id").collect())
+    assert ids(search.filtered(records, {"type": "a"})) == [1, 2] and ids(search.filtered(records, {"byte_size_min": 5, "byte_size_max": 7})) == [1, 3]
+    assert ids(search.filtered(records, {"type": None})) == [1, 2, 3, 4]
+    sources = spark.createDataFrame([(3, "x"), (3, "x"), (3, "y"), (1, "y")], "id int, source string")
+    assert ids(search.filtered(records, {"source": "x"}, sources)) == [3]
+    with pytest.raises(ValueError):
+        search.filtered(records, {"colour": "red"})
+    units = spark.createDataFrame([(1, "red fox and much else"), (3, "red"), (9, "red"), (8, "fox")], "unit int, text string")
+    links = spark.createDataFrame([(1, 9), (1, 9), (3, 9), (2, 8), (7, 9)], "owner int, unit int")
+    found = {r.id: (r.unit, r.is_evidence) for r in search.combined(records, None, units, ["red"], links).collect()}
+    assert found == {1: (9, True), 3: (3, False)}  # of equal scores the record's own text goes first
+    assert ids(search.combined(records, records.where("id > 2"))) == [3, 4]
