@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat
+from orrery.llm import chat, quantize
 from orrery.llm.common import table
 from orrery.llm.decontaminate import contamination, is_contaminated
 from orrery.llm.embeddings import near_vectors
@@ -16,6 +16,8 @@ from orrery.llm.pii import BASE, KINDS, personal_data
 from orrery.llm.quality import quality
 from orrery.llm.tokens import VOCABULARY, token_table
 from orrery.llm.toxicity import toxicity
+from orrery.llm.warc import archived
+from orrery.llm.whitening import whitened
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +113,19 @@ def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = quantize.quantized(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(quantize.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 _OP7_SQL = """
 WITH RECURSIVE sound AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
@@ -173,5 +188,39 @@ SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIG
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
-QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_tokens": op5_tokens, "op6_lines": op6_lines, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_chat": op10_chat}
-ORACLE_SQL: dict[str, str] = {"op1_minhash": _OP1_SQL, "op2_decontaminate": _OP2_SQL, "op7_embeddings": _OP7_SQL, "op10_chat": _OP10_SQL}
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """Each round as two common tables: the nearest entry of every part, and the entries that follow."""
+    assign = """a{r} AS MATERIALIZED (SELECT vec_id, label, part, w, m % 256 AS entry, m // 256 AS dist FROM (
+      SELECT p.vec_id, p.label, p.part, p.w, min(list_sum(list_transform(range(1, len(p.w) + 1), lambda i: (p.w[i] - b.c[i]) * (p.w[i] - b.c[i])))::BIGINT * 256 + b.entry) AS m
+      FROM parts p JOIN b{r} b ON p.part = b.part GROUP BY p.vec_id, p.label, p.part, p.w))"""
+    update = """s{r} AS MATERIALIZED (SELECT part, entry, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+      SELECT part, entry, i, sum(w[i])::BIGINT AS t, count(*) AS n FROM (SELECT part, entry, w, unnest(range(1, len(w) + 1)) AS i FROM a{r}) GROUP BY part, entry, i) GROUP BY part, entry),
+    b{next} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(s.c, b.c) AS c FROM b{r} b LEFT JOIN s{r} s ON b.part = s.part AND b.entry = s.entry)"""
+    steps = ",\n".join(f"{assign.format(r=r)},\n{update.format(r=r, next=r + 1)}" for r in range(rounds))
+    return f"""
+WITH sound AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS w FROM (SELECT *, unnest(range(4)) AS part FROM sound)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, w AS c FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM sound ORDER BY vec_id LIMIT 256)),
+{steps},
+{assign.format(r=rounds)},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(dist)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label),
+book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded, book
+"""
+
+
+_OP12_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first, count(*) AS n FROM p WHERE strlen(html) >= 100 GROUP BY d)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN n > 1 AND page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n > 1 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+QUERIES = {"op1_minhash": op1_minhash, "op2_decontaminate": op2_decontaminate, "op3_quality": op3_quality, "op4_mixing": op4_mixing, "op5_tokens": op5_tokens, "op6_lines": op6_lines, "op7_embeddings": op7_embeddings, "op8_toxicity": op8_toxicity, "op9_pii": op9_pii, "op10_chat": op10_chat, "op11_quantize": op11_quantize, "op12_warc": op12_warc, "op13_whitening": op13_whitening}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": _OP1_SQL, "op2_decontaminate": _OP2_SQL, "op7_embeddings": _OP7_SQL, "op10_chat": _OP10_SQL, "op11_quantize": _op11_sql(), "op12_warc": _OP12_SQL}
