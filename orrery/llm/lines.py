@@ -15,7 +15,7 @@ n * n / 4e19 are taken for copies of another.
 Defined results: a line is what stands between line breaks; blank lines are never repeated; two lines are near if both have `least` characters and
 `edits` edits lead from one to the other, shorter lines (of which two edits change much) only if they are equal; exact copies of a line are one line with many places;
 the first place of a class, by doc_id and line number, is kept; null doc_ids come first; null and empty texts have one blank line;
-repeated documents are repeated places; other columns are ignored.
+repeated documents are repeated places, of which one (the first as the rows are read) is kept; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from orrery.llm.textblocks import Hashes, blocks, lean, mix64
 EDITS = 2
 LEAST = 20
 BITMAP = 1 << 24
+#: Line ids that a task remembers while it makes keys.
+REMEMBER = 1 << 19
 
 _LINE = np.ones(256, dtype=bool)
 _LINE[10] = False
@@ -57,14 +59,36 @@ class Lines:
 
 def _places(batches):
     for batch in batches:
-        for block in blocks(batch.column(1)):
+        for block in blocks(batch.column(2)):
             lines = Lines(block)
             at = np.flatnonzero(lines.solid)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lines.row[at] + block.lo)), pa.array(lines.number[at]), pa.array(lines.id[at])], ["doc_id", "line_no", "line_id"])
+            row = pa.array(lines.row[at] + block.lo)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(lines.number[at]), pa.array(lines.id[at])], ["doc_id", "row", "line_no", "line_id"])
 
 
-def segment_keys(batches, edits: int, least: int):
+class Seen:
+    """Line ids that a task has met, so that a frequent line gives its keys once and not with every block.
+
+    At most `most` ids are remembered; beyond that those met again stay, and then all go.  So a line leaves a task once for every
+    `most` / 2 other lines there, however often it occurs.
+    """
+
+    def __init__(self, most: int = REMEMBER):
+        self.most, self.ids, self.again = most, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def fresh(self, ids: np.ndarray) -> np.ndarray:
+        """Which of these different, sorted ids are new; they are old from now on."""
+        known = np.isin(ids, self.ids, assume_unique=True)
+        self.again = np.union1d(self.again, ids[known])
+        if len(self.ids) + len(ids) > self.most:
+            self.ids, self.again = (self.again if len(self.again) <= self.most // 2 else ids[:0]), ids[:0]
+        self.ids = np.union1d(self.ids, ids)
+        return ~known
+
+
+def segment_keys(batches, edits: int, least: int, remember: int | None = None):
     """(key, line_id, indexed): what each line is indexed under and what it probes for."""
+    seen = Seen(remember or REMEMBER)
     for batch in batches:
         for block in blocks(batch.column(0)):
             lines, hashes = Lines(block), Hashes(block.data)
@@ -73,6 +97,7 @@ def segment_keys(batches, edits: int, least: int):
             first, size = np.searchsorted(char, lines.start), np.searchsorted(char, lines.end) - np.searchsorted(char, lines.start)
             at = np.unique(lines.id, return_index=True)[1]  # copies in one block are one line
             at = at[lines.solid[at] & (size[at] >= least)]
+            at = at[seen.fresh(lines.id[at])]
             first, size, ids = first[at], size[at], lines.id[at]
             out = []
             for shorter in range(edits + 1):
@@ -176,10 +201,10 @@ def _close(edits: int):
     return prepare
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """One row per line that is not blank: doc_id, line_no (from 0), class_doc_id and class_line_no (first place of its class), n_places, n_lines (different lines of the class), kept."""
+def _near(docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """Links between line ids: id, n, root."""
     texts = docs.select("text")
-    # one exchange serves the search for keys of several lines and the rows under these keys
+    # one exchange serves the search for keys of several lines and the rows under these keys; a line's copies are one in each task before it
     keyed = texts.mapInArrow(lean(lambda b: segment_keys(b, edits, least)), "key bigint, line_id bigint, indexed boolean").repartition("key")
     shared = keyed.groupBy("key").agg(F.min("line_id").alias("a"), F.max("line_id").alias("z"), F.max("indexed").alias("any")).where("a < z and any").select("key")
     met = cut(keyed.join(shared.hint("shuffle_hash"), "key").groupBy("key", "line_id").agg(F.max("indexed").alias("indexed")))
@@ -187,26 +212,40 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> Dat
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(ids))
     lines = texts.mapInArrow(lean(lambda b: _texts(b, bitmap.value)), "line_id bigint, line binary").dropDuplicates(["line_id"])
     found = kept(lines.join(ids, "line_id", "left_semi"), "lines")
-    near = cut(compare(met.join(found, "line_id"), "key", "line_id", _close(edits), 256))
-    labels = components(near.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "line_id")
+    return cut(compare(met.join(found, "line_id"), "key", "line_id", _close(edits), 256))
 
-    places = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_places), "doc_id bigint, line_no bigint, line_id bigint")
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), "line_no")).alias("first")
+def _classed(docs: DataFrame, edits: int, least: int) -> DataFrame:
+    """line_classes of docs (doc_id, row, text) with the row of each line."""
+    near = _near(docs, edits, least)
+    labels = components(near.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "line_id")
+    # written, so that a row keeps its number
+    places = cut(docs.select("doc_id", "row", "text").mapInArrow(lean(_places), "doc_id bigint, row bigint, line_no bigint, line_id bigint"))
+    first = F.min(F.struct("doc_id", "row", "line_no")).alias("first")  # nulls come first
     by_line = places.groupBy("line_id").agg(F.count(F.lit(1)).alias("n"), first)
     named = by_line.join(labels, "line_id", "left").withColumn("label", F.coalesce("label", "line_id"))
     classes = named.groupBy("label").agg(F.sum("n").alias("n_places"), F.count(F.lit(1)).alias("n_lines"), F.min("first").alias("first")).where("n_places > 1")
     repeated = named.select("line_id", "label").join(classes, "label").drop("label")
     out = places.join(repeated, "line_id", "left")
-    home = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.nullif(F.col("first.d"), F.lit(-(1 << 63))))
-    out = out.select("doc_id", "line_no", home.alias("class_doc_id"), F.coalesce("first.line_no", "line_no").alias("class_line_no"), F.coalesce("n_places", F.lit(1)).alias("n_places"), F.coalesce("n_lines", F.lit(1)).alias("n_lines"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_doc_id")) & (F.col("line_no") == F.col("class_line_no")))
+    alone = F.col("first").isNull()
+    home = F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    kept = alone | (F.col("row") == F.col("first.row")) & (F.col("line_no") == F.col("first.line_no"))
+    return out.select("doc_id", "row", "line_no", home.alias("class_doc_id"), F.coalesce("first.line_no", "line_no").alias("class_line_no"), F.coalesce("n_places", F.lit(1)).alias("n_places"), F.coalesce("n_lines", F.lit(1)).alias("n_lines"), kept.alias("kept"))
+
+
+def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """One row per line that is not blank: doc_id, line_no (from 0), class_doc_id and class_line_no (first place of its class), n_places, n_lines (different lines of the class), kept."""
+    return _classed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text"), edits, least).drop("row")
 
 
 def without_repeats(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
-    """docs with the text reduced to blank lines and the first place of each class; the columns stay as they are."""
-    gone = line_classes(docs, edits, least).where("not kept and doc_id is not null").groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"))
-    gone = gone.withColumnRenamed("doc_id", "gone_id")
-    joined = docs.select(F.struct(*docs.columns).alias("doc")).join(gone, F.col("doc.doc_id") == F.col("gone_id"), "left")
+    """docs with the text reduced to blank lines and the first place of each class; the columns stay as they are.
+
+    A line goes by its own row, whatever else has the row's doc_id; of rows with equal id, and of repeated rows, one is the first.
+    """
+    held = cut(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")))
+    gone = _classed(held.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "row", F.col("doc.text").alias("text")), edits, least)
+    gone = gone.where("not kept").groupBy("row").agg(F.collect_set("line_no").alias("gone"))
+    joined = held.join(gone, "row", "left")
     stay = F.filter(F.split("doc.text", "\n"), lambda x, i: ~F.array_contains("gone", i.cast("long")))
     text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.array_join(stay, "\n"))
     return joined.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
