@@ -20,7 +20,7 @@ each worker), and the ids of all pieces are put together by array operations.  T
 vocabulary with another pattern has its texts encoded whole.
 
 Defined results: a null text is an empty one (only the end id); documents that share a doc_id
-stand next to each other, ordered by text, and a lookup finds all of them; null doc_ids come first and are one key;
+stand next to each other, ordered by text, and a lookup finds all of them; null doc_ids come first and are one key, which is kept beside the index;
 an empty table makes no shard; other columns are ignored.
 """
 
@@ -49,7 +49,8 @@ BUCKET_KEYS = 1 << 15
 #: Pieces that a worker remembers: so many new ones, and as many from before.
 REMEMBER = 300_000
 
-_NULL = -(1 << 63)
+#: The bucket of the null key.
+_NONE = -1
 _GOLD = 0x9E3779B97F4A7C15
 #: Text bytes that are encoded at a time.
 ENCODE_BYTES = 2 << 20
@@ -195,7 +196,7 @@ def _write(batches, folder: str, file: str):
                 filesystem.create_dir(path, recursive=True)
                 out = filesystem.open_output_stream(f"{path}/{name}.ids")
             encoded, many = encoder.encode(block)
-            ids.append(batch.column(0).slice(block.lo, block.rows).fill_null(_NULL).to_numpy())
+            ids.append(batch.column(0).slice(block.lo, block.rows))
             lengths.append(many)
             out.write(encoded.tobytes())
     if out is None:
@@ -206,12 +207,13 @@ def _write(batches, folder: str, file: str):
     out.write(offsets.astype("<u8").tobytes())
     out.write(FOOTER.pack(MAGIC, 1, width, len(lengths), int(offsets[-1])))
     out.close()
-    keys = np.concatenate(ids)
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    keys = pa.concat_arrays(ids)
+    known, value = keys.is_valid().to_numpy(zero_copy_only=False), keys.fill_null(0).to_numpy()
+    first = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (known[1:] != known[:-1])))
     many = np.diff(np.append(first, len(keys)))
     n = len(first)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(keys[first]), pa.array(np.full(n, number)), pa.array(first), pa.array(many), pa.array([f"{name}.ids"] * n), pa.array(np.full(n, len(keys))), pa.array(np.full(n, int(offsets[-1])))],
+        [keys.take(pa.array(first)), pa.array(np.full(n, number)), pa.array(first), pa.array(many), pa.array([f"{name}.ids"] * n), pa.array(np.full(n, len(keys))), pa.array(np.full(n, int(offsets[-1])))],
         ["key", "part", "place", "many", "file", "documents", "ids"],
     )
 
@@ -239,6 +241,8 @@ class Index:
 
     @staticmethod
     def build(keys: np.ndarray) -> Index:
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("an index takes each key once")
         levels, left = [], keys
         while len(left):
             size = 2 * len(left) + 1
@@ -276,6 +280,10 @@ def _build(batches):
     bucket = table.column("bucket").to_numpy()
     for value in np.unique(bucket):
         own = table.filter(pa.array(bucket == value))
+        if value == _NONE:  # no key to hash: its places as they are
+            empty = pa.array([[]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([[]], pa.list_(pa.binary())), empty, empty, *(pa.array([own.column(c).to_pylist()], pa.list_(pa.int64())) for c in ("part", "place", "many"))], ["bucket", "levels", "sizes", "fingerprint", "part", "place", "many"])
+            continue
         keys = own.column("key").to_numpy()
         index = Index.build(keys)
         order = np.empty(len(keys), dtype=np.int64)
@@ -293,7 +301,7 @@ _INDEX = "bucket bigint, levels array<binary>, sizes array<bigint>, fingerprint
 
 
 def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("key", F.lit(23)), F.lit(buckets)).alias("bucket")
+    return F.when(F.col("key").isNull(), _NONE).otherwise(F.pmod(F.xxhash64("key", F.lit(23)), F.lit(buckets))).alias("bucket")
 
 
 def build_index(manifest: DataFrame, bucket_keys: int = BUCKET_KEYS) -> tuple[DataFrame, int]:
@@ -308,6 +316,10 @@ def _look(batches):
 
     for batch in batches:
         for own in batch.to_pylist():
+            if own["bucket"] == _NONE:
+                columns = [pa.array([None] * len(own["part"]), pa.int64()), *(pa.array(own[c], pa.int64()) for c in ("part", "place", "many"))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "part", "place", "many"])
+                continue
             index = Index([np.unpackbits(np.frombuffer(level, np.uint8))[:size].astype(bool) for level, size in zip(own["levels"], own["sizes"])])
             keys = np.array(own["keys"], dtype=np.int64)
             slot = index.slots(keys)
@@ -336,7 +348,7 @@ def open_shard(folder: str, name: str):
 def _read(batches, folder: str):
     held, held_name = None, None
     for batch in batches:
-        keys, place, many = (batch.column(k).to_numpy() for k in (0, 2, 3))
+        keys, (place, many) = batch.column(0).to_pylist(), (batch.column(k).to_numpy() for k in (2, 3))
         base, names = batch.column(5).to_numpy(), batch.column(4).to_pylist()
         rows = []
         for i, name in enumerate(names):
@@ -349,8 +361,7 @@ def _read(batches, folder: str):
                 own = raw[a - offsets[0] : z - offsets[0]].astype("<u4")
                 rows.append((keys[i], base[i] + a, z - a, zlib.crc32(own.tobytes())))
         if rows:
-            key, start, n, crc = (np.array(x, dtype=np.int64) for x in zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(key, mask=key == _NULL), pa.array(start), pa.array(n), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_back(found: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
@@ -369,5 +380,5 @@ def token_table(docs: DataFrame, file: str, folder: str | None = None) -> DataFr
     folder = folder or scratch(docs.sparkSession, "tokens")
     manifest = write_shards(docs, folder, file)
     index, buckets = build_index(manifest)
-    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL)).alias("key"))
+    keys = docs.select(F.col("doc_id").cast("long").alias("key"))
     return read_back(look_up(keys, index, buckets), manifest, folder)
