@@ -35,6 +35,8 @@ from orrery.llm.textblocks import lean
 LEAST = 100
 FILE_BYTES = 1 << 30
 GAP, SPAN = 1 << 16, 8 << 20
+#: Archive bytes that a task reads, where the session's shuffle partitions would make it more.
+TASK_BYTES = 256 << 20
 LEVEL = 6
 
 #: Fixed values of the format.
@@ -200,7 +202,10 @@ def _read(batches, folder: str, gap: int, span: int, payloads: bool):
 
 def read_records(index: DataFrame, folder: str, payloads: bool = True, gap: int = GAP, span: int = SPAN) -> DataFrame:
     """The records that these index rows stand for, each as often as it is listed; `intact` tells whether a response's payload has its record's digest."""
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    held = index.agg(F.sum("length")).first()[0] or 0
+    # tasks by the bytes that they will read, of which the index rows tell little
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_BYTES))
+    placed = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return placed.mapInArrow(lean(lambda b: _read(b, folder, gap, span, payloads)), RECORD)
 
 

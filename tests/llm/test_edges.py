@@ -2,8 +2,11 @@
 
 import random
 import time
+from collections import Counter
 from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +196,67 @@ def test_chat(spark):
     assert [(t.role, t.text) for t in back[1].turns] == [("", ""), ("assistant", "<&[\n|end|>"), ("assistant", "<&[\n|end|>")]
     assert back[1].loss_texts == ["<&[\n|end|>"] * 2 and [t.text for t in back[None].turns] == ["x"]
     assert chat.formatted(log.limit(0)).count() == 0
+
+
+LOW, HIGH = -(1 << 63), (1 << 63) - 1
+SAME = "the very same line of some words\nfoo is unrelated to all others"
+IDS = [(None, SAME), (LOW, SAME), (HIGH, SAME), (2, SAME), (2, "bar is unrelated to all others\nthe very same line of some words"), (2, SAME), (None, "a b c d e f"), (None, "a b c d e f"), (LOW, "g h"), (LOW, None)]
+
+
+def test_extreme_and_shared_ids(spark, labels):
+    import public_tokenizers
+
+    told = docs(spark, IDS, extra=True).repartition(3)
+    want = sorted(map(str, (i for i, _ in IDS)))
+    bench = spark.createDataFrame([(LOW, SAME), (None, SAME)], "item_id bigint, text string")
+    found = [
+        minhash.near_duplicates(told), decontaminate.contamination(told, bench), quality.quality(told, labels), mixing.rates(told, labels),
+        tokens.token_table(told, public_tokenizers.path(tokens.VOCABULARY)), toxicity.toxicity(told, labels), pii.personal_data(told),
+    ]
+    for out in found:
+        assert sorted(str(r.doc_id) for r in out.collect()) == want
+    classes = minhash.near_duplicates(told).where("class_id is null or class_id = doc_id").collect()
+    assert {r.doc_id for r in classes} <= {None, LOW, HIGH, 2}
+    vectors = spark.createDataFrame([(None, [1.0, 0.0], 1), (LOW, [1.0, 0.0], 1), (HIGH, [1.0, 0.01], 1)], "vec_id bigint, embedding array<float>, label int")
+    assert {(r.vec_id, r.component_id, r.n_links) for r in embeddings.near_vectors(vectors).collect()} == {(None, None, 0), (LOW, LOW, 1), (HIGH, LOW, 1)}
+    log = chat.events_of_turns(spark.createDataFrame([(LOW, 0, "user", "x"), (None, 0, "user", "x"), (HIGH, LOW, "user", "x")], "conv_id bigint, turn bigint, role string, text string"))
+    assert {r.conv_id for r in chat.read_back(chat.formatted(log)).collect()} == {None, LOW, HIGH}
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    told = docs(spark, IDS, extra=True).repartition(3)
+    rows = lines.line_classes(told).collect()
+    same = [r for r in rows if r.n_places == 5]
+    assert len(same) == 5 and [(r.doc_id, r.class_doc_id) for r in same if r.kept] == [(None, None)]
+    assert [r.doc_id for r in rows if r.kept].count(2) == 1 and sum(r.kept for r in rows) == 5
+    left = sorted((str(r.doc_id), r.text or "") for r in lines.without_repeats(told).collect())
+    assert len(left) == len(IDS)
+    text = "\n".join(t for _, t in left)
+    assert all(text.count(line) == 1 for line in ("the very same line", "foo is unrelated", "bar is unrelated", "a b c d e f", "g h"))
+    low = docs(spark, [(LOW, SAME), (5, SAME)])
+    assert sorted((r.doc_id, r.class_doc_id, r.kept) for r in lines.line_classes(low).collect()) == [(LOW, LOW, True)] * 2 + [(5, LOW, False)] * 2
+
+
+def test_token_keys(spark):
+    import public_tokenizers
+
+    file = public_tokenizers.path(tokens.VOCABULARY)
+    told = docs(spark, [(None, "a"), (LOW, "b b"), (None, "c c c"), (HIGH, "d")])
+    rows = tokens.token_table(told, file).collect()
+    assert sorted((str(r.doc_id), r.start, r.n_tokens) for r in rows) == sorted([("None", 0, 2), ("None", 2, 4), (str(LOW), 6, 3), (str(HIGH), 9, 2)])
+    with pytest.raises(ValueError, match="once"):
+        tokens.Index.build(np.array([5, 5]))
+
+
+def test_a_frequent_line_gives_its_keys_once_a_task():
+    rng = random.Random(1)
+    hot = "a line that stands everywhere in the corpus"
+    texts = ["\n".join([hot] + ["".join(rng.choice("abcdefghij") for _ in range(30)) for _ in range(200)]) for _ in range(300)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[k : k + 10])], ["text"]) for k in range(0, 300, 10)]
+    every = [x for b in lines.segment_keys(batches, 2, 20) for x in b.column("line_id").to_pylist()]
+    few = [x for b in lines.segment_keys(batches, 2, 20, remember=8000) for x in b.column("line_id").to_pylist()]
+    counts, again = Counter(every), Counter(few)
+    assert set(counts) == set(again) and max(counts.values()) <= 24
+    top = lines.xxh3_64_intdigest(hot.encode())
+    top -= (1 << 64) * (top >= 1 << 63)
+    assert again[top] <= 24 * 16 and counts[top] <= 24
