@@ -1,53 +1,143 @@
 """Merging observations of one record in the order of their arrival.
 
-A write is fresh when it was observed no earlier than every reporting write before it; fresh
-writes overwrite, stale ones only add what is missing.  For each leaf path the result is: the last
-fresh value; where the last fresh event removed the path, the first stale value after that; without a
-fresh event, the first stale value.  All of it is grouped aggregation over (record, path),
-so no record's history is ever gathered in one row; with_fresh sorts arrivals in blocks of a record's sequence, so a
-record with a third of all writes is many tasks.  Removals in stale writes do nothing.
+A write is fresh when it was observed no earlier than every reporting write before it.  Fresh writes overwrite: an object merges into an
+object, anything else replaces what stands there, with all below it.  Stale writes only add what is missing, at any depth, and
+nothing below a scalar.  Fresh removals take a path with all below it and leave the object around it; stale ones do nothing.
+
+The result is found without going through a record's writes one by one.  Every write is spread over its leaf and the objects above it (nodes);
+grouped maxima give each node's last fresh scalar, last fresh mark as an object and last removal, and the last of the scalars and
+removals above it.  If the node was set after all of these, that decides; else the first stale write after them that was not stopped on its way.
+A stale write is stopped by a scalar above its leaf; that can only be at nodes that are a scalar in one write and an object in another
+(few, and none in most data), which are gone through from the top down, a level at a time.
+
+What depends on earlier writes is found in blocks of a record's sequence (one row a block, then inside each block), so a record or path
+with a third of all writes is many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import jsonwalk
+from orrery.sources.storage import written
+
 #: Sequence numbers of a block.
 BLOCK = 1 << 20
 
 
+def greatest_before(rows: DataFrame, keys: list[str], value: Column, block: int = BLOCK) -> DataFrame:
+    """rows (with seq) and __before: the greatest value among the rows of the same keys with a smaller seq; null where there is none.
+
+    Rows of one seq must not need each other's values.  Rows without seq come before all others.
+    """
+    marked = rows.withColumn("__block", F.coalesce(F.floor(F.col("seq") / block), F.lit(-(1 << 62)))).withColumn("__value", value)
+    ends = marked.groupBy(*keys, "__block").agg(F.max("__value").alias("__end"))
+    earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "__block", F.max("__end").over(earlier).alias("__earlier"))
+    inside = Window.partitionBy(*keys, "__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    joined = marked.withColumn("__within", F.max("__value").over(inside)).join(ends, [*keys, "__block"])
+    return joined.withColumn("__before", F.greatest("__earlier", "__within")).drop("__block", "__value", "__earlier", "__within")
+
+
 def with_fresh(writes: DataFrame, block: int = BLOCK) -> DataFrame:
     """writes (record, seq, observed, and reporting where some writes report nothing) with the column fresh.
 
-    The latest time before a write is the greater of that of earlier blocks of its record's sequence (one row a block)
-    and that inside its block.  A write without a record or seq has no place in the order and is left out.
+    A write without a record has no place in any order and is left out.
     """
     told = F.when(F.col("reporting"), F.col("observed")) if "reporting" in writes.columns else F.col("observed")
-    marked = writes.withColumn("__block", F.floor(F.col("seq") / block)).withColumn("__told", told)
-    ends = marked.groupBy("record", "__block").agg(F.max("__told").alias("__end"))
-    ends = ends.select("record", "__block", F.max("__end").over(Window.partitionBy("record").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
-    within = F.max("__told").over(Window.partitionBy("record", "__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    latest = F.greatest("__earlier", "__within")  # of what is not null
-    joined = marked.withColumn("__within", within).join(ends, ["record", "__block"])
-    return joined.withColumn("fresh", F.coalesce(F.col("observed") >= latest, F.lit(True))).select(*writes.columns, "fresh")
-
-
-def merge_leaves(leaves: DataFrame) -> DataFrame:
-    """leaves (record, path, seq, fresh, removed, value) -> record, path, value of the merged record."""
-    by = Window.partitionBy("record", "path")
-    last = F.max(F.when(F.col("fresh"), F.col("seq"))).over(by)
-    marked = leaves.withColumn("last", last)
-    merged = marked.groupBy("record", "path").agg(
-        F.max_by("value", F.when(F.col("fresh") & ~F.col("removed"), F.col("seq"))).alias("fresh_value"),
-        F.max(F.when(F.col("fresh") & ~F.col("removed"), F.col("seq"))).alias("fresh_set"),
-        F.max("last").alias("last"),
-        F.min_by("value", F.when(~F.col("fresh") & ~F.col("removed") & (F.col("seq") > F.coalesce("last", F.lit(-1))), F.col("seq"))).alias("stale_value"),
-        F.min(F.when(~F.col("fresh") & ~F.col("removed") & (F.col("seq") > F.coalesce("last", F.lit(-1))), F.col("seq"))).alias("stale_set"),
+    before = greatest_before(writes.where("record is not null"), ["record"], told, block)
+    return before.select(*writes.columns, F.coalesce(F.col("observed") >= F.col("__before"), F.lit(True)).alias("fresh"))
+
+
+def _above(path: Column) -> Column:
+    """The paths of the objects above a path, from the top; none for a name without slashes."""
+    steps = F.split(path, "/")
+    made = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.array_join(F.slice(steps, 1, i), "/"))
+    return F.filter(F.when(F.size(steps) > 1, made).otherwise(F.array().cast("array<string>")), lambda p: p != "")
+
+
+def _nodes(leaves: DataFrame) -> DataFrame:
+    """Each leaf's row for itself and for every object above it: node, leaf, scalar (whether it sets a value there); removals for themselves only."""
+    at = F.when(F.col("removed"), F.array("path")).otherwise(F.concat(F.array("path"), _above(F.col("path"))))
+    spread = leaves.select("*", F.explode(at).alias("node"))
+    leaf = F.col("node") == F.col("path")
+    return spread.select("*", leaf.alias("leaf"), (leaf & ~F.col("removed") & F.coalesce(F.col("value") != "{}", F.lit(True))).alias("scalar"))
+
+
+def _decided(nodes: DataFrame) -> DataFrame:
+    """record, node, and the last fresh events: set_at with value, object_at, gone (scalars and removals above, removals here); scalar and object: whether any write, stale ones too, has it so."""
+    fresh, here = F.col("fresh"), F.col("scalar")
+    marks = ~here & ~F.col("removed")
+    one = nodes.groupBy("record", "node").agg(
+        F.max(F.when(fresh & here, F.struct("seq", "value"))).alias("set"),
+        F.max(F.when(fresh & marks, F.col("seq"))).alias("object_at"),
+        F.max(F.when(fresh & F.col("removed"), F.col("seq"))).alias("removed_at"),
+        F.max(here).alias("scalar"),
+        F.max(~F.col("leaf")).alias("object"),
     )
-    has_fresh = F.col("last").isNotNull() & (F.col("last") == F.col("fresh_set"))
-    kept = merged.withColumn("value", F.when(has_fresh, F.col("fresh_value")).otherwise(F.col("stale_value")))
-    return kept.where(has_fresh | F.col("stale_set").isNotNull()).select("record", "path", "value")
+    ends = one.select("record", F.col("node").alias("upper"), F.greatest("set.seq", "removed_at").alias("end")).where("end is not null")
+    below = one.select("record", "node", F.explode(_above(F.col("node"))).alias("upper"))
+    gone = below.join(ends, ["record", "upper"]).groupBy("record", "node").agg(F.max("end").alias("above"))
+    both = one.join(gone, ["record", "node"], "left")
+    return both.select("record", "node", F.col("set.seq").alias("set_at"), F.col("set.value").alias("value"), "object_at", F.greatest("removed_at", "above").alias("gone"), "scalar", "object")
+
+
+def _stopped(stale: DataFrame, fresh: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
+    """record, seq, path of the stale leaves that a scalar at these nodes (record, node; all of one level) stops.
+
+    A node's time is divided by the fresh events on it: it becomes a scalar, an object, or goes (with what stands above).  While it is gone the first
+    stale write that comes through makes it a scalar or an object.
+    """
+    uppers = mixed.select("record", F.col("node").alias("under"), F.explode(F.concat(F.array("node"), _above(F.col("node")))).alias("node"))
+    own = F.col("node") == F.col("under")
+    happened = fresh.join(uppers, ["record", "node"]).select("record", F.col("under").alias("node"), "seq", F.when(F.col("removed") | ~own & F.col("scalar"), "gone").when(own & F.col("scalar"), "scalar").when(own, "object").alias("kind"))
+    passing = _nodes(stale).join(mixed, ["record", "node"]).select("record", "node", "seq", "path", "leaf", "scalar", F.lit(None).cast("string").alias("kind"))
+    both = happened.where("kind is not null").select("record", "node", "seq", F.lit(None).cast("string").alias("path"), F.lit(None).cast("boolean").alias("leaf"), F.lit(None).cast("boolean").alias("scalar"), "kind").unionByName(passing)
+    timed = greatest_before(both, ["record", "node"], F.when(F.col("kind").isNotNull(), F.struct("seq", "kind")), block).where("path is not null")
+    timed = timed.withColumn("since", F.coalesce("__before.seq", F.lit(-(1 << 63)))).withColumn("state", F.coalesce("__before.kind", F.lit("gone")))
+    first = timed.where("state = 'gone'").groupBy("record", "node", "since").agg(F.min(F.struct("seq", "scalar")).alias("first"))
+    told = timed.where("not leaf").join(first, ["record", "node", "since"], "left")
+    stopped = (F.col("state") == "scalar") | (F.col("state") == "gone") & F.col("first.scalar") & (F.col("first.seq") < F.col("seq"))
+    return told.where(stopped).select("record", "seq", "path").distinct()
+
+
+def merge_leaves(leaves: DataFrame, block: int = BLOCK) -> DataFrame:
+    """leaves (record, path, seq, fresh, removed, value) -> record, path, value of the merged record.
+
+    A path is a JSON Pointer, a value JSON text ({} is an object without members, as a merged one may be left; arrays are values); all leaves of one
+    write share its seq.  Leaves without record, path or seq have no place and are left out.
+    """
+    known = leaves.where("record is not null and path is not null and seq is not null and (fresh or not removed)")
+    known = written(known.select("record", "path", "seq", "fresh", "removed", "value"), "leaves")  # what made it fresh is not done again
+    nodes = _nodes(known)
+    decided = written(_decided(nodes), "decided")
+    stale = known.where("not fresh")
+    mixed = decided.where("scalar and object").select("record", "node", F.size(F.split("node", "/")).alias("depth"))
+    levels = sorted(r["depth"] for r in mixed.select("depth").distinct().collect())
+    if levels:
+        fresh = nodes.where("fresh").select("record", "node", "seq", "removed", "scalar")
+        for depth in levels:
+            stopped = _stopped(stale, fresh, mixed.where(F.col("depth") == depth).select("record", "node"), block)
+            stale = written(stale.join(stopped, ["record", "seq", "path"], "left_anti"), "stale")
+
+    set_last = F.coalesce(F.col("set_at") > F.col("object_at"), F.col("set_at").isNotNull())
+    last = F.greatest("set_at", "object_at")
+    stands = last.isNotNull() & F.coalesce(last > F.col("gone"), F.lit(True))
+    lasting = decided.where(stands).select("record", "node", F.when(set_last, F.struct("value")).alias("held"))
+    # what is gone takes its first stale write since: by blocks, and one by one in the block where it went
+    open_ = decided.where(~stands).select("record", "node", F.col("gone").alias("since"), F.floor(F.col("gone") / block).alias("in_block"))
+    offered = _nodes(stale).select("record", "node", F.floor(F.col("seq") / block).alias("block"), F.struct("seq", "scalar", "value").alias("offer"))
+    by_block = offered.groupBy("record", "node", "block").agg(F.min("offer").alias("offer"))
+    later = by_block.join(open_, ["record", "node"]).where("since is null or block > in_block").select("record", "node", "offer")
+    edge = offered.join(open_.where("since is not null").withColumnRenamed("in_block", "block"), ["record", "node", "block"]).where("offer.seq > since").select("record", "node", "offer")
+    first = later.unionByName(edge).groupBy("record", "node").agg(F.min("offer").alias("offer"))
+    added = first.select("record", "node", F.when(F.col("offer.scalar"), F.struct("offer.value")).alias("held"))
+    alive = lasting.unionByName(added)
+    values = alive.where("held is not null").select("record", F.col("node").alias("path"), F.col("held.value").alias("value"))
+    parents = alive.select("record", F.try_element_at(_above(F.col("node")), F.lit(-1)).alias("node")).where("node is not null").distinct()
+    empty = alive.where("held is null").join(parents, ["record", "node"], "left_anti").select("record", F.col("node").alias("path"), F.lit("{}").alias("value"))
+    return values.unionByName(empty)
 
 
 def last_written(writes: DataFrame, fields: list[str]) -> DataFrame:
@@ -67,19 +157,42 @@ def spans(writes: DataFrame) -> DataFrame:
 
 
 def fold(history: list[tuple[int, bool, dict | None, list[str]]]) -> dict:
-    """The same merge, one write after another: (observed, reporting, properties, removals); for tests and objects that turn into scalars."""
-    latest, state = None, {}
+    """The same merge, one write after another: (observed, reporting, values by path, removals) -> values by path; for tests."""
+    latest, state, bare = None, {}, set()
     for observed, reporting, properties, removals in history:
         fresh = latest is None or observed >= latest
-        if fresh:
-            for path in removals:
-                state.pop(path, None)
+        for path in removals if fresh else ():
+            *outer, name = _steps(path)
+            at = state
+            for step in outer:
+                at = at.get(step) if isinstance(at, dict) else None
+            if isinstance(at, dict):
+                at.pop(name, None)
+        patch: dict = {}
+        bare |= {f"/{path}" for path in properties or () if not path.startswith("/")}
         for path, value in (properties or {}).items():
-            if fresh or path not in state:
-                state[path] = value
+            *outer, name = _steps(path)
+            at = patch
+            for step in outer:
+                at = at.setdefault(step, {})
+            at[name] = {} if value == "{}" else (value,)
+        state = jsonwalk.merge(state, patch, missing_only=not fresh)
         if reporting:
             latest = observed if latest is None else max(latest, observed)
-    return state
+    out, left = {}, [("", state)]
+    while left:
+        at, value = left.pop()
+        if isinstance(value, tuple):
+            out[at[1:] if at in bare else at] = value[0]
+        elif value or not at:
+            left += [(f"{at}/{name}" if name else at, inner) for name, inner in value.items()]
+        else:
+            out[at] = "{}"
+    return out
+
+
+def _steps(path: str) -> list[str]:
+    return path.split("/")[1:] if path.startswith("/") else [path]
 
 
 def acknowledge(writes: DataFrame, snapshot: DataFrame) -> DataFrame:

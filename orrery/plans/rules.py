@@ -266,18 +266,37 @@ def r5(spark, sf_dir):
     return ingest.replaced(index, changed, "owner")
 
 
-@query("A1_fold_fallback", _A1)
+_TREES = """[['/a'], ['/a/b'], ['/a/c', '/e'], ['/a/b/d'], ['/a/b/d', '/a/f'], ['/e'], ['/e/g/h', '/a/b']]"""
+
+
+@query(
+    "A1_fold_fallback",
+    f"""WITH RECURSIVE t AS (SELECT event_id, user_id || ':' || event_type AS record, (event_id * 7919) % 1000003 AS seq, epoch_us(ts) AS observed, event_id % 5 <> 0 AS reporting,
+      {_TREES}[event_id % 7 + 1] AS paths, event_id % 11 = 0 AS removed, CASE WHEN event_id % 13 = 0 THEN '{{}}' ELSE json_extract_string(props, '$.k') END AS value FROM events),
+    w AS (SELECT *, coalesce(observed >= max(CASE WHEN reporting THEN observed END) OVER (PARTITION BY record ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh,
+      row_number() OVER (PARTITION BY record ORDER BY seq) AS k,
+      '{{' || CASE WHEN paths[1] = '/a' THEN '"a":' || value WHEN paths[1] = '/e' THEN '"e":' || value WHEN paths[1] = '/a/b' THEN '"a":{{"b":' || value || '}}' WHEN paths = ['/a/c', '/e'] THEN '"a":{{"c":' || value || '}},"e":' || value
+        WHEN paths = ['/a/b/d'] THEN '"a":{{"b":{{"d":' || value || '}}}}' WHEN paths = ['/a/b/d', '/a/f'] THEN '"a":{{"b":{{"d":' || value || '}},"f":' || value || '}}' ELSE '"e":{{"g":{{"h":' || value || '}}}},"a":{{"b":' || value || '}}' END || '}}' AS patch FROM t),
+    gone AS (SELECT *, '$' || replace(paths[1], '/', '.') AS p1, '$' || replace(paths[2], '/', '.') AS p2, CASE WHEN removed THEN '{{' || CASE paths[1] WHEN '/a' THEN '"a":null' WHEN '/e' THEN '"e":null' WHEN '/a/b' THEN '"a":{{"b":null}}' WHEN '/a/c' THEN '"a":{{"c":null}}' WHEN '/a/b/d' THEN '"a":{{"b":{{"d":null}}}}' ELSE '"e":{{"g":{{"h":null}}}}' END || '}}' END AS g1,
+      CASE paths[2] WHEN '/e' THEN '{{"e":null}}' WHEN '/a/f' THEN '{{"a":{{"f":null}}}}' WHEN '/a/b' THEN '{{"a":{{"b":null}}}}' END AS g2 FROM w),
+    state(record, k, doc) AS (
+      SELECT DISTINCT record, 0::BIGINT, '{{}}'::JSON FROM t
+      UNION ALL SELECT s.record, g.k, CASE WHEN removed AND NOT fresh THEN s.doc
+        WHEN removed THEN CASE WHEN p2 IS NOT NULL AND json_exists(CASE WHEN json_exists(s.doc, p1) THEN json_merge_patch(s.doc, g1) ELSE s.doc END, p2)
+          THEN json_merge_patch(CASE WHEN json_exists(s.doc, p1) THEN json_merge_patch(s.doc, g1) ELSE s.doc END, g2) WHEN json_exists(s.doc, p1) THEN json_merge_patch(s.doc, g1) ELSE s.doc END
+        WHEN fresh THEN json_merge_patch(s.doc, patch) ELSE json_merge_patch(patch, s.doc) END
+      FROM state s JOIN gone g ON g.record = s.record AND g.k = s.k + 1)
+    SELECT record, replace(substr(n.fullkey, 2), '.', '/') AS path, n.value::VARCHAR AS value FROM (SELECT record, arg_max(doc, k) AS doc FROM state GROUP BY record) s, json_tree(s.doc) n
+    WHERE n.fullkey <> '$' AND (n.type <> 'OBJECT' OR n.value::VARCHAR = '{{}}')""",
+)
 def a1_fold(spark, sf_dir):
-    """The sequential fold of each record, one write after another: what A1_observation_merge must equal; a record's writes are one group."""
+    """Writes of one or two leaves whose paths are scalars in one write and objects in another; the SQL folds a record's writes one after another."""
     from orrery.plans.events import _writes
 
-    def run(pdf):
-        rows = pdf.sort_values("seq")
-        history = [(int(r.observed), bool(r.reporting), None if r.removed else {r.path: r.value}, [r.path] if r.removed else []) for r in rows.itertuples()]
-        state = merge.fold(history)
-        return rows.iloc[:0][["record", "path", "value"]] if not state else type(pdf)({"record": [rows.record.iloc[0]] * len(state), "path": list(state), "value": list(state.values())})
-
-    return _writes(spark, sf_dir).groupBy("record").applyInPandas(run, "record string, path string, value string")
+    paths = F.element_at(F.expr(f"array({_TREES[1:-1].replace('[', 'array(').replace(']', ')')})"), (F.col("event_id") % 7 + 1).cast("int"))
+    value = F.when(F.col("event_id") % 13 == 0, "{}").otherwise(F.col("value"))
+    timed = merge.with_fresh(_writes(spark, sf_dir).withColumn("value", value))
+    return merge.merge_leaves(timed.withColumn("path", F.explode(paths)))
 
 
 @query(

@@ -69,6 +69,50 @@ def test_merge_equals_the_fold(spark):
     assert got == want
 
 
+def test_merged_trees_equal_the_fold(spark):
+    rng, writes = random.Random(3), []
+    paths = ["/a", "/a/b", "/a/c", "/a/b/d", "/a/b/e", "/f", "/f/g", "/h~1i", "/f/g/x/y"]
+    histories = {}
+    for record in range(400):
+        own = []
+        for seq in range(rng.randrange(1, 12)):
+            observed, reporting, chosen, gone = rng.randrange(6), rng.random() < 0.8, {}, []
+            for p in rng.sample(paths, rng.randrange(1, 4)):
+                if any(p == q or p.startswith(q + "/") or q.startswith(p + "/") for q in [*chosen, *gone]):
+                    continue
+                if rng.random() < 0.25:
+                    gone.append(p)
+                else:
+                    chosen[p] = "{}" if rng.random() < 0.15 else str(rng.randrange(100))
+            own.append((observed, reporting, chosen, gone))
+            writes += [(record, seq, observed, p, False, v, reporting) for p, v in chosen.items()] + [(record, seq, observed, p, True, None, reporting) for p in gone]
+        histories[record] = own
+    df = spark.createDataFrame(writes, "record int, seq int, observed int, path string, removed boolean, value string, reporting boolean")
+    want = {(r, p): v for r, h in histories.items() for p, v in merge.fold(h).items()}
+    for block in (1 << 20, 3):
+        got = {(r.record, r.path): r.value for r in merge.merge_leaves(merge.with_fresh(df, block), block).collect()}
+        assert got == want
+
+
+def test_objects_and_scalars_in_turn(spark):
+    leaf = lambda seq, path, value, fresh=True, removed=False: ("r", path, seq, fresh, removed, value)
+    cases = [
+        ([leaf(0, "/a", "{}"), leaf(1, "/a/b", "1"), leaf(2, "/a", "5")], {"/a": "5"}),
+        ([leaf(0, "/a", "5"), leaf(1, "/a/b", "1")], {"/a/b": "1"}),
+        ([leaf(0, "/a/b", "1"), leaf(1, "/a/b", None, removed=True)], {"/a": "{}"}),
+        ([leaf(0, "/a", "5"), leaf(1, "/a/b", "1", fresh=False)], {"/a": "5"}),
+        ([leaf(0, "/a/b", "1"), leaf(1, "/a", "5", fresh=False), leaf(2, "/a/c/d", "2", fresh=False)], {"/a/b": "1", "/a/c/d": "2"}),
+        ([leaf(0, "/a", "5", fresh=False), leaf(1, "/a/b", "1", fresh=False), leaf(2, "/a/q", "3")], {"/a/q": "3"}),
+        ([leaf(0, "/a", "5"), leaf(1, "/a", None, removed=True), leaf(2, "/a/b", "1", fresh=False), leaf(3, "/a", "7", fresh=False)], {"/a/b": "1"}),
+        ([leaf(0, "/a/b", "[1]"), leaf(1, "/a/b", "{}"), leaf(2, "/a", "{}")], {"/a/b": "{}"}),
+    ]
+    rows = [(str(k), *row[1:]) for k, (own, _) in enumerate(cases) for row in own] + [(None, "/a", 0, True, False, "1"), ("x", None, 0, True, False, "1")]
+    df = spark.createDataFrame(rows, "record string, path string, seq int, fresh boolean, removed boolean, value string")
+    got = {(r.record, r.path): r.value for r in merge.merge_leaves(df).collect()}
+    assert got == {(str(k), path): value for k, (_, want) in enumerate(cases) for path, value in want.items()}
+    assert merge.merge_leaves(df.limit(0)).count() == 0
+
+
 def test_bounded_traversal(spark):
     rng = random.Random(12)
     edges = [(k, rng.randrange(30), rng.randrange(30)) for k in range(120)]
