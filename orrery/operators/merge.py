@@ -156,43 +156,53 @@ def spans(writes: DataFrame) -> DataFrame:
     )
 
 
-def fold(history: list[tuple[int, bool, dict | None, list[str]]]) -> dict:
-    """The same merge, one write after another: (observed, reporting, values by path, removals) -> values by path; for tests."""
-    latest, state, bare = None, {}, set()
-    for observed, reporting, properties, removals in history:
-        fresh = latest is None or observed >= latest
-        for path in removals if fresh else ():
-            *outer, name = _steps(path)
-            at = state
-            for step in outer:
-                at = at.get(step) if isinstance(at, dict) else None
-            if isinstance(at, dict):
-                at.pop(name, None)
-        patch: dict = {}
-        bare |= {f"/{path}" for path in properties or () if not path.startswith("/")}
-        for path, value in (properties or {}).items():
-            *outer, name = _steps(path)
-            at = patch
-            for step in outer:
-                at = at.setdefault(step, {})
-            at[name] = {} if value == "{}" else (value,)
-        state = jsonwalk.merge(state, patch, missing_only=not fresh)
-        if reporting:
-            latest = observed if latest is None else max(latest, observed)
-    out, left = {}, [("", state)]
+def _steps(path: str) -> list[str]:
+    """Names from the top; the first keeps its slash."""
+    first, *rest = path.split("/")
+    return [f"/{rest[0]}", *rest[1:]] if not first and rest else [first, *rest]
+
+
+def applied(state: dict, values: dict[str, str | None], removals: list[str], fresh: bool) -> dict:
+    """A record's tree after one more write; values are held as one-tuples."""
+    for path in removals if fresh else ():
+        *outer, name = _steps(path)
+        at: object = state
+        for step in outer:
+            at = at.get(step) if isinstance(at, dict) else None
+        if isinstance(at, dict):
+            at.pop(name, None)
+    patch: dict = {}
+    for path, value in values.items():
+        *outer, name = _steps(path)
+        at = patch
+        for step in outer:
+            at = at.setdefault(step, {})
+        at[name] = {} if value == "{}" else (value,)
+    return jsonwalk.merge(state, patch, missing_only=not fresh)
+
+
+def leaves_of(state: dict) -> dict[str, str | None]:
+    """Values by path, with {} for objects without members."""
+    out, left = {}, list(state.items())
     while left:
         at, value = left.pop()
         if isinstance(value, tuple):
-            out[at[1:] if at in bare else at] = value[0]
-        elif value or not at:
-            left += [(f"{at}/{name}" if name else at, inner) for name, inner in value.items()]
+            out[at] = value[0]
+        elif value:
+            left += [(f"{at}/{name}", inner) for name, inner in value.items()]
         else:
             out[at] = "{}"
     return out
 
 
-def _steps(path: str) -> list[str]:
-    return path.split("/")[1:] if path.startswith("/") else [path]
+def fold(history: list[tuple[int, bool, dict | None, list[str]]]) -> dict:
+    """The same merge, one write after another: (observed, reporting, values by path, removals) -> values by path; for tests."""
+    latest, state = None, {}
+    for observed, reporting, properties, removals in history:
+        state = applied(state, properties or {}, removals, latest is None or observed >= latest)
+        if reporting:
+            latest = observed if latest is None else max(latest, observed)
+    return leaves_of(state)
 
 
 def acknowledge(writes: DataFrame, snapshot: DataFrame) -> DataFrame:

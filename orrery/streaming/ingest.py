@@ -1,123 +1,159 @@
-"""Continuous ingestion: observations merged by record, evidence by content.
+"""Continuous ingestion: observations merged by record as keyed state, evidence by content.
 
-Nothing is ever too late for a merge (an old observation fills gaps and lowers first_seen), so there is no
-watermark; state is one row per record, or per record and path, in a table that each micro-batch rewrites by version (the work of a
-batch grows with the state; where batches are small beside it, make them larger).
-Batches are applied by epoch number, which a sink finds in its folder: a replayed one does nothing, and a restarted run goes on.
+State is kept by record in the stream's state store (RocksDB, part of its checkpoint): when it was seen, how often, and its leaves as a map of paths.
+A micro-batch touches the state of its own records only, and hands on what it changed: rows of a change log, one folder an epoch.
+A replayed epoch overwrites its folder; a restarted run goes on from the checkpoint.  Reading takes the last row of each record and path;
+`Changes.compact` joins old epochs to one base, so a log that is compacted from time to time is about as large as the table it stands for.
+
+Nothing is ever too late for a merge (an old observation fills gaps and lowers first_seen), so there is no watermark.  Observations from the future are
+refused into a folder of their own.  The rows that one batch has for one record are one group, sorted by arrival; maxBytesPerTrigger or maxFilesPerTrigger of the source
+bound a batch and so that group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from orrery.operators import merge
 
-
-def span_state(batch: DataFrame, state: DataFrame) -> DataFrame:
-    """State (record, first_seen, last_seen, n) after one more batch of (record, observed)."""
-    new = batch.groupBy("record").agg(F.min("observed").alias("first_seen"), F.max("observed").alias("last_seen"), F.count(F.lit(1)).alias("n"))
-    return state.unionByName(new).groupBy("record").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("n"))
+_PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+CHANGES = "record string, path string, value string, gone boolean, created boolean, first_seen bigint, last_seen bigint, n bigint"
 
 
-def accepted(batch: DataFrame, now_us: int, skew_s: int = 300) -> tuple[DataFrame, DataFrame]:
-    """Observations that are not from the future, and those that are."""
-    late = F.col("observed") > now_us + skew_s * 1_000_000
-    return batch.where(~late), batch.where(late)
+class Observed(StatefulProcessor):
+    """Writes (path, seq, observed, reporting, removed, value; a path of null only reports) of one record to the changes they make.
 
+    The row without path has the record's times; created tells that the record was not known before.
+    """
 
-class Versions:
-    """Versions of a table under one folder, one for each epoch; the last complete one is found in the folder, so a new run goes on from there."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "first_seen bigint, last_seen bigint, n bigint")
+        self.leaves = handle.getMapState("leaves", "path string", "value string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.seen.get() if self.seen.exists() else None
+        first, last, n = known or (None, None, 0)
+        before = {k[0]: v[0] for k, v in self.leaves.iterator()}
+        state = merge.applied({}, before, [], True)
+        came = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        n += len(came)
+        for _, write in came.groupby("seq", sort=True, dropna=False):
+            observed, reporting = int(write["observed"].iloc[0]), bool(write["reporting"].iloc[0])
+            told = write[write["path"].notna()]
+            values = {p: None if pd.isna(v) else v for p, v, r in zip(told["path"], told["value"], told["removed"]) if not r}
+            state = merge.applied(state, values, [p for p, r in zip(told["path"], told["removed"]) if r], last is None or observed >= last)
+            if reporting:
+                first, last = observed if first is None else min(first, observed), observed if last is None else max(last, observed)
+        self.seen.update((first, last, n))
+        after = merge.leaves_of(state)
+        gone = [p for p in before if p not in after]
+        new = {p: v for p, v in after.items() if p not in before or before[p] != v}
+        for path in gone:
+            self.leaves.removeKey((path,))
+        for path, value in new.items():
+            self.leaves.updateValue((path,), (value,))
+        out = [(key[0], None, None, False, known is None, first, last, n)]
+        out += [(key[0], p, None, True, None, None, None, None) for p in gone] + [(key[0], p, v, False, None, None, None, None) for p, v in new.items()]
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")]).astype({"first_seen": "Int64", "last_seen": "Int64", "n": "Int64", "created": "boolean"})
+
+    def close(self) -> None:
+        pass
+
+
+class Changes:
+    """A change log in a folder: epoch=<n> has the changes of a batch, base-<n> all that stood after epoch n; the last complete base counts."""
 
-    def __init__(self, folder: str, schema: str):
-        self.folder, self.schema = folder, schema
+    def __init__(self, folder: str):
+        self.folder = folder
 
-    def last(self, spark: SparkSession) -> int:
-        """The newest epoch with a _SUCCESS file, -1 without any."""
+    def _epochs(self, spark: SparkSession, prefix: str) -> list[int]:
+        """Numbers of the complete folders with this prefix."""
         path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(path):
-            return -1
-        done = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("v")]
-        mark = spark._jvm.org.apache.hadoop.fs.Path
-        return max([int(p.getName()[1:]) for p in done if fs.exists(mark(p, "_SUCCESS"))], default=-1)
-
-    def read(self, spark: SparkSession, epoch: int | None = None) -> DataFrame:
-        at = self.last(spark) if epoch is None else epoch
-        return spark.read.parquet(f"{self.folder}/v{at}") if at >= 0 else spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame, epoch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{epoch}")
-
-
-class SpanSink:
-    """A foreachBatch sink of (record, observed): spans as a versioned table; observations from the future go to the folder `refused`, by epoch."""
-
-    def __init__(self, folder: str, now_us: int):
-        self.folder, self.now_us = folder, now_us
-        self.spans = Versions(f"{folder}/spans", "record string, first_seen bigint, last_seen bigint, n bigint")
-
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        last = self.spans.last(spark)
-        if epoch <= last:
-            return  # a replayed epoch
-        good, late = accepted(batch, self.now_us)
-        late.write.mode("overwrite").parquet(f"{self.folder}/refused/epoch={epoch}")
-        self.spans.write(span_state(good, self.spans.read(spark, last)), epoch)
-
-    def state(self, spark: SparkSession) -> DataFrame:
-        return self.spans.read(spark)
-
-
-class MergeSink:
-    """A foreachBatch sink of writes (record, path, seq, observed, reporting, removed, value): merged leaves as a versioned table.
-
-    Batches must come in the order of arrival (seq); what an earlier batch left is one fresh write before all of the next, at the record's last reported time.
+            return []
+        made = spark._jvm.org.apache.hadoop.fs.Path
+        done = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith(prefix)]
+        return sorted(int(p.getName()[len(prefix) :]) for p in done if fs.exists(made(p, "_SUCCESS")))
+
+    def append(self, changes: DataFrame, epoch: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The last row of each record and path."""
+        base = max(self._epochs(spark, "base-"), default=-1)
+        later = [e for e in self._epochs(spark, "epoch=") if e > base]
+        rows = spark.createDataFrame([], CHANGES).withColumn("epoch", F.lit(-1).cast("bigint"))
+        if base >= 0:
+            rows = rows.unionByName(spark.read.schema(CHANGES).parquet(f"{self.folder}/base-{base}").withColumn("epoch", F.lit(base).cast("bigint")))
+        if later:
+            found = spark.read.schema(CHANGES).parquet(*[f"{self.folder}/epoch={e}" for e in later])
+            rows = rows.unionByName(found.withColumn("epoch", F.regexp_extract(F.col("_metadata.file_path"), r"epoch(?:=|%3D)(\d+)", 1).cast("bigint")))
+        held = F.max_by(F.struct("value", "gone", "created", "first_seen", "last_seen", "n"), "epoch").alias("held")
+        return rows.groupBy("record", "path").agg(held).select("record", "path", "held.*").where("not gone")
+
+    def compact(self, spark: SparkSession) -> None:
+        """One base of all epochs up to now; what it replaces is deleted once the base is complete."""
+        epochs, bases = self._epochs(spark, "epoch="), self._epochs(spark, "base-")
+        if not epochs or epochs[-1] <= max(bases, default=-1):
+            return
+        self.read(spark).write.mode("overwrite").parquet(f"{self.folder}/base-{epochs[-1]}")
+        made = spark._jvm.org.apache.hadoop.fs.Path
+        for name in [*(f"epoch={e}" for e in epochs), *(f"base-{b}" for b in bases)]:
+            old = made(f"{self.folder}/{name}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    def spans(self, spark: SparkSession) -> DataFrame:
+        return self.read(spark).where("path is null").select("record", "first_seen", "last_seen", "n")
+
+    def leaves(self, spark: SparkSession) -> DataFrame:
+        return self.read(spark).where("path is not null").select("record", "path", "value")
+
+
+def ingest(stream: DataFrame, folder: str, now_us: int | None = None, skew_s: int = 300, compact_every: int = 50) -> Changes:
+    """Run a stream of writes (record, path, seq, observed, reporting, removed, value), in the order of arrival, to its present end; the change log.
+
+    Writes without a record, seq or observed have no place and are refused, as are those from the future of now_us; refused ones are written aside.
     """
-
-    _STATE = "record string, path string, value string, last_seen bigint"
-
-    def __init__(self, folder: str):
-        self.leaves = Versions(f"{folder}/leaves", self._STATE)
-
-    def __call__(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        last = self.leaves.last(spark)
-        if epoch > last:
-            self.leaves.write(self.merged(batch, self.leaves.read(spark, last)), epoch)
-
-    @staticmethod
-    def merged(batch: DataFrame, state: DataFrame) -> DataFrame:
-        new = batch.select("record", "path", "seq", "observed", "reporting", "removed", "value")
-        # a record without leaves left keeps a row without path for its time
-        seen = state.groupBy("record").agg(F.max("last_seen").alias("observed"))
-        start = seen.select("record", F.lit(None).cast("string").alias("path"), F.lit(-1).cast("long").alias("seq"), "observed", F.lit(True).alias("reporting"), F.lit(True).alias("removed"), F.lit(None).cast("string").alias("value"))
-        timed = merge.with_fresh(start.unionByName(new)).where("path is not null").select("record", "path", "seq", "fresh", "removed", "value")
-        held = state.where("path is not null").select("record", "path", F.lit(-1).cast("long").alias("seq"), F.lit(True).alias("fresh"), F.lit(False).alias("removed"), "value")
-        leaves = merge.merge_leaves(timed.unionByName(held))
-        times = start.unionByName(new).where("reporting").groupBy("record").agg(F.max("observed").alias("last_seen"))
-        marks = times.select("record", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("value"), "last_seen")
-        return leaves.join(times, "record", "left").select("record", "path", "value", "last_seen").unionByName(marks)
-
-    def state(self, spark: SparkSession) -> DataFrame:
-        return self.leaves.read(spark).where("path is not null").select("record", "path", "value")
+    spark, log = stream.sparkSession, Changes(f"{folder}/changes")
+    future = F.lit(False) if now_us is None else F.col("observed") > now_us + skew_s * 1_000_000
+    good = F.col("record").isNotNull() & F.col("seq").isNotNull() & F.col("observed").isNotNull() & F.coalesce(~future, F.lit(False))
+    refused = stream.where(~good)
+    shaped = stream.where(good).select(F.col("record").cast("string").alias("record"), "path", F.col("seq").cast("bigint").alias("seq"), F.col("observed").cast("bigint").alias("observed"), "reporting", "removed", "value")
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        log.append(batch, epoch)
+        if epoch % compact_every == compact_every - 1:
+            log.compact(batch.sparkSession)
+
+    before = spark.conf.get(_PROVIDER[0], None)
+    spark.conf.set(*_PROVIDER)
+    try:
+        changed = shaped.groupBy("record").transformWithStateInPandas(Observed(), CHANGES, "Update", "None")
+        merged = changed.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        aside = refused.writeStream.format("parquet").option("path", f"{folder}/refused").option("checkpointLocation", f"{folder}/refused-progress").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER[0], before) if before else spark.conf.unset(_PROVIDER[0])
+    merged.awaitTermination()
+    aside.awaitTermination()
+    return log
 
 
 def ingest_spans(stream: DataFrame, folder: str, now_us: int) -> DataFrame:
-    """Run a stream of (record, observed) to its present end and return the state."""
-    return _ingest(stream, SpanSink(folder, now_us), folder)
+    """Run a stream of (record, observed) to its present end: record, first_seen, last_seen, n."""
+    nothing = F.lit(None).cast("string")
+    rows = stream.select("record", nothing.alias("path"), F.col("observed").alias("seq"), "observed", F.lit(True).alias("reporting"), F.lit(False).alias("removed"), nothing.alias("value"))
+    return ingest(rows, folder, now_us).spans(stream.sparkSession)
 
 
 def ingest_merge(stream: DataFrame, folder: str) -> DataFrame:
-    """Run a stream of writes, in the order of arrival, to its present end and return the merged leaves (record, path, value)."""
-    return _ingest(stream, MergeSink(folder), folder)
-
-
-def _ingest(stream: DataFrame, sink, folder: str) -> DataFrame:
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return sink.state(stream.sparkSession)
+    """Run a stream of writes, in the order of arrival, to its present end: the merged leaves (record, path, value)."""
+    return ingest(stream, folder).leaves(stream.sparkSession)
 
 
 def distinct_evidence(stream: DataFrame) -> DataFrame:

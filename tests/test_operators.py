@@ -1,6 +1,7 @@
 """Operators against sequential or plain versions, and golden cases."""
 
 import json
+import os
 import random
 
 import pytest
@@ -230,12 +231,16 @@ def test_alias_direction(spark):
 
 
 def test_epochs_apply_once(spark, tmp_path):
-    sink = ingest.SpanSink(str(tmp_path), 1000)
-    first = spark.createDataFrame([("a", 5), ("a", 9), ("b", 3), ("b", 10**12)], "record string, observed bigint")
-    sink(first, 0)
-    sink(first, 0)
-    sink(spark.createDataFrame([("a", 1)], "record string, observed bigint"), 1)
-    assert sorted(map(tuple, sink.state(spark).collect())) == [("a", 1, 9, 3), ("b", 3, 3, 1)]
+    """A batch whose end was not recorded runs again, on the state before it, and replaces its own changes."""
+    rows = spark.createDataFrame([("a", 5), ("a", 9), ("b", 3), ("b", 10**12), (None, 4), ("c", None)], "record string, observed bigint")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    want = [("a", 5, 9, 2), ("b", 3, 3, 1)]
+    assert sorted(map(tuple, ingest.ingest_spans(stream(), f"{tmp_path}/out", 1000).collect())) == want
+    for name in ("0", ".0.crc"):
+        os.remove(f"{tmp_path}/out/progress/commits/{name}")
+    assert sorted(map(tuple, ingest.ingest_spans(stream(), f"{tmp_path}/out", 1000).collect())) == want
+    assert sorted(r.record or "" for r in spark.read.parquet(f"{tmp_path}/out/refused").collect()) == ["", "b", "c"]
 
 
 def test_every_type_validates(spark):
@@ -348,29 +353,40 @@ def test_url_hosts(spark):
 
 
 def test_streams_go_on_after_a_restart(spark, tmp_path):
-    from orrery.streaming import ingest
-
-    first = spark.createDataFrame([("a", 5), ("b", 7), ("c", 10**12)], "record string, observed bigint")
-    second = spark.createDataFrame([("a", 3), ("d", 9)], "record string, observed bigint")
-    ingest.SpanSink(str(tmp_path), 1000)(first, 0)
-    sink = ingest.SpanSink(str(tmp_path), 1000)  # as after a restart
-    sink(second, 1)
-    sink(second, 1)
-    assert sorted(map(tuple, sink.state(spark).collect())) == [("a", 3, 5, 2), ("b", 7, 7, 1), ("d", 9, 9, 1)]
-    assert [r.record for r in spark.read.parquet(f"{tmp_path}/refused").collect()] == ["c"]
-
     rng, writes = random.Random(13), []
     for seq in range(300):
-        writes.append((f"r{rng.randrange(20)}", f"p{rng.randrange(3)}", seq, rng.randrange(40), rng.random() < 0.8, rng.random() < 0.3, str(seq)))
-    for k in range(3):
-        batch = spark.createDataFrame(writes[k * 100 : (k + 1) * 100], "record string, path string, seq bigint, observed bigint, reporting boolean, removed boolean, value string")
-        ingest.MergeSink(str(tmp_path))(batch, k)
-    got = {(r.record, r.path): r.value for r in ingest.MergeSink(str(tmp_path)).state(spark).collect()}
+        writes.append((f"r{rng.randrange(20)}", rng.choice(["/p", "/p/q", "/p/q/r", "s", None]), seq, rng.randrange(40), rng.random() < 0.8, rng.random() < 0.3, rng.choice(["{}", str(seq)])))
+    schema = "record string, path string, seq bigint, observed bigint, reporting boolean, removed boolean, value string"
+    changed = []
+    for k in range(3):  # three runs, each with new arrivals, on the state of the last
+        spark.createDataFrame(writes[k * 100 : (k + 1) * 100], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        log = ingest.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", compact_every=10 if k else 1)
+        changed.append({r.record for r in log.read(spark).collect()})
+    own = lambda record: [w for w in writes if w[0] == record]
     want = {}
     for record in {w[0] for w in writes}:
-        history = [(w[3], w[4], None if w[5] else {w[1]: w[6]}, [w[1]] if w[5] else []) for w in writes if w[0] == record]
+        history = [(w[3], w[4], None if w[5] or w[1] is None else {w[1]: w[6]}, [w[1]] if w[5] and w[1] else []) for w in own(record)]
         want.update({(record, path): value for path, value in merge.fold(history).items()})
-    assert got == want
+    assert {(r.record, r.path): r.value for r in log.leaves(spark).collect()} == want
+    times = {r: [w[3] for w in own(r) if w[4]] for r in {w[0] for w in writes}}
+    seen = {r.record: (r.first_seen, r.last_seen, r.n) for r in log.spans(spark).collect()}
+    assert seen == {r: (min(t, default=None), max(t, default=None), len(own(r))) for r, t in times.items()}
+    before = sorted(map(str, log.read(spark).collect()))
+    log.compact(spark)
+    assert sorted(map(str, log.read(spark).collect())) == before and len(os.listdir(f"{tmp_path}/out/changes")) == 1
+
+
+def test_a_batch_changes_its_own_records(spark, tmp_path):
+    schema = "record string, path string, seq bigint, observed bigint, reporting boolean, removed boolean, value string"
+    write = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: ingest.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out")
+    write([(f"r{k}", "/a", k, 100, True, False, "1") for k in range(50)])
+    run()
+    write([("r7", "/a", 60, 90, True, False, "2"), ("r7", "/b", 60, 90, True, False, "3"), ("new", "/a", 61, 5, True, False, "4")])  # one late, one new
+    log = run()
+    second = spark.read.parquet(f"{tmp_path}/out/changes/epoch=1").collect()
+    assert sorted((r.record, r.path or "", r.value, r.created) for r in second) == [("new", "", None, True), ("new", "/a", "4", None), ("r7", "", None, False), ("r7", "/b", "3", None)]
+    assert {(r.first_seen, r.last_seen, r.n) for r in log.spans(spark).where("record = 'r7'").collect()} == {(90, 100, 3)}
 
 
 def test_rules_with_qualifiers(spark):
