@@ -228,7 +228,7 @@ STRUCTURED = {
     # which names are services is an input table (validation.unknown_services)
     "service_name": lambda v: whole(v, r"[a-z0-9](?:[a-z0-9_.+-]{0,61}[a-z0-9])?"),
     "cpe23": lambda v: (F.length(v) <= 512) & whole(v, r"cpe:2\.3:[aho*\-]" + f":{CPE_PART}" * 10),
-    "boolean": lambda v: v.cast("boolean").isNotNull(),
+    "boolean": lambda v: v.try_cast("boolean").isNotNull(),
     "cvss_score": is_score,
     "probability": lambda v: v.between(0, 1),
     "epp_status_list": lambda v: _set_of(v, lambda x: x.isin(*EPP_STATUSES), True),

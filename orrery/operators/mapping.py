@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 
 import pyarrow as pa
@@ -80,6 +79,7 @@ def redacted(rows: DataFrame, row_id: str, document: str, fields: list[str]) ->
     """owner, document (canonical JSON with [REDACTED] at the fields), secrets (the strings taken out).
 
     Fields are rule paths: steps joined by dots, `*` for one step, `[]` after an array; of an array of scalars each item goes.
+    What is no JSON has a null document and no secrets: nothing of it is stored.
     """
     wanted = [f.removesuffix("[]").split(".") for f in fields]
 
@@ -91,9 +91,9 @@ def redacted(rows: DataFrame, row_id: str, document: str, fields: list[str]) ->
         for batch in batches:
             out, secrets = [], []
             for text in batch.column(1).to_pylist():
-                value = json.loads(text) if text is not None else None
+                sound, value = jsonwalk.parsed(text)
                 found = {at: v for at, v, _, _ in jsonwalk.leaves(value) if at and taken(at)}
-                out.append(None if text is None else jsonwalk.canonical(jsonwalk.redact(value, set(found))))
+                out.append(None if not sound else jsonwalk.canonical(jsonwalk.redact(value, set(found))))
                 secrets.append([str(v) for v in found.values() if v not in (None, "", [], {})])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(secrets, pa.list_(pa.string()))], ["owner", "document", "secrets"])
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET, LONGEST_PATH, LONGEST_VALUE = 512, 1024, 1024
+DEPTH, LEAVES, MEMBERS = 4, 32, 100
 
 
 def _steps(pointer: str) -> list[str]:
@@ -51,6 +55,75 @@ def category(value: Column) -> Column:
     )
 
 
+TESTS = {"eq": lambda x, y: x == y, "gt": lambda x, y: x > y, "gte": lambda x, y: x >= y, "lt": lambda x, y: x < y, "lte": lambda x, y: x <= y}
+
+
+def whole_test(op: str, wanted: int | float):
+    """The exact comparison of integers (a decimal column) with a number."""
+    if isinstance(wanted, float) and not math.isfinite(wanted):
+        return lambda x: F.lit(op in (("lt", "lte") if wanted > 0 else ("gt", "gte")))
+    if op == "eq":
+        bound = math.floor(wanted)
+        return (lambda x: x == F.lit(bound).cast("decimal(38,0)")) if bound == wanted and abs(bound) < 10**38 else (lambda x: F.lit(False))
+    # x > 2.5 is x > 2, x >= 2.5 is x >= 3
+    bound = math.floor(wanted) if op in ("gt", "lte") else math.ceil(wanted)
+    if abs(bound) >= 10**38:
+        return lambda x: F.lit((bound < 0) == (op in ("gt", "gte")))
+    return lambda x: TESTS[op](x, F.lit(str(bound)).cast("decimal(38,0)"))
+
+
+def real_test(op: str, wanted: int | float):
+    """The exact comparison of doubles with a number, which a double need not hold."""
+    try:
+        near = float(wanted)
+    except OverflowError:
+        near = math.inf if wanted > 0 else -math.inf
+        return lambda x: F.lit(op in (("lt", "lte") if wanted > 0 else ("gt", "gte")))
+    if near == wanted:
+        return lambda x: TESTS[op](x, F.lit(near))
+    if op == "eq":
+        return lambda x: F.lit(False)
+    low = near if near < wanted else math.nextafter(near, -math.inf)
+    return lambda x: x > F.lit(low) if op in ("gt", "gte") else x <= F.lit(low)
+
+
+def checked(node: dict) -> dict:
+    """The tree, if it is one: groups of at most DEPTH levels, at most LEAVES leaves, operators with operands that they take; else a ValueError."""
+    left, leaves = [(node, 0)], 0
+    while left:
+        one, depth = left.pop()
+        if not isinstance(one, dict):
+            raise ValueError("a filter is an object")
+        groups = {"all", "any"} & set(one)
+        if groups:
+            members = one[next(iter(groups))]
+            if len(one) != 1 or not isinstance(members, list) or not members:
+                raise ValueError("a group has one list of members")
+            if depth >= DEPTH:
+                raise ValueError(f"groups go {DEPTH} levels deep")
+            left += [(m, depth + 1) for m in members]
+            continue
+        leaves += 1
+        op, value = one.get("op"), one.get("value")
+        if leaves > LEAVES:
+            raise ValueError(f"a filter has {LEAVES} predicates at most")
+        if not set(one) <= {"op", "path", "value"} or not isinstance(one.get("path"), str) or op not in (*TESTS, "ne", "in", "exists"):
+            raise ValueError("a predicate has path, op and value")
+        if one["path"] and not re.fullmatch(r"(?:/(?:[^~/]|~[01])*)+", one["path"], re.DOTALL):
+            raise ValueError("a path is a JSON Pointer")
+        if op == "exists":
+            if not isinstance(value, (bool, type(None))):
+                raise ValueError("exists takes a boolean")
+            continue
+        values = value if op == "in" else [value]
+        if not isinstance(values, list) or not 1 <= len(values) <= MEMBERS:
+            raise ValueError(f"in takes 1 to {MEMBERS} values")
+        kinds = (str, int, float) if op in ("gt", "gte", "lt", "lte") else (str, int, float, bool, type(None))
+        if any(not isinstance(v, kinds) or isinstance(v, bool) and bool not in kinds for v in values):
+            raise ValueError("values are scalars, of ranges numbers or strings")
+    return node
+
+
 def predicate(document: Column, op: str, pointer: str, value=None) -> Column:
     """One leaf of a predicate tree over a variant; never null.
 
@@ -69,22 +142,19 @@ def predicate(document: Column, op: str, pointer: str, value=None) -> Column:
     same = F.coalesce(category(found) == wanted, F.lit(False))
     read = lambda kind: F.try_variant_get(found, "$", kind)
 
-    def compared(test):
-        """The test on values of one type: integers as such, other numbers in double precision."""
+    def compared(op):
+        """The comparison on values of one type; integers, and decimals without places, are compared exactly with whatever number is asked for."""
         if wanted != "number":
-            return test(read(wanted), F.lit(value))
-        real = test(read("double"), F.lit(float(value)))
-        if isinstance(value, float) or abs(value) >= 1 << 63:
-            return real
-        return F.when(F.schema_of_variant(found) == "BIGINT", test(read("bigint"), F.lit(value).cast("bigint"))).otherwise(real)
+            return TESTS[op](read(wanted), F.lit(value))
+        whole = F.schema_of_variant(found).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$")
+        return F.when(whole, whole_test(op, value)(read("decimal(38,0)"))).otherwise(real_test(op, value)(read("double")))
 
     if op in ("eq", "ne"):
-        equal = same if wanted == "null" else same & F.coalesce(compared(lambda x, y: x == y), F.lit(False))
+        equal = same if wanted == "null" else same & F.coalesce(compared("eq"), F.lit(False))
         return equal if op == "eq" else found.isNotNull() & ~equal
     if wanted in ("null", "boolean"):
         return F.lit(False)
-    tests = {"gt": lambda x, y: x > y, "gte": lambda x, y: x >= y, "lt": lambda x, y: x < y, "lte": lambda x, y: x <= y}
-    return same & F.coalesce(compared(tests[op]), F.lit(False))
+    return same & F.coalesce(compared(op), F.lit(False))
 
 
 def tree(document: Column, node: dict) -> Column:

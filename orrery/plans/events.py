@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import jsonwalk, transforms
-from orrery.operators import checks, mapping, merge, properties, validation
+from orrery.operators import checks, mapping, merge, properties, propertyindex, validation
 from orrery.plans.book import query, table
 from orrery.sources import readers, storage
 from orrery.streaming import ingest
@@ -145,6 +145,35 @@ def v30(spark, sf_dir):
     )
 
 
+_WIDE = """'{"k": ' || json_extract_string(props, '$.k') || ', "m": {"t": "' || event_type || '"' || CASE WHEN event_id % 50 = 0 THEN ', "long": "' || repeat('é', 600) || '"' ELSE '' END || '}, "v": [' || array_to_string(list_transform(range(CASE WHEN event_id % 20 = 0 THEN 600 ELSE 3 END), lambda x: ((x * 7 + event_id) % 1000)::VARCHAR), ', ') || ']}'"""
+_FOUND = {
+    "any": [
+        {"all": [{"op": "gte", "path": "/k", "value": 40}, {"op": "eq", "path": "/m/t", "value": "view"}]},
+        {"all": [{"op": "lt", "path": "/v/1", "value": 30}, {"op": "ne", "path": "/k", "value": 7.0}]},
+        {"all": [{"op": "gt", "path": "/v/590", "value": 900}, {"op": "exists", "path": "/m/none", "value": False}]},
+        {"op": "gt", "path": "/m/long", "value": "z"},
+    ]
+}
+
+
+@query(
+    "V30_index_search",
+    f"""WITH d AS (SELECT event_id, ({_WIDE})::JSON AS d FROM events),
+    v AS (SELECT event_id, (d->>'$.k')::INT AS k, d->>'$.m.t' AS t, (d->>'$.v[1]')::INT AS one, (d->>'$.v[590]')::INT AS far, d->>'$.m.long' AS long FROM d)
+    SELECT event_id AS owner, coalesce((k >= 40 AND t = 'view') OR (one < 30 AND k <> 7), false) = false AND (coalesce(far > 900, false) OR coalesce(long > 'z', false) OR event_id % 20 = 0) AND event_id % 10 = 0 AND (event_id % 20 = 0 OR long IS NOT NULL) AS parsed
+    FROM v WHERE coalesce((k >= 40 AND t = 'view'), false) OR coalesce(one < 30 AND k <> 7, false) OR coalesce(far > 900, false) OR coalesce(long > 'z', false)""",
+)
+def v30_index(spark, sf_dir):
+    """Documents of up to 600 array items and strings beyond the index's length: only what the index cannot tell is parsed."""
+    far = F.when(F.col("event_id") % 20 == 0, 600).otherwise(3)
+    items = F.transform(F.sequence(F.lit(0), far - 1), lambda x: ((x * 7 + F.col("event_id")) % 1000).cast("string"))
+    long = F.when(F.col("event_id") % 50 == 0, F.concat(F.lit(', "long": "'), F.repeat(F.lit("é"), 600), F.lit('"'))).otherwise("")
+    text = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "m": {"t": "'), "event_type", F.lit('"'), long, F.lit('}, "v": ['), F.array_join(items, ", "), F.lit("]}"))
+    documents = table(spark, sf_dir, "events").select("event_id", text.alias("document"))
+    rows, coverage = propertyindex.build(documents, "event_id", "document", ["/k"])
+    return propertyindex.search(_FOUND, rows, coverage, documents, "event_id", "document")
+
+
 @query("X1_json_pointer", "SELECT event_id, json_extract_string(props, '/k') AS k, json_extract_string(props, '/none') AS none FROM events")
 def x1(spark, sf_dir):
     get = lambda p: F.try_variant_get(_variant(), properties.variant_path(p), "string")
