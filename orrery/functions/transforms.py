@@ -256,7 +256,7 @@ def sni_matcher(matcher: Column, host: Column) -> Column:
 
 
 def trufflehog_secret_part(detector: Column, raw: Column, raw_v2: Column) -> Column:
-    """The secret half of a credential, never a public key id."""
+    """What must stay secret of a detector's finding."""
     return F.when(detector.isin("AWS", "AWSSessionKey"), F.split_part(raw_v2, F.lit(":"), F.lit(2))).when(detector == "Twilio", F.substring(raw_v2, F.length(raw) + 1, F.length(raw_v2))).otherwise(raw)
 
 

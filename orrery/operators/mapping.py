@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 
 from orrery.functions import jsonwalk
 from orrery.functions.transforms import apply_chain
+from orrery.sources.storage import written
+
+#: Bytes of the secrets of one automaton.
+PART_BYTES = 4 << 20
 
 
 def field_path(column: str = "path"):
@@ -100,6 +105,44 @@ def redacted(rows: DataFrame, row_id: str, document: str, fields: list[str]) ->
     return rows.selectExpr(f"cast({row_id} as bigint) as owner", f"{document} as document").mapInArrow(run, "owner bigint, document string, secrets array<string>")
 
 
+def leaks_anywhere(secrets: DataFrame, evidence: DataFrame, content: str = "content", part_bytes: int = PART_BYTES) -> DataFrame:
+    """secrets (secret) that stand in any content (text or bytes) of evidence (id): secret, found_in, hits; nothing is expected.
+
+    The distinct secrets are dealt to parts of about `part_bytes`; each part is one automaton (Aho-Corasick) that every task runs over
+    the bytes of its own contents, so all secrets of a part are looked for in one pass.  Empty secrets are none; hits may overlap.
+    """
+    told = secrets.select(F.col("secret").cast("string").alias("secret")).where("secret <> ''").distinct()
+    held = told.agg(F.sum(F.octet_length("secret")).alias("n")).first()["n"] or 0
+    parts = max(1, -(-held // part_bytes))
+    marked = written(told.withColumn("part", F.pmod(F.xxhash64("secret"), F.lit(parts))), "secrets")
+    picked, out = evidence.select(F.col("id").alias("found_in"), F.col(content).cast("binary").alias("content")), None
+    kind = evidence.schema["id"].dataType.simpleString()
+    for part in range(parts):
+        words = [r["secret"] for r in marked.where(F.col("part") == part).select("secret").toLocalIterator()]
+        found = picked.mapInArrow(_finder(words), f"secret string, found_in {kind}, hits bigint") if words else None
+        out = found if out is None else out.unionByName(found) if found is not None else out
+    return out if out is not None else picked.sparkSession.createDataFrame([], f"secret string, found_in {kind}, hits bigint")
+
+
+def _finder(words: list[str]):
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for k, word in enumerate(words):  # bytes as characters
+            automaton.add_word(word.encode().decode("latin-1"), k)
+        automaton.make_automaton()
+        for batch in batches:
+            rows = []
+            for i, body in enumerate(batch.column(1)):
+                if body.is_valid:
+                    rows += [(words[k], i, n) for k, n in Counter(k for _, k in automaton.iter(body.as_py().decode("latin-1"))).items()]
+            said, at, n = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(said, pa.string()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64())], ["secret", "found_in", "hits"])
+
+    return run
+
+
 def leaks(redactions: DataFrame) -> DataFrame:
     """Secrets, short ones too, that still stand in their own document; nothing is expected."""
     return redactions.select("owner", "document", F.explode("secrets").alias("secret")).where(F.col("document").contains(F.col("secret"))).select("owner", "secret")

@@ -39,16 +39,18 @@ def overridden(items: DataFrame, overrides: DataFrame) -> DataFrame:
 def rebuilt(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of items (owner, content, media, encoding, generation): states (owner, generation, index_state, incomplete), and text units.
 
-    Media types that hold no text are not_applicable; contents that do not decode are index_failed, and incomplete.
+    Media types that hold no text are not_applicable; contents that do not decode are index_failed, and incomplete; so are
+    those with a token too long to keep.
     """
     text = F.coalesce(evidence.is_text(F.col("media")), F.lit(False))
     found = items.where(text).withColumn("coding", evidence.encoding_of(F.col("content"), F.col("encoding")))
-    read = decoded(found, "owner", "content", "coding")
-    kept = read.select("owner", F.col("text").isNotNull().alias("read"))
+    read = evidence.source_chunks(found, "owner", "content", "coding")
+    kept = read.groupBy("owner").agg(F.bool_and(F.col("text").isNotNull()).alias("read"), F.bool_or("gap").alias("gap"))
     state = F.when(~F.col("is_text"), "not_applicable").when(F.col("read"), "indexed").otherwise("index_failed")
-    states = items.select("owner", "generation", text.alias("is_text")).join(kept, "owner", "left").select("owner", "generation", state.alias("index_state"))
-    units = evidence.chunks(read.where("text is not null"), "owner", "text").join(items.select("owner", "generation"), "owner")
-    return states.withColumn("incomplete", F.col("index_state") == "index_failed"), units
+    states = items.select("owner", "generation", text.alias("is_text")).join(kept, "owner", "left").select("owner", "generation", state.alias("index_state"), "gap")
+    units = read.where("text is not null").join(items.select("owner", "generation"), "owner")
+    incomplete = (F.col("index_state") == "index_failed") | F.coalesce("gap", F.lit(False))
+    return states.select("owner", "generation", "index_state", incomplete.alias("incomplete")), units
 
 
 def current(units: DataFrame, states: DataFrame) -> DataFrame:

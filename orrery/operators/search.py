@@ -7,11 +7,17 @@ import re
 import unicodedata
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions import jsonwalk
+from orrery.operators.evidence import breaks
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET = 512
+#: References that a unit shows.
+REFERENCES = 32
 
 
 def _bare() -> tuple[str, str]:
@@ -35,7 +41,7 @@ def tokens(text: Column) -> Column:
 
 #: Bounds of a text query (fixed values): bytes and tokens.
 QUERY_BYTES, QUERY_TOKENS = 2048, 32
-_WORD = re.compile(r"[^\W_]+")
+_WORD = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
 
 
 def compiled(query: Column, mode: str = "words") -> Column:
@@ -56,27 +62,63 @@ def places(text: str, phrase: str):
         at = text.find(phrase, at + 1)
 
 
-def references(chunks: DataFrame, phrase: str) -> DataFrame:
+def references(chunks: DataFrame, phrase: str, snippets: bool = False) -> DataFrame:
     """chunks (owner, byte_start, owner_start, line, text) -> owner, byte_start, byte_end, line_start, line_end of each hit, once.
 
-    Ranges are those of the whole source; a hit that ends in what a chunk repeats of the one before belongs to that one.
+    Ranges are those of the whole source, in its own encoding where chunks name one; CRLF is one line break, also across chunks (after_cr), and a lone CR is one too; a break that ends a
+    hit does not count for it.  A hit that ends in what a chunk repeats of the one before belongs to that one.  Units of records may bring a pointer, which their hits
+    keep; with `snippets` a hit has the first SNIPPET bytes of text from its start.
     """
+    more = {"pointer": "string", "snippet": "string"}
+    extra = [c for c in more if c in chunks.columns or c == "snippet" and snippets]
 
     def run(batches):
         for batch in batches:
             out = []
-            for owner, base, owned, line, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                done, size, lines = 0, base, line
-                for start, end in places(text or "", phrase):
-                    size, lines, done = size + len(text[done:start].encode()), lines + text.count("\n", done, start), start
-                    last = size + len(text[start:end].encode())
+            for owner, base, owned, line, text, after_cr, encoding, pointer in zip(*(batch.column(k).to_pylist() for k in range(8))):
+                done, size, lines, text = 0, base, line, text or ""
+                for start, end in places(text, phrase):
+                    before = text[done:start]
+                    size, lines = size + len(before.encode(encoding)), lines + breaks(before, after_cr)
+                    done, after_cr = start, before.endswith("\r") if before else after_cr
+                    last = size + len(text[start:end].encode(encoding))
                     if last > owned:
-                        out.append((owner, size, last, lines, lines + text.count("\n", start, end)))
-            columns = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["owner", "byte_start", "byte_end", "line_start", "line_end"])
+                        own = {"pointer": pointer, "snippet": text[start : start + SNIPPET].encode("utf-8", "replace")[:SNIPPET].decode(errors="ignore") if snippets else None}
+                        out.append((owner, size, last, lines, lines + breaks(text[start : end - 1], after_cr), *(own[c] for c in extra)))
+            columns = list(zip(*out)) if out else [()] * (5 + len(extra))
+            kinds = [pa.int64()] * 5 + [pa.string()] * len(extra)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["owner", "byte_start", "byte_end", "line_start", "line_end", *extra])
+
+    given = lambda name, other: F.col(name) if name in chunks.columns else F.lit(other)
+    picked = chunks.select("owner", "byte_start", "owner_start", "line", "text", given("after_cr", False).alias("after_cr"), given("encoding", "utf-8").alias("encoding"), given("pointer", None).cast("string").alias("pointer"))
+    found = picked.mapInArrow(run, ", ".join(["owner bigint, byte_start bigint, byte_end bigint, line_start bigint, line_end bigint", *(f"{c} {more[c]}" for c in extra)]))
+    return found.dropDuplicates(["owner", "byte_start", "byte_end", *(c for c in extra if c == "pointer")])
+
+
+def first_references(found: DataFrame, most: int = REFERENCES) -> DataFrame:
+    """The first references of each owner, by pointer and place, and how many there are in all (n); Spark keeps so many of an owner in each task before it shuffles them."""
+    place = [c for c in ("pointer", "byte_start", "byte_end") if c in found.columns]
+    ranked = found.withColumn("__place", F.row_number().over(Window.partitionBy("owner").orderBy(*place))).where(F.col("__place") <= most)
+    return ranked.drop("__place").join(found.groupBy("owner").agg(F.count(F.lit(1)).alias("n")), "owner")
+
 
-    picked = chunks.select("owner", "byte_start", "owner_start", "line", "text")
-    return picked.mapInArrow(run, "owner bigint, byte_start bigint, byte_end bigint, line_start bigint, line_end bigint").distinct()
+def record_units(records: DataFrame, owner: str, properties: str, label: str | None = None) -> DataFrame:
+    """Text units of records as chunks: the label, and each string of the properties under its pointer; what is no JSON has no strings."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for own, text, said in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                value = jsonwalk.parsed(text)[1]
+                out += [(own, "/label", said)] if said is not None else []
+                out += [(own, f"/properties{at}", v) for at, v, _, _ in jsonwalk.leaves(value) if isinstance(v, str)]
+            columns = list(zip(*out)) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["owner", "pointer", "text"])
+
+    told = f"cast({label} as string)" if label else "cast(null as string)"
+    found = records.selectExpr(f"cast({owner} as bigint) as owner", f"{properties} as properties", f"{told} as label").mapInArrow(run, "owner bigint, pointer string, text string")
+    zero = F.lit(0).cast("long")
+    return found.select("owner", "pointer", zero.alias("byte_start"), zero.alias("owner_start"), F.lit(1).cast("long").alias("line"), "text")
 
 
 def postings(units: DataFrame) -> DataFrame:

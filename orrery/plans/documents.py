@@ -82,6 +82,38 @@ def f4(spark, sf_dir):
     return found.select("owner", "number", "byte_start", "byte_end", "owner_start", "line", F.sha2("text", 256).alias("sha256"))
 
 
+@query(
+    "F4_source_chunks",
+    """SELECT doc_id AS owner, (CASE WHEN doc_id % 3 = 0 THEN 2 * length(text) ELSE strlen(text) END)::BIGINT AS bytes, sha256(text) AS sha256,
+    (1 + length(text) - length(replace(text, chr(10), '')))::BIGINT AS lines, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END::BIGINT AS first_byte, false AS incomplete FROM documents""",
+)
+def f4_sources(spark, sf_dir):
+    """A third of the sources in UTF-16 with a mark: what the chunks own, put together again, is the whole text."""
+    wide = F.col("doc_id") % 3 == 0
+    content = F.when(wide, F.concat(F.lit(b"\xff\xfe"), F.encode("text", "UTF-16LE"))).otherwise(F.encode("text", "UTF-8"))
+    sources = table(spark, sf_dir, "documents").select("doc_id", content.alias("content")).withColumn("coding", evidence.encoding_of(F.col("content"), F.lit(None).cast("string")))
+    found = evidence.source_chunks(sources, "doc_id", "content", "coding", 4096, 256)
+    data = F.when(F.col("encoding") == "utf-8", F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16LE"))
+    owned = F.substring(data, (F.col("owner_start") - F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("owner_start")).cast("int"))
+    part = F.struct("number", F.when(F.col("encoding") == "utf-8", F.decode(owned, "UTF-8")).otherwise(F.decode(owned, "UTF-16LE")).alias("text"))
+    last = F.max(F.col("line") + F.regexp_count("text", F.lit("\n"))).alias("lines")
+    one = found.groupBy("owner").agg(F.sum(F.col("byte_end") - F.col("owner_start")).alias("bytes"), F.array_sort(F.collect_list(part)).alias("parts"), last, F.min("byte_start").alias("first_byte"), F.bool_or("gap").alias("incomplete"))
+    return one.select("owner", "bytes", F.sha2(F.array_join("parts.text", ""), 256).alias("sha256"), "lines", "first_byte", "incomplete")
+
+
+@query(
+    "F11_record_references",
+    """WITH h AS (SELECT page_id AS owner, unnest(['/label', '/properties/url']) AS pointer, url FROM pages WHERE starts_with(url, 'http:'))
+    SELECT owner, pointer, 0::BIGINT AS byte_start, 4::BIGINT AS byte_end, 1::BIGINT AS line_start, 1::BIGINT AS line_end, url AS snippet, 2::BIGINT AS n FROM h
+    WHERE len(regexp_extract_all(url, '(^|[^a-zA-Z0-9])http([^a-zA-Z0-9]|$)')) = 1""",
+)
+def f11_records(spark, sf_dir):
+    """Hits in the strings of records, under their pointers."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.to_json(F.struct("url", "page_id")).alias("properties"))
+    units = search.record_units(pages, "page_id", "properties", "url")
+    return search.first_references(search.references(units, "http", snippets=True))
+
+
 @query("F5_tokens", r"SELECT doc_id, len(regexp_extract_all(strip_accents(lower(text)), '[\pL\pN\p{Co}]+')) AS n FROM documents")
 def f5(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(search.tokens(F.col("text"))).cast("long").alias("n"))

@@ -241,6 +241,16 @@ def m7(spark, sf_dir):
     return out.select("owner", F.get_json_object("document", "$.type").alias("type"), F.get_json_object("document", "$.auth.token").alias("token"), "secrets")
 
 
+@query(
+    "M8_leaks_anywhere",
+    "WITH s AS (SELECT DISTINCT substr(text, 1, 40) AS secret FROM benchmark WHERE text <> '') SELECT secret, doc_id AS found_in FROM s JOIN documents ON contains(text, secret)",
+)
+def m8_anywhere(spark, sf_dir):
+    """The beginnings of all benchmark texts, looked for in the bytes of every document."""
+    secrets = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 40).alias("secret"))
+    return mapping.leaks_anywhere(secrets, table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "text").select("secret", "found_in")
+
+
 @query("M8_redaction_leaks", "SELECT event_id AS owner, event_type AS secret FROM events WHERE false")
 def m8(spark, sf_dir):
     return mapping.leaks(mapping.redacted(_documents(spark, sf_dir), "event_id", "document", ["auth.token"]))
