@@ -222,11 +222,32 @@ def g1(spark, sf_dir):
     return traverse.reach(edges, edges.where("source_id in ('p1', 'p2', 'p3')").select(F.col("source_id").alias("node_id")), 2)
 
 
-@query("G2_bounded_bfs")
+_G2_NODES, _G2_EDGES = 100, 300
+
+
+def _g2_sql(levels: int = 3) -> str:
+    """Level by level: edges in order, running counts of edges and of new nodes, and the least place that breaks a budget."""
+    steps = """c{k} AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY place, ord) AS i, far NOT IN (SELECT node_id FROM n{p}) AND row_number() OVER (PARTITION BY far ORDER BY place, ord) = 1 AS fresh
+      FROM (SELECT ord, min(place) AS place, arg_min(far, place) AS far FROM (SELECT w.ord, n.place, w.far FROM n{p} n JOIN ways w ON w.owner = n.node_id WHERE n.level = {p} AND (SELECT why IS NULL FROM s{p}))
+        WHERE ord NOT IN (SELECT ord FROM t{p}) GROUP BY ord)),
+    r{k} AS MATERIALIZED (SELECT *, sum(fresh::INT) OVER (ORDER BY i) AS m, (SELECT count(*) FROM t{p}) AS e0, (SELECT count(*) FROM n{p}) AS n0 FROM c{k}),
+    v{k} AS (SELECT min(i) AS i, arg_min(CASE WHEN e0 + i > {edges} THEN 'max_edges' ELSE 'max_nodes' END, i) AS why FROM r{k} WHERE e0 + i > {edges} OR fresh AND n0 + m > {nodes}),
+    s{k} AS (SELECT coalesce((SELECT why FROM s{p}), (SELECT why FROM v{k})) AS why),
+    g{k} AS (SELECT * FROM r{k} WHERE i < coalesce((SELECT i FROM v{k}), 1000000000)),
+    n{k} AS MATERIALIZED (SELECT * FROM n{p} UNION ALL SELECT n0 + m - 1, far, {k} FROM g{k} WHERE fresh),
+    t{k} AS MATERIALIZED (SELECT * FROM t{p} UNION ALL SELECT ord FROM g{k})"""
+    made = ",\n".join(steps.format(k=k, p=k - 1, nodes=_G2_NODES, edges=_G2_EDGES) for k in range(1, levels + 1))
+    return f"""WITH e AS (SELECT min(l_orderkey * 8 + l_linenumber) AS ord, 'p' || l_partkey AS source_id, 's' || l_suppkey AS target_id FROM lineitem GROUP BY l_partkey, l_suppkey),
+    ways AS MATERIALIZED (SELECT ord, source_id AS owner, target_id AS far FROM e UNION ALL SELECT ord, target_id, source_id FROM e),
+    n0 AS (SELECT * FROM (VALUES (0::BIGINT, 'p1', 0), (1::BIGINT, 'p2', 0)) x(place, node_id, level)), t0 AS (SELECT 0::BIGINT AS ord WHERE false), s0 AS (SELECT NULL::VARCHAR AS why),
+    {made}
+    SELECT place, node_id, (SELECT why FROM s{levels}) IS NOT NULL AS truncated, (SELECT why FROM s{levels}) AS reason FROM n{levels}"""
+
+
+@query("G2_bounded_bfs", _g2_sql())
 def g2(spark, sf_dir):
-    found = traverse.bounded(_supply(spark, sf_dir), ["p1", "p2"], 3, 100, 300)
-    rows = [(i, n, found["truncated"], found["reason"]) for i, n in enumerate(found["nodes"])]
-    return spark.createDataFrame(rows, "place int, node_id string, truncated boolean, reason string")
+    found = traverse.bounded(_supply(spark, sf_dir), ["p1", "p2"], 3, _G2_NODES, _G2_EDGES)
+    return found["nodes"].select("place", "node_id", F.lit(found["truncated"]).alias("truncated"), F.lit(found["reason"]).cast("string").alias("reason"))
 
 
 @query("G3_missing_seeds", "SELECT 'c' || (c_custkey * 2) AS node_id FROM customer WHERE c_custkey * 2 NOT IN (SELECT c_custkey FROM customer)")

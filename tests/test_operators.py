@@ -128,19 +128,22 @@ def test_bounded_traversal(spark):
                 if owner not in (a, b) or k in taken:
                     continue
                 far = b if a == owner else a
-                if len(taken) + 1 > max_edges:
-                    return nodes, taken, "max_edges"
-                if far not in level and len(nodes) + 1 > max_nodes:
-                    return nodes, taken, "max_nodes"
+                why = "max_edges" if len(taken) + 1 > max_edges else "max_nodes" if far not in level and len(nodes) + 1 > max_nodes else None
+                if why:
+                    return nodes, taken, why, [n for n in nodes[nodes.index(owner) :] if level[n] < depth]
                 taken.append(k)
                 if far not in level:
                     nodes.append(far)
                     level[far] = level[owner] + 1
-        return nodes, taken, None
-
-    for budget in ((1, 100, 300), (2, 10, 300), (2, 100, 15), (3, 100, 300)):
-        got = traverse.bounded(df, [3, 7], *budget)
-        assert (got["nodes"], got["edges"], got["reason"]) == plain([3, 7], *budget)
+        return nodes, taken, None, []
+
+    listed = lambda rows, name: [r[name] for r in rows.orderBy("place").collect()]
+    for budget in ((1, 100, 300), (2, 10, 300), (2, 100, 15), (3, 100, 300), (3, 2, 300), (3, 100, 0), (3, 29, 300), (0, 9, 9)):
+        got = traverse.bounded(df, [3, 7, 3], *budget)
+        nodes, taken, reason, frontier = plain([3, 7], *budget)
+        assert (listed(got["nodes"], "node_id"), listed(got["edges"], "ord"), got["reason"]) == (nodes, taken, reason), budget
+        assert listed(got["frontier"], "node_id") == frontier and got["truncated"] == (reason is not None)
+        assert listed(got["nodes"], "place") == list(range(len(nodes)))
 
 
 def test_retention_equals_one_ranking(spark):
