@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import transforms
-from orrery.operators import inventory, reports, state, traverse, validation
+from orrery.operators import deletion, inventory, reports, state, traverse, validation
 from orrery.plans.book import query, table
 
 _N = """
@@ -142,6 +142,34 @@ def n10(spark, sf_dir):
     return reports.counts(rels, "type")
 
 
+@query(
+    "N9_N10_delete_requests",
+    """WITH ask AS (SELECT s_suppkey % 5 AS request, 's' || (s_suppkey * 2) AS id FROM supplier), ev AS (SELECT 's' || s_suppkey AS id, s_suppkey % 9 <> 0 AS ready FROM supplier),
+    links AS (SELECT DISTINCT 'o' || l_orderkey AS node_id, 's' || l_suppkey AS evidence_id FROM lineitem), holders AS (SELECT 'o' || o_orderkey AS node_id FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 50 <> 0),
+    touched AS (SELECT request, node_id, id FROM ask JOIN links ON evidence_id = id JOIN holders USING (node_id)),
+    others AS (SELECT DISTINCT t.request, t.node_id FROM (SELECT DISTINCT request, node_id FROM touched) t JOIN links k USING (node_id) JOIN ev ON ev.id = k.evidence_id AND ready LEFT JOIN ask b ON b.request = t.request AND b.id = k.evidence_id WHERE b.id IS NULL),
+    bare AS (SELECT DISTINCT request, id FROM touched t WHERE NOT EXISTS (SELECT 1 FROM others o WHERE o.request = t.request AND o.node_id = t.node_id)),
+    told AS (SELECT a.request, a.id, CASE WHEN ev.id IS NULL THEN 'missing' WHEN NOT ready THEN 'pending' WHEN bare.id IS NOT NULL THEN 'last evidence' END AS reason
+      FROM ask a LEFT JOIN ev ON ev.id = a.id LEFT JOIN bare ON bare.request = a.request AND bare.id = a.id)
+    SELECT request, id, reason, count(reason) OVER (PARTITION BY request) = 0 AS accepted FROM told""",
+)
+def n9_requests(spark, sf_dir):
+    """Requests to delete evidence: what is missing or pending, and what is the last ready evidence of a node that asserts something."""
+    name = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    suppliers, orders, lines = (table(spark, sf_dir, t) for t in ("supplier", "orders", "lineitem"))
+    life = lambda gone: F.when(gone, "deleting").otherwise("ready").alias("lifecycle")
+    none = F.lit(None).cast("string")
+    tables = {
+        "nodes": orders.select(name("o", "o_orderkey").alias("id"), F.lit("domain").alias("type"), life(F.col("o_orderkey") % 50 == 0), F.when(F.col("o_orderstatus") == "F", "owned").alias("ownership"), none.alias("authorization"), none.alias("override")),
+        "relations": _scope(spark, sf_dir).withColumnRenamed("rel_id", "id"),
+        "evidence": suppliers.select(name("s", "s_suppkey").alias("id"), life(F.col("s_suppkey") % 9 == 0)),
+        "node_links": lines.select(name("o", "l_orderkey").alias("node_id"), name("s", "l_suppkey").alias("evidence_id")).distinct(),
+        "relation_links": lines.limit(0).select(name("r", "l_orderkey").alias("relation_id"), name("s", "l_suppkey").alias("evidence_id")),
+    }
+    asked = suppliers.select((F.col("s_suppkey") % 5).alias("request"), F.concat(F.lit("s"), (F.col("s_suppkey") * 2).cast("string")).alias("id"))
+    return deletion.admission(asked, "evidence", tables, cascade=True)
+
+
 @query("N11_pending_relations", f"WITH {_N}, {_S} SELECT rel_id, CASE WHEN source_id LIKE '%3' THEN 'source' WHEN target_id LIKE '%3' THEN 'target' END AS blocker FROM rels")
 def n11(spark, sf_dir):
     nodes = _nodes(spark, sf_dir).select("node_id", F.when(F.col("node_id").endswith("3"), "deleting").otherwise("ready").alias("lifecycle"))
