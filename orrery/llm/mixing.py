@@ -9,11 +9,12 @@ posterior over the domains.
 
 Rates.  A document of n tokens and posterior p adds r n p to the expected domain totals.  Nonnegative rates bring the
 totals to their targets, as little away from 1 as that allows: least squares of the missed totals, with the distance of the rates
-from 1 (weighted by tokens) at a vanishing weight `PULL`.  The gradient steps of every document sum up to one step for each domain, held in `steps`,
-and projection onto the nonnegative gives each document its own rate max(0, 1 + p . steps).  Every round is one
-distributed sum over all documents: the totals that the rates reach, and their slopes; from it the driver, which sees only these few numbers, takes the next
-step for each domain (the gradient scaled by the slopes, shortened while it brings no gain).  The rounds end
-when the gradient is below `RESIDUAL`.  Rates have no upper bound; `reached` gives the totals beside their targets.
+from 1 (weighted by tokens) at a vanishing weight `PULL`.  The least squares are solved from their dual side: gradient steps from rates of 1 only ever move a document
+along its posterior, so their sum is one step for each domain (`steps`), and its projection onto the nonnegative gives each document its own rate
+max(0, 1 + p . steps).  That is where projected gradient steps on the rates themselves end (tests compare the two), in a few rounds instead of thousands.  Every round is one
+distributed sum over all documents: the totals that the projected rates reach, and their slopes; from it the driver, which sees only these few numbers, takes the next
+step for each domain (the gradient, scaled by the inverse slopes as in Newton's method, shortened while it brings no gain).  The rounds end
+when the gradient is below `RESIDUAL`, or after `ROUNDS`; the output's `residual` tells how far the gradient is then (in shares of all tokens).  Rates have no upper bound; `reached` gives the totals beside their targets.
 
 Targets.  Shares of `epochs` times the corpus' tokens; a domain without a target is left free.  `mixed` repeats documents: a rate of 1.3
 gives one copy, and a second one for the three in ten whose hash falls there.
@@ -161,8 +162,8 @@ def _rate(steps: list[float]) -> Column:
     return F.greatest(F.lit(0.0), moved)
 
 
-def fitted_steps(placed: DataFrame, goal: list[float | None], rounds: int = ROUNDS) -> list[float]:
-    """The step of each domain for rows with __n and __p, so that the expected totals come closest to goal (shares of all tokens)."""
+def fitted_steps(placed: DataFrame, goal: list[float | None], rounds: int = ROUNDS) -> tuple[list[float], float]:
+    """(step of each domain, gradient left) for rows with __n and __p, so that the expected totals come closest to goal (shares of all tokens)."""
     domains = [k for k, wanted in enumerate(goal) if wanted is not None]
     wanted = np.array([goal[k] for k in domains])
 
@@ -181,7 +182,7 @@ def fitted_steps(placed: DataFrame, goal: list[float | None], rounds: int = ROUN
     steps = np.zeros(len(goal))
     now = totals(steps)
     if now is None or not domains:
-        return steps.tolist()
+        return steps.tolist(), 0.0
     gap = lambda reached, steps: wanted - reached - PULL * steps[domains]
     share, tries = 1.0, 0
     move = None
@@ -198,20 +199,20 @@ def fitted_steps(placed: DataFrame, goal: list[float | None], rounds: int = ROUN
             share, tries = share / 2, tries + 1  # no gain: a shorter step
             continue
         steps, now, move, share, tries = ahead, then, None, 1.0, 0
-    return steps.tolist()
+    return steps.tolist(), float(np.abs(gap(now[0], steps)).max())
 
 
 def with_rates(placed: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = EPOCHS) -> DataFrame:
-    """placed (with __n and __p) and the column __rate."""
-    steps = fitted_steps(placed.select("__n", "__p"), [targets[d] * epochs if d in targets else None for d in DOMAINS])
-    return placed.withColumn("__rate", _rate(steps))
+    """placed (with __n and __p) and the columns __rate and __residual (the same for all)."""
+    steps, residual = fitted_steps(placed.select("__n", "__p"), [targets[d] * epochs if d in targets else None for d in DOMAINS])
+    return placed.withColumn("__rate", _rate(steps)).withColumn("__residual", F.lit(residual))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = EPOCHS) -> DataFrame:
-    """One row per document: doc_id, n_tokens, p_<domain>, rate."""
+    """One row per document: doc_id, n_tokens, p_<domain>, rate, residual."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = memberships(texts, labels, lambda told: cut(told.drop("text")))
-    return with_rates(placed, targets, epochs).select("doc_id", F.col("__n").alias("n_tokens"), *[F.get(F.col("__p"), F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], F.round("__rate", 6).alias("rate"))
+    return with_rates(placed, targets, epochs).select("doc_id", F.col("__n").alias("n_tokens"), *[F.get(F.col("__p"), F.lit(k)).alias(f"p_{d}") for k, d in enumerate(DOMAINS)], F.round("__rate", 6).alias("rate"), F.col("__residual").alias("residual"))
 
 
 def reached(rated: DataFrame, targets: dict[str, float] = TARGETS, epochs: float = EPOCHS) -> dict[str, tuple[float | None, float]]:

@@ -191,6 +191,9 @@ def test_rates_of_a_rare_domain_meet_their_target(spark):
     rates = [r["__rate"] for r in mixing.with_rates(placed).orderBy("doc_id").collect()]
     reached = [sum(n / 1000 * r * p[k] for r, (_, n, p) in zip(rates, rows)) for k in range(3)]
     assert np.allclose(reached, [t * mixing.EPOCHS for t in mixing.TARGETS.values()], atol=1e-4) and min(rates) >= 0 and rates[2] > 11
+    assert mixing.with_rates(placed).first()["__residual"] <= mixing.RESIDUAL
+    steps, left = mixing.fitted_steps(placed, [0.9, 0.1, 0.0], rounds=0)
+    assert steps == [0.0, 0.0, 0.0] and left > 0.01  # stopped before it was there
 
 
 def test_mass_below_a_grid_step_counts(spark):
