@@ -265,7 +265,7 @@ def _g2_sql(levels: int = 3) -> str:
     n{k} AS MATERIALIZED (SELECT * FROM n{p} UNION ALL SELECT n0 + m - 1, far, {k} FROM g{k} WHERE fresh),
     t{k} AS MATERIALIZED (SELECT * FROM t{p} UNION ALL SELECT ord FROM g{k})"""
     made = ",\n".join(steps.format(k=k, p=k - 1, nodes=_G2_NODES, edges=_G2_EDGES) for k in range(1, levels + 1))
-    return f"""WITH e AS (SELECT min(l_orderkey * 8 + l_linenumber) AS ord, 'p' || l_partkey AS source_id, 's' || l_suppkey AS target_id FROM lineitem GROUP BY l_partkey, l_suppkey),
+    return f"""WITH e AS (SELECT DISTINCT (l_suppkey * 7919 + l_partkey) % 1000003 * 10000000 + l_partkey AS ord, 'p' || l_partkey AS source_id, 's' || l_suppkey AS target_id FROM lineitem),
     ways AS MATERIALIZED (SELECT ord, source_id AS owner, target_id AS far FROM e UNION ALL SELECT ord, target_id, source_id FROM e),
     n0 AS (SELECT * FROM (VALUES (0::BIGINT, 'p1', 0), (1::BIGINT, 'p2', 0)) x(place, node_id, level)), t0 AS (SELECT 0::BIGINT AS ord WHERE false), s0 AS (SELECT NULL::VARCHAR AS why),
     {made}
@@ -274,7 +274,10 @@ def _g2_sql(levels: int = 3) -> str:
 
 @query("G2_bounded_bfs", _g2_sql())
 def g2(spark, sf_dir):
-    found = traverse.bounded(_supply(spark, sf_dir), ["p1", "p2"], 3, _G2_NODES, _G2_EDGES)
+    place = (F.col("l_suppkey") * 7919 + F.col("l_partkey")) % 1000003 * 10000000 + F.col("l_partkey")  # of its own for each edge
+    name = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    edges = table(spark, sf_dir, "lineitem").select(place.alias("ord"), name("p", "l_partkey").alias("source_id"), name("s", "l_suppkey").alias("target_id")).distinct()
+    found = traverse.bounded(edges, ["p1", "p2"], 3, _G2_NODES, _G2_EDGES)
     return found["nodes"].select("place", "node_id", F.lit(found["truncated"]).alias("truncated"), F.lit(found["reason"]).cast("string").alias("reason"))
 
 
