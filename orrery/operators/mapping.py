@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import jsonwalk
-from orrery.functions.transforms import apply_chain
+from orrery.functions.transforms import CONDITIONS, apply_chain
 from orrery.sources.storage import written
 
 #: Bytes of the secrets of one automaton.
@@ -47,6 +47,24 @@ def match(leaves: DataFrame, rules: DataFrame, records: DataFrame | None = None)
     return best.drop("__steps", "__own", "__n", "__rank", "__best", "__asked", "__fields")
 
 
+def gated(matched: DataFrame, records: DataFrame) -> DataFrame:
+    """Matched rows (owner, ..., `when`, `asks`) whose rule has no condition, or whose condition (functions.transforms.CONDITIONS) holds for the record's field `asks`.
+
+    records: owner, fields as map<string,string>.  A missing record or field is null, which most conditions fail; a condition that nobody knows holds for none.
+    """
+    held = matched.join(records.select("owner", F.col("fields").alias("__fields")), "owner", "left")
+    asked = F.try_element_at(F.col("__fields"), F.col("asks"))
+    holds = F.col("when").isNull()
+    for name, condition in CONDITIONS.items():
+        holds = holds | (F.col("when") == name) & F.coalesce(condition(asked), F.lit(False))
+    return held.where(F.coalesce(holds, F.lit(False))).drop("__fields")
+
+
+def unknown_conditions(rules: DataFrame) -> DataFrame:
+    """Rules with a condition that does not exist."""
+    return rules.where(F.col("when").isNotNull() & ~F.col("when").isin(*CONDITIONS)).select("pattern", "when")
+
+
 def mapped(matched: DataFrame, chains: dict[str, list[str]]) -> DataFrame:
     """Values by sink: owner, sink, value (string), each rule's chain applied; nulls drop out."""
     plain = F.get_json_object(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "$.v")

@@ -241,6 +241,25 @@ def m7(spark, sf_dir):
     return out.select("owner", F.get_json_object("document", "$.type").alias("type"), F.get_json_object("document", "$.auth.token").alias("token"), "secrets")
 
 
+@query(
+    "M5_gated_rules",
+    """WITH r AS (SELECT * FROM (VALUES ('type', 'kind_http', 'nuclei_http_result', 'type'), ('type', 'kind_other', 'nuclei_not_ssl_result', 'type'), ('name', 'wild', 'bbot_not_wildcard_placeholder', 'name'), ('name', 'plain', NULL, NULL), ('name', 'lost', 'no_such', 'name')) x(field, sink, w, a)),
+    d AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'ssl' WHEN 2 THEN 'dns' END AS type, CASE WHEN event_id % 3 = 0 THEN '_wildcard.' ELSE '' END || event_type AS name FROM events)
+    SELECT event_id AS owner, field, sink FROM d, r WHERE NOT (field = 'type' AND type IS NULL) AND (w IS NULL OR w = 'nuclei_http_result' AND type IN ('http', 'headless')
+      OR w = 'nuclei_not_ssl_result' AND type IS DISTINCT FROM 'ssl' OR w = 'bbot_not_wildcard_placeholder' AND NOT starts_with(name, '_wildcard.'))""",
+)
+def m5_gated(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("http"), F.lit("ssl"), F.lit("dns"), F.lit(None)), (F.col("event_id") % 4 + 1).cast("int"))
+    name = F.concat(F.when(F.col("event_id") % 3 == 0, "_wildcard.").otherwise(""), "event_type")
+    told = table(spark, sf_dir, "events").select(F.col("event_id").alias("owner"), F.create_map(F.lit("type"), kind, F.lit("name"), name).alias("fields"))
+    leaves = told.select("owner", F.explode("fields").alias("field", "value")).where("value is not null")
+    rules = spark.createDataFrame(
+        [("type", "kind_http", "nuclei_http_result", "type"), ("type", "kind_other", "nuclei_not_ssl_result", "type"), ("name", "wild", "bbot_not_wildcard_placeholder", "name"), ("name", "plain", None, None), ("name", "lost", "no_such", "name")],
+        "pattern string, sink string, when string, asks string",
+    )
+    return mapping.gated(mapping.match(leaves, rules), told).select("owner", "field", "sink")
+
+
 @query(
     "M8_leaks_anywhere",
     "WITH s AS (SELECT DISTINCT substr(text, 1, 40) AS secret FROM benchmark WHERE text <> '') SELECT secret, doc_id AS found_in FROM s JOIN documents ON contains(text, secret)",
