@@ -68,38 +68,6 @@ def transition_allowed(before: Column, after: Column, evidenced: Column) -> Colu
 STATES = (None, "owned", "candidate", "dependency", "rejected")
 
 
-def accepted_transitions(requests: DataFrame, block: int = 1024) -> DataFrame:
-    """requests (record, seq, after, evidenced) with before, the last accepted state, and allowed.
-
-    A refused request leaves the state as it was.  Requests are taken in blocks of a record's sequence numbers (at most `block`
-    of them in one row): each block tells where it leads from every state, blocks are chained by record, then each is gone through once from its own start.
-    """
-    spelled = F.array(*[F.lit(s).cast("string") for s in STATES])
-    step = lambda s, r: F.when(transition_allowed(s, r["after"], r["evidenced"]), r["after"]).otherwise(s)
-    held = F.sort_array(F.collect_list(F.struct("seq", "after", "evidenced"))).alias("rows")
-    blocks = requests.withColumn("block", F.floor(F.col("seq") / block)).groupBy("record", "block").agg(held)
-    leads = F.transform(spelled, lambda s: F.aggregate("rows", s, step))
-    place = lambda s: F.coalesce(F.array_position(F.slice(spelled, 2, len(STATES) - 1), s).cast("int"), F.lit(0)) + 1
-    chains = blocks.select("record", "block", leads.alias("leads")).groupBy("record").agg(F.sort_array(F.collect_list(F.struct("block", "leads"))).alias("all"))
-    first = F.array(F.struct(F.lit(None).cast("bigint").alias("block"), F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end")))
-    walked = F.aggregate(
-        "all",
-        first,
-        lambda done, b: F.concat(done, F.array(F.struct(b["block"].alias("block"), F.element_at(done, -1)["end"].alias("start"), F.element_at(b["leads"], place(F.element_at(done, -1)["end"])).alias("end")))),
-    )
-    starts = chains.select("record", F.explode(walked).alias("b")).select("record", "b.block", "b.start").where("block is not null")
-    empty = F.from_json(F.lit("[]"), "array<struct<seq:bigint,before:string,after:string,allowed:boolean,state:string>>")
-    state_of = lambda done: F.when(F.size(done) > 0, F.try_element_at(done, F.lit(-1))["state"]).otherwise(F.col("start"))
-
-    def taken(done, r):
-        before = state_of(done)
-        fields = (r["seq"].cast("bigint").alias("seq"), before.alias("before"), r["after"].alias("after"), transition_allowed(before, r["after"], r["evidenced"]).alias("allowed"), step(before, r).alias("state"))
-        return F.concat(done, F.array(F.struct(*fields)))
-
-    gone = blocks.join(starts, ["record", "block"]).select("record", F.explode(F.aggregate("rows", empty, taken)).alias("t"))
-    return gone.select("record", "t.seq", "t.before", "t.after", "t.allowed")
-
-
 def rejected_projection(nodes: DataFrame) -> DataFrame:
     """nodes (type, properties: map, ...) as a rejection leaves them: identity and required properties only, authorization and allowlist reset."""
     kept = F.lit(None).cast("array<string>")

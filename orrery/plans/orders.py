@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import transforms
-from orrery.operators import deletion, inventory, reports, state, traverse, validation
+from orrery.operators import deletion, inventory, reports, state, statescan, traverse, validation
 from orrery.plans.book import query, table
 
 _N = """
@@ -84,7 +84,7 @@ _NEXT = """CASE WHEN state IS NOT DISTINCT FROM s THEN true WHEN s = 'rejected'
 def n5(spark, sf_dir):
     s = F.element_at(F.array(*[F.lit(x) for x in ("owned", "candidate", "dependency", "rejected")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("record"), F.col("o_orderkey").alias("seq"), s.alias("after"), (F.col("o_orderkey") % 2 == 0).alias("evidenced"))
-    return state.accepted_transitions(rows).select(F.col("seq").alias("o_orderkey"), "before", "allowed")
+    return statescan.accepted_transitions(rows).select(F.col("seq").alias("o_orderkey"), "before", "allowed")
 
 
 @query("N7_rejection_projection", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'value' ELSE 'method,url' END AS kept, 'unknown' AS \"authorization\", false AS allowlist_scoped FROM supplier")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import documents, events, orders, pages, rules  # noqa: F401
+from orrery.plans import documents, events, orders, pages, requests, rules  # noqa: F401
 from orrery.plans.book import QUERIES, SQL
 
 

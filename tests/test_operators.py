@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import dns, grammar, jsonwalk, transforms
-from orrery.operators import checks, evidence, merge, properties, state, traverse, validation
+from orrery.operators import checks, evidence, merge, properties, state, statescan, traverse, validation
 from orrery.operators.catalog import METHODS_OF_SCOPE, NODES, RELATIONS
 from orrery.streaming import ingest
 
@@ -441,7 +441,7 @@ def test_transitions_follow_accepted_states(spark):
         if ok:
             now[record] = after
     for block in (4, 1024):
-        assert {(r.record, r.seq): (r.before, r.allowed) for r in state.accepted_transitions(df, block).collect()} == want
+        assert {(r.record, r.seq): (r.before, r.allowed) for r in statescan.accepted_transitions(df, block).collect()} == want
 
 
 def test_registration_entities_at_any_depth(spark):
