@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import jsonwalk, transforms
-from orrery.operators import checks, mapping, merge, properties, propertyindex, validation
+from orrery.operators import checks, mapping, merge, properties, propertyindex, upsert, validation
 from orrery.plans.book import query, table
-from orrery.sources import readers, storage
+from orrery.sources import readers, storage, versions
 from orrery.streaming import ingest
 
 _W = """
@@ -390,3 +390,30 @@ def t5(spark, sf_dir):
     go = transforms.apply_chain
     rows = table(spark, sf_dir, "events").withColumn("t", F.col("ts").cast("timestamp"))
     return rows.select("event_id", go(F.unix_seconds("t").cast("string"), ["epoch_utc"]).alias("epoch_utc"), go(F.date_format("t", "yyyy-MM"), ["partial_date"]).alias("partial_date"))
+
+
+@query(
+    "J2_A6_S6_snapshot_upsert",
+    f"""WITH x AS (SELECT record, coalesce(string_agg(path || '=' || value, ',' ORDER BY path), '') AS leaves FROM ({_A1}) GROUP BY record),
+    t AS (SELECT user_id || ':' || event_type AS record, (event_id * 7919) % 1000003 AS seq, epoch_us(ts) AS made, event_id % 4 <> 0 AS added, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS e FROM events),
+    h AS (SELECT *, coalesce(lag(added) OVER (PARTITION BY record, e ORDER BY seq), false) AS had, min(seq) OVER (PARTITION BY record) = seq AS created FROM t),
+    r AS (SELECT record, arg_min(made, seq) AS created_at, arg_max(made, seq) AS updated_at FROM t GROUP BY record)
+    SELECT h.record, seq, created, CAST(added AND NOT had AS BIGINT) AS links_added, CAST(NOT added AND had AS BIGINT) AS links_removed, created_at, updated_at, coalesce(x.leaves, '') AS leaves
+    FROM h JOIN r ON h.record = r.record LEFT JOIN x ON h.record = x.record""",
+)
+def j2_a6(spark, sf_dir):
+    """All writes in two batches by arrival, each a version of the snapshot; what is told of each write, and its record in the last version."""
+    e = _writes(spark, sf_dir)
+    linked = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("e"), (F.get_json_object("props", "$.k").cast("bigint") % 7).cast("string")).alias("evidence"), (F.col("event_id") % 4 != 0).alias("added"))
+    e = storage.written(e.join(linked, "event_id"), "writes")
+    root = storage.fresh(spark, "snapshot")
+    version = versions.commit(spark, root, upsert.empty(spark, root, 16), None)
+    told = []
+    for batch in (e.where("seq < 500000"), e.where("seq >= 500000")):
+        writes = batch.select("record", "seq", F.col("observed").alias("at"), "observed", "reporting")
+        tables, said = upsert.upsert(spark, root, versions.manifest(spark, root, version), writes, batch.select("record", "seq", "path", "removed", "value"), batch.select("record", "seq", "evidence", "added"))
+        version = versions.commit(spark, root, tables, version)
+        told.append(said)
+    records = versions.opened(spark, versions.manifest(spark, root, version)["records"])
+    leaves = F.array_join(F.transform("leaves", lambda x: F.concat(x["path"], F.lit("="), x["value"])), ",").alias("leaves")
+    return told[0].unionByName(told[1]).drop("updated", "reason").join(records.select("record", "created_at", "updated_at", leaves), "record")
