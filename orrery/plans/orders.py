@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions import transforms
-from orrery.operators import deletion, inventory, reports, state, statescan, traverse, validation
+from orrery.operators import deletion, inventory, relationchecks, reports, state, statescan, traverse, validation
 from orrery.plans.book import query, table
 
 _N = """
@@ -386,3 +386,26 @@ def i3(spark, sf_dir):
     ports = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), text("o_orderkey")), F.lit("port"), F.concat(F.lit("c"), text("o_custkey")), F.create_map(F.lit("number"), text("o_orderkey")))
     lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("l"), text("l_orderkey"), F.lit("-"), text("l_linenumber")), F.lit("service"), F.concat(F.lit("o"), text("l_orderkey")), F.create_map(F.lit("line"), text("l_linenumber")))
     return inventory.scoped(hosts.union(ports).union(lines))
+
+
+@query(
+    "V5_V25_relation_checks",
+    """WITH r AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderstatus = 'P' AND o_orderkey % 2 = 1 AS contact FROM orders)
+    SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'source: missing' WHEN contact AND o_orderkey % 3 = 0 THEN 'role: required' WHEN contact AND o_orderkey % 3 = 1 THEN 'role: not listed'
+      WHEN contact THEN 'target: reports are posted' WHEN o_orderstatus = 'P' THEN 'end types' WHEN o_orderstatus = 'O' THEN 'name is not under the other' END AS reason
+    FROM r LEFT JOIN customer ON o_custkey = c_custkey""",
+)
+def v5_v25(spark, sf_dir):
+    """A customer's name above the names of its orders; orders in progress are endpoints that take reports."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    node = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    name = F.concat(node("o", "o_orderkey"), F.when(F.col("o_orderstatus") == "O", "x").otherwise("."), node("c", "o_custkey"), F.lit(".com"))
+    names = c.select(node("c", "c_custkey").alias("node_id"), F.lit("domain").alias("type"), F.to_json(F.struct(F.concat(node("c", "c_custkey"), F.lit(".com")).alias("value"))).alias("p"))
+    progress = F.col("o_orderstatus") == "P"
+    held = F.when(progress, F.to_json(F.struct(F.concat(F.lit("https://"), name, F.lit("/")).alias("url"), F.lit("GET").alias("method")))).otherwise(F.to_json(F.struct(name.alias("value"))))
+    held_by = o.select(node("o", "o_orderkey"), F.when(progress, "endpoint").otherwise("subdomain"), held)
+    nodes = names.union(held_by).select("node_id", "type", F.parse_json("p").alias("properties"))
+    contact, k = progress & (F.col("o_orderkey") % 2 == 1), F.col("o_orderkey") % 3
+    role = F.when(contact & (k == 1), '{"role":"boss"}').when(contact & (k == 2), '{"role":"iodef"}').otherwise("{}")
+    relations = o.select("o_orderkey", F.when(contact, "has_contact").otherwise("has_subdomain").alias("type"), node("c", "o_custkey").alias("source_id"), node("o", "o_orderkey").alias("target_id"), F.parse_json(role).alias("properties"))
+    return relationchecks.relation_reasons(relations, nodes).select("o_orderkey", "reason")

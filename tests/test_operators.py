@@ -254,7 +254,7 @@ def test_every_type_validates(spark):
     numbers = {*grammar.INTEGERS, *grammar.LISTED, "cvss_score", "probability"}
 
     def column(rule):
-        kind = "array<string>" if rule in lists else "double" if rule in ("cvss_score", "probability") else "bigint" if rule in numbers else "boolean" if rule == "boolean" else "string"
+        kind = "array<string>" if rule in lists else "array<struct<name:string,value:string>>" if rule == "caa_parameters" else "double" if rule in ("cvss_score", "probability") else "bigint" if rule in numbers else "boolean" if rule == "boolean" else "string"
         return F.lit(None).cast(kind)
 
     row = spark.range(1)
@@ -263,7 +263,7 @@ def test_every_type_validates(spark):
         got = row.select(validation.node_reason(kind, {name: column(rule) for name, rule in rules.items()})).first()[0]
         assert got == (f"{next(iter(t.required))}: required" if t.required else None), kind
     for t in catalog.RELATIONS.values():
-        row.select(*[grammar.valid(rule, column(rule)).alias(f"c{i}") for i, rule in enumerate(t.required.values())]).collect()
+        row.select(*[grammar.valid(rule, column(rule)).alias(f"c{i}") for i, rule in enumerate((*t.required.values(), *t.optional.values()))]).collect()
 
 
 def test_formats(spark):
