@@ -20,6 +20,12 @@ def missing(asked: DataFrame, known: DataFrame, column: str) -> DataFrame:
     return asked.join(known.select(column), column, "left_anti").select(column)
 
 
+def seed_reasons(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """asked (node_id) -> node_id, reason: why no traversal starts there (`missing`, `pending`: it is being deleted); null where one may.  nodes (node_id, lifecycle)."""
+    joined = asked.select("node_id").distinct().join(nodes.select("node_id", F.coalesce("lifecycle", F.lit("")).alias("lifecycle")), "node_id", "left")
+    return joined.select("node_id", F.when(F.col("lifecycle").isNull(), "missing").when(F.col("lifecycle") != "ready", "pending").alias("reason"))
+
+
 def sizes(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """Rows and text bytes of each table."""
     out = None

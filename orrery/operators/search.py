@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import jsonwalk
 from orrery.operators.evidence import breaks
+from orrery.sources.storage import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET = 512
@@ -35,8 +36,10 @@ _MARKED, _PLAIN = _bare()
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters, digits and private characters, without diacritics."""
-    return F.regexp_extract_all(F.translate(F.lower(text), _MARKED, _PLAIN), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
+    """Lower-case runs of letters, digits and private characters, without diacritics; text in ASCII has none to lose."""
+    whole = F.regexp_extract_all(F.translate(F.lower(text), _MARKED, _PLAIN), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
+    plain = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.when(F.length(text) == F.octet_length(text), plain).otherwise(whole)
 
 
 #: Bounds of a text query (fixed values): bytes and tokens.
@@ -121,10 +124,11 @@ def record_units(records: DataFrame, owner: str, properties: str, label: str | N
     return found.select("owner", "pointer", zero.alias("byte_start"), zero.alias("owner_start"), F.lit(1).cast("long").alias("line"), "text")
 
 
-def postings(units: DataFrame) -> DataFrame:
-    """units (unit, text) -> token, unit, tf, length (tokens of the unit)."""
+def postings(units: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """units (unit, text) -> token, unit, tf, length (tokens of the unit); of some tokens only, where these are named."""
     words = units.select("unit", tokens(F.col("text")).alias("words"))
-    rows = words.select("unit", F.size("words").alias("length"), F.explode("words").alias("token"))
+    kept = F.col("words") if only is None else F.filter("words", lambda w: w.isin(*only))
+    rows = words.select("unit", F.size("words").alias("length"), F.explode(kept).alias("token"))
     return rows.groupBy("token", "unit").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
 
 
@@ -144,7 +148,7 @@ def bm25(units: DataFrame, words: list[str]) -> DataFrame:
     if not wanted:
         raise ValueError("no words")
     own = units.select("unit", tokens(F.col("text")).alias("words"))
-    counts = own.select("unit", F.size("words").alias("length"), *[_times(t).alias(f"tf{k}") for k, t in enumerate(wanted)])
+    counts = written(own.select("unit", F.size("words").alias("length"), *[_times(t).alias(f"tf{k}") for k, t in enumerate(wanted)]), "counts")  # texts are cut once
     total = counts.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(wanted))]).first()
     scores, any_of = [], F.lit(False)
     for k in range(len(wanted)):

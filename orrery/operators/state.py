@@ -54,6 +54,11 @@ def shown(ownership: Column, wanted: str | None = None) -> Column:
     return ~ownership.eqNullSafe("rejected") if wanted is None else ownership.eqNullSafe(wanted)
 
 
+def under_rejection(states: DataFrame) -> DataFrame:
+    """Records (node_id) scoped below a rejected root, which take no writes; states as of `effective`."""
+    return states.where("state_root_id is not null and ownership = 'rejected'").select("node_id")
+
+
 def transition_allowed(before: Column, after: Column, evidenced: Column) -> Column:
     """Whether ownership may go from before (null at creation) to after: only candidates are rejected, a
     rejected record becomes no candidate again, and owned or dependency needs evidence in the same write."""

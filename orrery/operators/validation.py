@@ -117,6 +117,11 @@ def blocked_by_rejection(items: DataFrame, rejected: DataFrame) -> DataFrame:
     return items.join(rejected.select("type", "key").distinct(), ["type", "key"], "left_semi")
 
 
+def under_rejected_domain(kinds: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Names whose registrable domain (another name than theirs) is rejected: kinds as of `dns.classify`, rejected (registrable)."""
+    return kinds.where("kind = 'subdomain'").join(rejected.select("registrable").distinct(), "registrable", "left_semi")
+
+
 def too_new(observed: Column, now_us: int, skew_s: int = 300) -> Column:
     return observed > now_us + skew_s * 1_000_000
 

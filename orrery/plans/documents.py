@@ -129,7 +129,7 @@ def postings(spark, sf_dir):
 
 @query("F8_U1_words_match", rf"WITH {_TOK} SELECT unit FROM tok WHERE list_contains(w, 'the') AND list_contains(w, 'and')")
 def f8(spark, sf_dir):
-    return search.with_all(search.postings(_units(spark, sf_dir)), ["the", "and"])
+    return search.with_all(search.postings(_units(spark, sf_dir), ["the", "and"]), ["the", "and"])
 
 
 @query(

@@ -211,7 +211,7 @@ def j10(spark, sf_dir):
 
 @query("J9_rejected_subtree", f"WITH {_N} SELECT node_id FROM eff WHERE state_root_id IS NOT NULL AND ownership = 'rejected'")
 def j9(spark, sf_dir):
-    return state.effective(_nodes(spark, sf_dir)).where("state_root_id is not null and ownership = 'rejected'").select("node_id")
+    return state.under_rejection(state.effective(_nodes(spark, sf_dir)))
 
 
 @query("A11_job_counts", "SELECT o_orderstatus AS state, count(*) AS n FROM orders GROUP BY ALL")
@@ -288,6 +288,14 @@ def g3(spark, sf_dir):
     return reports.missing(seeds, c.select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id")), "node_id")
 
 
+@query("G3_refused_seeds", "WITH s AS (SELECT c_custkey * 2 AS k FROM customer) SELECT 'c' || k AS node_id, CASE WHEN c_custkey IS NULL THEN 'missing' WHEN c_acctbal < 0 THEN 'pending' END AS reason FROM s LEFT JOIN customer ON k = c_custkey")
+def g3_refused(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    key = lambda k: F.concat(F.lit("c"), k.cast("string")).alias("node_id")
+    nodes = c.select(key(F.col("c_custkey")), F.when(F.col("c_acctbal") < 0, "delete_pending").otherwise("ready").alias("lifecycle"))
+    return reports.seed_reasons(c.select(key(F.col("c_custkey") * 2)), nodes)
+
+
 @query("A8_link_counts", "SELECT l_partkey AS node_id, count(*) AS link_count, count(DISTINCT l_suppkey) AS source_count FROM lineitem GROUP BY ALL")
 def a8(spark, sf_dir):
     return reports.link_counts(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node_id"), F.col("l_suppkey").alias("evidence_id")))

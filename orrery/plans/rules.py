@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orrery.functions import addresses, grammar, hosts, jsonwalk, registration, transforms
-from orrery.operators import checks, mapping, merge, patches
+from orrery.operators import checks, mapping, merge, patches, validation
 from orrery.plans.book import query, table
 from orrery.plans.events import _A1
 from orrery.sources import storage
@@ -166,9 +166,8 @@ def j8(spark, sf_dir):
     from orrery.functions import dns
 
     hosts = table(spark, sf_dir, "pages").select(transforms.apply_chain(F.col("url"), ["url_host"]).alias("name"))
-    kinds = dns.classify(hosts, dns.sample_rules(spark)).where("kind = 'subdomain'")
     rejected = spark.createDataFrame([("example.org",)], "registrable string")
-    return kinds.join(rejected, "registrable", "left_semi").select(F.col("name").alias("host"))
+    return validation.under_rejected_domain(dns.classify(hosts, dns.sample_rules(spark)), rejected).select(F.col("name").alias("host"))
 
 
 @query("V1_X4_document_limits", "SELECT event_id AS owner, 1 AS depth, '/token' AS secret, CASE WHEN event_id % 3 = 0 THEN 'integer out of range' END AS reason FROM events")
@@ -314,7 +313,6 @@ def v23(spark, sf_dir):
 
 @query("V21_service_names", "SELECT e.event_id, e.event_type IN ('view', 'click') AS known, e.event_type = 'view' AS secure_required FROM events e")
 def v21(spark, sf_dir):
-    from orrery.operators import validation
 
     names = spark.createDataFrame([("view", True), ("click", False)], "name string, secure_required boolean")
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("name"), F.lit(None).cast("boolean").alias("secure"))
