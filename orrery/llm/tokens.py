@@ -14,7 +14,7 @@ comparison and two offsets: constant time, whatever the size of the corpus.
 
 Encoding.  A byte-level vocabulary splits texts by a pattern and no token reaches over a split.  Some splits
 are certain from the neighbouring characters: before a blank that stands alone between visible characters,
-before a line break after and after one before a visible character, and before a full stop or the like after an ASCII letter or
+before a line break after a visible character, before and after one before a visible character, and before a full stop or the like after an ASCII letter or
 digit.  Texts are cut there; each distinct piece of a block is encoded once and remembered (a bounded memory for
 each worker), and the ids of all pieces are put together by array operations.  The ids are those of the whole text; a
 vocabulary with another pattern has its texts encoded whole.
@@ -106,9 +106,10 @@ def cuts(block) -> np.ndarray:
     blank = blank[_visible_before(data, blank) & _visible_at(data, blank + 1)]
     line = np.flatnonzero(data == 10)
     before, after = inner(line), inner(line + 1)
+    after = after[_visible_at(data, after) & (data[after] != 60)]  # blanks before an added token end a text
     stop = inner(np.flatnonzero(_STOP[data]))
     stop = stop[_ALNUM[data[stop - 1]]]
-    found = [blank, before[_visible_before(data, before)], after[_visible_at(data, after)], stop]
+    found = [blank, before[_visible_before(data, before)], inner(after - 1), after, stop]
     mark = np.zeros(len(data) + 1, dtype=bool)
     for at in found:
         mark[at] = True

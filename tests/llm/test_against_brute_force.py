@@ -238,6 +238,21 @@ def test_pieces_encode_as_whole_texts():
         assert [x.tolist() for x in got] == wanted
 
 
+def test_blank_lines_encode_as_in_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(tokens.VOCABULARY)
+    plain, encoder = Tokenizer.from_file(file), tokens.Encoder(file)
+    rng = random.Random(8)
+    odd = ["\n", "\n\n", " ", "\t", "\r\n", "\u00a0", "a", "B.", "é", "<", "<|endoftext|>"]
+    texts = ["a\n\nb", "a\n\n\nb", "\n\nb", "a\n\n", "a \n\nb", "a\n\n b", "a\n\n<|endoftext|>\n\nb", "a\n\n<b", "\n\n"]
+    texts += ["".join(rng.choices(odd, k=rng.randrange(10))) for _ in range(2000)]
+    wanted = [[*plain.encode(text, add_special_tokens=False).ids, tokens.END] for text in texts]
+    ids, many = encoder.encode(next(blocks(pa.array(texts), 1 << 20)))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == wanted
+
+
 def test_index_is_minimal_and_perfect():
     keys = np.random.default_rng(4).choice(1 << 60, 5000, replace=False).astype(np.int64)
     index = tokens.Index.build(keys)
