@@ -14,10 +14,12 @@ comparison and two offsets: constant time, whatever the size of the corpus.
 
 Encoding.  A byte-level vocabulary splits texts by a pattern and no token reaches over a split.  Some splits
 are certain from the neighbouring characters: before a blank that stands alone between visible characters,
-before a line break after a visible character, before and after one before a visible character, and before a full stop or the like after an ASCII letter or
-digit.  Texts are cut there; each distinct piece of a block is encoded once and remembered (a bounded memory for
-each worker), and the ids of all pieces are put together by array operations.  The ids are those of the whole text; a
-vocabulary with another pattern has its texts encoded whole.
+before a line break after a visible character, before and after one before a visible character, and before a punctuation mark after an ASCII letter or
+digit or a letter of Latin-1.  Texts are cut there; each distinct piece of a block is encoded once and remembered (a bounded memory for
+each worker), and the ids of all pieces are put together by array operations.  A new piece of letters alone, with or without
+a blank before them, is one match of the pattern, so it goes straight to the library's model, spelt in the model's alphabet; other new
+pieces go through the whole tokenizer.  The ids are those of the whole text; a vocabulary with another pattern, or with added tokens
+besides the one for the end of a text, has its texts encoded whole.
 
 Defined results: a null text is an empty one (only the end id); documents that share a doc_id
 stand next to each other, ordered by text, and a lookup finds all of them; null doc_ids come first and are one key, which is kept beside the index;
@@ -29,8 +31,10 @@ from __future__ import annotations
 import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +66,9 @@ _BLANK[9:14] = _BLANK[28:33] = True
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 _STOP = np.zeros(256, dtype=bool)
-_STOP[list(b",.;:!?")] = True
+_STOP[list(b"!\"#$%&'()*+,-./:;=?@[]_")] = True
+#: Letters below U+2000 that Unicode has had since version 3.2, so the pattern takes them for letters in any version of the library.
+_LETTERS = frozenset(c for c in map(chr, range(0x2000)) if c.isalpha() and unicodedata.ucd_3_2_0.category(c)[0] == "L")
 
 
 def _fs(path: str):
@@ -108,7 +114,8 @@ def cuts(block) -> np.ndarray:
     before, after = inner(line), inner(line + 1)
     after = after[_visible_at(data, after) & (data[after] != 60)]  # blanks before an added token end a text
     stop = inner(np.flatnonzero(_STOP[data]))
-    stop = stop[_ALNUM[data[stop - 1]]]
+    last = data[stop - 1]
+    stop = stop[_ALNUM[last] | (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (data[stop - 2] == 0xC3)]  # or U+00C0..U+00FF but for two signs
     found = [blank, before[_visible_before(data, before)], inner(after - 1), after, stop]
     mark = np.zeros(len(data) + 1, dtype=bool)
     for at in found:
@@ -116,39 +123,67 @@ def cuts(block) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+def letters(piece: str) -> bool:
+    """Whether the piece is letters alone, or a blank and letters: one match of the byte-level pattern."""
+    own = piece.removeprefix(" ")
+    return own != "" and _LETTERS.issuperset(own)
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, remembering the pieces it has seen."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(file)
+        every = "".join(map(chr, range(0x2000)))
+        spelt = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(every)
+        #: How the model spells each byte of what `letters` takes
+        self.alphabet = dict(zip(every.encode(), "".join(part for part, _ in spelt)))
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         special = self.tokenizer.get_added_tokens_decoder()
         self.split = next((i for i, t in special.items() if t.content == "<|endoftext|>"), None)
         shape = json.loads(self.tokenizer.to_str())
         how = shape.get("pre_tokenizer") or {}
-        #: Whether the vocabulary splits by the byte-level pattern, as it is
-        self.cut = shape.get("normalizer") is None and how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space")
+        #: Whether the vocabulary splits by the byte-level pattern and by no other token, as it is
+        self.cut = shape.get("normalizer") is None and all(t.content == "<|endoftext|>" for t in special.values()) and how.get("type") == "ByteLevel" and how.get("use_regex", True) and not how.get("add_prefix_space")
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.width).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces, many in one text, with a special token between them."""
-        alone = pieces if self.split is None else [p for p in pieces if "<|" in p]
-        self.known.update((p, self.ids(p)) for p in alone)
-        plain = [] if self.split is None else [p for p in pieces if "<|" not in p]
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            flat = np.array(self.tokenizer.encode_batch_fast(["<|endoftext|>".join(part)], add_special_tokens=False)[0].ids, dtype=self.width)
+    def _parts(self, ids: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+        raw, width = ids.tobytes(), ids.itemsize
+        return [raw[a:z] for a, z in zip((start * width).tolist(), (end * width).tolist())]
+
+    def _letters(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of letters, by the model."""
+        tokenize, ids, end = self.tokenizer.model.tokenize, [], []
+        for spelt in "\n".join(pieces).encode().decode("latin-1").translate(self.alphabet).split(self.alphabet[10]):
+            ids += [token.id for token in tokenize(spelt)]
+            end.append(len(ids))
+        return self._parts(np.array(ids, dtype=self.width), np.array([0, *end[:-1]]), np.array(end))
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, many in one text, with a special token between them."""
+        found = []
+        for lo in range(0, len(pieces), 2000):
+            flat = np.array(self.tokenizer.encode_batch_fast(["<|endoftext|>".join(pieces[lo : lo + 2000])], add_special_tokens=False)[0].ids, dtype=self.width)
             cut = np.flatnonzero(flat == self.split)
-            start, end = np.append(0, cut + 1) * flat.itemsize, np.append(cut, len(flat)) * flat.itemsize
-            raw = flat.tobytes()
-            self.known.update((p, raw[a:z]) for p, a, z in zip(part, start.tolist(), end.tolist()))
+            found += self._parts(flat, np.append(0, cut + 1), np.append(cut, len(flat)))
+        return found
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of new pieces."""
+        simple = list(map(letters, pieces)) if self.cut else [False] * len(pieces)
+        plain = list(compress(pieces, simple))
+        others = [p for p, own in zip(pieces, simple) if not own]
+        joined = [] if self.split is None else [p for p in others if "<|" not in p]
+        by_model, by_join = iter(self._letters(plain) if plain else ()), iter(self._joined(joined))
+        return [next(by_model) if own else self.ids(p) if self.split is None or "<|" in p else next(by_join) for p, own in zip(pieces, simple)]
 
     def encode(self, block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the block's texts one after the other, END after each, and how many each has."""
@@ -159,13 +194,18 @@ class Encoder:
         start = np.sort(np.concatenate([block.offset[:-1], at]))
         offset = np.append(start, block.offset[-1]).astype(np.int64)
         pieces = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offset), pa.py_buffer(block.data)).dictionary_encode()
-        words = pieces.dictionary.to_pylist()
-        fresh = [w for w in words if w not in self.known]
-        self.known.update((w, self.before[w]) for w in fresh if w in self.before)
-        self._learn([w for w in fresh if w not in self.before])
-        held = list(map(self.known.__getitem__, words))
+        words = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        held = list(map(self.known.get, words))
+        fresh = [k for k, own in enumerate(held) if own is None]
+        names = [words[k] for k in fresh]
+        found = list(map(self.before.get, names))
+        learnt = iter(self._learn([w for w, own in zip(names, found) if own is None]))
+        found = [next(learnt) if own is None else own for own in found]
+        self.known.update(zip(names, found))
+        for k, own in zip(fresh, found):
+            held[k] = own
         held.append(np.array([END], dtype=self.width).tobytes())
-        many = np.array(list(map(len, held)), dtype=np.int32) // np.dtype(self.width).itemsize
+        many = np.fromiter(map(len, held), dtype=np.int32, count=len(held)) // np.dtype(self.width).itemsize
         begin = np.cumsum(many, dtype=np.int32) - many
         # the pieces of each text, and the last of `held` after them
         ends = np.append(first[1:], len(start)) + np.arange(block.rows)

@@ -253,6 +253,61 @@ def test_blank_lines_encode_as_in_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == wanted
 
 
+def test_words_of_letters_go_straight_to_the_model():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.whole, self.seen = tokenizer, 0
+
+        def __getattr__(self, name):
+            return getattr(self.whole, name)
+
+        def encode_batch_fast(self, texts, **how):
+            self.seen += sum(len(text.split("<|endoftext|>")) for text in texts)
+            return self.whole.encode_batch_fast(texts, **how)
+
+    file = public_tokenizers.path(tokens.VOCABULARY)
+    plain, encoder = Tokenizer.from_file(file), tokens.Encoder(file)
+    encoder.tokenizer = Counted(encoder.tokenizer)
+    rng = random.Random(5)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "éèßñçaeiou", "αβγδεζη", "жизньмир", "אבגדה"]
+    words = ["".join(rng.choices(rng.choice(alphabets), k=rng.randrange(1, 14))) for _ in range(5000)]
+    text = " ".join(word + rng.choice(["", "", ".", ","] if word < "\u0100" else [""]) for word in words)
+    ids, many = encoder.encode(next(blocks(pa.array([text]), 1 << 20)))
+    assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, tokens.END] and many.tolist() == [len(ids)]
+    assert encoder.tokenizer.seen * 20 < len(words)
+
+
+def test_letters_are_letters_to_the_pattern():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain, all_letters = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY)), "".join(sorted(tokens._LETTERS))
+    assert len(plain.pre_tokenizer.pre_tokenize_str(" " + all_letters)) == 1 and tokens.letters(" " + all_letters) and tokens.letters("Ħa")
+    assert not any(map(tokens.letters, ["", " ", "  a", "a ", "a1", "don't", "e\u0301", "\u4e00", "a\n", "\u00d7"]))
+
+
+def test_cuts_at_punctuation_inside_words():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(tokens.VOCABULARY)
+    plain, encoder = Tokenizer.from_file(file), tokens.Encoder(file)
+    rng = random.Random(6)
+    odd = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "'s", "'t", "'ll", "'re", "a", "Word", "9", "é", "ÿ", "À", "×", "÷", "ö́", "ж", "你", "²", " ", "\n", "<|endoftext|>", "<|endoftext", "\u00a0"]
+    texts = ["don't", "l'été's", "été.", "a×.b÷,", "x<|endoftext|>y", "é<|endoftext|>'s", "a_b-c/d", "'", "é'", ".", "", "é"]
+    texts += ["".join(rng.choices(odd, k=rng.randrange(14))) for _ in range(3000)]
+    wanted = [[*plain.encode(text, add_special_tokens=False).ids, tokens.END] for text in texts]
+    for limit in (1 << 20, 30):
+        got = []
+        for block in blocks(pa.array(texts), limit):
+            ids, many = encoder.encode(block)
+            got += np.split(ids, np.cumsum(many)[:-1])
+        assert [x.tolist() for x in got] == wanted
+
+
 def test_index_is_minimal_and_perfect():
     keys = np.random.default_rng(4).choice(1 << 60, 5000, replace=False).astype(np.int64)
     index = tokens.Index.build(keys)
