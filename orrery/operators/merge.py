@@ -26,27 +26,27 @@ from orrery.sources.storage import written
 BLOCK = 1 << 20
 
 
-def greatest_before(rows: DataFrame, keys: list[str], value: Column, block: int = BLOCK) -> DataFrame:
+def greatest_before(rows: DataFrame, keys: list[str], value: Column, block: int = BLOCK, ties: tuple[str, ...] = ()) -> DataFrame:
     """rows (with seq) and __before: the greatest value among the rows of the same keys with a smaller seq; null where there is none.
 
-    Rows of one seq must not need each other's values.  Rows without seq come before all others.
+    Rows of one seq are ordered by the columns `ties`, and without these must not need each other's values.  Rows without seq come before all others.
     """
     marked = rows.withColumn("__block", F.coalesce(F.floor(F.col("seq") / block), F.lit(-(1 << 62)))).withColumn("__value", value)
     ends = marked.groupBy(*keys, "__block").agg(F.max("__value").alias("__end"))
     earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, "__block", F.max("__end").over(earlier).alias("__earlier"))
-    inside = Window.partitionBy(*keys, "__block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "__block").orderBy("seq", *ties).rowsBetween(Window.unboundedPreceding, -1)
     joined = marked.withColumn("__within", F.max("__value").over(inside)).join(ends, [*keys, "__block"])
     return joined.withColumn("__before", F.greatest("__earlier", "__within")).drop("__block", "__value", "__earlier", "__within")
 
 
-def with_fresh(writes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """writes (record, seq, observed, and reporting where some writes report nothing) with the column fresh.
+def with_fresh(writes: DataFrame, block: int = BLOCK, ties: tuple[str, ...] = ()) -> DataFrame:
+    """writes (record, seq, observed, and reporting where some writes report nothing) with the column fresh; writes of one seq come in the order of `ties`.
 
     A write without a record has no place in any order and is left out.
     """
     told = F.when(F.col("reporting"), F.col("observed")) if "reporting" in writes.columns else F.col("observed")
-    before = greatest_before(writes.where("record is not null"), ["record"], told, block)
+    before = greatest_before(writes.where("record is not null"), ["record"], told, block, ties)
     return before.select(*writes.columns, F.coalesce(F.col("observed") >= F.col("__before"), F.lit(True)).alias("fresh"))
 
 
@@ -66,7 +66,7 @@ def _nodes(leaves: DataFrame) -> DataFrame:
 
 
 def _decided(nodes: DataFrame) -> DataFrame:
-    """record, node, and the last fresh events: set_at with value, object_at, gone (scalars and removals above, removals here); scalar and object: whether any write, stale ones too, has it so."""
+    """record, node, and the last fresh events: set_at with value, object_at, covered (scalars above), removed_at (removals here and above); scalar and object: whether any write, stale ones too, has it so."""
     fresh, here = F.col("fresh"), F.col("scalar")
     marks = ~here & ~F.col("removed")
     one = nodes.groupBy("record", "node").agg(
@@ -76,11 +76,12 @@ def _decided(nodes: DataFrame) -> DataFrame:
         F.max(here).alias("scalar"),
         F.max(~F.col("leaf")).alias("object"),
     )
-    ends = one.select("record", F.col("node").alias("upper"), F.greatest("set.seq", "removed_at").alias("end")).where("end is not null")
+    ends = one.select("record", F.col("node").alias("upper"), F.col("set.seq").alias("set_end"), F.col("removed_at").alias("removed_end")).where("set_end is not null or removed_end is not null")
     below = one.select("record", "node", F.explode(_above(F.col("node"))).alias("upper"))
-    gone = below.join(ends, ["record", "upper"]).groupBy("record", "node").agg(F.max("end").alias("above"))
+    gone = below.join(ends, ["record", "upper"]).groupBy("record", "node").agg(F.max("set_end").alias("covered"), F.max("removed_end").alias("removed_above"))
     both = one.join(gone, ["record", "node"], "left")
-    return both.select("record", "node", F.col("set.seq").alias("set_at"), F.col("set.value").alias("value"), "object_at", F.greatest("removed_at", "above").alias("gone"), "scalar", "object")
+    removed = F.greatest("removed_at", "removed_above").alias("removed_at")
+    return both.select("record", "node", F.col("set.seq").alias("set_at"), F.col("set.value").alias("value"), "object_at", "covered", removed, "scalar", "object")
 
 
 def _stopped(stale: DataFrame, fresh: DataFrame, mixed: DataFrame, block: int) -> DataFrame:
@@ -106,7 +107,7 @@ def merge_leaves(leaves: DataFrame, block: int = BLOCK) -> DataFrame:
     """leaves (record, path, seq, fresh, removed, value) -> record, path, value of the merged record.
 
     A path is a JSON Pointer, a value JSON text ({} is an object without members, as a merged one may be left; arrays are values); all leaves of one
-    write share its seq.  Leaves without record, path or seq have no place and are left out.
+    write share its seq, and what it removes goes before what it sets.  Leaves without record, path or seq have no place and are left out.
     """
     known = leaves.where("record is not null and path is not null and seq is not null and (fresh or not removed)")
     known = written(known.select("record", "path", "seq", "fresh", "removed", "value"), "leaves")  # what made it fresh is not done again
@@ -123,10 +124,11 @@ def merge_leaves(leaves: DataFrame, block: int = BLOCK) -> DataFrame:
 
     set_last = F.coalesce(F.col("set_at") > F.col("object_at"), F.col("set_at").isNotNull())
     last = F.greatest("set_at", "object_at")
-    stands = last.isNotNull() & F.coalesce(last > F.col("gone"), F.lit(True))
+    stands = last.isNotNull() & F.coalesce(last > F.col("covered"), F.lit(True)) & F.coalesce(last >= F.col("removed_at"), F.lit(True))
+    gone = F.greatest("covered", "removed_at")
     lasting = decided.where(stands).select("record", "node", F.when(set_last, F.struct("value")).alias("held"))
     # what is gone takes its first stale write since: by blocks, and one by one in the block where it went
-    open_ = decided.where(~stands).select("record", "node", F.col("gone").alias("since"), F.floor(F.col("gone") / block).alias("in_block"))
+    open_ = decided.where(~stands).select("record", "node", gone.alias("since"), F.floor(gone / block).alias("in_block"))
     offered = _nodes(stale).select("record", "node", F.floor(F.col("seq") / block).alias("block"), F.struct("seq", "scalar", "value").alias("offer"))
     by_block = offered.groupBy("record", "node", "block").agg(F.min("offer").alias("offer"))
     later = by_block.join(open_, ["record", "node"]).where("since is null or block > in_block").select("record", "node", "offer")

@@ -370,12 +370,12 @@ def r1(spark, sf_dir):
 
 @query("R2_stream_merge", _A1)
 def r2(spark, sf_dir):
-    """The writes in four files by arrival, each a micro-batch of the stream."""
-    writes, source = _writes(spark, sf_dir).drop("event_id"), storage.fresh(spark, "arrivals")
+    """The writes in four lots by arrival, each a micro-batch of the stream, which goes on where it ended before."""
+    writes, source, folder = _writes(spark, sf_dir).withColumnRenamed("event_id", "tie"), storage.fresh(spark, "arrivals"), storage.fresh(spark, "merged")
     for k in range(4):
-        writes.where((F.col("seq") >= k * 250001) & (F.col("seq") < (k + 1) * 250001)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(writes.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    return ingest.ingest_merge(stream, storage.fresh(spark, "merged"))
+        writes.where((F.col("seq") >= k * 250001) & (F.col("seq") < (k + 1) * 250001)).write.mode("append").parquet(source)
+        merged = ingest.ingest_merge(spark.readStream.schema(writes.schema).parquet(source), folder)
+    return merged
 
 
 @query("T3_number_transforms", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS int_value, round(CAST(value AS DOUBLE), 1) AS one_decimal, 'AS' || user_id AS asn, user_id AS asn_number FROM events")

@@ -4,13 +4,32 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession, folder: str) -> Iterator[None]:
+    """New paths lie in this folder meanwhile; it is deleted before and after."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(path, True)
+    held = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(held)
+        fs.delete(path, True)
+
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the whole cluster shares (spark.checkpoint.dir); on one machine without that setting a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = _SCRATCH.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

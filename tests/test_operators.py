@@ -392,6 +392,23 @@ def test_a_batch_changes_its_own_records(spark, tmp_path):
     assert {(r.first_seen, r.last_seen, r.n) for r in log.spans(spark).where("record = 'r7'").collect()} == {(90, 100, 3)}
 
 
+def test_a_stream_merges_a_batch_as_a_whole(spark, tmp_path):
+    """Records are merged by joins and grouped maxima, not one by one in Python: no keyed state, and several writes of one seq have an order of their own."""
+    schema = "record string, path string, seq bigint, tie bigint, observed bigint, reporting boolean, removed boolean, value string"
+    late = [("a", "/p", 5, 2, 10, True, False, "late"), ("a", "/p", 5, 1, 20, True, False, "on time")]  # the tie, not the order of rows, decides
+    both = [("b", "/q", 5, 1, 10, True, False, "set"), ("b", "/q", 5, 2, 10, True, True, None)]  # what goes at a seq goes before what is set
+    spark.createDataFrame(late + both, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    log = ingest.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", compact_every=1)
+    assert {(r.record, r.path): r.value for r in log.leaves(spark).collect()} == {("a", "/p"): "on time", ("b", "/q"): "set"}
+    assert sorted(os.listdir(f"{tmp_path}/out")) == ["changes", "progress", "refused", "refused-progress"] and not os.path.exists(f"{tmp_path}/out/progress/state")
+    os.remove(f"{tmp_path}/out/progress/commits/0")  # the epoch runs again, and is part of the base already
+    os.remove(f"{tmp_path}/out/progress/commits/.0.crc")
+    spark.createDataFrame([("a", "/p", 6, 1, 15, True, False, "stale"), ("a", "/p/x", 7, 1, 30, True, False, "1")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    log = ingest.ingest(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", compact_every=1)
+    assert {(r.record, r.path): r.value for r in log.leaves(spark).collect()} == {("a", "/p/x"): "1", ("b", "/q"): "set"}
+    assert {r.record: (r.first_seen, r.last_seen, r.n) for r in log.spans(spark).collect()} == {"a": (10, 30, 4), "b": (10, 10, 2)}
+
+
 def test_rules_with_qualifiers(spark):
     from orrery.operators import mapping
 
