@@ -289,13 +289,17 @@ _TREES = """[['/a'], ['/a/b'], ['/a/c', '/e'], ['/a/b/d'], ['/a/b/d', '/a/f'], [
     WHERE n.fullkey <> '$' AND (n.type <> 'OBJECT' OR n.value::VARCHAR = '{{}}')""",
 )
 def a1_fold(spark, sf_dir):
-    """Writes of one or two leaves whose paths are scalars in one write and objects in another; the SQL folds a record's writes one after another."""
+    """Writes of one or two leaves whose paths are scalars in one write and objects in another; the SQL folds a record's writes one after another.
+
+    Its order leaves writes of one seq open (seq repeats after 1,000,003 events); here they follow in the order of their events.
+    """
     from orrery.plans.events import _writes
 
     paths = F.element_at(F.expr(f"array({_TREES[1:-1].replace('[', 'array(').replace(']', ')')})"), (F.col("event_id") % 7 + 1).cast("int"))
     value = F.when(F.col("event_id") % 13 == 0, "{}").otherwise(F.col("value"))
-    timed = merge.with_fresh(_writes(spark, sf_dir).withColumn("value", value))
-    return merge.merge_leaves(timed.withColumn("path", F.explode(paths)))
+    one_by_one, block = F.shiftleft("seq", 40) + F.col("event_id"), 1 << 56
+    timed = merge.with_fresh(_writes(spark, sf_dir).withColumn("value", value).withColumn("seq", one_by_one), block)
+    return merge.merge_leaves(timed.withColumn("path", F.explode(paths)), block)
 
 
 @query(
