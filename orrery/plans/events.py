@@ -65,7 +65,7 @@ FROM m WHERE coalesce(last = fresh_set, false) OR stale_set IS NOT NULL"""
 
 @query("A1_observation_merge", _A1)
 def a1(spark, sf_dir):
-    return merge.merge_leaves(merge.with_fresh(_writes(spark, sf_dir)))
+    return merge.merge_leaves(merge.with_fresh(_writes(spark, sf_dir), ties=("event_id",)))
 
 
 @query(

@@ -30,7 +30,7 @@ def tied(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["A1_fold_fallback", "W2_fresh_flag"])
+@pytest.mark.parametrize("name", ["A1_fold_fallback", "W2_fresh_flag", "A1_observation_merge", "R2_stream_merge"])
 def test_ties_follow_events(name, spark, tied):
     folder, con = tied
     df = registry.queries()[name](spark, folder)
