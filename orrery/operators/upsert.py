@@ -31,11 +31,12 @@ def touched(records: DataFrame, batch: DataFrame, buckets: int) -> DataFrame:
     return records.join(batch.select("record").distinct().repartition(buckets, "record"), "record", "left_semi")
 
 
-def upsert(spark: SparkSession, root: str, snapshot: dict[str, versions.Table], writes: DataFrame, leaves: DataFrame, links: DataFrame) -> tuple[dict[str, versions.Table], DataFrame]:
+def upsert(spark: SparkSession, root: str, snapshot: dict[str, versions.Table], writes: DataFrame, leaves: DataFrame, links: DataFrame, block: int = merge.BLOCK) -> tuple[dict[str, versions.Table], DataFrame]:
     """The snapshot's tables after a batch, and what is told of each write.
 
     writes (record, seq, at, observed, reporting): seq is unique in a record, `at` is when the write was made; leaves (record, seq, path, removed, value); links (record, seq,
-    evidence, added): a write that both adds and removes a link removes it.  Leaves and links of no write count for nothing.
+    evidence, added): a write that both adds and removes a link removes it.  Leaves and links of no write count for nothing.  Where leaves have a column merge_seq, they are merged by it
+    (so several writes may stand at one place, merge.merge_leaves), and only freshness and links follow seq, in blocks of `block` sequence numbers.
 
     Told: record, seq, created (the record was not there), updated (it was), links_added and links_removed (those that changed something), and reason where the write has no
     record or seq and so does nothing.  A record's created_at is the time of its first write and stays, updated_at that of its last one.
@@ -48,10 +49,11 @@ def upsert(spark: SparkSession, root: str, snapshot: dict[str, versions.Table],
 
     # Freshness: the snapshot's last_seen is that of a write before all others.
     pseudo = old.select("record", F.lit(_BEFORE).alias("seq"), F.lit(None).cast("bigint").alias("at"), F.col("last_seen").alias("observed"), F.col("last_seen").isNotNull().alias("reporting"))
-    fresh = merge.with_fresh(batch.unionByName(pseudo)).where(F.col("seq") > _BEFORE).select("record", "seq", "fresh")
-    new = leaves.join(fresh, ["record", "seq"]).select("record", "path", "seq", "fresh", "removed", "value")
+    fresh = merge.with_fresh(batch.unionByName(pseudo), block).where(F.col("seq") > _BEFORE).select("record", "seq", "fresh")
+    apart = "merge_seq" in leaves.columns
+    new = leaves.join(fresh, ["record", "seq"]).select("record", "path", F.col("merge_seq" if apart else "seq").alias("seq"), "fresh", "removed", "value")
     stood = old.select("record", F.explode("leaves").alias("leaf")).select("record", "leaf.path", F.lit(_BEFORE).alias("seq"), F.lit(True).alias("fresh"), F.lit(False).alias("removed"), "leaf.value")
-    merged = merge.merge_leaves(stood.unionByName(new)).groupBy("record").agg(F.sort_array(F.collect_list(F.struct("path", "value"))).alias("leaves"))
+    merged = merge.merge_leaves(stood.unionByName(new), merge.BLOCK if apart else block).groupBy("record").agg(F.sort_array(F.collect_list(F.struct("path", "value"))).alias("leaves"))
     seen = F.when(F.col("reporting"), F.col("observed"))
     spans = batch.groupBy("record").agg(F.min_by("at", "seq").alias("first_at"), F.max_by("at", "seq").alias("last_at"), F.min(seen).alias("first"), F.max(seen).alias("last"), F.min("seq").alias("first_seq"))
     changed = spans.join(merged, "record", "left").select("record", "first_at", "last_at", "first", "last", F.coalesce("leaves", F.array().cast("array<struct<path:string,value:string>>")).alias("merged"))
@@ -70,7 +72,7 @@ def upsert(spark: SparkSession, root: str, snapshot: dict[str, versions.Table],
 
     events = links.where(placed & F.col("evidence").isNotNull()).join(batch.select("record", "seq"), ["record", "seq"], "left_semi")
     events = events.groupBy("record", "evidence", "seq").agg(F.min("added").alias("added"))
-    events = written(merge.greatest_before(events, ["record", "evidence"], F.struct("seq", "added")), "links")
+    events = written(merge.greatest_before(events, ["record", "evidence"], F.struct("seq", "added"), block), "links")
     last = events.groupBy("record", "evidence").agg(F.max_by("added", "seq").alias("added")).repartition(n, "record", "evidence")
     joined = linked.withColumn("had", F.lit(True)).join(last, ["record", "evidence"], "full_outer")
     tables["links"] = versions.stored(joined.where(F.coalesce("added", "had")).select("record", "evidence"), root, ("record", "evidence"), n)

@@ -6,7 +6,7 @@ open (and DuckDB gives another at each run), here they follow in the order of th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import jsonwalk, transforms
@@ -403,18 +403,27 @@ def t5(spark, sf_dir):
     FROM h JOIN r ON h.record = r.record LEFT JOIN x ON h.record = x.record""",
 )
 def j2_a6(spark, sf_dir):
-    """All writes in two batches by arrival, each a version of the snapshot; what is told of each write, and its record in the last version."""
-    e = _writes(spark, sf_dir)
+    """All writes in two batches by arrival, each a version of the snapshot; what is told of each write, and its record in the last version.
+
+    The snapshot wants one seq a write.  Writes that share one here follow in the order of their events, are merged at that seq, and are all told as creating the record where it
+    is the first.
+    """
+    place, block = F.shiftleft("seq", 40) + F.col("event_id"), 1 << 56
+    e = _writes(spark, sf_dir).withColumn("place", place)
     linked = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("e"), (F.get_json_object("props", "$.k").cast("bigint") % 7).cast("string")).alias("evidence"), (F.col("event_id") % 4 != 0).alias("added"))
     e = storage.written(e.join(linked, "event_id"), "writes")
     root = storage.fresh(spark, "snapshot")
     version = versions.commit(spark, root, upsert.empty(spark, root, 16), None)
     told = []
     for batch in (e.where("seq < 500000"), e.where("seq >= 500000")):
+        batch = batch.withColumn("merge_seq", F.col("seq")).withColumn("seq", F.col("place"))
         writes = batch.select("record", "seq", F.col("observed").alias("at"), "observed", "reporting")
-        tables, said = upsert.upsert(spark, root, versions.manifest(spark, root, version), writes, batch.select("record", "seq", "path", "removed", "value"), batch.select("record", "seq", "evidence", "added"))
+        links, leaves = batch.select("record", "seq", "evidence", "added"), batch.select("record", "seq", "merge_seq", "path", "removed", "value")
+        tables, said = upsert.upsert(spark, root, versions.manifest(spark, root, version), writes, leaves, links, block)
         version = versions.commit(spark, root, tables, version)
         told.append(said)
     records = versions.opened(spark, versions.manifest(spark, root, version)["records"])
     leaves = F.array_join(F.transform("leaves", lambda x: F.concat(x["path"], F.lit("="), x["value"])), ",").alias("leaves")
-    return told[0].unionByName(told[1]).drop("updated", "reason").join(records.select("record", "created_at", "updated_at", leaves), "record")
+    said = told[0].unionByName(told[1]).drop("updated", "reason").withColumn("seq", F.shiftright("seq", 40))
+    said = said.withColumn("created", F.max("created").over(Window.partitionBy("record", "seq")))
+    return said.join(records.select("record", "created_at", "updated_at", leaves), "record")

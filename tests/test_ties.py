@@ -14,7 +14,8 @@ ASCENDING = "seq, event_id"
 def settled(sql: str) -> str:
     """The SQL with ties ordered by event_id; of values at one seq, that which the merge takes."""
     sql = sql.replace("ORDER BY seq ROWS", f"ORDER BY {ASCENDING} ROWS").replace("ORDER BY seq) AS k", f"ORDER BY {ASCENDING}) AS k")
-    return sql.replace("(value, seq)", "(value, {'a': seq, 'b': value})")
+    sql = sql.replace("t AS (SELECT user_id", "t AS (SELECT event_id, user_id").replace("e ORDER BY seq)", f"e ORDER BY {ASCENDING})")
+    return sql.replace("(made, seq)", "(made, {'a': seq, 'b': event_id})").replace("(value, seq)", "(value, {'a': seq, 'b': value})")
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +31,7 @@ def tied(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["A1_fold_fallback", "W2_fresh_flag", "A1_observation_merge", "R2_stream_merge"])
+@pytest.mark.parametrize("name", ["A1_fold_fallback", "W2_fresh_flag", "A1_observation_merge", "R2_stream_merge", "J2_A6_S6_snapshot_upsert"])
 def test_ties_follow_events(name, spark, tied):
     folder, con = tied
     df = registry.queries()[name](spark, folder)
