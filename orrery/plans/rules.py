@@ -400,7 +400,9 @@ def t8(spark, sf_dir):
 def v17b(spark, sf_dir):
     from orrery.functions import addresses
 
-    tail = F.lower(F.hex(F.col("c_custkey") + 1))
+    k = F.col("c_custkey") + 1
+    groups = [F.lower(F.hex(F.shiftright(k, bits) % 65536)) for bits in (32, 16, 0)]  # a group of an address has 16 bits
+    tail = F.when(k < 1 << 16, groups[2]).when(k < 1 << 32, F.concat_ws(":", *groups[1:])).otherwise(F.concat_ws(":", *groups))
     ip = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("2001:db8::"), tail)).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("2001:DB8::"), tail)).otherwise(F.concat(F.lit("2001:db8:0::"), tail))
     net = F.lit("2001:db8::/32")
     rows = table(spark, sf_dir, "customer").select("c_custkey", ip.alias("ip"), net.alias("net"), F.lit("2001:db8:1::/48").alias("inner"), _pick("c_custkey", "xn--mnchen-3ya", "xn--a").alias("label"))

@@ -49,3 +49,15 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(registry.queries()) <= set(__spark_entry__.queries())
+
+
+def test_addresses_of_large_keys(spark, tmp_path):
+    """Keys beyond 16 bits take more groups of an address."""
+    keys = [k for edge in (1 << 16, 1 << 17, 1 << 20, 1 << 32, 1 << 40) for k in range(edge - 4, edge + 4)]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    name = "V17_J12_ipv6_and_networks"
+    df = registry.queries()[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view customer as select * from read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = con.sql(registry.oracle_sql()[name])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
