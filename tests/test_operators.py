@@ -409,6 +409,16 @@ def test_a_stream_merges_a_batch_as_a_whole(spark, tmp_path):
     assert {r.record: (r.first_seen, r.last_seen, r.n) for r in log.spans(spark).collect()} == {"a": (10, 30, 4), "b": (10, 10, 2)}
 
 
+def test_spans_of_a_stream_are_one_aggregate(spark, tmp_path):
+    """Times of records need no leaves and no keyed state: many records cost one grouping a batch."""
+    rows = spark.range(20000).selectExpr("concat('r', id % 5000) as record", "id as observed")
+    for k in range(2):
+        rows.where(f"id % 2 = {k}").write.mode("append").parquet(f"{tmp_path}/in")
+        got = ingest.ingest_spans(spark.readStream.schema("record string, observed bigint").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", 10**9)
+    assert not os.path.exists(f"{tmp_path}/out/progress/state")
+    assert got.where("n != 4 or last_seen - first_seen != 15000 or first_seen != cast(substr(record, 2) as bigint)").count() == 0 and got.count() == 5000
+
+
 def test_rules_with_qualifiers(spark):
     from orrery.operators import mapping
 
